@@ -3,20 +3,105 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minmax
+from . import common, crossentropy, exact, langid, licenses, media, merkle, minmax, mixing, pieces, quality
+
+#: Place of the vocabulary that texts are encoded with.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+#: The rule by which op1 damages records of its second replica: page_id % DAMAGE[0] = DAMAGE[1].
+DAMAGE = (97, 13)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive file, audited against a replica with planted damage."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), merkle.warc_record(F.col("url"), F.col("html")).alias("record"))
+    damaged = F.when(F.col("record_id") % DAMAGE[0] == DAMAGE[1], F.overlay("record", F.lit("0"), F.lit(8))).otherwise(F.col("record"))
+    one = common.staged(merkle.archive_layout(pages), "replica")
+    two = common.staged(merkle.archive_layout(pages.withColumn("record", damaged)), "replica")
+    return merkle.audit(one, two)
+
+
+OP1_SQL = f"""
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages
+), l AS (
+  SELECT page_id AS record_id, sha256(record) AS digest, strlen(record)::bigint AS length, count(*) AS copies FROM r GROUP BY 1, 2, 3
+), f AS (
+  SELECT *, coalesce(floor(record_id / {merkle.FILE_RECORDS}.0), -1)::bigint AS file FROM l
+)
+SELECT file, row_number() OVER w - 1 AS leaf, coalesce(sum(length * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset",
+  length, record_id, digest, copies, coalesce(record_id % {DAMAGE[0]} <> {DAMAGE[1]}, true) AS intact
+FROM f WINDOW w AS (PARTITION BY file ORDER BY record_id NULLS FIRST, digest)
+"""
+
+
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), MODEL_PATH)
+
+
+def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, _table(spark, sf_dir, "documents"))
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored for likeness to the ones labelled good and not toxic."""
+    clean = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return crossentropy.score(_table(spark, sf_dir, "documents"), clean)
+
+
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_merkle_fixity": op1_merkle_fixity,
+    "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
+    "op3_language_codes": op3_language_codes,
+    "op4_pfair_mixing": op4_pfair_mixing,
+    "op5_license_scan": op5_license_scan,
+    "op6_media_columns": op6_media_columns,
+    "op7_exact_duplicates": op7_exact_duplicates,
+    "op8_cross_entropy": op8_cross_entropy,
     "op9_minmax_near_duplicates": op9_minmax_near_duplicates,
+    "op10_ordinal_quality": op10_ordinal_quality,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_merkle_fixity": OP1_SQL,
+    "op7_exact_duplicates": exact.ORACLE,
+}
