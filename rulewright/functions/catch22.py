@@ -72,6 +72,8 @@ def _square_root_bins(d: np.ndarray) -> int:
 def acf_timescale(y: np.ndarray) -> float:
     """First crossing of 1/e by the autocorrelation, linearly interpolated."""
     r, t = autocorrelation(y), 1 / np.e
+    if not r[0] > 0:
+        return NAN
     below = np.flatnonzero(r[1:] < t)
     if not len(below):
         return float(len(y))

@@ -332,9 +332,8 @@ def harmonic_ratio(x: np.ndarray, rate: int, size: int | None = None, overlap: i
     if not len(f):
         return np.empty(0)
     r = _correlogram(f)
-    own = np.cumsum(f**2, 1)
-    energy = np.sqrt(np.maximum(own[:, ::-1] * own[:, -1:], np.finfo(float).tiny))
-    g = r / energy
+    head, tail = np.cumsum(f**2, 1)[:, ::-1], np.cumsum(f[:, ::-1] ** 2, 1)[:, ::-1]  # of what overlaps at each lag
+    g = r / np.sqrt(np.maximum(head * tail, np.finfo(float).tiny))
     top = min(int(rate * 0.04), size - 2)
     out = np.zeros(len(g))
     for i, row in enumerate(g):
