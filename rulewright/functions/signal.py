@@ -325,16 +325,19 @@ def parabolic(y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def harmonic_ratio(x: np.ndarray, rate: int, size: int | None = None, overlap: int | None = None) -> np.ndarray:
-    """Largest normalised autocorrelation past the first zero crossing, interpolated, in [0, 1]."""
+    """Largest normalised autocorrelation past the first zero crossing, interpolated, in [0, 1].
+
+    Lags go up to half a frame, as longer ones rest on few samples.
+    """
     size = size or round(rate * 0.03)
     overlap = round(rate * 0.02) if overlap is None else overlap
-    f = frames(np.asarray(x, float), size, overlap) * window_function("hamming", size)
+    f = frames(np.asarray(x, float), size, overlap)
     if not len(f):
         return np.empty(0)
     r = _correlogram(f)
     head, tail = np.cumsum(f**2, 1)[:, ::-1], np.cumsum(f[:, ::-1] ** 2, 1)[:, ::-1]  # of what overlaps at each lag
     g = r / np.sqrt(np.maximum(head * tail, np.finfo(float).tiny))
-    top = min(int(rate * 0.04), size - 2)
+    top = min(int(rate * 0.04), size // 2)
     out = np.zeros(len(g))
     for i, row in enumerate(g):
         zero = np.flatnonzero(row[1:top] <= 0)
