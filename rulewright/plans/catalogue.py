@@ -16,6 +16,7 @@ from ..functions import arrays, catch22, signal, treatments, windows
 from ..functions.windows import Windowing
 from ..operators import boosting, conditions, evaluation, models, relational, rules, selection
 from ..operators.conditions import ObliqueCondition, RangeCondition, ScalarCondition, conjunction, parse_condition, parse_formula
+from ..operators.modal import ModalCondition
 from ..operators.models import Branch, DecisionList, Ensemble, Leaf, Rule, Tree
 from ..sources import tables
 from ..streaming import series
@@ -471,6 +472,16 @@ def modal_conditions(spark, sf_dir):
     return df.select("vec_id", F.size("worlds").alias("n"), windows.exists_interval(F.col("e"), F.col("worlds"), "maximum", ">=", 0.9).alias("diamond"), windows.all_intervals_hold(F.col("e"), F.col("worlds"), "maximum", ">=", 0.0).alias("box"))
 
 
+@query(
+    f"SELECT vec_id, CASE WHEN bool_or(mean >= 0.4) THEN CASE WHEN bool_and(low >= -1.5) THEN 'high' ELSE 'mixed' END ELSE 'low' END AS prediction FROM (SELECT vec_id, list_sum(e[x : x + 3]) / 4 AS mean, list_min(e[x : x + 3]) AS low FROM ({_E}), (SELECT unnest(range(1, 62)) AS x)) GROUP BY 1"
+)
+def modal_tree_apply(spark, sf_dir):
+    """A tree whose conditions quantify over the intervals of four values."""
+    some, every = ModalCondition("e", "mean", ">=", 0.4, 4, 4), ModalCondition("e", "minimum", ">=", -1.5, 4, 4, universal=True)
+    tree = Tree(Branch(some, Branch(every, Leaf("high"), Leaf("mixed")), Leaf("low")))
+    return models.apply_model(embeddings(spark, sf_dir), tree).select("vec_id", "prediction")
+
+
 @query(
     f"SELECT vec_id, round(sum(p * k) / sum(p), 6) AS centroid FROM (SELECT vec_id, unnest(e) * unnest(e) AS p, unnest(range(64)) AS k FROM ({_E})) GROUP BY 1"
 )

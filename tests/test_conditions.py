@@ -106,3 +106,16 @@ def test_nan_rows_and_trim(spark, rows):
     s = spark.createDataFrame([(1, "x", [1.0] * 5), (2, "x", [1.0] * 3), (3, "x", [2.0] * 4), (4, "y", [3.0] * 4)], "id int, label string, s array<double>")
     out = c.trim_series(s, "label", "s", "id", 4, 1)
     assert ids(out) == [1, 4] and all(len(r["s"]) == 4 for r in out.collect())
+
+
+def test_modal_conditions(spark):
+    from rulewright.operators.modal import ModalCondition
+
+    df = spark.createDataFrame([(1, [0.0, 5.0, 0.0]), (2, [1.0, 1.0]), (3, [NAN, 9.0]), (4, []), (5, None)], "id int, s array<double>")
+    some = ModalCondition("s", "maximum", ">=", 4.0, 1, 1)
+    assert ids(c.select_rows(df, some)) == [1, 3]
+    assert ids(c.select_rows(df, some.dual)) == [2, 4]  # NaN passes neither test
+    assert str(some) == "⟨G⟩(maximum[s] ≥ 4.0)" and some.dual.dual == some
+    assert ids(c.select_rows(df, ModalCondition("s", "mean", "<", 1.0, 2, 2, relation="B"))) == []
+    with pytest.raises(ValueError):
+        ModalCondition("s", "mean", "<", 1.0, 3, 2)
