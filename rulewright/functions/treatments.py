@@ -113,8 +113,7 @@ def normalise_groups(long: DataFrame, low: float | None = None, high: float | No
     bounds = long.groupBy(*by).agg((F.min(finite) if low is None else F.percentile(finite, low)).alias("_lo"), (F.max(finite) if high is None else F.percentile(finite, high)).alias("_hi"))
     scaled = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bad = scaled.isNull() | F.isnan(scaled) | (F.abs(scaled) == float("inf"))
-    # one row for each window and feature
-    return long.join(F.broadcast(bounds), list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")
+    return long.join(bounds, list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")
 
 
 def standardise(df: DataFrame, columns: list[str], center: bool = True, scale: bool = True) -> DataFrame:

@@ -20,7 +20,11 @@ from .models import Branch, Ensemble, Leaf, Model, Tree, leaves, nodes
 
 @dataclass(frozen=True)
 class BoostOptions:
-    """Hyperparameters with their ranges."""
+    """Hyperparameters with their ranges.
+
+    With ``bins`` thresholds are approximate quantiles, so that the running sums of a feature
+    have that many rows however large the table is; 0 tries every distinct value.
+    """
 
     rounds: int = 10
     eta: float = 0.3
@@ -29,9 +33,10 @@ class BoostOptions:
     min_child_weight: float = 1.0
     objective: str = "reg:squarederror"
     base_score: float | None = None
+    bins: int = 0
 
     def __post_init__(self):
-        for name, ok in (("rounds", self.rounds >= 1), ("eta", 0 < self.eta <= 1), ("depth", self.depth >= 0), ("reg_lambda", self.reg_lambda >= 0), ("min_child_weight", self.min_child_weight >= 0)):
+        for name, ok in (("rounds", self.rounds >= 1), ("eta", 0 < self.eta <= 1), ("depth", self.depth >= 0), ("reg_lambda", self.reg_lambda >= 0), ("bins", self.bins == 0 or self.bins >= 2), ("min_child_weight", self.min_child_weight >= 0)):
             if not ok:
                 raise ValueError(f"{name} is out of range: {getattr(self, name)}")
         if self.objective not in OBJECTIVES:
@@ -69,29 +74,54 @@ def split_gain(gl: Column, hl: Column, g: Column, h: Column, reg_lambda: float)
     return F.lit(0.5) * (gl * gl / (hl + lam) + gr * gr / (hr + lam) - g * g / (h + lam))
 
 
-def best_splits(rows: DataFrame, features: list[str], reg_lambda: float = 1.0, min_child_weight: float = 1.0) -> DataFrame:
+def quantile_cuts(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
+    """Up to bins - 1 distinct thresholds for each feature, from one approximate aggregate."""
+    probs = [k / bins for k in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(F.col(f"`{f}`").cast("double"), probs, 10 * bins).alias(f) for f in features]).first()
+    return {f: sorted(set(row[f] or [])) for f in features}
+
+
+def best_splits(rows: DataFrame, features: list[str], reg_lambda: float = 1.0, min_child_weight: float = 1.0, cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """node, feature, threshold, gain, sums: the best split of each node with a gain above 0.
 
     ``rows`` has node, g, h and the features. Thresholds are midpoints of neighbouring distinct
     values in sorted order; value < threshold goes left; both sides need ``min_child_weight``.
     Of equal gains the first feature in the given order and its smallest threshold win. Rows are
-    summed by value before the running sums, whose windows are one node and feature each.
+    summed by value before the running sums, whose windows are one node and feature each. With
+    ``cuts`` values are first replaced by the number of cuts at or below them.
     """
+    if cuts is not None:
+        return _binned_splits(rows, features, reg_lambda, min_child_weight, cuts)
     unpivoted = rows.select("node", "g", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f}`").cast("double").alias("v")) for i, f in enumerate(features)])).alias("x"))
     unpivoted = unpivoted.where("x.v is not null and not isnan(x.v)")
     sums = unpivoted.groupBy("node", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return _best_of(sums, features, reg_lambda, min_child_weight, (F.col("v") + F.col("after")) / 2)
+
+
+def _binned_splits(rows: DataFrame, features: list[str], reg_lambda: float, min_child_weight: float, cuts: dict[str, list[float]]) -> DataFrame:
+    arrays = {f: F.array(*[F.lit(float(c)) for c in cuts[f]]).cast("array<double>") for f in features}
+    place = lambda f: F.size(F.filter(arrays[f], lambda c: c <= F.col(f"`{f}`").cast("double"))).cast("double")
+    known = lambda f: F.col(f"`{f}`").isNotNull() & ~F.isnan(F.col(f"`{f}`").cast("double"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(known(f), place(f)).alias("v")) for i, f in enumerate(features)])
+    sums = rows.select("node", "g", "h", F.explode(cells).alias("x")).where("x.v is not null").groupBy("node", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    threshold = F.element_at(F.element_at(F.array(*[arrays[f] for f in features]), F.col("i") + 1), F.col("after").cast("int"))
+    return _best_of(sums, features, reg_lambda, min_child_weight, threshold)
+
+
+def _best_of(sums: DataFrame, features: list[str], reg_lambda: float, min_child_weight: float, threshold: Column) -> DataFrame:
+    """The best split of each node from sums by (node, feature number, value)."""
     order = Window.partitionBy("node", "i").orderBy("v")
     whole = Window.partitionBy("node", "i")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     cuts = sums.select("node", "i", "v", F.lead("v").over(order).alias("after"), F.sum("g").over(running).alias("gl"), F.sum("h").over(running).alias("hl"), F.sum("g").over(whole).alias("gt"), F.sum("h").over(whole).alias("ht"))
     cuts = cuts.where(F.col("after").isNotNull() & (F.col("hl") >= min_child_weight) & (F.col("ht") - F.col("hl") >= min_child_weight))
-    cuts = cuts.select("node", "i", ((F.col("v") + F.col("after")) / 2).alias("threshold"), split_gain(F.col("gl"), F.col("hl"), F.col("gt"), F.col("ht"), reg_lambda).alias("gain"), "gl", "hl", "gt", "ht")
+    cuts = cuts.select("node", "i", threshold.alias("threshold"), split_gain(F.col("gl"), F.col("hl"), F.col("gt"), F.col("ht"), reg_lambda).alias("gain"), "gl", "hl", "gt", "ht")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "i", "threshold"))
     best = cuts.where("gain > 0").withColumn("_r", rank).where("_r = 1")
     return best.select("node", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("i") + 1).alias("feature"), "threshold", "gain", "gl", "hl", "gt", "ht")
 
 
-def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions) -> Tree:
+def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions, cuts: dict[str, list[float]] | None = None) -> Tree:
     """A tree over (g, h, features), one job for each level."""
     split: dict[str, object] = {}
     total = rows.agg(F.sum("g"), F.sum("h")).first()
@@ -101,7 +131,7 @@ def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions) -> Tr
         if not open_nodes:
             break
         node = functools.reduce(lambda acc, p: F.when(_on_path(p, split), F.lit(p)).otherwise(acc), reversed(open_nodes), F.lit(None).cast("string"))
-        found = best_splits(rows.withColumn("node", node).where("node is not null"), features, options.reg_lambda, options.min_child_weight).collect()
+        found = best_splits(rows.withColumn("node", node).where("node is not null"), features, options.reg_lambda, options.min_child_weight, cuts).collect()
         open_nodes = []
         for r in sorted(found, key=lambda r: r["node"]):
             p = r["node"]
@@ -145,11 +175,12 @@ def boost_regression(df: DataFrame, features: list[str], target: str, options: B
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).where("_y is not null").persist()
     try:
         base = float(rows.agg(F.avg("_y")).first()[0] or 0.0) if o.base_score is None else base_score(rows, "_y", o.base_score)
+        cuts = quantile_cuts(rows, features, o.bins) if o.bins else None
         trees: tuple[Tree, ...] = ()
         for _ in range(o.rounds):
             now = rows.withColumn("_p", Boosted(base, o.eta, trees).column())
             g, h = gradient("_p", "_y")
-            trees += (grow_tree(now.withColumn("g", g).withColumn("h", h), features, o),)
+            trees += (grow_tree(now.withColumn("g", g).withColumn("h", h), features, o, cuts),)
         return Boosted(base, o.eta, trees)
     finally:
         rows.unpersist()

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .models import Ensemble, Leaf, Model, RawNode, Tree, apply_model, convert, convert_ensemble
 
-RANK_RANGES = 256
+#: Hash ranges that ranks are taken in (a power of two), and quantile ranges of a key.
+RANK_RANGES = 1 << 14
+KEY_RANGES = 1 << 10
 EPS = 2.22e-16
 
 
@@ -44,13 +46,18 @@ def ranked(df: DataFrame, order: Column, row_id: str, groups: list[str] | None =
     return joined.withColumn("rank", F.col("_own") + F.col("_before")).drop("_o", "_r", "_own", "_before")
 
 
-def ranked_by_key(df: DataFrame, key: str, row_id: str, ranges: int = RANK_RANGES) -> DataFrame:
+def ranked_by_key(df: DataFrame, key: str, row_id: str, ranges: int = KEY_RANGES) -> DataFrame:
     """Rank by a numeric or time key instead of a hash: ranges are cut at approximate quantiles."""
-    cuts = df.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001) if dict(df.dtypes)[key] in ("double", "bigint", "int", "float") else []
-    place = F.lit(0)
-    for c in sorted(set(cuts)):
-        place = place + (F.col(key) >= c).cast("int")
-    out = df.withColumn("_r", place)
+    kind = dict(df.dtypes)[key]
+    number = F.unix_micros(F.col(key).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(key) if kind == "date" else F.col(key)
+    keyed = df.withColumn("_k", number.cast("double"))
+    cuts = sorted(set(keyed.stat.approxQuantile("_k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    if cuts:
+        from pyspark.ml.feature import Bucketizer
+
+        out = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_k", outputCol="_r", handleInvalid="keep").transform(keyed).drop("_k")
+    else:
+        out = keyed.withColumn("_r", F.lit(0.0)).drop("_k")
     counts = out.groupBy("_r").agg(F.count("*").alias("_n"))
     every = Window.partitionBy(F.lit(0))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(every.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("_n").over(every)).drop("_n")

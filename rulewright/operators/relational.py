@@ -14,14 +14,15 @@ def class_dictionary(df: DataFrame, label: str, base: int = 1) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, label: str, name: str = "code", base: int = 1) -> DataFrame:
-    """``df`` with the code of its label; null for null. The dictionary has one row for each class."""
+    """``df`` with the code of its label; null for null. The dictionary has one row for each class,
+    and is broadcast by Spark where that is few."""
     codes = class_dictionary(df, label, base).select(F.col("label").alias("_l"), F.col("code").alias(name))
-    return df.join(F.broadcast(codes), F.col(label) == F.col("_l"), "left").drop("_l")
+    return df.join(codes, F.col(label) == F.col("_l"), "left").drop("_l")
 
 
 def decode_labels(df: DataFrame, code: str, dictionary: DataFrame, name: str = "label") -> DataFrame:
     words = dictionary.select(F.col("code").alias("_c"), F.col("label").alias(name))
-    return df.join(F.broadcast(words), F.col(code) == F.col("_c"), "left").drop("_c")
+    return df.join(words, F.col(code) == F.col("_c"), "left").drop("_c")
 
 
 def select_by_index(df: DataFrame, places: list[int]) -> DataFrame:

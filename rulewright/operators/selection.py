@@ -34,8 +34,9 @@ def variance_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 def discrete_information(df: DataFrame, x: str, y: str) -> DataFrame:
     """mi, hx, hy, hxy in nats of two discrete columns; rows with a null in either are left out."""
     joint = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row for each pair of values
-    joint = joint.withColumn("p", p).withColumn("px", F.sum("p").over(Window.partitionBy("x"))).withColumn("py", F.sum("p").over(Window.partitionBy("y")))
+    total = joint.agg(F.sum("n").alias("total"))
+    joint = joint.crossJoin(F.broadcast(total)).withColumn("p", F.col("n") / F.col("total"))  # one row
+    joint = joint.withColumn("px", F.sum("p").over(Window.partitionBy("x"))).withColumn("py", F.sum("p").over(Window.partitionBy("y")))
     h = lambda q: -F.sum(F.col("p") * F.ln(q))
     return joint.agg(F.greatest(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("px") * F.col("py")))), F.lit(0.0)).alias("mi"), h("px").alias("hx"), h("py").alias("hy"), h("p").alias("hxy"))
 

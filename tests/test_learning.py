@@ -66,7 +66,17 @@ def test_linear_data(spark):
     assert math.isclose(gain(first.feature, first.threshold), best, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("bad", [{"rounds": 0}, {"eta": 0}, {"depth": -1}, {"reg_lambda": -1}, {"objective": "x"}])
+def test_binned_thresholds(spark):
+    df = tables.sample_linear(spark, 500).persist()
+    names = [f"x{i}" for i in range(1, 6)]
+    errors = []
+    for bins in (0, 32):
+        m = boosting.boost_regression(df, names, "y", BoostOptions(rounds=2, depth=2, eta=0.5, bins=bins))
+        errors.append(df.agg(F.avg(F.pow(F.col("y") - m.column(), F.lit(2)))).first()[0])
+    assert errors[1] < 1.1 * errors[0]
+
+
+@pytest.mark.parametrize("bad", [{"rounds": 0}, {"eta": 0}, {"depth": -1}, {"reg_lambda": -1}, {"bins": 1}, {"objective": "x"}])
 def test_boost_options(bad):
     with pytest.raises(ValueError):
         BoostOptions(**bad)
@@ -106,6 +116,10 @@ def test_holdout_and_time(iris):
     t = evaluation.time_folds(iris, "row_id", "row_id", 4).toPandas()
     for _, f in t.groupby("fold"):
         assert f[f.role == "train"].row_id.max() < f[f.role == "test"].row_id.min()
+    stamped = iris.withColumn("at", F.timestamp_seconds(F.col("row_id") * -3600))
+    stamps = evaluation.time_folds(stamped, "row_id", "at", 2).toPandas()
+    for _, f in stamps.groupby("fold"):
+        assert f[f.role == "train"].row_id.min() > f[f.role == "test"].row_id.max()
     with pytest.raises(ValueError):
         evaluation.holdout(iris, "row_id", 1.5)
 
