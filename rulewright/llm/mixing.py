@@ -10,8 +10,8 @@ so one period is worked out by an expression over a one-row table, and any block
     slot(s, j) = (j div a_s) * Q + offset(s, j mod a_s).
 
 Blocks are runs of ``block_rows`` rows of a source in hash order. Rows are numbered within
-(source, bucket) with offsets from the buckets' counts, so a source with a third of all rows
-is numbered by many tasks. A source that has run out leaves its slots empty; the others keep
+(source, bucket) with offsets from the buckets' counts, and a source has buckets in proportion
+to its rows, so one with a third of all rows is numbered by many tasks of the same size. A source that has run out leaves its slots empty; the others keep
 their places and thus their proportions to each other.
 """
 
@@ -24,7 +24,7 @@ from . import common
 
 BLOCK_ROWS = 16
 #: Rows that are numbered together, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_500
 #: The default target is proportional to a source's rows to this power.
 TEMPERATURE = 0.7
 #: Slots of a period for up to PERIOD / 8 sources; the period is doubled for more.
@@ -96,7 +96,7 @@ def mix(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
     sizes = common.staged(source_sizes(rows), "sources")
-    n_sources, most = sizes.agg(F.count("*"), F.max("n")).first()
+    n_sources = sizes.count()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be mixed")
     period = PERIOD
@@ -105,19 +105,19 @@ def mix(
     parts = common.staged(_parts(sizes, weights, temperature, period), "parts")
     table = _period_table(parts, period)
 
-    buckets = max(1, -(-int(most or 0) // bucket_rows))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+    # at most MOST_SOURCES rows of parts and 8 * MOST_SOURCES slots
+    known = parts.select(F.col("source").alias("ps"), F.col("parts").alias("pp"), F.ceil(F.col("n") / bucket_rows).alias("buckets"))
+    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("ps")))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod("h", "buckets").cast("long"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("c"))
     before = F.sum("c").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
-    # one row for each source and bucket, a bucket_rows-th of the rows: joined by a shuffle if many
+    # one row for each source and bucket: joined by a shuffle if many
     rows = rows.withColumn("own", own).join(common.small_or_shuffled(counts), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     rows = rows.withColumn("row_no", F.col("own") + F.col("start")).withColumn("block_no", F.floor(F.col("row_no") / block_rows))
-    sums = parts.select(F.col("source").alias("ps"), F.col("parts").alias("pp"), F.col("w").alias("weight"))
-    rows = rows.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("ps"))).withColumn("kk", F.pmod(F.col("block_no"), F.col("pp")))
+    rows = rows.withColumn("kk", F.pmod("block_no", "pp"))
     table = table.select(F.col("source").alias("ts"), "k", "offset")
-    # at most MOST_SOURCES rows of parts and 8 * MOST_SOURCES slots
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("ts")) & (F.col("kk") == F.col("k")))
     q, a, j = F.lit(period).cast("long"), F.col("pp"), F.col("block_no")
     slot = (j - F.col("kk")) / a * q + F.col("offset")
