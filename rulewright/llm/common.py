@@ -121,6 +121,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are Python values at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     """A column of an Arrow batch as Python values."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -102,7 +102,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 def _signature_batches(batches: Iterator[pa.RecordBatch], perms: int, rows: int, words: int):
     """doc_id, n_shingles, node, bands; bands only at a set's first row in this task."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in common.sliced(batches):
         ids = common.column(batch, "doc_id")
         texts = common.column(batch, "text")
         sizes, nodes, bands = [0] * len(ids), [None] * len(ids), [None] * len(ids)
@@ -136,7 +136,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], perms: int, rows: int,
 
 def _set_batches(batches: Iterator[pa.RecordBatch], words: int):
     """node, shingles of the texts whose set is the one that is looked for."""
-    for batch in batches:
+    for batch in common.sliced(batches):
         wanted = common.column(batch, "node")
         nodes, sets, held = [], [], 0
         for i, s in shingle_sets(common.column(batch, "text"), words):
