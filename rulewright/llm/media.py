@@ -38,6 +38,7 @@ SAMPLE_RATE = 16_000
 RANGE_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 3
+LISTING = "_archives"
 
 _HEAD = "<4sBqQQI"
 _TAIL = "<QQ4s"
@@ -96,10 +97,10 @@ def _writer(directory: str):
         from pyspark import TaskContext
 
         store, base = _open(directory)
-        name = f"{base}/part-{TaskContext.get().partitionId():06d}.rwa"
-        draft = f"{base}/.{uuid.uuid4().hex}"
+        # a name for each attempt: what an attempt that Spark does not count has left is not listed
+        name = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.rwa"
         pack, at, marks, n = zstandard.ZstdCompressor(level=3), 0, [], 0
-        with store.open_output_stream(draft) as out:
+        with store.open_output_stream(name) as out:
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     size, samples = payload(text)
@@ -110,22 +111,21 @@ def _writer(directory: str):
                     at += struct.calcsize(_HEAD) + len(stored)
                     n += 1
             out.write(struct.pack(f"<{len(marks)}Q", *marks) + struct.pack(_TAIL, len(marks), at, b"RWIX"))
-        if not n:
-            store.delete_file(draft)
-            return
-        if store.get_file_info(name).type != fs.FileType.NotFound:
-            store.delete_file(name)  # an earlier attempt at this partition, with the same members
-        store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["archive", "members", "bytes"])
 
     return run
 
 
 def write_archives(docs: DataFrame, directory: str) -> tuple[int, int]:
-    """Writes (doc_id, text) rows as archives, one for each partition; (members, bytes)."""
+    """Writes (doc_id, text) rows as archives, one for each partition; (members, bytes).
+
+    The archives of the attempts that counted are named in a listing, which readers go by.
+    """
     store, base = _open(directory)
     store.create_dir(base, recursive=True)
-    made = docs.mapInArrow(_writer(directory), "archive string, members long, bytes long").collect()
+    made = docs.mapInArrow(_writer(directory), "archive string, members long, bytes long").collect()  # a row for each partition
+    with store.open_output_stream(f"{base}/{LISTING}") as out:
+        out.write("\n".join(sorted(r["archive"] for r in made if r["members"])).encode())
     return sum(r["members"] for r in made), sum(r["bytes"] for r in made)
 
 
@@ -155,7 +155,12 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         store, base = _open(self.directory)
         out = []
-        for info in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda i: i.path):
+        if store.get_file_info(f"{base}/{LISTING}").type == fs.FileType.File:
+            with store.open_input_file(f"{base}/{LISTING}") as f:
+                found = store.get_file_info(f.read().decode().splitlines())
+        else:
+            found = sorted(store.get_file_info(fs.FileSelector(base)), key=lambda i: i.path)
+        for info in found:
             if info.path.endswith(".rwa"):
                 with store.open_input_file(info.path) as f:
                     f.seek(info.size - struct.calcsize(_TAIL))
