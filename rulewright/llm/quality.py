@@ -105,16 +105,18 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cell
     if not len(rows):
         return OrdinalModel(weights, np.arange(n_grades - 1, dtype=np.float64))
     sizes = np.array([len(r) for r in rows])
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    column, row = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     share = np.maximum(np.bincount(grades, minlength=n_grades), 1) / len(rows)
     seen = np.bincount(column, minlength=cells)
     chi2 = np.zeros(cells)
     for g in range(n_grades):
         expected = seen * share[g]
-        chi2 += (np.bincount(column, grades[row] == g, minlength=cells) - expected) ** 2 / np.maximum(expected, 1e-9)
+        chi2 += (np.bincount(column[(grades == g)[row]], minlength=cells) - expected) ** 2 / np.maximum(expected, 1e-9)
     used = (seen >= min(least, max(1, len(rows) // 20))) & (chi2 >= min(LEAST_CHI2, len(rows) / 20))
     used[:256] = True
-    column, row = column[used[column]], row[used[column]]
+    keep = used[column]
+    column, row = column[keep], row[keep]
+    del keep, seen, chi2
     names, column = np.unique(column, return_inverse=True)
     scale = np.where(names < 256, SHAPE_SCALE, 1.0)
     n, k = len(rows), n_grades - 1
@@ -146,8 +148,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cell
 
 def _featured(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        cells = [c for _, c in text_features(common.column(batch, "text"))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cells, pa.list_(pa.int64()))], names=["grade", "cells"])
+        cells = [c.astype(np.int32) for _, c in text_features(common.column(batch, "text"))]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["grade", "cells"])
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -166,10 +168,13 @@ def learn(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     drawn = grades.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(n, 1))) + 1)
     # at most fit_rows rows and a few in a thousand more: bounded by the parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
-    found = rows.mapInArrow(_featured, "grade int, cells array<long>").toArrow()
-    cells = found.column("cells").combine_chunks()
-    values, at = np.asarray(cells.flatten()), np.asarray(cells.offsets)
-    return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], np.asarray(found.column("grade")).astype(np.int64))
+    found = rows.mapInArrow(_featured, "grade int, cells array<int>").toArrow()
+    grades = np.asarray(found.column("grade")).astype(np.int64)
+    parts = []
+    for chunk in found.column("cells").chunks:
+        values, at = np.asarray(chunk.values), np.asarray(chunk.offsets)
+        parts += [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return fit(parts, grades)
 
 
 def _scorer(shared):
