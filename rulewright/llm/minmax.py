@@ -209,10 +209,10 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     """(node, comp) of every node of ``links`` (a, b); comp is the component's smallest node.
 
     Alternates large-star and small-star contractions, each a grouped minimum and a join,
-    until the edges no longer change; every round is staged.
+    until the edges are stars: no node has two centres, and no centre has one. Every round is
+    staged. As an edge always points to a smaller node, a star's centre is its smallest node.
     """
     edges = staged(links.select("a", "b").where("a <> b").distinct(), name)
-    before = None
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -223,12 +223,13 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("a").alias("x")))).alias("p"), "low")
         small = small.select(F.col("p.x").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         after = staged(small, name)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        roles = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"))))
+        nodes = after.select(roles.alias("r")).groupBy("r.x").agg(F.sum("r.out").alias("out"), F.max("r.into").alias("into"))
+        unfinished = nodes.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)"))).first()[0]
         discard(edges, large)
         edges = after
-        if state == before or not state[0]:
+        if not unfinished:
             break
-        before = state
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return out.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
