@@ -1,17 +1,23 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model counts the texts of a target set, the background model all others. Both
-have the same vocabulary (hashed words), the same order and the same smoothing, so their
-losses on a token differ only through their counts:
+have the same vocabulary (the words of the whole corpus), the same order and the same
+smoothing, so their losses on a token differ only through their counts:
 
     p(w | u) = b * (c(u w) + p1(w)) / (c(u) + 1) + (1 - b) * p1(w),   p1(w) = (c(w) + a) / (N + a V)
 
-with c over hashed cells. A document's score is the mean over its tokens of the target loss
-less the background loss; below zero means closer to the target.
+A document's score is the mean over its tokens of the target loss less the background loss;
+below zero means closer to the target.
 
-Counting covers every token of every text. A partition adds into dense arrays of fixed size
-and sends them on in blocks of cells, so what is shuffled grows with the partitions and what
-is broadcast does not grow at all (``UNI + BI`` cells of two counts).
+Counting covers every token of every text, and every word and bigram has counts of its own.
+Rows are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash of the row. A block
+sends its distinct words and bigrams with their counts, sorted and packed, to parts of the range
+of keys; a part adds up what all blocks sent and answers each with the totals of its own keys in
+the same order, which is all that a block needs to score its texts. So what is gathered grows
+with the corpus, and no task and no broadcast holds a model.
+
+Words and bigrams are told apart by 64-bit hashes: two different ones among n are confused with
+a probability of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -26,132 +32,162 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64, SpanHashes, chunks, lowered_ascii, mixed
 
+#: The vocabulary counts as at least so many words where ``score`` is not told otherwise.
 UNI = 1 << 17
-BI = 1 << 20
-BLOCK = 1 << 14
+#: Characters of text in a block, about.
+BLOCK_CHARS = 1 << 23
+#: Stands before the first word of a text.
+START = 0
 SMOOTH = 0.1
 BIGRAM = 0.7
 
 
 def cell_texts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index, word cells, bigram cells) of every text; a text's first word follows a start mark."""
+    """(index, word hashes, bigram hashes) of every text; a text's first word follows a start mark."""
     raw = [b" ".join(lowered_ascii(t).split()) if t else b"" for t in texts]
     for lo, hi in chunks(raw):
         joined = np.frombuffer(b" ".join(raw[lo:hi]) + b" ", np.uint8)
         blank = joined == 32
         before = np.concatenate(([True], blank[:-1]))
-        words = SpanHashes(joined)(np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)) % U64(UNI)
+        words = SpanHashes(joined)(np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before))
         at = 0
         for k in range(lo, hi):
             n = raw[k].count(b" ") + 1 if raw[k] else 0
             own = words[at : at + n]
             at += n
-            last = np.concatenate((np.full(min(n, 1), UNI, U64), own[:-1]))
-            yield k, own.astype(np.int64), (mixed(last * U64(UNI + 1) + own) % U64(BI)).astype(np.int64)
-
-
-def _counter():
-    def run(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros((2, UNI + BI), np.int64)
-        starts = np.zeros(2, np.int64)
-        for batch in batches:
-            target = np.asarray(batch.column(1).fill_null(False).to_pylist(), bool)
-            for i, uni, bi in cell_texts(common.column(batch, "text")):
-                side = 0 if target[i] else 1
-                np.add.at(counts[side], uni, 1)
-                np.add.at(counts[side], bi + UNI, 1)
-                starts[side] += len(uni) > 0
-        rows = [(b, counts[:, b * BLOCK : (b + 1) * BLOCK]) for b in range(-(-(UNI + BI) // BLOCK))]
-        for b, part in rows:
-            if part.any():
-                yield _block(b, part)
-        if starts.any():
-            yield _block(-1, starts.reshape(2, 1))
+            last = np.concatenate((np.full(min(n, 1), START, U64), own[:-1]))
+            yield k, own.view(np.int64), mixed(mixed(last + U64(1)) + own).view(np.int64)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, so that bytes that are mostly zero cost next to nothing."""
+    planes = np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(U64)
 
-    return run
 
+def _tokens(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of every row of a table, and the words and bigrams of all one after another."""
+    sizes, words, pairs = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in common.sliced(iter(texts.select(["text"]).to_batches())):
+        for _, own, pair in cell_texts(common.column(batch, "text")):
+            sizes.append(len(own))
+            words.append(own)
+            pairs.append(pair)
+    return np.array(sizes, np.int64), np.concatenate(words).view(U64), np.concatenate(pairs).view(U64)
 
-def _block(b: int, part: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([b], pa.int32()), pa.array([np.ascontiguousarray(part[0]).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(part[1]).tobytes()], pa.binary())],
-        names=["block", "target", "background"],
-    )
 
+def _sums(keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of every key among them, and both sums by key."""
+    found, code = np.unique(keys, return_inverse=True)
+    # sums in doubles are exact below 2**53
+    return found, code, *(np.bincount(code, x, len(found)).astype(np.int64) for x in (target, background))
 
-def _summed(batches: Iterator[pa.RecordBatch]):
-    held: dict[int, np.ndarray] = {}
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]):
+    """word, target, background; the row without word counts the texts that have one."""
     for batch in batches:
-        for b, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            part = np.stack((np.frombuffer(t, np.int64), np.frombuffer(g, np.int64)))
-            held[b] = held[b] + part if b in held else part
-    for b, part in held.items():
-        yield _block(b, part)
-
-
-class PairedModel:
-    """Counts of both models over the shared cells."""
-
-    def __init__(self, counts: np.ndarray, starts: np.ndarray):
-        self.uni, self.bi, self.starts = counts[:, :UNI], counts[:, UNI:], starts
-        self.total = self.uni.sum(axis=1)
-
-    def losses(self, uni: np.ndarray, bi: np.ndarray) -> tuple[float, float]:
-        """Mean negative log2 probability of a text's tokens under target and background."""
-        out = []
-        for side in (0, 1):
-            p1 = (self.uni[side][uni] + SMOOTH) / (self.total[side] + SMOOTH * UNI)
-            context = np.concatenate(([self.starts[side]], self.uni[side][uni[:-1]]))
-            p = BIGRAM * (self.bi[side][bi] + p1) / (np.maximum(context, self.bi[side][bi]) + 1) + (1 - BIGRAM) * p1
-            out.append(float(-np.log2(p).mean()))
-        return out[0], out[1]
-
-
-def count_models(rows: DataFrame, spread: int) -> PairedModel:
-    """Sums the counts of (text, is_target) rows; the result's size is fixed."""
-    parts = rows.select("text", "is_target").mapInArrow(_counter(), "block int, target binary, background binary")
-    found = parts.repartition(spread, "block").mapInArrow(_summed, "block int, target binary, background binary").toArrow().to_pylist()
-    counts, starts = np.zeros((2, UNI + BI), np.int64), np.zeros(2, np.int64)
-    for r in found:
-        part = np.stack((np.frombuffer(r["target"], np.int64), np.frombuffer(r["background"], np.int64)))
-        if r["block"] < 0:
-            starts = part[:, 0]
-        else:
-            counts[:, r["block"] * BLOCK : r["block"] * BLOCK + part.shape[1]] = part
-    return PairedModel(counts.astype(np.int64), starts)
-
-
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]):
-        model = shared.value
-        for batch in batches:
-            sizes, target, background = [], [], []
-            for _, uni, bi in cell_texts(common.column(batch, "text")):
-                a, b = model.losses(uni, bi) if len(uni) else (None, None)
-                sizes.append(len(uni))
-                target.append(a)
-                background.append(b)
-            diff = [None if a is None else a - b for a, b in zip(target, background, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64()), pa.array(diff, pa.float64())],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
+        sizes, words, _ = _tokens(pa.Table.from_batches([batch]))
+        target = np.asarray(batch.column(batch.schema.get_field_index("is_target")), bool)
+        of_target = np.repeat(target, sizes)
+        found, _, t, b = _sums(words, of_target, ~of_target)
+        starts = [int(((sizes > 0) & side).sum()) for side in (target, ~target)]
+        yield pa.RecordBatch.from_arrays([pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array([*t.tolist(), starts[0]]), pa.array([*b.tolist(), starts[1]])], names=["word", "target", "background"])
+
+
+def _asked(parts: int):
+    """kind, part, block, keys, target, background: the counts of a block, packed by parts of the key range."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sizes, words, pairs = _tokens(table)
+        of_target = np.repeat(np.asarray(table.column("is_target"), bool), sizes)
+        rows = []
+        for kind, values in enumerate((words, pairs)):
+            found, _, *sides = _sums(values, of_target, ~of_target)
+            part = ((found >> U64(32)) * U64(parts)) >> U64(32)
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
+            for lo, hi in zip(first, [*first[1:], len(part)], strict=True):
+                keys = np.concatenate((found[lo : lo + 1], np.diff(found[lo:hi])))
+                rows.append((kind, int(part[lo]), key[0].as_py(), _packed(keys), *(_packed(x[lo:hi]) for x in sides)))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The totals over all blocks, for each block in the order of its keys."""
+    keys, *sides = ([_unpacked(x) for x in table.column(c).to_pylist()] for c in ("keys", "target", "background"))
+    _, code, *totals = _sums(np.concatenate([np.cumsum(k, dtype=U64) for k in keys]), *(np.concatenate(x) for x in sides))
+    ends = np.cumsum([len(k) for k in keys])
+    packed = [[_packed(x[code[hi - len(k) : hi]]) for k, hi in zip(keys, ends, strict=True)] for x in totals]
+    return pa.table([table.column("kind"), table.column("part"), table.column("block"), *(pa.array(x, pa.binary()) for x in packed)], schema=_ANSWERED)
+
+
+_ASKED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
+_ANSWERED = _ASKED.remove(3)
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "difference"))])
+
+
+def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """The rows of a block by the counts of its words and bigrams."""
+        sizes, words, pairs = _tokens(docs)
+        (_, word), (_, pair) = (np.unique(x, return_inverse=True) for x in (words, pairs))
+        has = sizes > 0
+        first = (np.cumsum(sizes) - sizes)[has]
+        order = sorted(range(answers.num_rows), key=answers.column("part").to_pylist().__getitem__)
+        kinds = answers.column("kind").to_pylist()
+        losses = []
+        for side, name in enumerate(("target", "background")):
+            packed = answers.column(name).to_pylist()
+            uni, bi = (np.concatenate([np.empty(0, U64), *(_unpacked(packed[i]) for i in order if kinds[i] == kind)]).astype(np.float64) for kind in (0, 1))
+            own = uni[word]
+            p1 = (own + SMOOTH) / (totals[side] + SMOOTH * vocabulary)
+            context = np.concatenate((own[:0], [0.0], own[:-1]))[: len(own)]
+            context[first] = starts[side]
+            loss = -np.log2(BIGRAM * (bi[pair] + p1) / (context + 1) + (1 - BIGRAM) * p1)
+            mean = np.zeros(len(sizes))
+            if len(first):
+                mean[has] = np.add.reduceat(loss, first) / sizes[has]
+            losses.append(mean)
+        values = [pa.array(x, pa.float64(), mask=~has) for x in (*losses, losses[0] - losses[1])]
+        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(sizes), *values], schema=_SCORES)
 
     return run
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_vocabulary: int = UNI) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference: one row for each row of ``docs``.
 
     ``targets`` holds the ids (doc_id) of the target set; null and repeated ids in it do not
     matter, and without any the target model is smoothing alone. Words are
-    ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A null or empty text has no token and null
-    losses. Null ids count for the background and are scored. An empty table gives an empty
-    result; other columns are not read.
+    ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. V is the number of distinct words of ``docs``, or
+    ``least_vocabulary`` if that is more. A null or empty text has no token and null losses. Null
+    ids count for the background and are scored. An empty table gives an empty result; other
+    columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = targets.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = chars // BLOCK_CHARS + 1
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     marked = docs.join(common.small_or_shuffled(ids), F.col("doc_id") == F.col("target_id"), "left")
-    model = count_models(marked.select("text", F.col("target_id").isNotNull().alias("is_target")), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    marked = marked.select("block", "doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    words = marked.select("text", "is_target").mapInArrow(_vocabulary, "word long, target long, background long").groupBy("word").agg(*sums)
+    whole = {r["is_word"]: r for r in words.groupBy(F.col("word").isNotNull().alias("is_word")).agg(F.count("*").alias("v"), *sums).collect()}
+    totals, starts = ((whole[k]["target"], whole[k]["background"]) if k in whole else (0, 0) for k in (True, False))
+    vocabulary = max(whole[True]["v"] if True in whole else 0, least_vocabulary)
+
+    asked = marked.groupBy("block").applyInArrow(_asked(parts), "kind int, part long, block long, keys binary, target binary, background binary")
+    answers = asked.groupBy("kind", "part").applyInArrow(_answered, "kind int, part long, block long, target binary, background binary")
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+    scored = marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(totals, starts, vocabulary), schema)
+    # one job, in which the blocks' exchange is made once; what is written is a few numbers a row
+    return common.staged(scored, "scores")

@@ -70,7 +70,7 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored for likeness to the ones labelled good and not toxic."""
     clean = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return crossentropy.score(_table(spark, sf_dir, "documents"), clean)
+    return crossentropy.score(_table(spark, sf_dir, "documents"), clean, least_vocabulary=0)
 
 
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

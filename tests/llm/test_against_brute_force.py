@@ -307,6 +307,34 @@ def test_targets_score_lower(docs):
     assert by["fr"] < 0 < min(v for k, v in by.items() if k != "fr")
 
 
+def test_every_word_and_bigram_has_counts_of_its_own(spark):
+    """More distinct words than 2**17, against counts of the words themselves."""
+    rng = random.Random(5)
+    texts = {i: " ".join(f"{'ab'[i % 2]}{rng.randrange(10**6)}" for _ in range(500)) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in crossentropy.score(df, df.where("doc_id % 2 = 0").select("doc_id"), least_vocabulary=0).collect()}
+    uni, bi, starts, words = (Counter(), Counter()), (Counter(), Counter()), [0, 0], set()
+    for i, t in texts.items():
+        w = t.split()
+        uni[i % 2].update(w)
+        bi[i % 2].update(zip(w, w[1:]))
+        starts[i % 2] += 1
+        bi[i % 2][None, w[0]] += 1
+        words |= set(w)
+    assert len(words) > 1 << 17
+    for i in range(40):
+        w = texts[i].split()
+        losses = []
+        for side in (0, 1):
+            logs = []
+            for u, x in zip([None, *w], w):
+                p1 = (uni[side][x] + crossentropy.SMOOTH) / (200 * 500 + crossentropy.SMOOTH * len(words))
+                context = uni[side][u] if u else starts[side]
+                logs.append(-np.log2(crossentropy.BIGRAM * (bi[side][u, x] + p1) / (context + 1) + (1 - crossentropy.BIGRAM) * p1))
+            losses.append(np.mean(logs))
+        assert np.isclose(got[i]["target_loss"], losses[0]) and np.isclose(got[i]["background_loss"], losses[1])
+
+
 # -- 9 ------------------------------------------------------------------------------------
 
 
