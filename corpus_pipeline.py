@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from rulewright.llm import common, exact, minmax, mixing, pieces, quality
 from rulewright.llm.queries import MODEL_PATH
 
+#: Near copies are linked at a similarity of 0.8. The 85 of the operator is what its query is held to.
+NEAR_THRESHOLD = (80, 100)
+#: 50 bands of 6: a pair at 0.8 shares no bucket with a probability of (1 - 0.8**6)**50 = 3e-7.
+NEAR_PERMS = 150
+
 
 def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id (doc_id) is not kept; rows without id stay."""
@@ -39,7 +44,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return without(docs, minmax.near_duplicates(docs))
+    return without(docs, minmax.near_duplicates(docs, threshold=NEAR_THRESHOLD, perms=NEAR_PERMS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

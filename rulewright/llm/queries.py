@@ -74,7 +74,7 @@ def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

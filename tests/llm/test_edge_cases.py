@@ -113,3 +113,10 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
     assert corpus_pipeline.mixing_stage(spark, plain, folder).count() == len(ROWS)
     assert corpus_pipeline.quality_stage(spark, plain, folder).columns == plain.columns
     assert corpus_pipeline.run(spark, folder).count() >= 0
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_080(spark, tmp_path):
+    """20 pairs with 100 shingles each, 90 of them shared: a similarity of 90 / 110."""
+    rows = [(2 * p + c, " ".join(f"w{p}x{i if i < 94 or not c else -i}" for i in range(104))) for p in range(20) for c in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()) == list(range(0, 40, 2))
