@@ -211,10 +211,11 @@ class Encoder:
                 continue
             base = ends[a] - counts[a]
             total = float(score[a:b].sum())
-            scores, edits = self._combine(symbols, starts, sizes, doubt, counts, ends - counts - base, a, b, total)
-            yield lo + k, ids[base : ends[b - 1]], scores, edits
+            own = ids[base : ends[b - 1]]
+            scores, edits = self._combine(symbols, starts, sizes, doubt, counts, ends - counts - base, a, b, total, own)
+            yield lo + k, own, scores, edits
 
-    def _combine(self, symbols, starts, sizes, doubt, counts, places, a, b, total):
+    def _combine(self, symbols, starts, sizes, doubt, counts, places, a, b, total, ids):
         """The N best of a text from the N - 1 segments with the smallest gaps."""
         ranked: list[tuple[float, list]] = [(0.0, [])]
         own = doubt[a:b]
@@ -227,7 +228,9 @@ class Encoder:
                 cand = np.concatenate((cand, np.flatnonzero(own == worst)[: few - len(cand)]))
             for s in cand[np.lexsort((cand, own[cand]))] + a:
                 choices = self.search(symbols[starts[s] : starts[s] + sizes[s]].tobytes())
-                top = choices[0][0]
+                top, own_ids = choices[0][0], ids[places[s] : places[s] + counts[s]].tolist()
+                if choices[0][1] != own_ids:  # of equal scores the other pass may have taken another path
+                    choices = [(top, own_ids), *(c for c in choices if c[1] != own_ids)][: self.n]
                 grown = [(loss + top - value, edits + ([(int(places[s]), int(counts[s]), new)] if r else [])) for loss, edits in ranked for r, (value, new) in enumerate(choices)]
                 ranked = sorted(grown, key=lambda x: x[0])[: self.n]
         return [total - loss for loss, _ in ranked], [edits for _, edits in ranked]
@@ -336,15 +339,17 @@ def _encoder(shared, n: int) -> Encoder:
 
 
 def _encoded(shared, n: int):
-    kinds = {"ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "round_trip": pa.bool_()}
+    edit = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    kinds = {"ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "edits": pa.list_(pa.list_(edit)), "round_trip": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = _encoder(shared, n)
         for batch in common.sliced(batches):
             texts = common.column(batch, "text")
             names, held, rows = common.column(batch, "doc_id"), 0, []
-            for i, ids, scores, _ in encoder.encode(texts):
-                rows.append((names[i], ids, len(ids), scores, decode(encoder.v, ids.tolist()) == (texts[i] or "")))
+            for i, ids, scores, edits in encoder.encode(texts):
+                back = all(decode(encoder.v, applied(ids, e)) == (texts[i] or "") for e in edits)
+                rows.append((names[i], ids, len(ids), scores, [[dict(zip(_EDIT, e, strict=True)) for e in path] for path in edits], back))
                 held += len(ids)
                 if held > 1_000_000:
                     yield _rows(rows, kinds)
@@ -355,23 +360,40 @@ def _encoded(shared, n: int):
     return run
 
 
+_EDIT = ("at", "length", "ids")
+
+
 def _rows(rows, kinds):
     arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *kinds.values()], strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *kinds])
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST) -> DataFrame:
-    """doc_id, ids, n_pieces, scores, round_trip: one row for each row of ``docs``.
+    """doc_id, ids, n_pieces, scores, edits, round_trip: one row for each row of ``docs``.
 
-    ``ids`` is the best segmentation of the whole text, ``scores`` those of the up to ``n`` best,
-    ``round_trip`` whether decoding the ids gives the text again. A null or empty text has no
-    ids, one score of 0 and a round trip to the empty text. Equal scores are ordered by the
+    ``ids`` is the best segmentation of the whole text, ``scores`` those of the up to ``n`` best.
+    ``edits`` has the segmentation of each score, as the places (at, length) of ``ids`` that other
+    ids stand in for; the best one has none, and ``path_column`` gives the ids of any. ``round_trip``
+    is whether decoding every one of them gives the text again. A null or empty text has no ids,
+    one score of 0 and a round trip to the empty text. Equal scores are ordered by the
     place where the paths differ. Null ids and repeated rows are encoded as they are; an empty
     table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_encoded(shared, n), "doc_id long, ids array<int>, n_pieces long, scores array<double>, round_trip boolean")
+    return docs.mapInArrow(_encoded(shared, n), "doc_id long, ids array<int>, n_pieces long, scores array<double>, edits array<array<struct<at:int,length:int,ids:array<int>>>>, round_trip boolean")
+
+
+def path_column(encoded: DataFrame, rank: int) -> DataFrame:
+    """doc_id, ids of the segmentation with the ``rank``-th best score, from 0; null ids where there are fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids, edits = batch.column(1), batch.column(2).to_pylist()
+            out = [None if e is None else applied(ids[i].values.to_numpy(), [tuple(x[c] for c in _EDIT) for x in e]) for i, e in enumerate(edits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return encoded.select("doc_id", "ids", F.get("edits", F.lit(rank)).alias("edits")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_column(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

@@ -100,6 +100,21 @@ def test_encoding_round_trip(spark, docs, texts):
     assert all(s == sorted(s, reverse=True) for s in (r["scores"] for r in out.select("scores").collect()))
 
 
+def test_every_segmentation_is_returned(spark, docs, texts, vocabulary):
+    out = pieces.encode(docs, MODEL_PATH).persist()
+    paths = [{r["doc_id"]: r["ids"] for r in pieces.path_column(out, k).collect()} for k in range(pieces.NBEST)]
+    assert any(r["scores"][0] > r["scores"][1] for r in out.select("scores").collect())
+    for r in out.collect():
+        own = [p[r["doc_id"]] for p in paths]
+        assert own[0] == r["ids"] and sum(ids is not None for ids in own) == len(r["scores"])
+        found = [ids for ids in own if ids is not None]
+        assert len(set(map(tuple, found))) == len(found)
+        for ids, score in zip(found, r["scores"], strict=True):
+            assert pieces.decode(vocabulary, ids) == texts[r["doc_id"]]
+            if all(i in vocabulary.scores for i in ids):
+                assert np.isclose(sum(vocabulary.scores[i] for i in ids), score)
+
+
 # -- 3 ------------------------------------------------------------------------------------
 
 
