@@ -46,7 +46,8 @@ NOTICES = {
 }
 
 TAG = "spdx license identifier"
-_TAGGED = re.compile(r"(?i)spdx-license-identifier[ \t]*:?[ \t]*([^\r\n]{0,400})")
+_TAGGED = re.compile(r"(?i)spdx-license-identifier[ \t]*:?[ \t]*")
+_LINE_END = re.compile(r"[\r\n]")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 
 # Family of an identifier by its first part.
@@ -67,10 +68,22 @@ _BINDS = {"or": 1, "and": 2, "with": 3}
 class Expression:
     """Value of an expression: identifiers in order of first use, and the duties it leaves."""
 
-    __slots__ = ("duty", "names")
+    __slots__ = ("duty", "parts")
 
-    def __init__(self, names: tuple[str, ...], duty: int):
-        self.names, self.duty = names, duty
+    def __init__(self, parts: tuple, duty: int):
+        self.parts, self.duty = parts, duty  # identifiers, or expressions whose identifiers it has
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        found: dict[str, None] = {}
+        left: list = [self]
+        while left:
+            at = left.pop()
+            if isinstance(at, str):
+                found[at] = None
+            else:
+                left += reversed(at.parts)
+        return tuple(found)
 
 
 def _leaf(token: str) -> Expression:
@@ -86,12 +99,11 @@ def family(identifier: str) -> str | None:
 
 
 def _joined(op: str, a: Expression, b: Expression) -> Expression:
-    names = tuple(dict.fromkeys(a.names + b.names))
     if op == "or":
-        return Expression(names, min(a.duty, b.duty))
+        return Expression((a, b), min(a.duty, b.duty))
     if op == "and":
-        return Expression(names, max(a.duty, b.duty))
-    return Expression(a.names, max(a.duty - 1, 1))  # an exception only lessens what the licence asks
+        return Expression((a, b), max(a.duty, b.duty))
+    return Expression((a,), max(a.duty - 1, 1))  # an exception only lessens what the licence asks
 
 
 def evaluate(text: str) -> Expression | None:
@@ -109,7 +121,8 @@ def evaluate(text: str) -> Expression | None:
         values.append(_joined(operators.pop(), a, b))
 
     wants_value = True
-    for token in _TOKEN.findall(text):
+    for found in _TOKEN.finditer(text):
+        token = found[0]
         low = token.lower()
         if wants_value:
             if token == "(":
@@ -141,6 +154,16 @@ def evaluate(text: str) -> Expression | None:
     return values[0]
 
 
+def behind_tags(text: str) -> list[str]:
+    """What stands behind each tag, up to the next one or the end of the line."""
+    tags = list(_TAGGED.finditer(text))
+    out = []
+    for tag, after in zip(tags, [*(t.start() for t in tags[1:]), len(text)], strict=True):
+        line = _LINE_END.search(text, tag.end(), after)
+        out.append(text[tag.end() : line.start() if line else after])
+    return out
+
+
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -173,7 +196,7 @@ def scan(text: str | None) -> dict:
         else:
             notices += 1
     expressions, valid = [], 0
-    for found in _TAGGED.findall(text) if tagged else []:
+    for found in behind_tags(text) if tagged else []:
         value = evaluate(found)
         expressions.append(found.strip())
         if value:
@@ -207,7 +230,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; ``n_base``,
     ``first_word`` and ``last_word`` tell of the base phrases only. ``labels`` adds those of
     other notices and of the identifiers of well-formed expressions; ``expressions`` has the
-    text behind each tag, ``n_valid`` how many are well formed, ``score`` the confidence. A
+    text behind each tag up to the next one or the end of the line, ``n_valid`` how many are well formed, ``score`` the confidence. A
     null or empty text has no word, empty labels and a score of 0. Null ids and repeated rows
     are returned as they are, and an empty table gives an empty result.
     """

@@ -212,6 +212,17 @@ def test_tags_reach_labels():
     assert got["labels"] == "gpl,mit" and got["expressions"] == ["(MIT OR GPL-2.0-only)"] and got["n_valid"] == 1 and 0 < got["score"] <= 1
 
 
+def test_tags_of_one_line_and_long_expressions():
+    got = licenses.scan("/* SPDX-License-Identifier: MIT */ int a; // SPDX-License-Identifier: Apache-2.0 */ SPDX-License-Identifier: (GPL-2.0 OR\nMPL-2.0)")
+    assert got["expressions"] == ["MIT */ int a; //", "Apache-2.0 */", "(GPL-2.0 OR"]
+    assert got["labels"] == "apache,mit" and got["n_valid"] == 2
+    names = [f"LicenseRef-{i}" for i in range(20_000)]
+    long = f"({' OR '.join(names)} OR (ISC AND Zlib))"
+    got = licenses.scan(f"SPDX-License-Identifier: {long}\nMPL-2.0")
+    assert got["labels"] == "isc,zlib" and got["n_valid"] == 1 and got["expressions"] == [long]
+    assert licenses.evaluate(long).names == (*names, "ISC", "Zlib")
+
+
 # -- 6 ------------------------------------------------------------------------------------
 
 
