@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Weights are made whole parts a_s of a period of Q slots (sum of a_s = Q). Block j of source
-s is released at slot floor(j * Q / a_s) and due by slot ceil((j + 1) * Q / a_s); in each slot
-the released block with the earliest deadline runs (earlier name first on a tie). On one
-processor this schedule meets every deadline, so after any number of slots each source is
-less than one block away from its share. It repeats after Q slots, with no deviation left,
-so one period is worked out by an expression over a one-row table, and any block's slot is
+Block j of a source of weight w (all weights add up to 1) is released at slot floor(j / w) and
+due by slot ceil((j + 1) / w); in each slot the released block with the earliest deadline runs
+(earlier name first on a tie). On one processor this schedule meets every deadline, so after
+any number of slots each source is less than one block away from its share. It is worked out
+from the weights as they are given, for a period of as many slots as it takes until a first
+source can have run out. A source that the period gives no block, as its weight is 0 or next to
+it, gets a slot behind the period's last one. With a_s blocks of source s in a period of Q slots,
+any block's slot is
 
     slot(s, j) = (j div a_s) * Q + offset(s, j mod a_s).
 
@@ -17,6 +19,8 @@ their places and thus their proportions to each other.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,10 @@ BLOCK_ROWS = 16
 BUCKET_ROWS = 2_500
 #: The default target is proportional to a source's rows to this power.
 TEMPERATURE = 0.7
-#: Slots of a period for up to PERIOD / 8 sources; the period is doubled for more.
+#: Slots of a period at least, and slots that are worked out together.
 PERIOD = 1_024
+#: Quotients j / w this close to a whole number are that number.
+NEAR = 1e-7
 MOST_SOURCES = 4_096
 
 
@@ -37,42 +43,53 @@ def source_sizes(docs: DataFrame, source_col: str = "source") -> DataFrame:
     return docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
 
 
-def _parts(sizes: DataFrame, weights: dict[str | None, float] | None, temperature: float, period: int) -> DataFrame:
-    """source, n, w, parts: whole parts of the period by largest remainders, one at least each."""
+def _shares(sizes: DataFrame, weights: dict[str | None, float] | None, temperature: float) -> DataFrame:
+    """source, n, w: target weights that add up to 1; equal ones if all that are given are 0."""
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(temperature))
     else:
         named = [(k, v) for k, v in weights.items() if k is not None]
         table = F.create_map(*[F.lit(x) for p in named for x in p]) if named else F.create_map().cast("map<string,double>")
         share = F.coalesce(F.when(F.col("source").isNull(), F.lit(weights.get(None))).otherwise(F.try_element_at(table, F.col("source").cast("string"))).cast("double"), F.lit(0.0))
-    one, every = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), F.asc_nulls_first("source"))
-    out = sizes.withColumn("w", share / F.sum(share).over(one)).withColumn("m", F.count("*").over(one))
-    exact = F.col("w") * (F.lit(period) - F.col("m"))
-    out = out.withColumn("rest", exact - F.floor(exact)).withColumn("low", F.floor(exact).cast("int") + 1)
-    spare = F.lit(period) - F.sum("low").over(one)
-    return out.select("source", "n", "w", (F.col("low") + (F.row_number().over(every) <= spare).cast("int")).alias("parts"))
+    one = Window.partitionBy(F.lit(0))
+    return sizes.withColumn("w", F.coalesce(F.try_divide(share, F.sum(share).over(one)), 1 / F.count("*").over(one)))
+
 
+def _held(value: Column, name) -> Column:
+    """``name(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), name)[0]
 
-def _period_table(parts: DataFrame, period: int) -> DataFrame:
-    """source, parts, k, offset, release, deadline: one period, by earliest deadline first."""
-    listed = parts.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "parts"))).alias("s"))
-    listed = listed.select(F.col("s.source").alias("source"), F.col("s.parts").alias("a"))
-    q = F.lit(period)
+
+def _period_table(shares: DataFrame, slots: int) -> DataFrame:
+    """source, k, offset: the first ``slots`` slots by earliest deadline first, then one for each source without any."""
+    listed = shares.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "w"))).alias("s"))
+    listed = listed.select(F.col("s.source").alias("source"), F.col("s.w").alias("w"))
+    late = F.lit(float("inf"))
 
     def step(state: Column, slot: Column) -> Column:
-        done = state["done"]
-        late = F.lit(2 * period)
-        due = F.zip_with("a", done, lambda a, c: F.when((c < a) & (F.floor(c * q / a) <= slot), F.ceil((c + 1) * q / a).cast("int")).otherwise(late))
-        pick = F.array_position(due, F.array_min(due)).cast("int")
-        after = F.transform(done, lambda c, i: F.when(i + 1 == pick, c + 1).otherwise(c))
-        return F.struct(after.alias("done"), F.concat(state["order"], F.array(pick - 1)).alias("order"))
+        def due(c: Column, w: Column) -> Column:
+            return F.when((w > 0) & (F.floor(c / w + NEAR) <= slot), F.ceil((c + 1) / w - NEAR).cast("double")).otherwise(late)
+
+        def after(pick: Column) -> Column:
+            done = F.transform(state["done"], lambda c, i: F.when(i + 1 == pick, c + 1).otherwise(c))
+            return F.struct(done.alias("done"), F.concat(state["order"], F.array(F.struct((pick - 1).alias("i"), F.element_at(state["done"], pick).alias("k")))).alias("order"))
+
+        pick = _held(F.zip_with(state["done"], "w", due), lambda d: F.array_position(d, F.array_min(d)).cast("int"))
+        return _held(pick, after)
+
+    def start(done: Column) -> Column:
+        return F.struct(done.alias("done"), F.array().cast("array<struct<i:int,k:int>>").alias("order"))
+
+    def together(runs: Column, lo: Column) -> Column:
+        ends = F.least(lo + PERIOD, F.lit(slots)) - 1
+        return F.concat(runs, F.array(F.aggregate(F.sequence(lo, ends), start(F.element_at(runs, -1)["done"]), step)))
 
-    start = F.struct(F.transform("a", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    run = listed.select("source", "a", F.aggregate(F.sequence(F.lit(0), q - 1), start, step, lambda x: x["order"]).alias("order"))
-    slots = run.select("source", "a", F.posexplode("order").alias("offset", "i"))
-    slots = slots.select(F.col("source")[F.col("i")].alias("source"), F.col("a")[F.col("i")].alias("parts"), "offset")
-    k = F.row_number().over(Window.partitionBy("source").orderBy("offset")) - 1
-    return slots.select("source", "parts", "offset", k.alias("k"))
+    first = F.array(start(F.transform("w", lambda x: F.lit(0))))
+    run = listed.select("source", F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1), F.lit(PERIOD)), first, together).alias("runs"))
+    none = F.filter(F.transform(F.element_at("runs", -1)["done"], lambda c, i: F.struct(i.alias("i"), c.alias("k"))), lambda x: x["k"] == 0)
+    run = run.select("source", F.concat(F.flatten("runs.order"), none).alias("order"))
+    run = run.select("source", F.posexplode("order").alias("offset", "x"))
+    return run.select(F.col("source")[F.col("x.i")].alias("source"), F.col("x.k").alias("k"), "offset")
 
 
 def mix(
@@ -87,8 +104,9 @@ def mix(
     """doc_id, source, weight, row_no, block_no, release, deadline, slot: one row for each row of ``docs``.
 
     ``weights`` are target weights by source name; by default a source's weight is its rows to
-    the power ``temperature``. Whole parts of the period stand in for the weights; a source that
-    is not named or has weight 0 gets one part, so that none of its rows is lost. Ordering by
+    the power ``temperature``. ``weight`` is the target as a part of 1. As long as no source has run
+    out, each is less than one block away from it after any number of slots. A source that is not
+    named or has weight 0 gets a slot behind each period, so that none of its rows is lost. Ordering by
     (slot, row_no) gives the mixture. A null source is a source of its own, null ids and
     repeated rows are numbered like others (ties in the hash order by id), and an empty table
     gives an empty result. More than MOST_SOURCES sources raise a ValueError.
@@ -99,14 +117,18 @@ def mix(
     n_sources = sizes.count()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be mixed")
-    period = PERIOD
-    while period < 8 * n_sources:
-        period *= 2
-    parts = common.staged(_parts(sizes, weights, temperature, period), "parts")
-    table = _period_table(parts, period)
-
-    # at most MOST_SOURCES rows of parts and 8 * MOST_SOURCES slots
-    known = parts.select(F.col("source").alias("ps"), F.col("parts").alias("pp"), F.ceil(F.col("n") / bucket_rows).alias("buckets"))
+    shares = common.staged(_shares(sizes, weights, temperature), "shares")
+    # after so many slots a source can have run out; never more than there are blocks
+    lasts = shares.where("w > 0").agg(F.min(F.ceil(F.col("n") / block_rows) / F.col("w"))).first()[0]
+    slots = max(PERIOD, 8 * n_sources, math.ceil(lasts or 0))
+    table = common.staged(_period_table(shares, slots), "slots")
+    counted = table.groupBy("source").agg(F.count("*").alias("pp"))
+    period = (table.agg(F.max("offset")).first()[0] or 0) + 1
+
+    # at most MOST_SOURCES rows of sources; slots are joined by a shuffle if many
+    counted = counted.withColumnRenamed("source", "cs")
+    known = shares.join(counted, F.col("source").eqNullSafe(F.col("cs")))
+    known = known.select(F.col("source").alias("ps"), "w", "pp", F.ceil(F.col("n") / bucket_rows).alias("buckets"))
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("ps")))
     rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod("h", "buckets").cast("long"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("c"))
@@ -117,19 +139,22 @@ def mix(
     rows = rows.withColumn("own", own).join(common.small_or_shuffled(counts), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     rows = rows.withColumn("row_no", F.col("own") + F.col("start")).withColumn("block_no", F.floor(F.col("row_no") / block_rows))
     rows = rows.withColumn("kk", F.pmod("block_no", "pp"))
-    table = table.select(F.col("source").alias("ts"), "k", "offset")
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("ts")) & (F.col("kk") == F.col("k")))
-    q, a, j = F.lit(period).cast("long"), F.col("pp"), F.col("block_no")
-    slot = (j - F.col("kk")) / a * q + F.col("offset")
+    table = common.small_or_shuffled(table.select(F.col("source").alias("ts"), "k", "offset"))
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("ts")) & (F.col("kk") == F.col("k")))
+    j, kk, w = F.col("block_no"), F.col("kk"), F.col("w")
+    base = (j - kk) / F.col("pp") * F.lit(period).cast("long")
+    behind = F.col("offset") >= slots
+    release = F.when(behind, F.lit(slots)).otherwise(F.floor(kk / w + NEAR))
+    deadline = F.when(behind, F.lit(period)).otherwise(F.ceil((kk + 1) / w - NEAR))
     return rows.select(
         "doc_id",
         "source",
-        (F.col("pp") / period).alias("weight"),
+        w.alias("weight"),
         F.col("row_no").cast("long").alias("row_no"),
         j.cast("long").alias("block_no"),
-        F.floor(j * q / a).cast("long").alias("release"),
-        F.ceil((j + 1) * q / a).cast("long").alias("deadline"),
-        slot.cast("long").alias("slot"),
+        (base + release).cast("long").alias("release"),
+        (base + deadline).cast("long").alias("deadline"),
+        (base + F.col("offset")).cast("long").alias("slot"),
     )
 
 

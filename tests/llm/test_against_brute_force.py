@@ -156,6 +156,19 @@ def test_schedule_deviates_by_less_than_a_block(docs):
         assert (np.abs(np.searchsorted(own, t - 1, "right") - t * w) < 1).all()
 
 
+def test_schedule_follows_the_given_weights(spark):
+    """One large source among 20, over more slots than the shortest period."""
+    given = {f"s{i:02}": 0.9 if i == 0 else 0.1 / 19 for i in range(20)} | {"none": 0.0}
+    rows = [(i, "s00") for i in range(4_000)] + [(10_000 + i, f"s{1 + i % 19:02}") for i in range(1_900)] + [(20_000, "none"), (20_001, "none")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), given, block_rows=1).toPandas()
+    assert sorted(out.doc_id) == sorted(i for i, _ in rows) and out.slot.is_unique
+    assert (out.slot >= out.release).all() and (out.slot < out.deadline).all()
+    t = np.arange(1, out[out.source == "s00"].slot.max() + 2)
+    assert len(t) > 4_000
+    for s, w in given.items():
+        assert (np.abs(np.searchsorted(np.sort(out[out.source == s].slot), t - 1, "right") - t * w) < 1).all()
+
+
 def test_rows_of_a_source_are_numbered_without_gaps(docs):
     out = mixing.mix(docs, bucket_rows=3).toPandas()
     for _, part in out.groupby("source"):
