@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCORES = "name string, score double"
-#: Rows that a nearest-neighbour estimate takes of each feature, as it compares all pairs.
+#: Rows that a nearest-neighbour estimate with a numeric label takes of each feature, as it compares all pairs.
 NEIGHBOUR_ROWS = 2_000
+#: Values of a feature that are sorted together, about.
+RANGE_ROWS = 100_000
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list) -> DataFrame:
@@ -94,22 +96,95 @@ def class_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return max(0.0, digamma(n) + _digammas(used) - _digammas(size) - _digammas(m))
 
 
+def _class_scores(df: DataFrame, columns: list[str], label: str, row_id: str, k: int, seed: int, noise: float) -> DataFrame:
+    """name, score: ``class_information`` of every column over all rows.
+
+    The nearest neighbours of a value in its class are next to it in order, and the rows within
+    its radius are a difference of two ranks. Both are taken within ranges of a feature's values,
+    so no task holds a feature.
+    """
+    long = unpivot(df.where(F.col(label).isNotNull()), columns, [F.col(label).cast("string").alias("y"), F.xxhash64(row_id).alias("id")])
+    long = long.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    stats = long.groupBy("name").agg(F.stddev_samp("value").alias("s"), F.avg(F.abs("value")).alias("mean"))
+    s = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
+    uniform = lambda part: (F.pmod(F.xxhash64("id", "name", F.lit(seed), F.lit(part)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    normal = F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    sizes = long.groupBy("name", "y").agg(F.count("*").alias("size")).where("size > 1")
+    # features and classes are few
+    value = (F.col("value") / s + noise * F.greatest(F.lit(1.0), F.col("mean") / s) * normal).alias("x")
+    rows = long.join(F.broadcast(stats), "name").select("name", "y", value).join(F.broadcast(sizes), ["name", "y"])
+
+    ranges = -(-df.count() // RANGE_ROWS)
+    if ranges > 1:
+        bounds = rows.groupBy("name").agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("bounds"))
+    else:
+        bounds = rows.select("name").distinct().withColumn("bounds", F.array().cast("array<double>"))
+    bounds = F.broadcast(bounds)
+
+    def ranged(table: DataFrame) -> DataFrame:
+        return table.join(bounds, "name").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("x")))).drop("bounds")
+
+    def before(counts: DataFrame, keys: list[str]) -> DataFrame:
+        start = F.sum("c").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(*keys, "range", F.coalesce(start, F.lit(0)).alias("start"))
+
+    rows = ranged(rows)
+    own = F.row_number().over(Window.partitionBy("name", "y", "range").orderBy("x")) - 1
+    counts = rows.groupBy("name", "y", "range").agg(F.count("*").alias("c"))
+    placed = rows.withColumn("own", own).join(before(counts, ["name", "y"]), ["name", "y", "range"])
+    placed = placed.withColumn("place", F.col("own") + F.col("start")).select("name", "y", "x", "size", "place")
+    # runs of a class by place; a row within k places of a run stands in it as a neighbour
+    run = lambda shift: F.floor((F.col("place") + shift) / RANGE_ROWS)
+    placed = placed.withColumn("home", run(0)).withColumn("run", F.explode(F.array_distinct(F.array(run(-k), run(0), run(k)))))
+    order = Window.partitionBy("name", "y", "run").orderBy("place")
+    beside = [f("x", j).over(order) for f in (F.lag, F.lead) for j in range(1, k + 1)]
+    found = placed.select("*", F.array(*beside).alias("beside")).where("run = home")
+    near = F.array_sort(F.transform(F.filter("beside", lambda v: v.isNotNull()), lambda v: F.struct(F.abs(v - F.col("x")).alias("d"), v.alias("v"))))
+    found = found.select("name", "y", "place", "x", F.get(near, F.least(F.lit(k), F.col("size") - 1).cast("int") - 1).alias("far"))
+    # strictly within the radius; the end on the side of the neighbour is its own value, so no rounding excludes or adds it
+    low = F.when(F.col("far.v") < F.col("x"), F.col("far.v")).otherwise(F.col("x") - F.col("far.d"))
+    high = F.when(F.col("far.v") > F.col("x"), F.col("far.v")).otherwise(F.col("x") + F.col("far.d"))
+    # at equal values an upper end stands before the points and a lower one behind them; with a radius of 0 equal values count
+    zero = F.col("far.d") == 0
+    kinds = ((1, F.when(zero, 3).otherwise(1), high), (0, F.lit(2), F.col("x")), (-1, F.when(zero, 1).otherwise(3), low))
+    ends = F.explode(F.array(*[F.struct(F.lit(sign).alias("sign"), at.alias("kind"), v.alias("x")) for sign, at, v in kinds]))
+    events = ranged(found.select("name", "y", "place", ends.alias("e")).select("name", "y", "place", "e.*"))
+    points = (F.col("sign") == 0).cast("long")
+    counts = events.groupBy("name", "range").agg(F.sum(points).alias("c"))
+    so_far = F.sum(points).over(Window.partitionBy("name", "range").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    events = events.withColumn("so_far", so_far).join(F.broadcast(before(counts, ["name"])), ["name", "range"])
+    within = events.where("sign <> 0").groupBy("name", "y", "place").agg(F.sum(F.col("sign") * (F.col("so_far") + F.col("start"))).alias("m"))
+
+    @F.pandas_udf("double")
+    def psi(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: digamma(float(v)))
+
+    spread = within.groupBy("name", "m").agg(F.count("*").alias("c")).groupBy("name").agg(F.sum(F.col("c") * psi("m")).alias("around"))
+    classes = sizes.withColumn("kk", F.least(F.lit(k), F.col("size") - 1))
+    classes = classes.withColumn("term", F.col("size") * (psi("kk") - psi("size"))).groupBy("name").agg(F.sum("size").alias("n"), F.sum("term").alias("inside"))
+    classes = classes.join(spread, "name").withColumn("score", F.greatest(psi("n") + (F.col("inside") - F.col("around")) / F.col("n"), F.lit(0.0)))
+    return stats.select("name").join(classes.select("name", "score"), "name", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def information_scores(df: DataFrame, columns: list[str], label: str, row_id: str, discrete: tuple[str, ...] = (), numeric_label: bool = False, k: int = 3, rows: int = NEIGHBOUR_ROWS, seed: int = 1, noise: float = 1e-10) -> DataFrame:
     """name, score: mutual information of each column with the label.
 
     Columns named in ``discrete`` are counted exactly over all rows. Others are scaled by their
-    deviation, given noise to break ties, and compared on a hash-chosen sample of about ``rows``
-    rows, since every pair of a feature's rows is compared.
+    deviation and given noise to break ties. With a label of classes all rows count, by the order
+    of a feature's values; with a numeric label, pairs of rows are compared, on a hash-chosen
+    sample of about ``rows`` rows.
     """
     spark = df.sparkSession
     out = spark.createDataFrame([], SCORES)
     for c in discrete:
         out = out.unionByName(discrete_information(df, c, label).select(F.lit(c).alias("name"), F.col("mi").alias("score")))
     others = [c for c in columns if c not in discrete]
-    if others:
+    if others and not numeric_label:
+        out = out.unionByName(_class_scores(df, others, label, row_id, k, seed, noise))
+    elif others:
         n = df.count()
         drawn = df.where(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1))) + 1)
-        long = unpivot(drawn.where(F.col(label).isNotNull()), others, [F.col(label).cast("double" if numeric_label else "string").alias("y")])
+        long = unpivot(drawn.where(F.col(label).isNotNull()), others, [F.col(label).cast("double").alias("y")])
 
         def score(part: pd.DataFrame) -> pd.DataFrame:
             part = part[np.isfinite(part["value"])]
@@ -118,12 +193,9 @@ def information_scores(df: DataFrame, columns: list[str], label: str, row_id: st
             x = x / s if s > 0 else x
             rng = np.random.default_rng(seed)
             x = x + noise * max(1.0, float(np.abs(x).mean()) if len(x) else 1.0) * rng.standard_normal(len(x))
-            if numeric_label:
-                y = part["y"].to_numpy(float)
-                t = y.std(ddof=1) if len(y) > 1 else 0.0
-                value = neighbour_information(x, (y / t if t > 0 else y) + noise * rng.standard_normal(len(y)), k)
-            else:
-                value = class_information(x, part["y"].to_numpy(str), k)
+            y = part["y"].to_numpy(float)
+            t = y.std(ddof=1) if len(y) > 1 else 0.0
+            value = neighbour_information(x, (y / t if t > 0 else y) + noise * rng.standard_normal(len(y)), k)
             return pd.DataFrame({"name": [part["name"].iloc[0] if len(part) else ""], "score": [value]})
 
         out = out.unionByName(long.groupBy("name").applyInPandas(score, SCORES).where("name <> ''"))

@@ -546,9 +546,9 @@ def variance_topk(spark, sf_dir):
 
 @query()
 def information_scores(spark, sf_dir):
-    """Nearest-neighbour information of each vector element group with the label."""
-    wide = embeddings(spark, sf_dir).select("vec_id", "label", *[F.col("e")[i].alias(f"e{i}") for i in range(8)])
-    return selection.information_scores(wide, [f"e{i}" for i in range(8)], "label", "vec_id")
+    """Nearest-neighbour information of each vector element with the label."""
+    wide = embeddings(spark, sf_dir).select("vec_id", "label", *[F.col("e")[i].alias(f"e{i}") for i in range(64)])
+    return selection.information_scores(wide, [f"e{i}" for i in range(64)], "label", "vec_id")
 
 
 @query()

@@ -236,3 +236,16 @@ def test_relational_helpers(spark, iris):
     names = spark.createDataFrame([("x10",), ("x9",), ("a",)], "n string")
     assert [r["n"] for r in relational.natural_order(names, "n").collect()] == ["a", "x9", "x10"]
     assert relational.select_by_index(iris, [1, 0]).columns == ["sepal_length", "row_id"]
+
+
+def test_class_information_takes_all_rows(spark, monkeypatch):
+    """More rows than NEIGHBOUR_ROWS and several ranges, against all pairs of all rows."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 700)
+    rng = np.random.default_rng(2)
+    label = rng.choice(["a", "b", "c", "d"], 3_000, p=[0.6, 0.39, 0.009, 0.001])
+    label[:3] = ["x", "x", "alone"]
+    good, poor = rng.normal(size=3_000) + (label == "a"), rng.normal(size=3_000)
+    df = spark.createDataFrame([(i, str(y), float(g), float(p)) for i, (y, g, p) in enumerate(zip(label, good, poor))], "id long, label string, good double, poor double")
+    got = {r["name"]: r["score"] for r in selection.information_scores(df, ["good", "poor"], "label", "id").collect()}
+    for name, x in (("good", good), ("poor", poor)):
+        assert np.isclose(got[name], selection.class_information(x / x.std(ddof=1), label), atol=1e-6)
