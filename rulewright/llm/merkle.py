@@ -1,103 +1,297 @@
 """Merkle fixity audit of record archives.
 
-The records of a file are leaves in the order of their offsets. A leaf's hash covers its
-offset, its length and the digest of its bytes; a node's hash covers the hashes of up to
-``fanout`` children in order and thus an offset range, and a file's root all of it. Two
-replicas are compared root by root. Only below a root that differs are children compared,
+The records of a file are the leaves of its tree. A record is named by its id (several records
+of one id by the order of their digests); a node holds the records of a range of ids, which in
+an archive laid out by id is a range of offsets. A leaf's hash covers the record's id, its
+length and the digest of its bytes; a node's hash covers, in the order of their offsets, the
+name, the length and the hash of its children, and thus the ordered offsets within its range;
+a file's root covers all of it. Offsets are counted from a node's own start, so a
+record that grows, shrinks, is missing or is inserted changes the nodes above it and no others.
+
+Two replicas are compared root by root. Only below a root that differs are children compared,
 level by level down to the leaves, so an intact file costs one comparison and a damaged
-record ``fanout`` comparisons for each level.
+record ``fanout`` comparisons for each level. Where a differing node names its children in another
+order, the file's common records are put side by side, and the fewest that are out of place
+are the ones that moved.
 
-Every group that is hashed together has at most ``fanout`` rows, and each level is written
-to the shared folder, from which the descent reads it again.
+A node has at most ``fanout`` children (at the bottom, the records of one place), and each level is
+written to the shared folder, from which the descent reads it again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_or_shuffled, staged
+from .common import discard, small_or_shuffled, spread_join, staged
 
 FANOUT = 16
 FILE_RECORDS = 1_000
+#: Stands for the date of a record whose capture time is not known.
+NO_DATE = "1970-01-01T00:00:00Z"
+
 
+def warc_record(url: Column, body: Column, key: Column | None = None, date: str = NO_DATE) -> Column:
+    """A WARC/1.1 resource record of a page as text, with all mandatory fields; nulls count as empty.
 
-def warc_record(url: Column, body: Column) -> Column:
-    """A WARC/1.1 response record of a page as text; nulls count as empty."""
-    url, body = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"))
+    The record's own id is a digest of ``key`` and the URL.
+    """
+    url, body, key = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit("")), F.lit(None) if key is None else key
+    name = F.substring(F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), url), 256), 1, 32)
+    parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), F.concat_ws("-", *parts), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"),
+    )
     return F.concat(head, F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def archive_layout(records: DataFrame, key: str = "record_id", file_records: int = FILE_RECORDS) -> DataFrame:
+def loose_files(records: DataFrame, key: str = "record_id", file_records: int = FILE_RECORDS) -> int:
+    """How many files the records need that have no id of their own; replicas must use one number."""
+    return records.where(F.col(key).isNull()).count() // file_records + 1
+
+
+def archive_layout(records: DataFrame, key: str = "record_id", file_records: int = FILE_RECORDS, loose: int | None = None) -> DataFrame:
     """file, leaf, offset, length, digest, copies, record_id of (record_id, record) rows.
 
-    Files hold id ranges of ``file_records``, records follow each other by id and digest, and
-    identical records are one leaf with a count. A null id goes to the file -1. Only digests
-    and lengths are shuffled, never the records.
+    Files hold id ranges of ``file_records``; records follow each other by id and digest, and
+    identical records are one leaf with a count. Records without id are named by their digest
+    and go to ``loose`` files below 0. So do all records of an id that has more than
+    ``file_records`` different ones, to as many files as it takes. Only digests and lengths are
+    shuffled, never the records. A null record counts as empty; an empty table gives an empty
+    layout; other columns are not read.
     """
-    hashed = records.select(
-        F.col(key).cast("long").alias("record_id"), F.sha2(F.coalesce(F.col("record"), F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("record", F.lit(""))).cast("long").alias("length")
-    )
-    leaves = hashed.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies"))
-    file = F.coalesce(F.floor(F.col("record_id") / file_records), F.lit(-1)).cast("long")
-    order = Window.partitionBy("file").orderBy("record_id", "digest")
+    loose = loose or loose_files(records, key, file_records)
+    record = F.coalesce(F.col("record"), F.lit(""))
+    hashed = records.select(F.col(key).cast("long").alias("record_id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"))
+    leaves = staged(hashed.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies")), "records")
+    crowded = leaves.groupBy(F.col("record_id").alias("of_id")).agg(F.count("*").alias("n")).where(F.col("of_id").isNotNull() & (F.col("n") > file_records))
+    leaves = spread_join(leaves, staged(crowded, "crowded"), F.col("record_id") == F.col("of_id"), "n", leaves.count())
+    files = F.when(F.col("n").isNull(), loose).otherwise(F.floor(F.col("n") / file_records) + 1)
+    by_digest = -1 - F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), files)
+    file = F.when(F.col("record_id").isNull() | F.col("n").isNotNull(), by_digest).otherwise(F.floor(F.col("record_id") / file_records))
+    order = Window.partitionBy("file").orderBy("record_id", "digest", "length")
     offset = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return leaves.withColumn("file", file).select(
+    return leaves.withColumn("file", file.cast("long")).select(
         "file", (F.row_number().over(order) - 1).cast("long").alias("leaf"), F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "length", "digest", "copies", "record_id"
     )
 
 
-def _leaf_hash() -> Column:
-    return F.sha2(F.concat_ws("|", F.lit("leaf"), "offset", "length", "copies", "digest"), 256)
+def write_archives(records: DataFrame, directory: str, key: str = "record_id", file_records: int = FILE_RECORDS) -> None:
+    """Writes (record_id, record) rows as files of records one after another, ``file-<n>.warc``.
+
+    Rows without id go to the file -1. A file is written by one task, to a name of its own, and
+    is then renamed, so that an attempt that fails leaves no file that counts.
+    """
+    fs.FileSystem.from_uri(directory)[0].create_dir(fs.FileSystem.from_uri(directory)[1], recursive=True)
+    file = F.coalesce(F.floor(F.col(key) / file_records), F.lit(-1)).cast("long")
+    rows = records.select(file.alias("file"), F.col(key).cast("long").alias("record_id"), F.encode(F.coalesce("record", F.lit("")), "utf-8").alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store, base = fs.FileSystem.from_uri(directory)
+        held, out, name = None, None, None
+        for batch in batches:
+            for number, record in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if number != held:
+                    if out:
+                        out.close()
+                        store.move(name, f"{base}/file-{held}.warc")
+                    held, name = number, f"{base}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(name)
+                out.write(record.as_buffer())
+        if out:
+            out.close()
+            store.move(name, f"{base}/file-{held}.warc")
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["n"])
+
+    rows.repartition("file").sortWithinPartitions("file", "record_id").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def read_archives(spark: SparkSession, directory: str) -> DataFrame:
+    """file, name, offset, length, digest of every record in the files of ``directory``, from their bytes.
+
+    ``name`` is the WARC-Record-ID. A record ends by its Content-Length; one whose head cannot be
+    read ends at the next line that starts a record and has a null name.
+    """
+    store, base = fs.FileSystem.from_uri(directory)
+    files = sorted(i.path for i in store.get_file_info(fs.FileSelector(base)) if i.path.endswith(".warc"))
+    rows = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store, _ = fs.FileSystem.from_uri(directory)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                number = int(path.rsplit("file-", 1)[1][:-5])
+                with store.open_input_file(path) as f:
+                    found = [(number, *r) for r in records_of(f)]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                columns = zip(*found, strict=True) if found else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "name", "offset", "length", "digest"])
+
+    return rows.mapInArrow(run, "file long, name string, offset long, length long, digest string")
+
 
+def records_of(file) -> Iterator[tuple[str | None, int, int, str]]:
+    """(name, offset, length, digest) of the records of an open archive file, one record in memory at a time."""
+    at, size = 0, file.size()
+    while at < size:
+        file.seek(at)
+        head = b""
+        while b"\r\n\r\n" not in head and at + len(head) < size and len(head) < 1 << 20:
+            head += file.read(4096)
+        head, found, _ = head.partition(b"\r\n\r\n")
+        fields = dict(x.partition(b":")[::2] for x in head.split(b"\r\n")[1:])
+        fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
+        n = fields.get(b"content-length", b"")
+        if head.startswith(b"WARC/") and found and n.isdigit() and at + len(head) + 8 + int(n) <= size:
+            length, name = len(head) + 8 + int(n), fields.get(b"warc-record-id", b"").decode("utf-8", "replace") or None
+        else:  # no head that can be read: all up to the next record
+            file.seek(at)
+            raw = file.read(size - at)
+            next_at = raw.find(b"\r\nWARC/", 1)
+            length, name = (next_at + 2 if next_at >= 0 else len(raw)), None
+        file.seek(at)
+        yield name, at, length, hashlib.sha256(file.read(length)).hexdigest()
+        at += length
 
-def tree(layout: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of every file's tree, leaves first: file, node, first, last, hash.
 
-    ``first`` and ``last`` bound the offsets that a node covers. Levels are added until each
-    file has a single node.
+def _placed(layout: DataFrame, file_records: int) -> DataFrame:
+    """``layout`` with ``place``, the key by which a file's tree holds a record, below ``file_records``.
+
+    It is the id's place in a range of ids; without an id, or in a file below 0, it comes from the
+    digest, so that equal records of two replicas meet.
     """
-    level = staged(layout.select("file", F.col("leaf").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length") * F.col("copies")).alias("last"), _leaf_hash().alias("hash")), "leaves")
-    levels = [level]
-    while (level.agg(F.max("node")).first()[0] or 0) > 0:
-        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"])
-        grouped = level.groupBy("file", F.floor(F.col("node") / fanout).alias("up"))
-        level = grouped.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.concat(F.lit("node|"), F.array_join(children, "|")), 256).alias("hash"))
-        level = staged(level.select("file", F.col("up").alias("node"), "first", "last", "hash"), "nodes")
-        levels.append(level)
+    by_digest = F.conv(F.substring("digest", 9, 8), 16, 10).cast("long")
+    key = F.when(F.col("record_id").isNull() | (F.col("file") < 0), by_digest).otherwise(F.col("record_id"))
+    return layout.withColumn("place", F.pmod(key, F.lit(file_records)).cast("long"))
+
+
+def height(fanout: int, file_records: int) -> int:
+    """Levels above the places of a file."""
+    levels = 0
+    while fanout**levels < file_records:
+        levels += 1
     return levels
 
 
-def differing_leaves(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """file, node of the leaves that differ or exist once, found from the roots down."""
-    height = max(len(one), len(two))
-    levels = [x + [x[-1]] * (height - len(x)) for x in (one, two)]
-    suspects = None
-    for k in range(height - 1, -1, -1):
-        sides = [x[k].select("file", "node", F.col("hash").alias(name)) for x, name in zip(levels, ("x", "y"), strict=True)]
+def tree(layout: DataFrame, fanout: int = FANOUT, levels: int | None = None, file_records: int = FILE_RECORDS) -> list[DataFrame]:
+    """The levels of every file's tree, leaves first: file, node, first, last, names, hash.
+
+    A node of the lowest level holds the records of one place, one of the next ``fanout`` places
+    and so on. ``first`` and ``last`` bound the offsets that a node covers, ``names`` lists its children
+    by offset. There are ``levels`` levels above the lowest one, or as many as it takes for
+    every file to have one node.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.lit("leaf"), F.coalesce(F.col("record_id").cast("string"), F.lit("")), "length", "copies", "digest"), 256)
+    end = F.col("offset") + F.col("length") * F.col("copies")
+    name = F.coalesce(F.col("record_id").cast("string"), F.lit(""))
+    rows = _placed(layout, file_records).select("file", F.col("place").alias("node"), F.col("offset").alias("first"), end.alias("last"), leaf.alias("hash"), name.alias("name"))
+    out = [staged(_grouped(rows), "leaves")]
+    while len(out) <= levels if levels is not None else out[-1].where("node > 0").limit(1).count():
+        rows = out[-1].select("file", F.floor(F.col("node") / fanout).alias("node"), "first", "last", "hash", F.col("node").cast("string").alias("name"))
+        out.append(staged(_grouped(rows), "nodes"))
+    return out
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """file, node, first, last, names, hash of the children of each node in the order of their offsets."""
+    children = F.array_sort(F.collect_list(F.struct("first", "last", "name", "hash")))
+    out = rows.groupBy("file", "node").agg(F.min("first").alias("first"), F.max("last").alias("last"), children.alias("c"))
+    names = F.array_join(F.transform("c", lambda c: c["name"]), ",")
+    lines = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["last"] - c["first"], c["hash"])), "|")
+    return out.select("file", "node", "first", "last", names.alias("names"), F.sha2(F.concat(F.lit("node|"), names, F.lit("|"), lines), 256).alias("hash"))
+
+
+def differing(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """(file, node of the lowest nodes that differ or exist once; file of those with another order somewhere)."""
+    suspects, reordered = None, None
+    for x, y in zip(reversed(one), reversed(two), strict=True):
+        sides = [t.select("file", "node", F.col("hash").alias(f"{n}_hash"), F.col("names").alias(f"{n}_names")) for t, n in ((x, "x"), (y, "y"))]
         if suspects is not None:
-            hint = small_or_shuffled(suspects)
+            hint = small_or_shuffled(suspects.select(F.col("file").alias("in_file"), F.col("node").alias("up")))
             sides = [s.join(hint, (F.col("file") == F.col("in_file")) & (F.floor(F.col("node") / fanout) == F.col("up")), "left_semi") for s in sides]
-        differ = sides[0].join(sides[1], ["file", "node"], "full").where("not (x <=> y)").select("file", "node")
-        found = staged(differ, "suspects")
-        if k and len(one) > k and len(two) > k:
-            suspects = found.select(F.col("file").alias("in_file"), F.col("node").alias("up"))
-        elif k:  # the trees differ in height: compare everything below
-            suspects = None
-    return found
+        suspects = staged(sides[0].join(sides[1], ["file", "node"], "full").where("not (x_hash <=> y_hash)"), "suspects")
+        other = suspects.where("x_names <> y_names").select("file")
+        reordered = other if reordered is None else reordered.unionByName(other)
+    return suspects.select("file", "node"), reordered.distinct()
 
 
-def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, leaf, offset, length, record_id, digest, intact: one row for each leaf of the first layout.
+def differing_leaves(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """file, node of the lowest nodes that differ or exist once, found from the roots down."""
+    return differing(one, two, fanout)[0]
+
 
-    A record is intact if its leaf is the same in both replicas; a record that moved to another
-    offset is not. Leaves that only the second replica has come with null record_id, offset,
-    length and digest. Equal layouts, empty ones too, have no differing leaf.
+def out_of_place(order: list[int]) -> list[int]:
+    """Indexes of the fewest elements of distinct numbers without which the rest ascend (the later ones on a tie)."""
+    ends, at, before = [], [], []
+    for i, x in enumerate(order):
+        k = bisect_left(ends, x)
+        ends[k : k + 1], at[k : k + 1] = [x], [i]
+        before.append(at[k - 1] if k else -1)
+    kept, i = set(), at[-1] if at else -1
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return [i for i in range(len(order)) if i not in kept]
+
+
+def _moved(table: pa.Table) -> pa.Table:
+    """file, moved_leaf of the records of one file that stand in another order."""
+    table = table.sort_by("leaf")
+    found = out_of_place(table.column("other").to_pylist())
+    return table.select(["file", "leaf"]).take(pa.array(found, pa.int64())).rename_columns(["moved_file", "moved_leaf"])
+
+
+def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT, file_records: int = FILE_RECORDS) -> DataFrame:
+    """file, leaf, offset, length, record_id, digest, copies, intact, status, root: a row for each leaf of the first layout.
+
+    ``status`` is ``intact`` if the second replica has the same record at the same place between
+    its neighbours, ``damaged`` if it has another one of that id, ``missing`` if none, ``moved`` if
+    it has it in another order: of a file's records the fewest are, without which the others
+    follow each other as they should. Records that only the second replica has are ``inserted``, with
+    their file, id and digest, and null leaf, offset and length. ``root`` is the hash of the file's tree
+    in the first replica. Equal layouts, empty ones too, have no differing leaf.
     """
-    trees = tree(one, fanout), tree(two, fanout)
-    bad = differing_leaves(*trees, fanout).withColumnRenamed("node", "leaf").withColumn("bad", F.lit(True))
-    out = one.join(small_or_shuffled(bad), ["file", "leaf"], "full")
+    levels = height(fanout, file_records)
+    trees = [tree(x, fanout, levels, file_records) for x in (one, two)]
+    bad, reordered = differing(*trees, fanout)
+    bad = small_or_shuffled(staged(bad.select(F.col("file").alias("in_file"), F.col("node").alias("in_place")), "bad"))
+    match = (F.col("file") == F.col("in_file")) & (F.col("place") == F.col("in_place"))
+    x, y = (_placed(t, file_records).join(bad, match, "left_semi") for t in (one, two))
+    key = ["file", "record_id", "digest", "length"]
+
+    def alone(a: DataFrame, b: DataFrame) -> DataFrame:
+        same = [a[c].eqNullSafe(F.col(f"b_{c}")) for c in (*key, "copies")]
+        rest = a.join(b.select(*[F.col(c).alias(f"b_{c}") for c in (*key, "copies")]), same, "left_anti")
+        return rest.withColumn("nth", F.row_number().over(Window.partitionBy("file", "record_id").orderBy("digest", "length")))
+
+    gone = staged(alone(x, y).select("file", "leaf", "record_id", "nth"), "gone")
+    new = staged(alone(y, x).select(F.col("file").alias("n_file"), F.col("record_id").alias("n_id"), F.col("nth").alias("n_nth"), "digest", "copies"), "new")
+    paired = (F.col("file") == F.col("n_file")) & F.col("record_id").eqNullSafe(F.col("n_id")) & (F.col("nth") == F.col("n_nth"))
+    lost = gone.join(new.select("n_file", "n_id", "n_nth"), paired, "left").select(F.col("file").alias("l_file"), F.col("leaf").alias("l_leaf"), F.col("n_file").isNull().alias("missing"))
+    inserted = new.join(gone.select("file", "record_id", "nth"), paired, "left_anti")
+
+    files = small_or_shuffled(staged(reordered.withColumnRenamed("file", "in_file"), "reordered"))
+    a, b = (t.join(files, F.col("file") == F.col("in_file"), "left_semi") for t in (one, two))
+    b = b.select(*[F.col(c).alias(f"b_{c}") for c in key], F.col("leaf").alias("other"))
+    shared = a.join(b, [a[c].eqNullSafe(F.col(f"b_{c}")) for c in key]).select("file", "leaf", "other")
+    moved = staged(shared.groupBy("file").applyInArrow(_moved, "moved_file long, moved_leaf long"), "moved")
+
+    roots = small_or_shuffled(trees[0][-1].select(F.col("file").alias("r_file"), F.col("hash").alias("root")))
+    out = one.join(roots, F.col("file") == F.col("r_file"), "left")
+    out = out.join(small_or_shuffled(staged(lost, "lost")), (F.col("file") == F.col("l_file")) & (F.col("leaf") == F.col("l_leaf")), "left")
+    out = out.join(small_or_shuffled(moved), (F.col("file") == F.col("moved_file")) & (F.col("leaf") == F.col("moved_leaf")), "left")
+    status = F.when(F.col("missing"), "missing").when(F.col("l_file").isNotNull(), "damaged").when(F.col("moved_file").isNotNull(), "moved").otherwise("intact")
+    out = out.select("file", "leaf", "offset", "length", "record_id", "digest", "copies", (status == "intact").alias("intact"), status.alias("status"), "root")
+    none = F.lit(None).cast("long")
+    extra = inserted.select(F.col("n_file").alias("file"), none.alias("leaf"), none.alias("offset"), none.alias("length"), F.col("n_id").alias("record_id"), "digest", "copies", F.lit(False).alias("intact"), F.lit("inserted").alias("status"), F.lit(None).cast("string").alias("root"))
     for t in trees:
-        discard(*t[1:])
-    return out.select("file", "leaf", "offset", "length", "record_id", "digest", "copies", F.col("bad").isNull().alias("intact"))
+        discard(*t[:-1])
+    return out.unionByName(extra)
