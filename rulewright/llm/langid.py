@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,9 +23,10 @@ from . import common
 #: Hashed n-gram cells; n-gram lengths in bytes.
 CELLS = 1 << 13
 LENGTHS = (1, 2, 3)
-#: Bound of the sample that the classifiers are fitted on: rows of one language, languages.
+#: Bound of the sample that the classifiers are fitted on: rows of one language, and of all together
+#: (of which a language gets an equal part, one row at least).
 ROWS_PER_LANGUAGE = 500
-LANGUAGES = 256
+FIT_ROWS = 6_000
 RIDGE = 0.02
 #: A text is ambiguous if its best codeword's probability is lower.
 CERTAIN = 0.6
@@ -83,16 +84,15 @@ class CodeModel:
         return best, score, score < CERTAIN
 
 
-def fit(texts: list[str], labels: list[str]) -> CodeModel | None:
-    """Ridge classifiers on +1 / -1 bits; every fifth row only weighs the bits. None without rows."""
-    if not texts:
+def fit(x: np.ndarray, labels: list[str]) -> CodeModel | None:
+    """Ridge classifiers on +1 / -1 bits of rows of features; every fifth row only weighs the bits. None without rows."""
+    if not len(x):
         return None
     languages = sorted(set(labels))
     codes = codewords(len(languages))
-    x = np.stack([ngram_features(t) for t in texts])
     y = codes[np.searchsorted(languages, labels)]
     aside = np.arange(len(x)) % 5 == 4
-    if len(x) < 10:
+    if len(x) < 10 * len(languages):  # too few to spare any
         aside[:] = False
     a, b = x[~aside], y[~aside]
     mean = a.mean(axis=0)
@@ -108,19 +108,38 @@ def fit(texts: list[str], labels: list[str]) -> CodeModel | None:
     return CodeModel(languages, weights, bias, (trust / trust.sum()).astype(np.float32))
 
 
-def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CodeModel | None:
-    """Fits on a hash-chosen sample of (doc_id, text, lang), about ``rows_per_language`` of each.
+def _featured(batches: Iterator[pa.RecordBatch]):
+    """The features of texts with a letter, as their non-zero cells and values."""
+    for batch in common.sliced(batches, 256):
+        texts = common.column(batch, "text")
+        rows = np.array([i for i, t in enumerate(texts) if has_letter(t)], np.int64)
+        found = [ngram_features(texts[i]) for i in rows]
+        cells = [np.flatnonzero(x).astype(np.int16) for x in found]
+        values = [x[c] for x, c in zip(found, cells, strict=True)]
+        kept = batch.take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), pa.array(cells, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "h", "cells", "values"])
 
-    The sample is what bounds the driver's memory: at most LANGUAGES times that many rows.
+
+def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, fit_rows: int = FIT_ROWS) -> CodeModel | None:
+    """Fits on a hash-chosen sample of (doc_id, text, lang), about ``rows_per_language`` of each language.
+
+    Every language is learned. With more of them than fit_rows / rows_per_language each one's part is
+    the smaller. The driver gets features of at most CELLS cells a row and the languages' names, no text.
     """
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, rows_per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000
-    rows = docs.where(drawn).select("text", "lang", F.xxhash64("doc_id", F.lit("order")).alias("h")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
-    pairs = [(t, k) for t, k in zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), strict=True) if has_letter(t)]
-    return fit([t for t, _ in pairs], [k for _, k in pairs])
+    most = max(1, min(rows_per_language, fit_rows // len(sizes)))
+    # draws a half more than is wanted and then cuts, so that a rare language is not missed by chance
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, (1.5 * most + 10) / n)) for k, n in sizes.items()], "of_lang string, share double")
+    rows = docs.join(F.broadcast(share), F.col("lang") == F.col("of_lang")).where(F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit("order")), "text"))  # of few rows
+    rows = rows.withColumn("place", place).where(F.col("place") <= most).select("text", "lang", F.xxhash64("doc_id", "text", F.lit("order")).alias("h"))
+    found = rows.mapInArrow(_featured, "lang string, h long, cells array<smallint>, values array<float>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    x = np.zeros((found.num_rows, CELLS), np.float32)
+    for i, (c, v) in enumerate(zip(found.column("cells"), found.column("values"), strict=True)):
+        x[i, c.values.to_numpy()] = v.values.to_numpy()
+    return fit(x, found.column("lang").to_pylist())
 
 
 def _predictor(shared):
