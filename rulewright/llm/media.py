@@ -111,7 +111,9 @@ def _writer(directory: str):
                     at += struct.calcsize(_HEAD) + len(stored)
                     n += 1
             out.write(struct.pack(f"<{len(marks)}Q", *marks) + struct.pack(_TAIL, len(marks), at, b"RWIX"))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], names=["archive", "members", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([marks], pa.list_(pa.int64()))], names=["archive", "members", "bytes", "marks"]
+        )
 
     return run
 
@@ -119,13 +121,15 @@ def _writer(directory: str):
 def write_archives(docs: DataFrame, directory: str) -> tuple[int, int]:
     """Writes (doc_id, text) rows as archives, one for each partition; (members, bytes).
 
-    The archives of the attempts that counted are named in a listing, which readers go by.
+    The archives of the attempts that counted are named in a listing with the offsets of their
+    byte ranges, which readers go by: planning a read opens the listing and no archive.
     """
     store, base = _open(directory)
     store.create_dir(base, recursive=True)
-    made = docs.mapInArrow(_writer(directory), "archive string, members long, bytes long").collect()  # a row for each partition
+    made = docs.mapInArrow(_writer(directory), "archive string, members long, bytes long, marks array<long>").collect()  # a row for each partition
     with store.open_output_stream(f"{base}/{LISTING}") as out:
-        out.write("\n".join(sorted(r["archive"] for r in made if r["members"])).encode())
+        lines = sorted(" ".join(map(str, [*r["marks"], r["bytes"], r["archive"]])) for r in made if r["members"])
+        out.write("\n".join(lines).encode())
     return sum(r["members"] for r in made), sum(r["bytes"] for r in made)
 
 
@@ -137,7 +141,7 @@ class MediaSource(DataSource):
         return "rulewright_media"
 
     def schema(self) -> str:
-        return "doc_id long, n_bytes long, media binary, archive string, offset long"
+        return "doc_id long, n_bytes long, media binary, archive string, offset long, stored_bytes long, stored_crc32 long"
 
     def reader(self, schema) -> "MediaReader":
         return MediaReader(self.options["path"])
@@ -157,10 +161,11 @@ class MediaReader(DataSourceReader):
         out = []
         if store.get_file_info(f"{base}/{LISTING}").type == fs.FileType.File:
             with store.open_input_file(f"{base}/{LISTING}") as f:
-                found = store.get_file_info(f.read().decode().splitlines())
-        else:
-            found = sorted(store.get_file_info(fs.FileSelector(base)), key=lambda i: i.path)
-        for info in found:
+                for line in f.read().decode().splitlines():
+                    *marks, archive = line.split(" ", line[: line.index("/")].count(" "))
+                    out += [ByteRange(archive, int(a), int(b)) for a, b in zip(marks, marks[1:], strict=False)]
+            return out or [ByteRange("", 0, 0)]
+        for info in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda i: i.path):  # a folder without a listing
             if info.path.endswith(".rwa"):
                 with store.open_input_file(info.path) as f:
                     f.seek(info.size - struct.calcsize(_TAIL))
@@ -179,8 +184,8 @@ class MediaReader(DataSourceReader):
         members, held, rows = MemberReader(store, partition.archive), 0, []
         at = partition.start
         while at < partition.end:
-            key, size, media, after = members.member(at)
-            rows.append((key, size, media, partition.archive, at))
+            key, size, media, after, stored, crc = members.member(at)
+            rows.append((key, size, media, partition.archive, at, stored, crc))
             held += len(media)
             at = after
             if held >= BATCH_BYTES:
@@ -191,8 +196,8 @@ class MediaReader(DataSourceReader):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "media", "archive", "offset"])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "media", "archive", "offset", "stored_bytes", "stored_crc32"])
 
 
 class MemberReader:
@@ -202,8 +207,8 @@ class MemberReader:
         self.store, self.archive, self.tries, self.wait_s = store, archive, tries, wait_s
         self.file, self.unpack = None, zstandard.ZstdDecompressor()
 
-    def member(self, offset: int) -> tuple[int | None, int, bytes, int]:
-        """(id, length of the text, WAV bytes, offset of the next member)."""
+    def member(self, offset: int) -> tuple[int | None, int, bytes, int, int, int]:
+        """(id, length of the text, WAV bytes, offset of the next member, length and CRC of what is stored)."""
         for k in range(self.tries):
             try:
                 return self._read(offset)
@@ -225,7 +230,7 @@ class MemberReader:
         stored = self.file.read(n) if magic == b"RWM1" else b""
         if magic != b"RWM1" or len(stored) != n or zlib.crc32(stored) != crc:
             raise ValueError(f"a damaged member at {offset} of {self.archive}")
-        return (key if has_id else None), size, self.unpack.decompress(stored), offset + struct.calcsize(_HEAD) + n
+        return (key if has_id else None), size, self.unpack.decompress(stored), offset + struct.calcsize(_HEAD) + n, n, crc
 
 
 def _described(batches: Iterator[pa.RecordBatch]):
@@ -242,13 +247,15 @@ def _described(batches: Iterator[pa.RecordBatch]):
                 pa.array([len(m) for m in media], pa.int64()),
                 pa.array([hashlib.sha256(m).hexdigest() for m in media]),
                 pa.array([features(s) for s in samples]),
+                batch.column(3),
+                batch.column(4),
             ],
-            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stored_bytes", "stored_crc32"],
         )
 
 
 def read_media(spark: SparkSession, directory: str) -> DataFrame:
-    """doc_id, n_bytes, media, archive, offset of every member of an archive directory."""
+    """doc_id, n_bytes, media, archive, offset, stored_bytes, stored_crc32 of every member of an archive directory."""
     spark.dataSource.register(MediaSource)
     return spark.read.format("rulewright_media").option("path", directory).load()
 
@@ -257,12 +264,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: what its stored media holds and its features.
 
     The archives go to ``directory``, by default a new one in the shared folder, and stay there
-    as the result reads them. A null text counts as empty, which gives 192 blanks. Null ids
+    as the result reads them. ``media_bytes`` and ``media_sha256`` are of the WAV file, the media that a
+    reader gets back; ``stored_bytes`` and ``stored_crc32`` are of the zstd frame that it lies in on disk. A null text counts as empty, which gives 192 blanks. Null ids
     and repeated rows are stored and returned as they are; equal texts give equal values. An
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     directory = directory or f"{common.shared_dir(spark)}/rulewright/media-{uuid.uuid4().hex}"
     write_archives(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), directory)
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return read_media(spark, directory).mapInArrow(_described, kinds)
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stored_bytes long, stored_crc32 long"
+    return read_media(spark, directory).select("doc_id", "n_bytes", "media", "stored_bytes", "stored_crc32").mapInArrow(_described, kinds)
