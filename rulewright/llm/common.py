@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Rows up to which a two-column key table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -29,17 +30,30 @@ _PINV = U64(pow(int(_P), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of our own in local mode only.
+
+    Where it is unset and the master is not local, a RuntimeError says so: a folder of the
+    driver's machine is none that executors can see.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="rulewright-")
-        if not held.isDefined():
+        if held.isDefined():
+            found = held.get()
+        elif is_local(sc.master):
+            found = "file://" + tempfile.mkdtemp(prefix="rulewright-")
             sc.setCheckpointDir(found)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; ``path`` is kept for discard()."""
     spark = df.sparkSession
@@ -64,6 +78,54 @@ def small_or_shuffled(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def row_key(text_col: str = "text") -> Column:
+    """64-bit key of a row's text; with the id it tells apart rows that differ in more than other columns."""
+    return F.xxhash64(F.col(text_col)).alias("row_key")
+
+
+def one_of_each(docs: DataFrame, decided: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, row_key, kept, ``group``) keeps, one for each group.
+
+    Rows are told apart by id and text, so a text that shares its id with a dropped one stays.
+    Where several rows of a group are kept, as ids repeat or are null, the one with the
+    smallest key of its text stays, and of rows that repeat id and text the smallest by their
+    other columns (columns without an order must be alike). Rows without a group stay. What is
+    dropped is joined by id and key; columns of ``docs`` cannot clash with it.
+    """
+    decided = staged(decided.select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), "kept", F.col(group).alias("of_group")), "decided")
+    many = decided.where("kept and of_group is not null").groupBy("of_group").agg(F.min("of_key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    many = staged(many.select(F.col("of_group").alias("g"), "least"), "ties")
+    ties = decided.where("kept").join(small_or_shuffled(many), F.col("of_group") == F.col("g"))
+    dropped = decided.where("not kept").select("of_id", "of_key").unionByName(ties.where("of_key <> least").select("of_id", "of_key"))
+    dropped = small_or_shuffled(staged(dropped.distinct(), "dropped"))
+    match = docs[id_col].cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(docs[text_col]) == F.col("of_key"))
+    left = docs.join(dropped, match, "left_anti")
+    again = staged(ties.where("of_key = least").groupBy("of_id", "of_key").count().where("count > 1").select("of_id", "of_key"), "repeated")
+    if again.isEmpty():
+        return left
+    again = small_or_shuffled(again)
+    ordered = [c.name for c in docs.schema if not isinstance(c.dataType, (MapType, VariantType))]
+    whole, order = F.struct(*[docs[c] for c in docs.columns]), F.struct(*[docs[c] for c in ordered])
+    copies = left.join(again, match).select("of_id", "of_key", whole.alias("row_of"), order.alias("order_of"))
+    one = copies.groupBy("of_id", "of_key").agg(F.min_by("row_of", "order_of").alias("row_of")).select("row_of.*")
+    return left.join(again, match, "left_anti").unionByName(one)
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, match, size: str, total: int) -> DataFrame:
+    """``rows`` left-joined to ``keys`` (one row a key), without a task that gets a hot key's rows.
+
+    ``size`` is the column of ``keys`` that counts the rows of a key and ``total`` their sum. Few
+    keys are broadcast. Of many, those with at least total / BROADCAST_ROWS rows are: there are
+    at most BROADCAST_ROWS of them. What is left has no hot key and is shuffled.
+    """
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), match, "left")
+    hot = F.col(size) * BROADCAST_ROWS >= total
+    few = F.broadcast(keys.where(hot))
+    cold = rows.join(few, match, "left_anti").join(keys.where(~hot), match, "left")
+    return rows.join(few, match).unionByName(cold)
+
+
 def lowered_ascii(text: str) -> bytes:
     """UTF-8 with only A-Z lower-cased and ASCII white space made blanks."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER)

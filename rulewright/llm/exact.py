@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import small_or_shuffled, staged
+from .common import spread_join, staged
 
 RADIX = 4
 #: Records that a partition holds after the last round, about.
@@ -49,8 +49,8 @@ def _digests(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         texts = [normalised(t) for t in common.column(batch, "text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
-            names=["doc_id", "digest", "n_bytes"],
+            [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), *batch.columns[2:]],
+            names=["doc_id", "digest", "n_bytes", *batch.schema.names[2:]],
         )
 
 
@@ -168,20 +168,24 @@ def tree_merge(digests: DataFrame, radix: int = RADIX, records: int = RECORDS) -
     return runs
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_key: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``docs``.
 
+    With ``row_key`` also ``row_key``, which ``common.row_key`` gives for the row.
+
     Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one blank; a
     null text counts as empty. Of equal texts the smallest id stays. Rows that repeat that id
     and text cannot be told apart and are all marked as kept. Null ids come last: such a row
     stays only if all ids of its group are null, and keep_id is then null. An id of
     2**63 - 1 counts as null. An empty table gives an empty result; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digests = staged(docs.mapInArrow(_digests, "doc_id long, digest binary, n_bytes long"), "digests")
+    keys = [common.row_key(text_col)] if row_key else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys)
+    digests = staged(docs.mapInArrow(_digests, "doc_id long, digest binary, n_bytes long" + ", row_key long" * row_key), "digests")
     groups = staged(tree_merge(digests), "groups")
-    repeated = small_or_shuffled(groups.where("group_size > 1"))
-    out = digests.join(repeated, ["digest", "n_bytes"], "left")
+    repeated = groups.where("group_size > 1").withColumnsRenamed({"digest": "of_digest", "n_bytes": "of_bytes"})
+    match = (F.col("digest") == F.col("of_digest")) & (F.col("n_bytes") == F.col("of_bytes"))
+    out = spread_join(digests, repeated, match, "group_size", digests.count())
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",
@@ -189,6 +193,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["row_key"] if row_key else []),
     )
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, SpanHashes, chunks, discard, lowered_ascii, mixed, small_or_shuffled, staged
+from .common import U64, SpanHashes, chunks, discard, lowered_ascii, mixed, small_or_shuffled, spread_join, staged
 
 PERMS = 96
 ROWS = 6
@@ -45,6 +45,7 @@ SMALL_BUCKET = 32
 #: Shingles that a tile of a family holds, about.
 TILE_SHINGLES = 150_000
 
+
 def _constants(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
@@ -100,7 +101,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch], perms: int, rows: int, words: int):
-    """doc_id, n_shingles, node, bands; bands only at a set's first row in this task."""
+    """doc_id, n_shingles, node, bands, row_key; bands only at a set's first row in this task."""
     seen: set[int] = set()
     for batch in common.sliced(batches):
         ids = common.column(batch, "doc_id")
@@ -129,8 +130,8 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], perms: int, rows: int,
                         n_held = 0
         flush()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "bands"],
+            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)],
+            names=["doc_id", "n_shingles", "node", "bands", "row_key"],
         )
 
 
@@ -211,21 +212,22 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     Alternates large-star and small-star contractions, each a grouped minimum and a join,
     until the edges are stars: no node has two centres, and no centre has one. Every round is
     staged. As an edge always points to a smaller node, a star's centre is its smallest node.
+    A node's edges meet its minimum by ``spread_join``, so a centre with very many of them is
+    no task's own. Links with a null end are none, and an empty table gives an empty result.
     """
     edges = staged(links.select("a", "b").where("a <> b").distinct(), name)
-    while True:
+    n = edges.count()
+    while n:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("low", F.col("a")).alias("b"))
         large = staged(large.where("a <> b").distinct(), name)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("a").alias("x")))).alias("p"), "low")
+        small = _with_least(down, 2 * n).select(F.explode(F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("a").alias("x")))).alias("p"), "low")
         small = small.select(F.col("p.x").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         after = staged(small, name)
         roles = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"))))
         nodes = after.select(roles.alias("r")).groupBy("r.x").agg(F.sum("r.out").alias("out"), F.max("r.into").alias("into"))
-        unfinished = nodes.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)"))).first()[0]
+        unfinished, n = nodes.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)")), F.coalesce(F.sum("out"), F.lit(0))).first()
         discard(edges, large)
         edges = after
         if not unfinished:
@@ -234,6 +236,14 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     return out.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _with_least(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (a, b), at most ``most`` of them, with the smallest b of each a as ``low``."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree")).withColumnRenamed("a", "of_a")
+    if most <= common.BROADCAST_ROWS:  # there are no more nodes than edges here
+        return edges.join(F.broadcast(low), F.col("a") == F.col("of_a"))
+    return spread_join(edges, low, F.col("a") == F.col("of_a"), "degree", most)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -252,27 +262,32 @@ def near_duplicates(
     perms: int = PERMS,
     rows: int = ROWS,
     words: int = WORDS,
+    row_key: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
+    With ``row_key`` also ``component`` (null without a shingle) and ``row_key``, which
+    ``common.row_key`` gives for the row.
+
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A null or empty text, or one of white
     space only, has no shingle and is its own component. Rows with equal texts, repeated rows
     among them, share a component. A row without id belongs to its component but never names
     it; it stays only if no row of its component has an id. An empty table gives an empty
     result; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), common.row_key(text_col))
     sig = staged(
-        docs.mapInArrow(partial(_signature_batches, perms=perms, rows=rows, words=words), "doc_id long, n_shingles long, node long, bands array<long>"), "signatures"
+        docs.mapInArrow(partial(_signature_batches, perms=perms, rows=rows, words=words), "doc_id long, n_shingles long, node long, bands array<long>, row_key long"), "signatures"
     )
     member = sig.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
     shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("bucket", "lead")
     member = staged(member.join(shared, "bucket").distinct(), "buckets")
 
     wanted = member.select("node").distinct()
-    wanted = sig.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id"))
-    wanted = staged(wanted, "candidates")
-    found = docs.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+    # one row for each set, found by id and text: an id or a null that repeats finds its own texts only
+    wanted = sig.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("w"))
+    wanted = staged(wanted.select("node", F.col("w.doc_id").alias("wanted_id"), F.col("w.row_key").alias("wanted_key")), "candidates")
+    found = docs.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("node", "text")
     sets = staged(found.mapInArrow(partial(_set_batches, words=words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     first = member.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -291,14 +306,15 @@ def near_duplicates(
     links = links.union(more).union(_family_links(open_rows.where(F.col("n") > SMALL_BUCKET), sets, threshold))
     comp = staged(components(links), "components")
 
-    named = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")).join(comp, "node", "left")
-    named = staged(named.select("node", F.coalesce("comp", "node").alias("comp"), "first_id"), "names")
+    named = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).join(comp, "node", "left")
+    named = staged(named.select("node", F.coalesce("comp", "node").alias("comp"), "first_id", "copies"), "names")
     # only sets that are linked or repeated need a name from elsewhere
     label = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(label, "comp").select("node", "component_id")
-    out = sig.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = staged(named.join(label, "comp").select(F.col("node").alias("of_node"), "comp", "component_id", "copies"), "named")
+    out = spread_join(sig.select("doc_id", "n_shingles", "node", "row_key"), named, F.col("node") == F.col("of_node"), "copies", sig.count())
     found_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", found_id.alias("component_id"), F.coalesce(F.col("doc_id") == found_id, found_id.isNull()).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == found_id, found_id.isNull()).alias("kept")
+    return out.select("doc_id", "n_shingles", found_id.alias("component_id"), kept, *([F.col("comp").alias("component"), "row_key"] if row_key else []))
 
 
 def _family_links(open_rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
