@@ -24,8 +24,9 @@ from .common import U64, SpanHashes, chunks
 
 CELLS = 1 << 20
 PREFIXES = (4, 5, 6)
-#: Bound of the sample that the model is fitted on.
+#: Bounds of the sample that the model is fitted on: rows, and cells of all its rows together.
 FIT_ROWS = 8_000
+FIT_CELLS = 20_000_000
 #: A hashed word counts in the fit if as many sampled texts have it, and if the chi-square of
 #: its presence against the grades is at least this.
 LEAST_TEXTS = 8
@@ -99,6 +100,41 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-(scores[:, None] - self.thresholds[None]).clip(-30, 30)))
 
 
+def useful(of_cell: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which cells count in the fit, by the texts of every grade that have each and the texts of every grade."""
+    n = int(sizes.sum())
+    seen, chi2 = of_cell.sum(axis=0), np.zeros(of_cell.shape[1])
+    for g, size in enumerate(sizes):
+        expected = seen * (max(size, 1) / max(n, 1))
+        chi2 += (of_cell[g] - expected) ** 2 / np.maximum(expected, 1e-9)
+    used = (seen >= min(least, max(1, n // 20))) & (chi2 >= min(LEAST_CHI2, n / 20))
+    used[:256] = True
+    return used
+
+
+def objective(p: np.ndarray, row: np.ndarray, column: np.ndarray, scale: np.ndarray, grades: np.ndarray, importance: np.ndarray, n_grades: int) -> tuple[float, np.ndarray]:
+    """Weighted negative log likelihood with weight decay, and its gradient.
+
+    ``p`` holds a weight for each name, the first threshold, and the logarithms of the steps to the
+    next ones; (row, column) are the cells of the texts by place.
+    """
+    n, k, size = len(grades), n_grades - 1, len(scale)
+    w, steps = p[:size], np.exp(p[size + 1 :])
+    t = p[size] + np.concatenate(([0], np.cumsum(steps)))
+    s = np.bincount(row, (w * scale)[column], minlength=n)
+    cdf = np.column_stack((np.zeros(n), 1 / (1 + np.exp(-(t[None] - s[:, None]).clip(-30, 30))), np.ones(n)))
+    every = np.arange(n)
+    mass = np.maximum(cdf[every, grades + 1] - cdf[every, grades], 1e-12)
+    slope = cdf * (1 - cdf)
+    hi, lo = slope[every, grades + 1], slope[every, grades]
+    by_score = importance * (hi - lo) / mass
+    by_t = np.zeros(k)
+    for j in range(k):
+        by_t[j] = -(importance * np.where(grades == j, slope[:, j + 1], np.where(grades == j + 1, -slope[:, j + 1], 0)) / mass).sum()
+    g = np.concatenate((np.bincount(column, by_score[row], minlength=size) * scale + DECAY * w, [by_t.sum()], by_t[::-1].cumsum()[::-1][1:] * steps))
+    return float(-(importance * np.log(mass)).sum() + DECAY / 2 * (w * w).sum()), g
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cells: int = CELLS, least: int = LEAST_TEXTS) -> OrdinalModel:
     """Maximum likelihood with weight decay, by full-batch Adam; without rows all tails are 1/2 or less."""
     weights = np.zeros(cells, np.float32)
@@ -106,17 +142,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cell
         return OrdinalModel(weights, np.arange(n_grades - 1, dtype=np.float64))
     sizes = np.array([len(r) for r in rows])
     column, row = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    share = np.maximum(np.bincount(grades, minlength=n_grades), 1) / len(rows)
-    seen = np.bincount(column, minlength=cells)
-    chi2 = np.zeros(cells)
-    for g in range(n_grades):
-        expected = seen * share[g]
-        chi2 += (np.bincount(column[(grades == g)[row]], minlength=cells) - expected) ** 2 / np.maximum(expected, 1e-9)
-    used = (seen >= min(least, max(1, len(rows) // 20))) & (chi2 >= min(LEAST_CHI2, len(rows) / 20))
-    used[:256] = True
+    of_cell = np.stack([np.bincount(column[(grades == g)[row]], minlength=cells) for g in range(n_grades)])
+    used = useful(of_cell, np.bincount(grades, minlength=n_grades), least)
     keep = used[column]
     column, row = column[keep], row[keep]
-    del keep, seen, chi2
+    del keep, of_cell
     names, column = np.unique(column, return_inverse=True)
     scale = np.where(names < 256, SHAPE_SCALE, 1.0)
     n, k = len(rows), n_grades - 1
@@ -128,18 +158,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cell
     importance = np.sqrt(balance)[grades]
     importance /= importance.sum()
     for step in range(1, STEPS + 1):
-        w, steps = p[: len(names)], np.exp(p[len(names) + 1 :])
-        t = p[len(names)] + np.concatenate(([0], np.cumsum(steps)))
-        s = np.bincount(row, (w * scale)[column], minlength=n)
-        cdf = np.column_stack((np.zeros(n), 1 / (1 + np.exp(-(t[None] - s[:, None]).clip(-30, 30))), np.ones(n)))
-        mass = np.maximum(cdf[np.arange(n), grades + 1] - cdf[np.arange(n), grades], 1e-12)
-        slope = cdf * (1 - cdf)
-        hi, lo = slope[np.arange(n), grades + 1], slope[np.arange(n), grades]
-        by_score = importance * (hi - lo) / mass  # of the negative log likelihood
-        by_t = np.zeros(k)
-        for j in range(k):
-            by_t[j] = -(importance * np.where(grades == j, slope[:, j + 1], np.where(grades == j + 1, -slope[:, j + 1], 0)) / mass).sum()
-        g = np.concatenate((np.bincount(column, by_score[row], minlength=len(names)) * scale + DECAY * w, [by_t.sum()], by_t[::-1].cumsum()[::-1][1:] * steps))
+        _, g = objective(p, row, column, scale, grades, importance, n_grades)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     weights[names] = p[: len(names)] * scale
@@ -147,9 +166,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, cell
 
 
 def _featured(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+    for batch in common.sliced(batches):
         cells = [c.astype(np.int32) for _, c in text_features(common.column(batch, "text"))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["grade", "cells"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(cells, pa.list_(pa.int32()))], names=["grade", "h", "cells"])
+
+
+def _pruned(used: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            values, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            keep = used[values]
+            before = np.concatenate(([0], np.cumsum(keep)))
+            cells = pa.ListArray.from_arrays(pa.array(before[at] - before[at[0]], pa.int32()), pa.array(values[at[0] : at[-1]][keep[at[0] : at[-1]]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], names=["grade", "h", "cells"])
+
+    return run
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -162,19 +193,33 @@ def graded(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def learn(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fits on about ``fit_rows`` labelled rows, chosen by a hash of their ids."""
+def learn(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, fit_cells: int = FIT_CELLS) -> OrdinalModel:
+    """Fits on about ``fit_rows`` labelled rows, chosen by a hash of their ids.
+
+    If their texts are so long that they have more than ``fit_cells`` features together, fewer
+    rows are taken. The driver gets the counts of at most CELLS cells, and of the rows only the cells that
+    count in the fit.
+    """
     n = grades.count()
     drawn = grades.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(n, 1))) + 1)
     # at most fit_rows rows and a few in a thousand more: bounded by the parameter
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
-    found = rows.mapInArrow(_featured, "grade int, cells array<int>").toArrow()
-    grades = np.asarray(found.column("grade")).astype(np.int64)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade", F.xxhash64("doc_id", F.lit("fit")).alias("h"))
+    rows = common.staged(rows.mapInArrow(_featured, "grade int, h long, cells array<int>"), "features")
+    total = rows.agg(F.sum(F.size("cells"))).first()[0] or 0
+    if total > fit_cells:
+        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * fit_cells / total))
+    sizes = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    counts = rows.select("grade", F.explode("cells").alias("cell")).groupBy("cell").agg(*[F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]).toArrow()
+    of_cell = np.zeros((GRADES, CELLS))
+    for g in range(GRADES):
+        of_cell[g, counts.column("cell").to_numpy()] = counts.column(f"g{g}").to_numpy()
+    used = useful(of_cell, np.array([sizes.get(g, 0) for g in range(GRADES)]), LEAST_TEXTS)
+    found = rows.mapInArrow(_pruned(used), "grade int, h long, cells array<int>").toArrow()
     parts = []
     for chunk in found.column("cells").chunks:
         values, at = np.asarray(chunk.values), np.asarray(chunk.offsets)
         parts += [values[a:b] for a, b in zip(at, at[1:], strict=False)]
-    return fit(parts, grades)
+    return fit(parts, np.asarray(found.column("grade")).astype(np.int64))
 
 
 def _scorer(shared):
