@@ -8,8 +8,9 @@ score of a node as heuristic; as that score is exact, paths are popped in order
 
 Two facts keep whole texts cheap. Between two characters that no piece has side by side every
 path has a node, so the lattice falls apart into short segments, which are worked out once for
-each distinct segment of a block of texts, by a Viterbi pass over all of them at once that keeps
-the best and second-best score. And the N best paths of a text differ from the best one only in
+each distinct segment (by a 64-bit hash: two different ones among n are confused with a
+probability of about n**2 / 2**65) of a block of texts, by a Viterbi pass over all of them at once that
+keeps the best and second-best score. And the N best paths of a text differ from the best one only in
 the N - 1 segments with the smallest gaps between those two, so only those need the search.
 """
 
@@ -21,8 +22,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .common import U64, SpanHashes
@@ -346,16 +348,14 @@ def _encoded(shared, n: int):
         encoder = _encoder(shared, n)
         for batch in common.sliced(batches):
             texts = common.column(batch, "text")
-            names, held, rows = common.column(batch, "doc_id"), 0, []
+            first, held, rows = 0, 0, []
             for i, ids, scores, edits in encoder.encode(texts):
                 back = all(decode(encoder.v, applied(ids, e)) == (texts[i] or "") for e in edits)
-                rows.append((names[i], ids, len(ids), scores, [[dict(zip(_EDIT, e, strict=True)) for e in path] for path in edits], back))
+                rows.append((ids, len(ids), scores, [[dict(zip(_EDIT, e, strict=True)) for e in path] for path in edits], back))
                 held += len(ids)
-                if held > 1_000_000:
-                    yield _rows(rows, kinds)
-                    held, rows = 0, []
-            if rows:
-                yield _rows(rows, kinds)
+                if held > 1_000_000 or i + 1 == len(texts):
+                    yield _rows(batch.slice(first, len(rows)), rows, kinds)
+                    first, held, rows = i + 1, 0, []
 
     return run
 
@@ -363,13 +363,17 @@ def _encoded(shared, n: int):
 _EDIT = ("at", "length", "ids")
 
 
-def _rows(rows, kinds):
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *kinds.values()], strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *kinds])
+def _rows(batch, rows, kinds):
+    """doc_id, what was worked out, and the columns of the batch behind its text."""
+    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), *arrays, *batch.columns[2:]], names=["doc_id", *kinds, *batch.schema.names[2:]])
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST) -> DataFrame:
-    """doc_id, ids, n_pieces, scores, edits, round_trip: one row for each row of ``docs``.
+_ENCODED = "doc_id long, ids array<int>, n_pieces long, scores array<double>, edits array<array<struct<at:int,length:int,ids:array<int>>>>, round_trip boolean"
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_pieces, scores, edits, round_trip: one row for each row of ``docs``, and the columns ``carry`` of it.
 
     ``ids`` is the best segmentation of the whole text, ``scores`` those of the up to ``n`` best.
     ``edits`` has the segmentation of each score, as the places (at, length) of ``ids`` that other
@@ -380,8 +384,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_encoded(shared, n), "doc_id long, ids array<int>, n_pieces long, scores array<double>, edits array<array<struct<at:int,length:int,ids:array<int>>>>, round_trip boolean")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    return docs.mapInArrow(_encoded(shared, n), StructType([*StructType.fromDDL(_ENCODED).fields, *docs.schema.fields[2:]]))
 
 
 def path_column(encoded: DataFrame, rank: int) -> DataFrame:
