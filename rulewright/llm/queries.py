@@ -10,7 +10,8 @@ from . import common, crossentropy, exact, langid, licenses, media, merkle, minm
 #: Place of the vocabulary that texts are encoded with.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: The rule by which op1 damages records of its second replica: page_id % DAMAGE[0] = DAMAGE[1].
+#: The rule by which op1 damages records of its second replica: page_id % DAMAGE[0] = DAMAGE[1]; in
+#: turn one is altered, one is longer, one is shorter and one is missing.
 DAMAGE = (97, 13)
 
 
@@ -20,26 +21,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an archive file, audited against a replica with planted damage."""
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), merkle.warc_record(F.col("url"), F.col("html")).alias("record"))
-    damaged = F.when(F.col("record_id") % DAMAGE[0] == DAMAGE[1], F.overlay("record", F.lit("0"), F.lit(8))).otherwise(F.col("record"))
-    one = common.staged(merkle.archive_layout(pages), "replica")
-    two = common.staged(merkle.archive_layout(pages.withColumn("record", damaged)), "replica")
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), merkle.warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
+    kind = F.when(F.col("record_id") % DAMAGE[0] == DAMAGE[1], F.floor(F.col("record_id") / DAMAGE[0]) % 4)
+    damaged = F.when(kind == 0, F.overlay("record", F.lit("0"), F.lit(8))).when(kind == 1, F.concat("record", F.lit("\n"))).when(kind == 2, F.substring("record", 1, F.length("record") - 1)).otherwise(F.col("record"))
+    other = pages.where(F.coalesce(kind != 3, F.lit(True))).withColumn("record", damaged)
+    loose = merkle.loose_files(pages)
+    one, two = (common.staged(merkle.archive_layout(x, loose=loose), "replica") for x in (pages, other))
     return merkle.audit(one, two)
 
 
+def _op1_level(below: str, node: str, name: str) -> str:
+    return f"""SELECT file, {node} AS node, min(first) AS first, max(last) AS last,
+    sha256('node|' || string_agg({name}::varchar, ',' ORDER BY first) || '|' || string_agg((last - first)::varchar || ':' || hash, '|' ORDER BY first)) AS hash
+  FROM {below} GROUP BY file, {node}"""
+
+
 OP1_SQL = f"""
-WITH r AS (
-  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10)
-    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha256(coalesce(page_id::varchar, '') || '|' || coalesce(url, '')) AS s FROM pages
+), r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+    || s[1:8] || '-' || s[9:12] || '-' || s[13:16] || '-' || s[17:20] || '-' || s[21:32] || '>' || chr(13) || chr(10) || 'WARC-Date: {merkle.NO_DATE}' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::varchar
+    || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM p
 ), l AS (
   SELECT page_id AS record_id, sha256(record) AS digest, strlen(record)::bigint AS length, count(*) AS copies FROM r GROUP BY 1, 2, 3
 ), f AS (
-  SELECT *, coalesce(floor(record_id / {merkle.FILE_RECORDS}.0), -1)::bigint AS file FROM l
+  SELECT *, (record_id // {merkle.FILE_RECORDS})::bigint AS file FROM l
+), o AS (
+  SELECT *, row_number() OVER w - 1 AS leaf, coalesce(sum(length * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset"
+  FROM f WINDOW w AS (PARTITION BY file ORDER BY record_id NULLS FIRST, digest)
+), n AS (
+  SELECT file, record_id % {merkle.FILE_RECORDS} AS node, record_id, "offset" AS first, "offset" + length * copies AS last,
+    sha256('leaf|' || record_id || '|' || length || '|' || copies || '|' || digest) AS hash FROM o
+), n0 AS ({_op1_level("n", "node", "record_id")}
+), n1 AS ({_op1_level("n0", f"node // {merkle.FANOUT}", "node")}
+), n2 AS ({_op1_level("n1", f"node // {merkle.FANOUT}", "node")}
+), n3 AS ({_op1_level("n2", f"node // {merkle.FANOUT}", "node")}
 )
-SELECT file, row_number() OVER w - 1 AS leaf, coalesce(sum(length * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset",
-  length, record_id, digest, copies, coalesce(record_id % {DAMAGE[0]} <> {DAMAGE[1]}, true) AS intact
-FROM f WINDOW w AS (PARTITION BY file ORDER BY record_id NULLS FIRST, digest)
+SELECT o.file, leaf, "offset", length, record_id, digest, copies, n3.hash AS root,
+  CASE WHEN record_id % {DAMAGE[0]} <> {DAMAGE[1]} THEN 'intact' WHEN record_id // {DAMAGE[0]} % 4 = 3 THEN 'missing' ELSE 'damaged' END AS status,
+  coalesce(record_id % {DAMAGE[0]} <> {DAMAGE[1]}, true) AS intact
+FROM o JOIN n3 USING (file)
 """
 
 
@@ -52,7 +75,47 @@ def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    """Every document's place in the mixture; weights to nine decimals, as engines differ in the last digit of a power."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+OP4_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY 1
+), w AS (
+  SELECT source, n, pow(n::double, {mixing.TEMPERATURE}) / sum(pow(n::double, {mixing.TEMPERATURE})) OVER () AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c
+), l AS (
+  SELECT list(w ORDER BY i) AS w, greatest({mixing.PERIOD}, 8 * count(*), ceil(min(ceil(n / {mixing.BLOCK_ROWS}.0) / w)))::bigint AS q FROM w
+), sim AS (
+  SELECT 0::bigint AS t, [0::bigint FOR x IN w] AS done, 0::bigint AS pick, 0::bigint AS k, w, q FROM l
+  UNION ALL
+  SELECT t + 1, [CASE WHEN j = p THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(w) + 1)], p, done[p], w, q FROM (
+    SELECT *, list_position(due, list_min(due))::bigint AS p FROM (
+      SELECT t, done, w, q, [CASE WHEN floor(done[j] / w[j] + {mixing.NEAR}) <= t THEN ceil((done[j] + 1) / w[j] - {mixing.NEAR}) ELSE 'infinity'::double END FOR j IN range(1, len(w) + 1)] AS due
+      FROM sim WHERE t < q
+    )
+  )
+), slots AS (
+  SELECT pick AS i, k, t - 1 AS o FROM sim WHERE t > 0
+), offsets AS (
+  SELECT * FROM slots
+  UNION ALL
+  SELECT w.i, 0, l.q + row_number() OVER (ORDER BY w.i) - 1 FROM w, l WHERE w.i NOT IN (SELECT i FROM slots)
+), period AS (
+  SELECT max(o) + 1 AS len FROM offsets
+), known AS (
+  SELECT w.i, w.source, w.w, count(*) AS pp FROM w JOIN offsets USING (i) GROUP BY 1, 2, 3
+), r AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || md5('mix' || coalesce(doc_id::varchar, ''))[1:15])::bigint, doc_id) - 1 AS row_no FROM documents
+), b AS (
+  SELECT r.*, known.i, known.w, pp, row_no // {mixing.BLOCK_ROWS} AS block_no, row_no // {mixing.BLOCK_ROWS} % pp AS kk FROM r JOIN known ON r.source IS NOT DISTINCT FROM known.source
+)
+SELECT doc_id, source, round(b.w, 9) AS weight, row_no::bigint AS row_no, block_no::bigint AS block_no,
+  (block_no // pp * len + CASE WHEN o >= q THEN q ELSE floor(kk / b.w + {mixing.NEAR}) END)::bigint AS release,
+  (block_no // pp * len + CASE WHEN o >= q THEN len ELSE ceil((kk + 1) / b.w - {mixing.NEAR}) END)::bigint AS deadline,
+  (block_no // pp * len + o)::bigint AS slot
+FROM b JOIN offsets ON b.i = offsets.i AND b.kk = offsets.k, period, l
+"""
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +133,66 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored for likeness to the ones labelled good and not toxic."""
     clean = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return crossentropy.score(_table(spark, sf_dir, "documents"), clean, least_vocabulary=0)
+    out = crossentropy.score(_table(spark, sf_dir, "documents"), clean, least_vocabulary=0)
+    # six decimals: engines add in different orders
+    return out.select("doc_id", "n_tokens", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "difference")])
+
+
+def _op8_loss(side: str) -> str:
+    p1 = f"(coalesce(u.{side}, 0) + {crossentropy.SMOOTH}) / (n.{side} + {crossentropy.SMOOTH} * n.v)"
+    context = f"CASE WHEN t.pos = 1 THEN n.{side}_texts ELSE coalesce(c.{side}, 0) END"
+    return f"-log2({crossentropy.BIGRAM} * (coalesce(b.{side}, 0) + {p1}) / ({context} + 1) + {1 - crossentropy.BIGRAM} * {p1})"
+
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) AS is_target,
+    [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents
+), t AS (
+  SELECT rn, is_target, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM d
+), t2 AS (
+  SELECT *, lag(w) OVER (PARTITION BY rn ORDER BY pos) AS prev FROM t
+), u AS (
+  SELECT w, count(*) FILTER (WHERE is_target) AS target, count(*) FILTER (WHERE NOT is_target) AS background FROM t GROUP BY w
+), b AS (
+  SELECT prev, w, count(*) FILTER (WHERE is_target) AS target, count(*) FILTER (WHERE NOT is_target) AS background FROM t2 GROUP BY prev, w
+), n AS (
+  SELECT sum(target) AS target, sum(background) AS background, count(*) AS v,
+    (SELECT count(*) FROM d WHERE is_target AND len(words) > 0) AS target_texts, (SELECT count(*) FROM d WHERE NOT is_target AND len(words) > 0) AS background_texts FROM u
+), s AS (
+  SELECT t.rn, avg({_op8_loss("target")}) AS target_loss, avg({_op8_loss("background")}) AS background_loss
+  FROM t2 t JOIN u ON t.w = u.w JOIN b ON t.w = b.w AND t.prev IS NOT DISTINCT FROM b.prev LEFT JOIN u c ON t.prev = c.w, n GROUP BY t.rn
+)
+SELECT doc_id, len(words)::bigint AS n_tokens, round(target_loss, 6) + 0.0 AS target_loss, round(background_loss, 6) + 0.0 AS background_loss,
+  round(target_loss - background_loss, 6) + 0.0 AS difference
+FROM d LEFT JOIN s USING (rn)
+"""
 
 
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rn, doc_id,
+    [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS words FROM documents
+), s AS (
+  SELECT DISTINCT rn, array_to_string(words[k : k + 4], ' ') AS shingle FROM (SELECT rn, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM d WHERE len(words) > 0)
+), n AS (
+  SELECT rn, count(*) AS size FROM s GROUP BY rn
+), links AS (
+  SELECT a.rn AS x, b.rn AS y FROM s a JOIN s b USING (shingle) JOIN n na ON a.rn = na.rn JOIN n nb ON b.rn = nb.rn WHERE a.rn <> b.rn
+  GROUP BY a.rn, b.rn, na.size, nb.size HAVING 100 * count(*) >= 85 * (na.size + nb.size - count(*))
+), reach AS (
+  SELECT rn AS x, rn AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), c AS (
+  SELECT x AS rn, min(e.doc_id) AS component_id FROM reach JOIN d e ON reach.y = e.rn GROUP BY x
+)
+SELECT doc_id, coalesce(n.size, 0)::bigint AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (rn) LEFT JOIN n USING (rn)
+"""
+
+
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -103,5 +219,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_merkle_fixity": OP1_SQL,
+    "op4_pfair_mixing": OP4_SQL,
     "op7_exact_duplicates": exact.ORACLE,
+    "op8_cross_entropy": OP8_SQL,
+    "op9_minmax_near_duplicates": OP9_SQL,
 }

@@ -1,6 +1,8 @@
 """Each operator on the small tables against a plain Python version of what it must return."""
 
 import hashlib
+import heapq
+import math
 import random
 import re
 import zlib
@@ -47,6 +49,60 @@ def test_merkle_root_covers_order_and_offsets(spark):
     assert [(r["file"], r["node"]) for r in merkle.differing_leaves(*trees, 4).collect()] == [(0, 21)]
 
 
+BASE = [(i, f"record number {i} body") for i in range(200)]
+ALTERED = [
+    ([(i, r + "x" if i == 20 else r) for i, r in BASE], [("damaged", 20)]),
+    ([(i, r[:-1] if i == 20 else r) for i, r in BASE], [("damaged", 20)]),
+    ([(i, r.upper() if i == 20 else r) for i, r in BASE], [("damaged", 20)]),
+    ([x for x in BASE if x[0] != 20], [("missing", 20)]),
+    ([*BASE, (200, "new"), (20, "second 20")], [("inserted", 20), ("inserted", 200)]),
+    ([(i, BASE[31 if i == 20 else 20 if i == 31 else i][1]) for i, _ in BASE], [("damaged", 20), ("damaged", 31)]),
+    (BASE, []),
+]
+
+
+@pytest.fixture(scope="module")
+def intact(spark):
+    from rulewright.llm import common
+
+    return common.staged(merkle.archive_layout(spark.createDataFrame(BASE, "record_id long, record string")), "t")
+
+
+@pytest.mark.parametrize("rows,want", ALTERED)
+def test_damage_is_located(spark, intact, rows, want):
+    other = merkle.archive_layout(spark.createDataFrame(rows, "record_id long, record string"))
+    assert sorted((r["status"], r["record_id"]) for r in merkle.audit(intact, other).collect() if not r["intact"]) == want
+
+
+def test_records_out_of_order_are_located(spark, intact):
+    for order, want in (([*range(20), *range(21, 150), 20, *range(150, 200)], [20]), ([*range(20), 150, *range(21, 150), 20, *range(151, 200)], [20, 150])):
+        rows = intact.toPandas().set_index("record_id").loc[order].reset_index()
+        rows["leaf"], rows["offset"] = range(200), rows.length.cumsum() - rows.length
+        out = merkle.audit(intact, spark.createDataFrame(rows[intact.columns], intact.schema)).collect()
+        assert sorted((r["status"], r["record_id"]) for r in out if not r["intact"]) == [("moved", i) for i in want]
+    assert merkle.out_of_place([0, 1, 2]) == [] and merkle.out_of_place([]) == [] and len(merkle.out_of_place([3, 2, 1, 0])) == 3
+
+
+def test_archives_read_back_as_they_were_laid_out(spark, data, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = f"file://{tmp_path}/warc"
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    records = pages.select(F.col("page_id").alias("record_id"), merkle.warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
+    merkle.write_archives(records, folder, file_records=40)
+    got = merkle.read_archives(spark, folder)
+    assert got.where("name is null").count() == 0 and got.select("name").distinct().count() == pages.count()
+    columns = ["file", "offset", "length", "digest"]
+    assert canonical(got.select(columns).toPandas()) == canonical(merkle.archive_layout(records, file_records=40).select(columns).toPandas())
+
+
+def test_crowded_ids_are_spread(spark):
+    rows = [(7, f"c{k}") for k in range(900)] + [(None, f"n{k}") for k in range(900)] + [(i, f"r{i}") for i in range(50)]
+    layout = merkle.archive_layout(spark.createDataFrame(rows, "record_id long, record string"), file_records=100)
+    sizes = {r["file"]: r["count"] for r in layout.groupBy("file").count().collect()}
+    assert sum(sizes.values()) == len(rows) and sizes[0] == 49 and max(sizes.values()) < 400
+
+
 # -- 2 ------------------------------------------------------------------------------------
 
 
@@ -139,9 +195,84 @@ def test_codewords():
         assert all((x != y).sum() == (c.shape[1] + 1) // 2 for x, y in combinations(c, 2))
 
 
+def test_decoding_is_the_least_weighted_loss():
+    rng = np.random.default_rng(2)
+    codes = langid.codewords(5)
+    model = langid.CodeModel([f"l{k}" for k in range(5)], rng.normal(size=(6, codes.shape[1])), rng.normal(size=codes.shape[1]), rng.random(codes.shape[1]))
+    x = rng.normal(size=(40, 6))
+    best, score, unsure = model.decode(x)
+    for i, row in enumerate(x):
+        losses = []
+        for word in codes:
+            loss = 0.0
+            for b in range(len(word)):
+                margin = min(max(float(row @ model.weights[:, b] + model.bias[b]), -3), 3)
+                loss += model.trust[b] * np.exp(-margin * word[b])
+            losses.append(loss)
+        p = np.exp(-8 * np.array(losses)) / np.exp(-8 * np.array(losses)).sum()
+        assert best[i] == int(np.argmin(losses)) and np.isclose(score[i], p.max()) and unsure[i] == (p.max() < langid.CERTAIN)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(1)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(40)] for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words[i % 300]) for _ in range(60)), f"l{i % 300:03}") for i in range(300 * 20)]
+    out = langid.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 300:03}" for r in out]) > 0.98 and len({r["lang_pred"] for r in out}) > 290
+
+
 # -- 4 ------------------------------------------------------------------------------------
 
 
+def earliest_deadline_first(w, slots):
+    """(source, block) of every slot, by a queue."""
+    near, done, out = mixing.NEAR, [0] * len(w), []
+    waiting, ready = [(0, i) for i in range(len(w)) if w[i] > 0], []
+    heapq.heapify(waiting)
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (math.ceil((done[i] + 1) / w[i] - near), i))
+        due, i = heapq.heappop(ready)
+        assert due > t
+        out.append((i, done[i]))
+        done[i] += 1
+        heapq.heappush(waiting, (math.floor(done[i] / w[i] + near), i))
+    return out
+
+
+@pytest.mark.parametrize("name,slots", [("thirds", 60_000), ("uneven", 12_000), ("many", 9_000)])
+def test_runs_side_by_side_equal_one_schedule(spark, name, slots):
+    rng = np.random.default_rng(1)
+    w = {"thirds": np.array([1, 2]), "uneven": rng.pareto(1, 30) + 0.01, "many": rng.random(1_000) + 0.001}[name]
+    w = w / w.sum()
+    shares = spark.createDataFrame([(f"s{i:05}", 1, float(x)) for i, x in enumerate(w)], "source string, n long, w double")
+    got = mixing._period_table(shares, slots).where(f"offset < {slots}").orderBy("offset").collect()
+    assert [(int(r["source"][1:]), r["k"]) for r in got] == earliest_deadline_first(w.tolist(), slots)
+    for i in (0, 1, len(w) - 1):
+        own = np.array([r["offset"] for r in got if r["source"] == f"s{i:05}"])
+        t = np.arange(1, slots + 1)
+        assert (np.abs(np.searchsorted(own, t - 1, "right") - t * w[i]) < 1).all()
+
+
+def test_very_many_sources(spark):
+    rows = [(i, f"s{i % 5000}") for i in range(15_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {f"s{k}": 1.0 for k in range(0, 5000, 500)}, block_rows=1).toPandas()
+    assert sorted(out.doc_id) == list(range(15_000)) and out.slot.is_unique
+
+
+def test_rows_of_one_id_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LISTED", 50)
+    rows = [(None, "a")] * 400 + [(5, "a")] * 3 + [(i, "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mix(df, bucket_rows=20).toPandas()
+    for s, part in out.groupby("source"):
+        assert sorted(part.row_no) == list(range(sum(x == s for _, x in rows)))
+    assert out.doc_id.isna().sum() == 400 and (out.doc_id == 5).sum() == 4
+    assert mixing.mixed_order(df).count() == len(rows)
+
+
+
 def test_schedule_deviates_by_less_than_a_block(docs):
     out = mixing.mix(docs, {"src0": 0.5, "src1": 0.3, "src2": 0.2}, block_rows=1, bucket_rows=7).toPandas()
     assert sorted(out.doc_id) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
@@ -236,6 +367,25 @@ def test_tags_of_one_line_and_long_expressions():
     assert licenses.evaluate(long).names == (*names, "ISC", "Zlib")
 
 
+def test_unknown_words_are_no_licences():
+    got = licenses.scan("SPDX-License-Identifier: foo\nSPDX-License-Identifier: mit or bar\nSPDX-License-Identifier: (MIT AND (gpl-2.0-or-later with classpath-exception-2.0))")
+    assert got["duties"] == [None, None, 2] and got["n_valid"] == 1 and got["labels"] == "gpl,mit"
+    assert got["normalised"] == ["foo", "MIT OR bar", "MIT AND GPL-2.0-or-later WITH Classpath-exception-2.0"]
+    assert licenses.scan("SPDX-License-Identifier: MIT OR")["normalised"] == [None]
+
+
+@pytest.mark.parametrize("text", ["MIT OR Apache-2.0 AND GPL-3.0-only", "(MIT OR Apache-2.0) AND GPL-3.0-only", "(MIT OR ISC OR (X11 AND Zlib)) AND (Vim AND curl)", "MIT AND (ISC OR (Ruby AND (PHP-3.0 OR 0BSD)))"])
+def test_normalised_expressions_mean_the_same(text):
+    """Both forms are true for the same sets of licences."""
+    once = str(licenses.evaluate(text))
+    assert str(licenses.evaluate(once)) == once
+    names = re.findall(r"[A-Za-z0-9.-]+", re.sub(r"\b(OR|AND)\b", " ", text))
+    as_python = [re.sub(r"[A-Za-z0-9.-]+", lambda m: m[0].lower() if m[0] in ("OR", "AND") else f"({m[0]!r} in have)", x) for x in (text, once)]
+    for mask in range(1 << len(names)):
+        have = {n for k, n in enumerate(names) if mask >> k & 1}
+        assert eval(as_python[0], {"have": have}) == eval(as_python[1], {"have": have})
+
+
 # -- 6 ------------------------------------------------------------------------------------
 
 
@@ -455,3 +605,104 @@ def test_gradient_fits_ordered_grades():
     scores = np.array([model.weights[r].sum() for r in rows])
     expected = model.tails(scores).sum(1)
     assert model.thresholds[0] < model.thresholds[1] and np.corrcoef(expected, grades)[0, 1] > 0.9
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    n, size = 40, 6
+    grades = rng.integers(0, 3, n)
+    row, column = np.repeat(np.arange(n), 3), rng.integers(0, size, 3 * n)
+    scale, importance = rng.random(size) + 0.5, rng.random(n)
+    p = rng.normal(size=size + 2) * 0.3
+    loss, gradient = quality.objective(p, row, column, scale, grades, importance, 3)
+    t = [p[size], p[size] + np.exp(p[size + 1])]
+    plain = quality.DECAY / 2 * (p[:size] ** 2).sum()
+    for i in range(n):
+        s = sum(p[c] * scale[c] for c in column[row == i])
+        below = [0.0, *(1 / (1 + np.exp(s - x)) for x in t), 1.0]
+        plain -= importance[i] * np.log(below[grades[i] + 1] - below[grades[i]])
+    assert np.isclose(loss, plain)
+    for k in range(len(p)):
+        step = np.zeros(len(p))
+        step[k] = 1e-6
+        up, down = (quality.objective(p + d, row, column, scale, grades, importance, 3)[0] for d in (step, -step))
+        assert np.isclose((up - down) / 2e-6, gradient[k], atol=1e-6)
+
+
+def test_a_bound_on_cells_takes_fewer_rows(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    whole, part = (quality.learn(docs, quality.graded(labels), fit_cells=n) for n in (10**9, 20_000))
+    assert not np.array_equal(whole.weights, part.weights) and np.isfinite(part.weights).all()
+
+
+# -- pipeline -----------------------------------------------------------------------------
+
+
+def test_pipeline_equals_plain_python(spark, data, docs, texts):
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    left = {r["doc_id"] for r in quality.classify(docs, labels).where("kept").collect()}
+    first = {}
+    for i in sorted(left):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
+    left = set(first.values())
+    sets = {i: shingles(texts[i]) for i in left}
+    root = {i: i for i in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(left), 2):
+        n = len(sets[a] & sets[b])
+        if n and 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    left = {i for i in left if find(i) == i}
+    out = corpus_pipeline.run(spark, data).toPandas().sort_values(["mix_file", "mix_row"])
+    assert sorted(out.doc_id) == sorted(left) and out.round_trip.all()
+    places = mixing.mix(docs.where(docs.doc_id.isin(sorted(left)))).orderBy("slot", "row_no").collect()
+    assert [r["doc_id"] for r in places] == out.doc_id.tolist()
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    rows = [(1, "x a"), (5, "x a"), (5, "y b"), (None, "z q"), (None, "z q"), (7, "x  a"), (1, "x a"), (None, None), (9, "")]
+    out = corpus_pipeline.exact_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in out) == [(0, "z q"), (1, "x a"), (5, "y b"), (9, "")]
+    a, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "wv")
+    rows = [(3, a), (5, a + " zz"), (5, c), (6, c + " u"), (None, a), (None, c + " t"), (5, c), (5, "z " + c), (8, None), (8, None)]
+    out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert [r["doc_id"] for r in out if r["text"] is None] == [8, 8] and (3, a) in {tuple(r) for r in out}
+    assert sorted(r["doc_id"] for r in out if r["text"]) == [3, 5]
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from rulewright.llm import common
+
+    assert common.is_local("local[4]") and common.is_local("local") and not common.is_local("spark://host:7077") and not common.is_local("local-cluster[2,1,1024]")
+
+
+def test_spread_join_splits_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rulewright.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0,) for k in range(100)] + [(None,), (99,)], "x long")
+    keys = rows.where("x <> 99").groupBy(F.col("x").alias("k")).agg(F.count("*").alias("n"))
+    out = common.spread_join(rows, keys, F.col("x") == F.col("k"), "n", 102).collect()
+    want = Counter(r["x"] for r in rows.collect())
+    assert Counter(r["x"] for r in out) == want and all(r["n"] == (want[r["x"]] if r["x"] not in (None, 99) else None) for r in out)
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    from rulewright.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    edges = [(0, i) for i in range(1, 200)] + [(300 + i, 300 + i + 1) for i in range(40)]
+    out = {r["node"]: r["comp"] for r in minmax.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(out[i] == 0 for i in range(200)) and all(out[300 + i] == 300 for i in range(41))

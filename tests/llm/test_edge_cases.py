@@ -35,7 +35,14 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (5, 0, None), (8, 1, 1), (None, 1, 0), (4, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
 
 
+def audited(d):
+    layout = merkle.archive_layout(d.withColumnsRenamed({"doc_id": "record_id", "text": "record"}))
+    out = merkle.audit(layout, layout)
+    return out.select(F.col("record_id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "intact")
+
+
 OPERATORS = {
+    "op1": lambda s, d, y: audited(d),
     "op2": lambda s, d, y: pieces.encode(d, MODEL_PATH),
     "op3": lambda s, d, y: langid.identify(s, d),
     "op4": lambda s, d, y: mixing.mix(d),
@@ -60,6 +67,25 @@ def test_empty_tables(spark, docs, labels, name):
     assert OPERATORS[name](spark, docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_clashing_columns_of_labels(spark, docs, labels):
+    clashing = labels.withColumns({c: F.lit("clash") for c in ("text", "grade", "h", "n", "cells", "target_id")})
+    assert quality.classify(docs, clashing).count() == len(ROWS) and crossentropy.score(docs, clashing.where("quality = 1")).count() == len(ROWS)
+
+
+def test_decoding_and_components_of_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode_column(rows, MODEL_PATH).collect()} == {1: None, 2: ""}
+    links = spark.createDataFrame([(None, 1), (2, None), (3, 4)], "a long, b long")
+    assert sorted(tuple(r) for r in minmax.components(links).collect()) == [(3, 3), (4, 3)]
+    assert minmax.components(links.limit(0)).count() == 0
+
+
+def test_first_and_last_stage_of_empty_tables(spark, docs, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    assert corpus_pipeline.quality_stage(spark, plain, str(tmp_path)).count() == 0 and corpus_pipeline.pieces_stage(spark, plain, str(tmp_path)).count() == 0
+
+
 def test_no_labels(spark, docs, labels):
     assert quality.classify(docs, labels.limit(0)).where("kept").count() == 0
     assert {r["lang_pred"] for r in langid.identify(spark, docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
