@@ -6,6 +6,7 @@ Each stage is a function of (spark, docs, sf_dir). All but the last return the c
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,42 +19,52 @@ NEAR_THRESHOLD = (80, 100)
 NEAR_PERMS = 150
 
 
-def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id (doc_id) is not kept; rows without id stay."""
-    dropped = decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    dropped = common.small_or_shuffled(common.staged(dropped, "dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those that are probably poor or toxic."""
+    """Rejected documents go: those that are probably poor or toxic.
+
+    Every row is judged by its own text, repeated rows and rows without id alike; a null text counts
+    as empty. Without a labelled text all go. An empty table gives an empty one.
+    """
     return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays, and of repeated rows one."""
-    decided = common.staged(exact.exact_duplicates(docs), "decided")
-    left = without(docs, decided)
-    repeated = decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
-    repeated = common.staged(repeated, "repeated")
-    if repeated.isEmpty():
-        return left
-    match = left["doc_id"] == F.col("repeated_id")
-    return left.join(repeated, match, "left_anti").unionByName(left.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of equal texts (a null one counts as empty) the row with the smallest id stays.
+
+    Null ids come last. Where that id repeats, or all ids are null, one of its rows stays. Rows of
+    one id with different texts are different documents. An empty table gives an empty one.
+    """
+    return common.one_of_each(docs, exact.exact_duplicates(docs, row_key=True), "text_sha256")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return without(docs, minmax.near_duplicates(docs, threshold=NEAR_THRESHOLD, perms=NEAR_PERMS))
+    """One document of each group of near duplicates stays: the row with the smallest id, null ids last.
+
+    Where that id repeats, or all ids are null, one of its rows stays. Texts without a word are in
+    no group and stay. An empty table gives an empty one.
+    """
+    decided = minmax.near_duplicates(docs, threshold=NEAR_THRESHOLD, perms=NEAR_PERMS, row_key=True)
+    return common.one_of_each(docs, decided, "component")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture of their sources."""
+    """All documents, written in the order of the mixture of their sources; see ``mixing.mixed_order``."""
     return mixing.mixed_order(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, MODEL_PATH)
+    """Every document's segmentations; see ``pieces.encode``.
+
+    Ordering by (mix_file, mix_row) gives the order in which the rows were written, which is the
+    mixture: the number of the file among those written together, and the row's place in it.
+    Both are null for rows that come from no file.
+    """
+    try:
+        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+    except AnalysisException:  # not a table of files
+        name, row = F.lit(None).cast("string"), F.lit(None).cast("long")
+    place = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("int").alias("mix_file"), row.alias("mix_row")
+    return pieces.encode(docs, MODEL_PATH, carry=place)
 
 
 STAGES = [
