@@ -38,7 +38,7 @@ LEAST_SCORE = -1e8
 #: Segments of up to this many characters are worked out together.
 VECTOR_LENGTH = 24
 #: Characters of text worked out together, about.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 NBEST = 4
 
 _TABLE_BITS = 19
@@ -166,7 +166,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, nbest: int = NBEST):
         self.v, self.t, self.n = vocabulary, vocabulary.tables(), nbest
-        self.search = lru_cache(maxsize=50_000)(lambda key: lattice_nbest(self.v, np.frombuffer(key, np.uint32).tolist(), self.n))
+        self.search = lru_cache(maxsize=20_000)(lambda key: lattice_nbest(self.v, np.frombuffer(key, np.uint32).tolist(), self.n))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[float], list[list[tuple[int, int, list[int]]]]]]:
         """(index, best ids, N best scores, edits of each) for every text, in blocks.
@@ -353,7 +353,7 @@ def _encoded(shared, n: int):
                 back = all(decode(encoder.v, applied(ids, e)) == (texts[i] or "") for e in edits)
                 rows.append((ids, len(ids), scores, [[dict(zip(_EDIT, e, strict=True)) for e in path] for path in edits], back))
                 held += len(ids)
-                if held > 1_000_000 or i + 1 == len(texts):
+                if held > 200_000 or i + 1 == len(texts):
                     yield _rows(batch.slice(first, len(rows)), rows, kinds)
                     first, held, rows = i + 1, 0, []
 
