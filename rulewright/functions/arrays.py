@@ -164,7 +164,7 @@ REGISTRY: dict[str, Callable[[Column], Column]] = {
     "minimum": minimum, "maximum": maximum, "mean": mean, "median": median, "std": deviation, "var": variance, "cov": variance, "trev": trev,
     "high_fluctuation": high_fluctuation, "stretch_decreasing": longest_decrease, "stretch_high": longest_above_mean, "sum": total,
 }
-ALIASES = {"min": "minimum", "max": "maximum", "avg": "mean", "⤓": "minimum", "⤒": "maximum"}
+ALIASES = {"min": "minimum", "max": "maximum", "avg": "mean", "⤓": "minimum", "⤒": "maximum", "↓": "minimum", "↑": "maximum"}
 
 SETS = {
     "minmax": ["maximum", "minimum"],
@@ -241,8 +241,24 @@ def is_collapsing(f: VariableFeature) -> bool:
     return ALIASES.get(f.fun or "", f.fun) in COLLAPSING
 
 
+#: Abbreviations of a feature together with a test operator.
 ABBREVIATIONS = {("minimum", ">="): "⪴", ("minimum", "<="): "⪳", ("maximum", ">="): "⪲", ("maximum", "<="): "⪱"}
 
+#: Test operators by sign: at least, at most, above, below.
+TEST_SIGNS = {"⪰": ">=", "⪯": "<=", "≻": ">", "≺": "<"}
+
+
+def parse_test(text: str, names: list[str] | None = None) -> tuple[VariableFeature, str]:
+    """Feature and operator of texts such as ``⪴[V1]`` or ``⤓[V1] ⪰``; an unknown sign raises."""
+    for (fun, op), sign in ABBREVIATIONS.items():
+        if text.strip().startswith(sign):
+            return parse_feature(fun + text.strip()[len(sign) :], names), op
+    body, sign = text.strip()[:-1], text.strip()[-1:]
+    if sign not in TEST_SIGNS:
+        raise ValueError(f"no test: {text!r}")
+    return parse_feature(body, names), TEST_SIGNS[sign]
+
+
 _FEATURE = re.compile(r"\s*([^\s\[\]]+)\s*\[\s*([^\[\]]+?)\s*\]\s*")
 
 

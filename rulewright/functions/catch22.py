@@ -1,13 +1,14 @@
 """The 22 canonical time-series features (Lubba et al. 2019, doi:10.1007/s10618-019-00647-x).
 
 Each works on the z-scored series. A constant series, or one too short for a feature, gives
-NaN or the value that the definition has for it. In Spark they run as Arrow batches of
-arrays; those that are plain reductions also exist as expressions in ``arrays``.
+NaN or the value that the definition has for it. In Spark they run as Arrow batches: the series of
+one length in a batch are the rows of a matrix, and every step is taken for all of them at
+once. Those that are plain reductions also exist as expressions in ``arrays``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,277 +16,329 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+#: Values of a matrix that are worked on together, about.
+BLOCK_VALUES = 1 << 18
 
 
 def zscore(x: np.ndarray) -> np.ndarray:
-    s = x.std(ddof=1) if len(x) > 1 else 0.0
-    return (x - x.mean()) / s if s > 0 else np.zeros(len(x))
+    """Rows less their mean and over their sample deviation; constant rows become 0."""
+    x = x - x.mean(axis=1, keepdims=True)
+    s = x.std(axis=1, ddof=1, keepdims=True) if x.shape[1] > 1 else np.zeros((len(x), 1))
+    return np.where(s > 0, x / np.where(s > 0, s, 1), 0.0)
 
 
 def autocorrelation(y: np.ndarray) -> np.ndarray:
-    """Autocorrelation at all lags by FFT."""
-    n = len(y)
-    y = y - y.mean()
-    f = np.fft.rfft(y, 2 ** int(np.ceil(np.log2(max(2 * n, 2)))))
-    r = np.fft.irfft(f * np.conj(f))[:n]
-    return r / r[0] if r[0] > 0 else np.zeros(n)
+    """Autocorrelation of each row at all lags by FFT."""
+    n = y.shape[1]
+    y = y - y.mean(axis=1, keepdims=True)
+    f = np.fft.rfft(y, 2 ** int(np.ceil(np.log2(max(2 * n, 2)))), axis=1)
+    r = np.fft.irfft(f * np.conj(f), axis=1)[:, :n]
+    first = r[:, :1]
+    return np.where(first > 0, r / np.where(first > 0, first, 1), 0.0)
 
 
-def _first_zero(r: np.ndarray) -> int:
-    found = np.flatnonzero(r <= 0)
-    return int(found[0]) if len(found) else len(r)
+def _first(flags: np.ndarray, otherwise: int) -> np.ndarray:
+    """Place of the first true value of each row."""
+    if not flags.shape[1]:
+        return np.full(len(flags), otherwise)
+    return np.where(flags.any(axis=1), flags.argmax(axis=1), otherwise)
 
 
-def histogram_mode(y: np.ndarray, bins: int) -> float:
+def _first_zero(r: np.ndarray) -> np.ndarray:
+    return _first(r <= 0, r.shape[1])
+
+
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, rows) of each distinct value."""
+    for k in np.unique(keys):
+        yield int(k), np.flatnonzero(keys == k)
+
+
+def _histograms(y: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, edges) of each row in equal bins from its minimum to its maximum, the last one closed."""
+    low, high = y.min(axis=1), y.max(axis=1)
+    flat = low == high
+    edges = np.linspace(np.where(flat, low - 0.5, low), np.where(flat, high + 0.5, high), bins + 1, axis=1)
+    width = edges[:, -1:] - edges[:, :1]
+    place = np.minimum(((y - edges[:, :1]) / width * bins).astype(np.int64), bins - 1)
+    place -= y < np.take_along_axis(edges, place, axis=1)  # where the quotient was rounded across an edge
+    place += (y >= np.take_along_axis(edges, place + 1, axis=1)) & (place < bins - 1)
+    counts = np.bincount((np.arange(len(y))[:, None] * bins + place).ravel(), minlength=len(y) * bins)
+    return counts.reshape(len(y), bins), edges
+
+
+def histogram_mode(y: np.ndarray, bins: int) -> np.ndarray:
     """Centre of the fullest of ``bins`` equal bins; the mean of the centres on a tie."""
-    low, high = y.min(), y.max()
-    if high == low:
-        return float(low)
-    counts, edges = np.histogram(y, bins, (low, high))
-    return float(((edges[:-1] + edges[1:]) / 2)[counts == counts.max()].mean())
+    counts, edges = _histograms(y, bins)
+    fullest = counts == counts.max(axis=1, keepdims=True)
+    mode = ((edges[:, :-1] + edges[:, 1:]) / 2 * fullest).sum(axis=1) / fullest.sum(axis=1)
+    return np.where(y.min(axis=1) == y.max(axis=1), y[:, 0], mode)
 
 
-def embedding_distance(y: np.ndarray) -> float:
+def embedding_distance(y: np.ndarray) -> np.ndarray:
     """Mean gap between the histogram of step lengths in the 2-d embedding and an exponential fit."""
-    tau = min(_first_zero(autocorrelation(y)), len(y) // 10)
-    if tau < 1 or len(y) <= tau + 2:
-        return NAN
-    a, b = y[:-tau], y[tau:]
-    d = np.hypot(np.diff(a), np.diff(b))
-    mean = d.mean()
-    if not mean > 0:
-        return 0.0
-    bins = _square_root_bins(d)
-    counts, edges = np.histogram(d, bins)
-    share = counts / len(d)
-    centre = (edges[:-1] + edges[1:]) / 2
-    fit = np.exp(-centre / mean) / mean
-    return float(np.abs(share - np.maximum(fit, 0)).mean())
-
-
-def _square_root_bins(d: np.ndarray) -> int:
-    """Scott's rule for the number of bins."""
-    s = d.std(ddof=1)
-    return max(int(np.ceil((d.max() - d.min()) / (3.5 * s / len(d) ** (1 / 3)))), 1) if s > 0.001 else 1
-
-
-def acf_timescale(y: np.ndarray) -> float:
+    out = np.full(len(y), NAN)
+    for tau, rows in _groups(np.minimum(_first_zero(autocorrelation(y)), y.shape[1] // 10)):
+        if tau < 1 or y.shape[1] <= tau + 2:
+            continue
+        d = np.hypot(np.diff(y[rows, :-tau], axis=1), np.diff(y[rows, tau:], axis=1))
+        mean = d.mean(axis=1)
+        out[rows] = 0.0
+        steps = mean > 0
+        for bins, own in _groups(np.where(steps, _scott_bins(d), 0)):
+            if bins:
+                counts, edges = _histograms(d[own], bins)
+                m = mean[own, None]
+                fit = np.exp(-(edges[:, :-1] + edges[:, 1:]) / 2 / m) / m
+                out[rows[own]] = np.abs(counts / d.shape[1] - fit).mean(axis=1)
+    return out
+
+
+def _scott_bins(d: np.ndarray) -> np.ndarray:
+    """Scott's rule for the number of bins of each row."""
+    s = d.std(axis=1, ddof=1)
+    width = np.where(s > 0.001, 3.5 * s / d.shape[1] ** (1 / 3), 1)
+    return np.where(s > 0.001, np.maximum(np.ceil(np.ptp(d, axis=1) / width), 1), 1).astype(int)
+
+
+def acf_timescale(y: np.ndarray) -> np.ndarray:
     """First crossing of 1/e by the autocorrelation, linearly interpolated."""
-    r, t = autocorrelation(y), 1 / np.e
-    if not r[0] > 0:
-        return NAN
-    below = np.flatnonzero(r[1:] < t)
-    if not len(below):
-        return float(len(y))
-    k = int(below[0])
-    return float(k + (t - r[k]) / (r[k + 1] - r[k]))
+    r, t, n = autocorrelation(y), 1 / np.e, y.shape[1]
+    k = _first(r[:, 1:] < t, n)
+    at = np.minimum(k, max(n - 2, 0))
+    rows = np.arange(len(y))
+    before, after = r[rows, at], r[rows, np.minimum(at + 1, n - 1)]
+    gap = np.where(after == before, 1, after - before)
+    return np.where(r[:, 0] > 0, np.where(k < n, at + (t - before) / gap, float(n)), NAN)
 
 
-def acf_first_minimum(y: np.ndarray) -> float:
+def acf_first_minimum(y: np.ndarray) -> np.ndarray:
     r = autocorrelation(y)
-    found = np.flatnonzero((r[1:-1] < r[:-2]) & (r[1:-1] < r[2:]))
-    return float(found[0] + 1) if len(found) else float(len(y))
+    found = (r[:, 1:-1] < r[:, :-2]) & (r[:, 1:-1] < r[:, 2:])
+    return _first(found, y.shape[1] - 1).astype(float) + 1
 
 
-def histogram_ami(y: np.ndarray, lag: int = 2, bins: int = 5) -> float:
+def histogram_ami(y: np.ndarray, lag: int = 2, bins: int = 5) -> np.ndarray:
     """Mutual information of the series and itself at a lag, in equal bins."""
-    if len(y) <= lag:
-        return NAN
-    edges = np.linspace(y.min() - 0.1, y.max() + 0.1, bins + 1)
-    a, b = np.digitize(y[:-lag], edges[1:-1]), np.digitize(y[lag:], edges[1:-1])
-    p = np.zeros((bins, bins))
-    np.add.at(p, (a, b), 1 / len(a))
-    outer = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
-    hit = p > 0
-    return float((p[hit] * np.log(p[hit] / outer[hit])).sum())
+    if y.shape[1] <= lag:
+        return np.full(len(y), NAN)
+    edges = np.linspace(y.min(axis=1) - 0.1, y.max(axis=1) + 0.1, bins + 1, axis=1)[:, None, 1:-1]
+    letter = (y[:, :, None] >= edges).sum(axis=2)
+    p = _pair_counts(letter[:, :-lag], letter[:, lag:], bins) / (y.shape[1] - lag)
+    outer = p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)
+    return np.where(p > 0, p * np.log(np.where(p > 0, p, 1) / np.where(p > 0, outer, 1)), 0).sum(axis=(1, 2))
+
+
+def _pair_counts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """How often each pair of letters below ``n`` occurs in each row, rows x n x n."""
+    code = (np.arange(len(a))[:, None] * n + a) * n + b
+    return np.bincount(code.ravel(), minlength=len(a) * n * n).reshape(len(a), n, n)
 
 
-def time_reversibility(y: np.ndarray) -> float:
-    return float((np.diff(y) ** 3).mean()) if len(y) > 1 else NAN
+def time_reversibility(y: np.ndarray) -> np.ndarray:
+    return (np.diff(y, axis=1) ** 3).mean(axis=1) if y.shape[1] > 1 else np.full(len(y), NAN)
 
 
-def outlier_timing(y: np.ndarray, sign: int, step: float = 0.01) -> float:
-    """Median, over rising thresholds, of the median place of what exceeds them, on [-1, 1]."""
+def outlier_timing(y: np.ndarray, sign: int, step: float = 0.01) -> np.ndarray:
+    """Median, over rising thresholds, of the median place of what exceeds them, on [-1, 1].
+
+    What exceeds a threshold are a row's largest values, so medians are taken once for each
+    number of them.
+    """
     z = y * sign
-    if not (z >= 0).any() or z.max() < step:
-        return 0.0
-    n = len(z)
-    places = np.flatnonzero(z >= 0)
-    own = z[places]
-    thresholds = np.arange(int(z.max() / step) + 1) * step
-    counts = len(own) - np.searchsorted(np.sort(own), thresholds, "left")
-    stop = np.flatnonzero((counts - 1) * 100 / len(own) <= 2)
-    used = thresholds[: int(stop[0]) + 1 if len(stop) else len(thresholds)]
-    medians = []
-    for lo in range(0, len(used), 64):
-        seen = np.cumsum(own[None] >= used[lo : lo + 64, None], axis=1)
-        total = seen[:, -1:]
-        middle = [places[(seen >= k).argmax(1)] + 1 for k in ((total + 1) // 2, total // 2 + 1)]
-        medians.append((middle[0] + middle[1]) / 2 / (n / 2) - 1)
-    return float(np.median(np.concatenate(medians)))
-
-
-def whiten_timescale(y: np.ndarray) -> float:
+    n = y.shape[1]
+    out = np.zeros(len(y))
+    block = max(1, BLOCK_VALUES * 8 // (n * n))
+    able = np.flatnonzero((z >= 0).any(axis=1) & (z.max(axis=1) >= step))
+    for lo in range(0, len(able), block):
+        rows = able[lo : lo + block]
+        own = z[rows]
+        total = (own >= 0).sum(axis=1)
+        rank = np.empty(own.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(-own, axis=1, kind="stable"), np.arange(n)[None], axis=1)
+        size = np.arange(1, n + 1)
+        seen = np.cumsum(rank[:, None, :] < size[None, :, None], axis=2, dtype=np.int32)  # of the largest 1, 2, ...
+        middle = [(seen >= k[None, :, None]).argmax(axis=2) + 1 for k in ((size + 1) // 2, size // 2 + 1)]
+        median = (middle[0] + middle[1]) / 2 / (n / 2) - 1
+        last = (own.max(axis=1) / step).astype(int)
+        thresholds = np.arange(last.max() + 1) * step
+        counts = np.stack([n - np.searchsorted(np.sort(v), thresholds, "left") for v in own])
+        few = (counts - 1) * 100 / total[:, None] <= 2
+        stop = np.minimum(_first(few, len(thresholds)), last)
+        used = np.arange(len(thresholds))[None] <= stop[:, None]
+        values = np.where(used, np.take_along_axis(median, np.maximum(counts, 1) - 1, axis=1), NAN)
+        out[rows] = np.nanmedian(values, axis=1)
+    return out
+
+
+def whiten_timescale(y: np.ndarray) -> np.ndarray:
     """First zero of the autocorrelation of the differences over that of the series."""
+    if y.shape[1] <= 2:
+        return np.full(len(y), NAN)
     a = _first_zero(autocorrelation(y))
-    return _first_zero(autocorrelation(np.diff(y))) / a if len(y) > 2 and a else NAN
+    return np.where(a > 0, _first_zero(autocorrelation(np.diff(y, axis=1))) / np.maximum(a, 1), NAN)
 
 
-def forecast_error(y: np.ndarray, window: int = 3) -> float:
+def forecast_error(y: np.ndarray, window: int = 3) -> np.ndarray:
     """Deviation of the errors of a mean forecast from the last ``window`` values."""
-    if len(y) <= window + 1:
-        return NAN
-    means = np.convolve(y, np.ones(window) / window, "valid")[:-1]
-    return float((y[window:] - means).std(ddof=1))
+    if y.shape[1] <= window + 1:
+        return np.full(len(y), NAN)
+    means = np.lib.stride_tricks.sliding_window_view(y, window, axis=1)[:, :-1].mean(axis=2)
+    return (y[:, window:] - means).std(axis=1, ddof=1)
 
 
-def gaussian_ami_minimum(y: np.ndarray, lags: int = 40) -> float:
+def gaussian_ami_minimum(y: np.ndarray, lags: int = 40) -> np.ndarray:
     """First minimum over lags of -log(1 - r^2) / 2."""
-    top = min(lags, int(np.ceil(len(y) / 2)))
-    ami = []
+    top = min(lags, int(np.ceil(y.shape[1] / 2)))
+    ami = np.empty((len(y), top))
     for k in range(1, top + 1):
-        a, b = y[:-k], y[k:]
-        if len(a) < 2 or not a.std() > 0 or not b.std() > 0:
-            return NAN
-        r = float(np.corrcoef(a, b)[0, 1])
-        ami.append(-0.5 * np.log(max(1 - r * r, 1e-300)))
-    for i in range(1, len(ami) - 1):
-        if ami[i] < ami[i - 1] and ami[i] < ami[i + 1]:
-            return float(i)
-    return float(top)
-
-
-def high_fluctuation(y: np.ndarray) -> float:
+        a, b = y[:, :-k], y[:, k:]
+        if a.shape[1] < 2:
+            return np.full(len(y), NAN)
+        a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        r = np.where(spread > 0, (a * b).sum(axis=1) / np.where(spread > 0, spread, 1), NAN)
+        ami[:, k - 1] = -0.5 * np.log(np.maximum(1 - r * r, 1e-300))
+    found = (ami[:, 1:-1] < ami[:, :-2]) & (ami[:, 1:-1] < ami[:, 2:])
+    return np.where(np.isnan(ami).any(axis=1), NAN, _first(found, top - 1) + 1)
+
+
+def high_fluctuation(y: np.ndarray) -> np.ndarray:
     """Share of successive differences above 0.04 deviations."""
-    return float((np.abs(np.diff(y)) * 1000 > 40).mean()) if len(y) > 1 else NAN
+    return (np.abs(np.diff(y, axis=1)) * 1000 > 40).mean(axis=1) if y.shape[1] > 1 else np.full(len(y), NAN)
 
 
-def _longest(flags: np.ndarray) -> float:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return float((edges[1::2] - edges[::2]).max(initial=0))
+def _longest(flags: np.ndarray) -> np.ndarray:
+    if not flags.shape[1]:
+        return np.zeros(len(flags))
+    place = np.arange(flags.shape[1])[None]
+    return (place - np.maximum.accumulate(np.where(flags, -1, place), axis=1)).max(axis=1).astype(float)
 
 
-def longest_decrease(y: np.ndarray) -> float:
-    return _longest(np.diff(y) < 0)
+def longest_decrease(y: np.ndarray) -> np.ndarray:
+    return _longest(np.diff(y, axis=1) < 0)
 
 
-def longest_above_mean(y: np.ndarray) -> float:
-    return _longest(y > y.mean())
+def longest_above_mean(y: np.ndarray) -> np.ndarray:
+    return _longest(y > y.mean(axis=1, keepdims=True))
 
 
 def _symbols(y: np.ndarray, n: int = 3) -> np.ndarray:
     """Quantile letters 0..n-1."""
-    cuts = np.quantile(y, np.arange(1, n) / n)
-    return (y[:, None] > cuts[None]).sum(1)
+    cuts = np.quantile(y, np.arange(1, n) / n, axis=1)
+    return (y[None] > cuts[:, :, None]).sum(axis=0)
 
 
-def pair_entropy(y: np.ndarray) -> float:
+def pair_entropy(y: np.ndarray) -> np.ndarray:
     """Entropy of pairs of successive letters in a three-letter quantile alphabet."""
-    if len(y) < 2:
-        return NAN
+    if y.shape[1] < 2:
+        return np.full(len(y), NAN)
     s = _symbols(y)
-    p = np.bincount(s[:-1] * 3 + s[1:], minlength=9) / (len(s) - 1)
-    p = p[p > 0]
-    return float(-(p * np.log(p)).sum())
+    p = _pair_counts(s[:, :-1], s[:, 1:], 3) / (y.shape[1] - 1)
+    return -np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0).sum(axis=(1, 2))
 
 
-def fluctuation_share(y: np.ndarray, lag: int, kind: str) -> float:
+def fluctuation_share(y: np.ndarray, lag: int, kind: str) -> np.ndarray:
     """Share of the log-spaced scales that the first of two fitted lines covers.
 
     ``kind`` is "range" for rescaled ranges of the cumulative sum and "dfa" for detrended
     fluctuations; the break is where the two lines' errors add up to the least.
     """
-    n = len(y)
+    n, least = y.shape[1], 6
     scales = np.unique(np.round(np.exp(np.linspace(np.log(5), np.log(max(n / 2, 5)), 50))).astype(int))
-    if len(scales) < 12:
-        return 0.0
-    walk = np.cumsum(y[::lag])
-    values = []
-    for s in scales:
-        m = len(walk) // s
+    out = np.zeros(len(y))
+    if len(scales) < 2 * least:
+        return out
+    walk = np.cumsum(y[:, ::lag], axis=1)
+    values = np.full((len(y), len(scales)), NAN)
+    for j, s in enumerate(scales):
+        m = walk.shape[1] // s
         if m < 1:
-            values.append(np.nan)
             continue
-        seg = walk[: m * s].reshape(m, s)
+        seg = walk[:, : m * s].reshape(len(y), m, s)
         t = np.arange(1, s + 1) - (s + 1) / 2
         slope = seg @ t / (t @ t)
-        rest = seg - seg.mean(1, keepdims=True) - slope[:, None] * t
-        values.append(np.sqrt((np.ptp(rest, axis=1) ** 2).mean()) if kind == "range" else np.sqrt((rest**2).mean()))
-    x, f = np.log(scales), np.array(values)
-    ok = np.isfinite(f) & (f > 0)
-    x, f = x[ok], np.log(f[ok])
-    least = 6
-    if len(x) < 2 * least:
-        return 0.0
-
-    def errors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Norm of the residuals of the line through the first k points, for every k."""
-        k = np.arange(1, len(a) + 1)
-        sx, sy, sxx, sxy, syy = (np.cumsum(v) for v in (a, b, a * a, a * b, b * b))
-        vx, vy, cov = sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k
-        return np.sqrt(np.maximum(vy - np.divide(cov * cov, vx, out=np.zeros(len(a)), where=vx > 1e-12), 0))
-
-    before, after = errors(x, f), errors(x[::-1], f[::-1])[::-1]
-    cuts = np.arange(least, len(x) - least + 1)
-    return float((int((before[cuts - 1] + after[cuts - 1]).argmin()) + least) / len(x))
+        rest = seg - seg.mean(axis=2, keepdims=True) - slope[:, :, None] * t
+        values[:, j] = np.sqrt((np.ptp(rest, axis=2) ** 2).mean(axis=1)) if kind == "range" else np.sqrt((rest**2).mean(axis=(1, 2)))
+    ok = np.isfinite(values) & (values > 0)
+    patterns, which = np.unique(ok, axis=0, return_inverse=True)
+    for p, keep in enumerate(patterns):
+        rows = np.flatnonzero(which.ravel() == p)
+        k = int(keep.sum())
+        if k < 2 * least:
+            continue
+        x, f = np.log(scales[keep]), np.log(values[np.ix_(rows, np.flatnonzero(keep))])
+        before, after = _line_errors(x, f), _line_errors(x[::-1], f[:, ::-1])[:, ::-1]
+        cuts = np.arange(least, k - least + 1)
+        out[rows] = ((before[:, cuts - 1] + after[:, cuts - 1]).argmin(axis=1) + least) / k
+    return out
+
+
+def _line_errors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Norm of the residuals of the line through the first k points of each row, for every k."""
+    k = np.arange(1, len(a) + 1)
+    sx, sxx = np.cumsum(a), np.cumsum(a * a)
+    sy, sxy, syy = (np.cumsum(v, axis=1) for v in (b, a * b, b * b))
+    vx, vy, cov = sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k
+    return np.sqrt(np.maximum(vy - np.where(vx > 1e-12, cov * cov / np.where(vx > 1e-12, vx, 1), 0), 0))
 
 
 def _spectrum(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(angular frequency, density) of a rectangular Welch estimate with one segment."""
-    n = 2 ** int(np.ceil(np.log2(max(len(y), 2))))
-    f = np.fft.rfft(y - y.mean(), n)
-    power = np.abs(f) ** 2 / len(y)
-    power[1:-1] *= 2
-    return np.linspace(0, np.pi, len(power)), power / (2 * np.pi)
+    """(angular frequency, density of each row) of a rectangular Welch estimate with one segment."""
+    n = 2 ** int(np.ceil(np.log2(max(y.shape[1], 2))))
+    power = np.abs(np.fft.rfft(y - y.mean(axis=1, keepdims=True), n, axis=1)) ** 2 / y.shape[1]
+    power[:, 1:-1] *= 2
+    return np.linspace(0, np.pi, power.shape[1]), power / (2 * np.pi)
 
 
-def low_frequency_power(y: np.ndarray) -> float:
+def low_frequency_power(y: np.ndarray) -> np.ndarray:
     w, s = _spectrum(y)
-    return float(s[: len(w) // 5].sum() * (w[1] - w[0]))
+    return s[:, : len(w) // 5].sum(axis=1) * (w[1] - w[0])
 
 
-def centroid_frequency(y: np.ndarray) -> float:
+def centroid_frequency(y: np.ndarray) -> np.ndarray:
     """Frequency at which half of the power is reached."""
     w, s = _spectrum(y)
-    c = np.cumsum(s)
-    return float(w[np.argmax(c > c[-1] / 2)]) if c[-1] > 0 else 0.0
+    c = np.cumsum(s, axis=1)
+    return np.where(c[:, -1] > 0, w[(c > c[:, -1:] / 2).argmax(axis=1)], 0.0)
 
 
-def transition_variance(y: np.ndarray) -> float:
+def transition_variance(y: np.ndarray) -> np.ndarray:
     """Trace of the covariance of the three-letter transition matrix of the downsampled series."""
-    tau = min(_first_zero(autocorrelation(y)), len(y))
-    if not tau or not y.std() > 0:
-        return NAN
-    s = _symbols(y[::tau]) if len(y[::tau]) > 2 else None
-    if s is None:
-        return NAN
-    p = np.zeros((3, 3))
-    np.add.at(p, (s[:-1], s[1:]), 1)
-    p /= len(s) - 1
-    return float(np.trace(np.cov(p, rowvar=False)))
-
-
-def wang_periodicity(y: np.ndarray, threshold: float = 0.01) -> float:
+    out = np.full(len(y), NAN)
+    tau = np.where(y.std(axis=1) > 0, np.minimum(_first_zero(autocorrelation(y)), y.shape[1]), 0)
+    for step, rows in _groups(tau):
+        part = y[rows, :: max(step, 1)]
+        if step and part.shape[1] > 2:
+            s = _symbols(part)
+            p = _pair_counts(s[:, :-1], s[:, 1:], 3) / (part.shape[1] - 1)
+            out[rows] = p.var(axis=1, ddof=1).sum(axis=1)
+    return out
+
+
+def wang_periodicity(y: np.ndarray, threshold: float = 0.01) -> np.ndarray:
     """First peak of the detrended autocovariance that follows a trough and rises enough above it."""
-    n = len(y)
+    n = y.shape[1]
     if n < 6:
-        return 0.0
+        return np.zeros(len(y))
     t = np.linspace(0, 1, n)
-    knots = (1 / 3, 2 / 3)
-    basis = np.stack([np.ones(n), t, t**2, t**3, *[np.maximum(t - k, 0) ** 3 for k in knots]], 1)
-    z = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+    basis = np.stack([np.ones(n), t, t**2, t**3, *[np.maximum(t - k, 0) ** 3 for k in (1 / 3, 2 / 3)]], 1)
+    z = y - (basis @ np.linalg.lstsq(basis, y.T, rcond=None)[0]).T
     top = int(np.ceil(n / 3))
-    acf = np.array([(z[:-k] * z[k:]).mean() for k in range(1, top + 1)])
-    d = np.diff(acf)
-    troughs = np.flatnonzero((d[:-1] < 0) & (d[1:] > 0)) + 1
-    for p in np.flatnonzero((d[:-1] > 0) & (d[1:] < 0)) + 1:
-        before = troughs[troughs < p]
-        if len(before) and acf[p] - acf[before[-1]] >= threshold and acf[p] >= 0:
-            return float(p + 1)
-    return 0.0
-
-
-FEATURES: dict[str, Callable[[np.ndarray], float]] = {
+    acf = np.stack([(z[:, :-k] * z[:, k:]).mean(axis=1) for k in range(1, top + 1)], axis=1)
+    d = np.diff(acf, axis=1)
+    place = np.arange(1, top - 1)[None]
+    trough, peak = (d[:, :-1] < 0) & (d[:, 1:] > 0), (d[:, :-1] > 0) & (d[:, 1:] < 0)
+    if not trough.shape[1]:
+        return np.zeros(len(y))
+    last = np.maximum.accumulate(np.where(trough, place, 0), axis=1)  # a peak is no trough, so of those before it
+    rise = acf[:, 1:-1] - np.take_along_axis(acf, last, axis=1)
+    found = peak & (last > 0) & (rise >= threshold) & (acf[:, 1:-1] >= 0)
+    return np.where(found.any(axis=1), found.argmax(axis=1) + 2, 0).astype(float)
+
+
+#: Features by name: functions from a matrix of z-scored series of one length to a value of each row.
+FEATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "mode_5": lambda y: histogram_mode(y, 5),
     "mode_10": lambda y: histogram_mode(y, 10),
     "embedding_dist": embedding_distance,
@@ -315,8 +368,22 @@ def compute(name: str, x) -> float | None:
     """The feature of one series; null for null or empty ones, NaN if a value is not finite."""
     if x is None or len(x) == 0:
         return None
-    x = np.asarray(x, float)
-    return FEATURES[name](zscore(x)) if np.isfinite(x).all() else NAN
+    return float(batch([name], [np.asarray(x, float)])[0, 0])
+
+
+def batch(names: list[str], series: list) -> np.ndarray:
+    """Values of features (series x names); rows of null or empty series stay NaN, as do those with a value that is not finite."""
+    out = np.full((len(series), len(names)), NAN)
+    lengths = np.array([0 if x is None else len(x) for x in series])
+    for n, rows in _groups(lengths):
+        for lo in range(0, len(rows) if n else 0, max(1, BLOCK_VALUES // n)):
+            own = rows[lo : lo + max(1, BLOCK_VALUES // n)]
+            x = np.stack([np.asarray(series[i], float) for i in own])
+            finite = np.isfinite(x).all(axis=1)
+            y = zscore(x[finite])
+            for j, name in enumerate(names if len(y) else []):
+                out[own[finite], j] = FEATURES[name](y)
+    return out
 
 
 def column(name: str) -> Callable[[Column], Column]:
@@ -326,7 +393,8 @@ def column(name: str) -> Callable[[Column], Column]:
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: compute(name, x)).astype("float64")
+        found = batch([name], list(s))[:, 0]
+        return pd.Series([None if x is None or len(x) == 0 else v for x, v in zip(s, found, strict=True)], dtype=object)
 
     return lambda a: run(a.cast("array<double>"))
 
@@ -336,7 +404,8 @@ def all_features(a: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None or len(x) == 0 else [compute(n, x) for n in FEATURES])
+        found = batch(list(FEATURES), list(s))
+        return pd.Series([None if x is None or len(x) == 0 else v for x, v in zip(s, found, strict=True)])
 
     return run(a.cast("array<double>"))
 

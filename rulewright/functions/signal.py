@@ -104,6 +104,7 @@ def normalise_bank(bank: np.ndarray, widths: np.ndarray, norm: str) -> np.ndarra
     raise ValueError(f"unknown norm {norm!r}")
 
 
+# Bandwidth 1.019 * 24.7 * (4.37 f / 1000 + 1) and the roots 3 +- 2 ** 1.5 of the published gammatone filter.
 def gammatone_sections(centers: np.ndarray, rate: int) -> np.ndarray:
     """Four second-order sections (band x 4 x 6: b0 b1 b2 a0 a1 a2) of gammatone filters."""
     t = 1 / rate
@@ -147,6 +148,17 @@ def dct_matrix(n: int, k: int) -> np.ndarray:
     return m
 
 
+def inverse_dct(c: np.ndarray, n: int | None = None, kind: int = 2) -> np.ndarray:
+    """Rows whose orthonormal cosine transform of type 2 or 3 has the coefficients ``c``, padded to ``n``."""
+    n = n or c.shape[1]
+    m = dct_matrix(n, n)
+    full = np.zeros((len(c), n))
+    full[:, : min(n, c.shape[1])] = c[:, :n]
+    if kind not in (2, 3):
+        raise ValueError(f"unknown type {kind!r}")
+    return full @ m if kind == 2 else full @ m.T
+
+
 def cepstra(bands: np.ndarray, n: int = 13, rectify: str = "log") -> np.ndarray:
     """Coefficients of the log or cubic-rooted band spectrum."""
     if rectify == "log":
@@ -476,9 +488,9 @@ def per_clip(df: DataFrame, kernel: Callable[[np.ndarray, int], dict], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for k, x, r in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                row = kernel(np.asarray(x.values, float), r.as_py()) if x.is_valid and len(x) and r.is_valid else {}
-                yield pa.RecordBatch.from_pylist([{names[0]: k.as_py(), **{n: _plain(row.get(n)) for n in names[1:]}}], schema=arrow)
+            found = [kernel(np.asarray(x.values, float), r.as_py()) if x.is_valid and len(x) and r.is_valid else {} for x, r in zip(batch.column(1), batch.column(2), strict=True)]
+            columns = [pa.array([_plain(row.get(n)) for row in found], arrow.field(n).type) for n in names[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *columns], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -50,6 +50,15 @@ def column_name(fun: str, variable: str, window: int, n_windows: int) -> str:
     return f"{fun}({variable})" if n_windows == 1 else f"{fun}({variable})w{window}"
 
 
+def variable_names(functions: list[str], frequencies: dict[str, list[float]] | None = None, prefix: str = "", unit: str = "Hz") -> list[str]:
+    """Names of variables, one for each function, or for each of its band frequencies as whole numbers with their unit."""
+    out = []
+    for f in functions:
+        bands = (frequencies or {}).get(f)
+        out += [f"{prefix}{f}"] if bands is None else [f"{prefix}{f}[{round(x)}{unit}]" for x in bands]
+    return out
+
+
 def product_of(variables: list[str], n_windows: int, features: list[str]) -> list[tuple[str, int, str]]:
     """(variable, window, feature) in the order variable, window, feature."""
     return list(itertools.product(variables, range(1, n_windows + 1), features))
@@ -103,14 +112,16 @@ def replace_special(c: Column, nan: float = 0.0, inf: float = 1.0, minus_inf: fl
     return F.when(F.isnan(c), F.lit(nan)).when(c == float("inf"), F.lit(inf)).when(c == float("-inf"), F.lit(minus_inf)).otherwise(c)
 
 
-def normalise_groups(long: DataFrame, low: float | None = None, high: float | None = None, by: tuple[str, ...] = ("win", "fun")) -> DataFrame:
+def normalise_groups(long: DataFrame, low: float | None = None, high: float | None = None, by: tuple[str, ...] = ("win", "fun"), exact: bool = False) -> DataFrame:
     """Values of each (window, feature) group scaled to [0, 1] together.
 
     Bounds are the minimum and maximum of the finite values, or the quantiles ``low`` and
-    ``high``. What is still NaN or infinite, or in a group of one value, becomes 0.5.
+    ``high``, approximate ones with an error below a ten-thousandth of the rows unless ``exact``, for
+    which one task holds the distinct values of a group. What is still NaN or infinite, or in a group of one value, becomes 0.5.
     """
     finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    bounds = long.groupBy(*by).agg((F.min(finite) if low is None else F.percentile(finite, low)).alias("_lo"), (F.max(finite) if high is None else F.percentile(finite, high)).alias("_hi"))
+    quantile = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000)
+    bounds = long.groupBy(*by).agg((F.min(finite) if low is None else quantile(finite, low)).alias("_lo"), (F.max(finite) if high is None else quantile(finite, high)).alias("_hi"))
     scaled = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bad = scaled.isNull() | F.isnan(scaled) | (F.abs(scaled) == float("inf"))
     return long.join(bounds, list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")

@@ -196,6 +196,20 @@ def related(intervals: Column, v: Column, relation: str) -> Column:
     return F.filter(intervals, lambda w: test(v, w))
 
 
+def related_holds(a: Column, intervals: Column, relation: str, fun: str, op: str, threshold: float, universal: bool = False) -> Column:
+    """For every interval, in order: whether some (or every) interval in the relation to it passes the test.
+
+    An interval without such a relative has no witness: false, or true for the universal form.
+    """
+    from ..operators.conditions import OPERATORS
+
+    test = (RELATIONS | IA7)[relation]
+    known = F.transform(F.arrays_zip(intervals.alias("w"), on_intervals(a, intervals, fun).alias("v")), lambda z: F.struct(z["w"].alias("w"), (~F.isnan(z["v"]) & OPERATORS[op](z["v"], F.lit(float(threshold)))).alias("ok")))
+    some = lambda v: F.exists(known, lambda z: test(v, z["w"]) & z["ok"])
+    every = lambda v: F.forall(known, lambda z: ~test(v, z["w"]) | z["ok"])
+    return F.transform(intervals, every if universal else some)
+
+
 def exists_interval(a: Column, intervals: Column, fun: str, op: str, threshold: float) -> Column:
     """Modal diamond: some interval's feature passes the test; NaN passes none."""
     from ..operators.conditions import OPERATORS

@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import math
 import operator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,21 +81,55 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int) -> dict[str, li
     return {f: sorted(set(row[f] or [])) for f in features}
 
 
-def best_splits(rows: DataFrame, features: list[str], reg_lambda: float = 1.0, min_child_weight: float = 1.0, cuts: dict[str, list[float]] | None = None) -> DataFrame:
+def best_splits(
+    rows: DataFrame, features: list[str], reg_lambda: float = 1.0, min_child_weight: float = 1.0, cuts: dict[str, list[float]] | None = None, ranges: dict[str, list[float]] | None = None
+) -> DataFrame:
     """node, feature, threshold, gain, sums: the best split of each node with a gain above 0.
 
     ``rows`` has node, g, h and the features. Thresholds are midpoints of neighbouring distinct
     values in sorted order; value < threshold goes left; both sides need ``min_child_weight``.
     Of equal gains the first feature in the given order and its smallest threshold win. Rows are
-    summed by value before the running sums, whose windows are one node and feature each. With
-    ``cuts`` values are first replaced by the number of cuts at or below them.
+    summed by value before the running sums. ``ranges`` (bounds of each feature's values, as from
+    ``quantile_cuts``) cut those sums into ranges that are added up apart, so that no task holds
+    the values of a feature; the result is the same. With ``cuts`` values are first replaced by the number
+    of cuts at or below them.
     """
     if cuts is not None:
         return _binned_splits(rows, features, reg_lambda, min_child_weight, cuts)
     unpivoted = rows.select("node", "g", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f}`").cast("double").alias("v")) for i, f in enumerate(features)])).alias("x"))
     unpivoted = unpivoted.where("x.v is not null and not isnan(x.v)")
     sums = unpivoted.groupBy("node", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return _best_of(sums, features, reg_lambda, min_child_weight, (F.col("v") + F.col("after")) / 2)
+    return _best_of(sums, features, reg_lambda, min_child_weight, (F.col("v") + F.col("after")) / 2, ranges)
+
+
+def value_range(features: list[str], ranges: dict[str, list[float]] | None) -> Column:
+    """Number of the range of feature number i that the value v lies in."""
+    if not ranges:
+        return F.lit(0)
+    out = F.lit(0)
+    for i, f in enumerate(features):
+        bounds = F.array(*[F.lit(float(c)) for c in ranges.get(f, [])]).cast("array<double>")
+        out = F.when(F.col("i") == i, F.size(F.filter(bounds, lambda c: c <= F.col("v")))).otherwise(out)
+    return out
+
+
+def running_sums(sums: DataFrame, keys: list[str], values: list[str], range_of: Column) -> DataFrame:
+    """``sums`` (keys, v, values) with after, the next v, and of each value its sum up to v (left_) and in all (all_)."""
+    ranged = sums.withColumn("_r", range_of)
+    parts = ranged.groupBy(*keys, "_r").agg(F.min("v").alias("_least"), *[F.sum(c).alias(f"_{c}") for c in values])
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("_r")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_r").alias("_rr"), F.lead("_least").over(order).alias("_next"),
+        *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0.0)).alias(f"_before_{c}") for c in values], *[F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in values],
+    )
+    own = Window.partitionBy(*keys, "_r").orderBy("v")
+    to_here = own.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.select(*keys, "v", "_r", F.lead("v").over(own).alias("_lead"), *[F.sum(c).over(to_here).alias(f"_to_{c}") for c in values])
+    match = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], F.col("_r") == F.col("_rr"))
+    joined = rows.join(parts, match)
+    return joined.select(*keys, "v", F.coalesce("_lead", "_next").alias("after"), *[(F.col(f"_before_{c}") + F.col(f"_to_{c}")).alias(f"left_{c}") for c in values], *[f"all_{c}" for c in values])
 
 
 def _binned_splits(rows: DataFrame, features: list[str], reg_lambda: float, min_child_weight: float, cuts: dict[str, list[float]]) -> DataFrame:
@@ -105,23 +139,27 @@ def _binned_splits(rows: DataFrame, features: list[str], reg_lambda: float, min_
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(known(f), place(f)).alias("v")) for i, f in enumerate(features)])
     sums = rows.select("node", "g", "h", F.explode(cells).alias("x")).where("x.v is not null").groupBy("node", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     threshold = F.element_at(F.element_at(F.array(*[arrays[f] for f in features]), F.col("i") + 1), F.col("after").cast("int"))
-    return _best_of(sums, features, reg_lambda, min_child_weight, threshold)
+    return _best_of(sums, features, reg_lambda, min_child_weight, threshold, None)
 
 
-def _best_of(sums: DataFrame, features: list[str], reg_lambda: float, min_child_weight: float, threshold: Column) -> DataFrame:
+def _best_of(sums: DataFrame, features: list[str], reg_lambda: float, min_child_weight: float, threshold: Column, ranges: dict[str, list[float]] | None) -> DataFrame:
     """The best split of each node from sums by (node, feature number, value)."""
-    order = Window.partitionBy("node", "i").orderBy("v")
-    whole = Window.partitionBy("node", "i")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    cuts = sums.select("node", "i", "v", F.lead("v").over(order).alias("after"), F.sum("g").over(running).alias("gl"), F.sum("h").over(running).alias("hl"), F.sum("g").over(whole).alias("gt"), F.sum("h").over(whole).alias("ht"))
+    if ranges:
+        run = running_sums(sums, ["node", "i"], ["g", "h"], value_range(features, ranges))
+        cuts = run.select("node", "i", "v", "after", F.col("left_g").alias("gl"), F.col("left_h").alias("hl"), F.col("all_g").alias("gt"), F.col("all_h").alias("ht"))
+    else:
+        order = Window.partitionBy("node", "i").orderBy("v")
+        whole = Window.partitionBy("node", "i")
+        running = order.rowsBetween(Window.unboundedPreceding, 0)
+        cuts = sums.select("node", "i", "v", F.lead("v").over(order).alias("after"), F.sum("g").over(running).alias("gl"), F.sum("h").over(running).alias("hl"), F.sum("g").over(whole).alias("gt"), F.sum("h").over(whole).alias("ht"))
     cuts = cuts.where(F.col("after").isNotNull() & (F.col("hl") >= min_child_weight) & (F.col("ht") - F.col("hl") >= min_child_weight))
     cuts = cuts.select("node", "i", threshold.alias("threshold"), split_gain(F.col("gl"), F.col("hl"), F.col("gt"), F.col("ht"), reg_lambda).alias("gain"), "gl", "hl", "gt", "ht")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "i", "threshold"))
-    best = cuts.where("gain > 0").withColumn("_r", rank).where("_r = 1")
-    return best.select("node", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("i") + 1).alias("feature"), "threshold", "gain", "gl", "hl", "gt", "ht")
+    fields = ("threshold", "gl", "hl", "gt", "ht")
+    best = cuts.where("gain > 0").groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("least"), "i", *fields)).alias("b"))
+    return best.select("node", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("b.i") + 1).alias("feature"), "b.threshold", (-F.col("b.least")).alias("gain"), *[f"b.{c}" for c in fields[1:]])
 
 
-def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions, cuts: dict[str, list[float]] | None = None) -> Tree:
+def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions, cuts: dict[str, list[float]] | None = None, ranges: dict[str, list[float]] | None = None) -> Tree:
     """A tree over (g, h, features), one job for each level."""
     split: dict[str, object] = {}
     total = rows.agg(F.sum("g"), F.sum("h")).first()
@@ -131,7 +169,7 @@ def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions, cuts:
         if not open_nodes:
             break
         node = functools.reduce(lambda acc, p: F.when(_on_path(p, split), F.lit(p)).otherwise(acc), reversed(open_nodes), F.lit(None).cast("string"))
-        found = best_splits(rows.withColumn("node", node).where("node is not null"), features, options.reg_lambda, options.min_child_weight, cuts).collect()
+        found = best_splits(rows.withColumn("node", node).where("node is not null"), features, options.reg_lambda, options.min_child_weight, cuts, ranges).collect()
         open_nodes = []
         for r in sorted(found, key=lambda r: r["node"]):
             p = r["node"]
@@ -164,24 +202,109 @@ class Boosted:
     base: float
     eta: float
     trees: tuple[Tree, ...]
+    history: tuple[float, ...] = ()
 
     def column(self) -> Column:
         return functools.reduce(operator.add, (F.lit(float(self.eta)) * t.column() for t in self.trees), F.lit(float(self.base)))
 
 
-def boost_regression(df: DataFrame, features: list[str], target: str, options: BoostOptions | None = None) -> Boosted:
-    """Squared-error boosting. The rows are kept once; a round adds one compiled tree to the residual."""
+#: Ranges that the values of a feature are added up in.
+VALUE_RANGES = 64
+
+
+def boost_regression(df: DataFrame, features: list[str], target: str, options: BoostOptions | None = None, watch: DataFrame | None = None) -> Boosted:
+    """Squared-error boosting. The rows are kept once; a round adds one compiled tree to the residual.
+
+    With ``watch``, a table of the same columns, ``history`` has its mean squared error after each
+    number of rounds from 0.
+    """
     o = options or BoostOptions()
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).where("_y is not null").persist()
     try:
         base = float(rows.agg(F.avg("_y")).first()[0] or 0.0) if o.base_score is None else base_score(rows, "_y", o.base_score)
         cuts = quantile_cuts(rows, features, o.bins) if o.bins else None
+        ranges = None if cuts else quantile_cuts(rows, features, VALUE_RANGES)
         trees: tuple[Tree, ...] = ()
         for _ in range(o.rounds):
             now = rows.withColumn("_p", Boosted(base, o.eta, trees).column())
             g, h = gradient("_p", "_y")
-            trees += (grow_tree(now.withColumn("g", g).withColumn("h", h), features, o, cuts),)
-        return Boosted(base, o.eta, trees)
+            trees += (grow_tree(now.withColumn("g", g).withColumn("h", h), features, o, cuts, ranges),)
+        out = Boosted(base, o.eta, trees)
+        if watch is None:
+            return out
+        errors = [F.avg(F.pow(F.col(target) - Boosted(base, o.eta, trees[:k]).column(), F.lit(2))) for k in range(len(trees) + 1)]
+        return replace(out, history=tuple(watch.agg(*[e.alias(f"m{k}") for k, e in enumerate(errors)]).first()))
+    finally:
+        rows.unpersist()
+
+
+@dataclass(frozen=True)
+class BoostedClasses:
+    """Trees by round and class: tree i belongs to class i mod the number of scores."""
+
+    classes: tuple[str, ...]
+    objective: str
+    eta: float
+    trees: tuple[Tree, ...]
+    history: tuple[float, ...] = ()
+
+    def scores(self) -> list[Column]:
+        """The sum of each class, or for two classes the one of the second."""
+        k = 1 if self.objective == "binary:logistic" else len(self.classes)
+        none = F.lit(0.0)
+        return [functools.reduce(operator.add, (F.lit(float(self.eta)) * t.column() for t in self.trees[i::k]), none) for i in range(k)]
+
+    def probabilities(self) -> list[Column]:
+        s = self.scores()
+        if self.objective == "binary:logistic":
+            p = 1 / (1 + F.exp(-s[0]))
+            return [1 - p, p]
+        top = F.greatest(*s) if len(s) > 1 else s[0]
+        powers = [F.exp(x - top) for x in s]
+        total = functools.reduce(operator.add, powers)
+        return [x / total for x in powers]
+
+    def apply(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """``df`` with the probabilities of the classes and the likeliest one; of equal ones the first."""
+        out = df.withColumns({f"_p{i}": p for i, p in enumerate(self.probabilities())})
+        columns = [F.col(f"_p{i}") for i in range(len(self.classes))]
+        best = F.greatest(*columns) if len(columns) > 1 else columns[0]
+        label = functools.reduce(lambda acc, x: acc.when(x[1] == best, F.lit(x[0])), zip(self.classes, columns, strict=True), F.when(F.lit(False), F.lit(None).cast("string")))
+        return out.withColumn("probabilities", F.array(*columns)).withColumn(name, label).drop(*[f"_p{i}" for i in range(len(columns))])
+
+
+def boost_classes(df: DataFrame, features: list[str], label: str, options: BoostOptions | None = None, watch: DataFrame | None = None) -> BoostedClasses:
+    """Boosting for classes: logistic for two, softmax with one tree a class and round for more.
+
+    Classes are the sorted labels; rows without a label are left out. The gradient of a score is
+    p - y and its hessian p (1 - p). With ``watch`` the history has its log loss after each
+    number of rounds from 0. One class alone is always predicted.
+    """
+    o = options or BoostOptions()
+    rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(label).cast("string").alias("_y")).where("_y is not null").persist()
+    try:
+        classes = tuple(sorted(r[0] for r in rows.select("_y").distinct().collect()))  # one row for each class
+        objective = default_objective(len(classes))
+        model = BoostedClasses(classes, objective, o.eta, ())
+        cuts = quantile_cuts(rows, features, o.bins) if o.bins else None
+        ranges = None if cuts else quantile_cuts(rows, features, VALUE_RANGES)
+        shown = classes[1:] if objective == "binary:logistic" else classes
+        for _ in range(o.rounds if len(classes) > 1 else 0):
+            p = model.probabilities()[-len(shown) :]
+            grown = ()
+            for c, q in zip(shown, p, strict=True):
+                now = rows.withColumn("_q", q)
+                now = now.withColumn("g", F.col("_q") - (F.col("_y") == c).cast("double")).withColumn("h", F.col("_q") * (1 - F.col("_q")))
+                grown += (grow_tree(now, features, o, cuts, ranges),)
+            model = replace(model, trees=model.trees + grown)
+        if watch is None:
+            return model
+        losses = []
+        for k in range(o.rounds + 1 if len(classes) > 1 else 1):
+            part = replace(model, trees=model.trees[: k * len(shown)])
+            own = functools.reduce(lambda acc, x: F.when(F.col(label).cast("string") == x[0], x[1]).otherwise(acc), zip(classes, part.probabilities(), strict=True), F.lit(0.0))
+            losses.append(F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias(f"m{k}"))
+        return replace(model, history=tuple(watch.agg(*losses).first()))
     finally:
         rows.unpersist()
 
@@ -282,15 +405,14 @@ class StageWise:
         return Ensemble(self.trees, self.coefficients)
 
 
-def weighted_stump(rows: DataFrame, features: list[str], classes: list[str], criterion: str = "gini") -> tuple[Tree, str | None, float]:
+def weighted_stump(rows: DataFrame, features: list[str], classes: list[str], criterion: str = "gini", ranges: dict[str, list[float]] | None = None) -> tuple[Tree, str | None, float]:
     """The best single split of weighted rows (features, _y, _w): (tree, feature, gain)."""
     unpivoted = rows.select("_y", "_w", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f}`").alias("v")) for i, f in enumerate(features)])).alias("x")).where("x.v is not null and not isnan(x.v)")
     sums = [F.sum(F.when(F.col("_y") == c, F.col("_w")).otherwise(0.0)).alias(f"s{k}") for k, c in enumerate(classes)]
     byvalue = unpivoted.groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(*sums)
-    order, whole = Window.partitionBy("i").orderBy("v"), Window.partitionBy("i")
-    left = [F.sum(f"s{k}").over(order.rowsBetween(Window.unboundedPreceding, 0)) for k in range(len(classes))]
-    total = [F.sum(f"s{k}").over(whole) for k in range(len(classes))]
-    cuts = byvalue.select("i", "v", F.lead("v").over(order).alias("after"), F.array(*left).alias("l"), F.array(*total).alias("t"))
+    names = [f"s{k}" for k in range(len(classes))]
+    run = running_sums(byvalue, ["i"], names, value_range(features, ranges))
+    cuts = run.select("i", "v", "after", F.array(*[f"left_{c}" for c in names]).alias("l"), F.array(*[f"all_{c}" for c in names]).alias("t"))
     cuts = cuts.withColumn("r", F.zip_with("t", "l", lambda a, b: F.greatest(a - b, F.lit(0.0))))
 
     def impurity(a: str) -> Column:
@@ -323,9 +445,10 @@ def samme(df: DataFrame, features: list[str], label: str, rounds: int = 10, crit
         n, k = rows.count(), len(classes)
         weight = F.lit(1.0 / max(n, 1))
         trees, coefficients, gains = [], [], {}
+        ranges = quantile_cuts(rows, features, VALUE_RANGES)
         for _ in range(rounds):
             weighted = rows.withColumn("_w", weight)
-            tree, feature, gain = weighted_stump(weighted, features, classes, criterion)
+            tree, feature, gain = weighted_stump(weighted, features, classes, criterion, ranges)
             miss = tree.column() != F.col("_y")
             sums = weighted.agg(F.sum(F.when(miss, F.col("_w")).otherwise(0.0)), F.sum("_w")).first()
             error = sums[0] / sums[1]

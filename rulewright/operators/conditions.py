@@ -260,18 +260,17 @@ def conjunction(parts: Iterable[Formula]) -> Formula:
     return flat[0] if len(flat) == 1 else And(tuple(flat)) if flat else Truth(True)
 
 
-_CONDITION = re.compile(r"\s*(\S+)\s+([^\s\d]+)\s*(\S+)\s*")
-
-
 def parse_condition(text: str) -> ScalarCondition:
-    """``feature op threshold``; operators are looked up, nothing is evaluated."""
-    found = _CONDITION.fullmatch(text)
-    if not found or found[2] not in _SPELLED:
+    """``feature op threshold``: a word, an operator that is known, a number; nothing is evaluated."""
+    feature, _, rest = text.strip().partition(" ")
+    rest = rest.lstrip()
+    sign = next((x for x in sorted(_SPELLED, key=len, reverse=True) if rest.startswith(x)), None)
+    if not feature or sign is None:
         raise ValueError(f"no condition: {text!r}")
     try:
-        return ScalarCondition(found[1], _SPELLED[found[2]], float(found[3]))
+        return ScalarCondition(feature, _SPELLED[sign], float(rest[len(sign) :]))
     except ValueError as e:
-        raise ValueError(f"no threshold: {found[3]!r}") from e
+        raise ValueError(f"no threshold: {rest[len(sign):].strip()!r}") from e
 
 
 _LEX = re.compile(r"\s*(?:([()∧∨¬→⊤⊥&|!~])|(→|->)|([^\s()∧∨¬→⊤⊥&|!~]+))")

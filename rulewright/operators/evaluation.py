@@ -46,8 +46,8 @@ def ranked(df: DataFrame, order: Column, row_id: str, groups: list[str] | None =
     return joined.withColumn("rank", F.col("_own") + F.col("_before")).drop("_o", "_r", "_own", "_before")
 
 
-def ranked_by_key(df: DataFrame, key: str, row_id: str, ranges: int = KEY_RANGES) -> DataFrame:
-    """Rank by a numeric or time key instead of a hash: ranges are cut at approximate quantiles."""
+def ranked_by_key(df: DataFrame, key: str, *then: str, ranges: int = KEY_RANGES) -> DataFrame:
+    """Rank by a numeric or time key, and then by other columns, instead of a hash: ranges are cut at approximate quantiles."""
     kind = dict(df.dtypes)[key]
     number = F.unix_micros(F.col(key).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(key) if kind == "date" else F.col(key)
     keyed = df.withColumn("_k", number.cast("double"))
@@ -61,7 +61,7 @@ def ranked_by_key(df: DataFrame, key: str, row_id: str, ranges: int = KEY_RANGES
     counts = out.groupBy("_r").agg(F.count("*").alias("_n"))
     every = Window.partitionBy(F.lit(0))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(every.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("_n").over(every)).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_r").orderBy(key, row_id)) - 1
+    own = F.row_number().over(Window.partitionBy("_r").orderBy(key, *then)) - 1
     return out.withColumn("_own", own).join(F.broadcast(counts), "_r").withColumn("rank", F.col("_own") + F.col("_before")).drop("_r", "_own", "_before")
 
 
@@ -113,21 +113,27 @@ def fold_roles(assigned: DataFrame, row_id: str, k: int) -> DataFrame:
 def group_split(df: DataFrame, label: str, group_id: str, train_share: float = 0.7, order: Column | None = None, balance: bool = True) -> DataFrame:
     """``df`` with role: ids are disjoint between train and test within each label.
 
-    Ids go to train in order (of a hash by default) while the rows before them are fewer than
+    Ids go to train in the order of a hash (or of a long spread over 64 bits) while the rows before them are fewer than
     ``train_share`` of the label; with ``balance`` every (role, label) is cut to the smallest.
     """
-    ids = df.groupBy(label, group_id).agg(F.count("*").alias("_n"))
     order = order if order is not None else F.xxhash64(group_id)
-    w = Window.partitionBy(label).orderBy(order, group_id)
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy(label))
-    roles = ids.select(label, group_id, F.when(before < F.floor(total * train_share), "train").otherwise("test").alias("role"))
-    out = df.join(roles, [label, group_id])
+    ids = df.groupBy(label, group_id).agg(F.count("*").alias("_n")).withColumn("_o", order.cast("long"))
+    ids = ids.withColumn("_r", F.shiftright("_o", 64 - int(math.log2(RANK_RANGES))))
+    # rows before an id: within its hash range, and by the counts of the ranges
+    own = F.sum("_n").over(Window.partitionBy(label, "_r").orderBy("_o", group_id).rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy("_l")
+    ahead = F.sum("_c").over(whole.orderBy("_rr").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ids.groupBy(F.col(label).alias("_l"), F.col("_r").alias("_rr")).agg(F.sum("_n").alias("_c"))
+    counts = counts.select("_l", "_rr", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_c").over(whole).alias("_total"))
+    placed = ids.withColumn("_own", F.coalesce(own, F.lit(0))).join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_rr")))
+    role = F.when(F.col("_own") + F.col("_ahead") < F.floor(F.col("_total") * train_share), "train").otherwise("test").alias("role")
+    out = df.join(placed.select(label, group_id, role), [label, group_id])
     if not balance:
         return out
     least = out.groupBy("role", label).count().groupBy("role").agg(F.min("count").alias("_least"))
-    rank = F.row_number().over(Window.partitionBy("role", label).orderBy(group_id, F.xxhash64(*[c for c in df.columns if c != label])))
-    return out.withColumn("_k", rank).join(F.broadcast(least), "role").where("_k <= _least").drop("_k", "_least")
+    by_row = F.xxhash64(group_id, *[c for c in df.columns if c not in (label, group_id)])
+    out = ranked(out.withColumn("_row", by_row), F.col("_row"), "_row", ["role", label])
+    return out.join(F.broadcast(least), "role").where("rank < _least").drop("_row", "_least", "rank", "size")
 
 
 # -- measures ---------------------------------------------------------------------------
@@ -182,6 +188,13 @@ MEASURES: dict[str, tuple[Callable[[str, str], Column], str, str]] = {
 MEASURES |= {"l1": MEASURES["mae"], "mav": MEASURES["mae"], "rmse": MEASURES["rms"]}
 
 
+#: Measures of an array of probabilities and a label, in the order of given classes.
+PROBABILITY_MEASURES: dict[str, Callable[[list[str]], Column]] = {
+    "log_loss": lambda classes: log_loss(F.try_element_at("probabilities", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int"))),
+    "brier": lambda classes: brier(F.col("probabilities"), classes, "label"),
+}
+
+
 def operation_for(measure: str, prediction_kind: str) -> str:
     """How predictions are taken for a measure: as they are, their mode, or their mean."""
     task = "class" if measure in ("log_loss", "brier", "kappa", "confusion", "specificity") else MEASURES[measure][1] if measure in MEASURES else None
@@ -196,13 +209,24 @@ def operation_for(measure: str, prediction_kind: str) -> str:
     return "predict" if measure in ("log_loss", "brier") else "predict_mode" if task == "class" else "predict_mean"
 
 
-def evaluate(predictions: DataFrame, measures: list[str], custom: dict[str, Callable[[str, str], Column]] | None = None) -> DataFrame:
+def evaluate(predictions: DataFrame, measures: list[str], custom: dict[str, Callable[[str, str], Column]] | None = None, classes: list[str] | None = None, positive: str | None = None) -> DataFrame:
     """measure, fold, value of (fold, label, prediction); fold -1 is the aggregate.
 
     Folds are weighted by their rows: value = sum(w * v) with w = rows of the fold / all rows;
-    root mean squares are combined through their squares, and sums are added.
+    root mean squares are combined through their squares, and sums are added. log_loss and brier
+    need a column ``probabilities`` in the order of ``classes``; specificity needs ``positive``.
+    ``confusion_of`` gives the confusion tables.
     """
-    custom = custom or {}
+    custom = dict(custom or {})
+    if "specificity" in measures:
+        if positive is None:
+            raise ValueError("specificity needs the positive class")
+        custom["specificity"] = lambda y, p: specificity(y, p, positive)
+    for m in measures:
+        if m in PROBABILITY_MEASURES:
+            if classes is None or "probabilities" not in predictions.columns:
+                raise ValueError(f"{m} needs probabilities and their classes")
+            custom[m] = lambda y, p, m=m: PROBABILITY_MEASURES[m](classes)
     unknown = [m for m in measures if m not in MEASURES and m not in custom and m != "kappa"]
     if unknown:
         raise ValueError(f"unknown measures {unknown}")
@@ -217,6 +241,13 @@ def evaluate(predictions: DataFrame, measures: list[str], custom: dict[str, Call
     return long.select("measure", "fold", "value").unionByName(whole)
 
 
+def confusion_of(predictions: DataFrame) -> DataFrame:
+    """fold, label, prediction, n of every fold, and of all as fold -1."""
+    by_fold = confusion(predictions, "label", "prediction", ["fold"])
+    whole = by_fold.groupBy("label", "prediction").agg(F.sum("n").alias("n")).select(F.lit(-1).alias("fold"), "label", "prediction", "n")
+    return by_fold.select("fold", "label", "prediction", "n").unionByName(whole)
+
+
 # -- tuning -----------------------------------------------------------------------------
 
 
@@ -358,7 +389,7 @@ def make_learner(name: str, **params) -> Callable[[DataFrame, list[str], str, bo
 
         def fit(df, features, label, numeric):
             if not numeric:
-                raise TypeError("boosting fits numeric targets; use stump_boosting for classes")
+                return BoostedModel(boosting.boost_classes(df, features, label, options))
             b = boosting.boost_regression(df, features, label, options)
             return Ensemble(tuple(_shifted(t, b, i) for i, t in enumerate(b.trees)), numeric=True)
 
@@ -372,6 +403,21 @@ def make_learner(name: str, **params) -> Callable[[DataFrame, list[str], str, bo
     return fit_samme
 
 
+@dataclass(frozen=True)
+class BoostedModel(Model):
+    """Boosted classes as a model that applies like any other."""
+
+    boosted: object
+
+    def column(self, single: bool = False) -> Column:
+        p = self.boosted.probabilities()
+        best = F.greatest(*p) if len(p) > 1 else p[0]
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for c, x in zip(self.boosted.classes, p, strict=True):
+            out = out.when(x == best, F.lit(c))
+        return out
+
+
 def _shifted(tree: Tree, b, i: int) -> Tree:
     """A tree whose mean over the ensemble is base + eta * sum."""
     from .models import Branch
@@ -429,39 +475,39 @@ def symbolic_analysis(
     measures: tuple[str, ...] | None = None,
     extractor=None,
     tuning: tuple[list[Range], Tuning] | None = None,
+    numeric: bool | None = None,
 ) -> Analysis:
     """Splits, fits one symbolic model for each fold, predicts the test rows and measures them.
 
-    Numeric labels make it a regression. ``resample`` names holdout, cv, stratified or time with
+    Labels of floating point make it a regression; those of any other type, whole numbers too, are
+    classes unless ``numeric`` says otherwise. ``resample`` names holdout, cv, stratified or time with
     their parameters. With an ``extractor`` (``rules.ExtractorOptions``) each fold's model is
     turned into a rule list on its test rows. With ``tuning`` the parameters of the first fold's
     best candidate, measured on a holdout of its training rows, are used for all folds.
     """
-    numeric = dict(df.dtypes)[label] in ("double", "float")
+    numeric = dict(df.dtypes)[label] in ("double", "float") if numeric is None else numeric
     measures = measures or (("rms", "mae") if numeric else ("accuracy", "kappa"))
     kind, options = resample
-    k = options.get("k", 5)
-    if kind == "holdout":
-        roles = holdout(df, row_id, **options)
-    elif kind == "cv":
-        roles = fold_roles(k_fold(df, row_id, **options), row_id, k)
-    elif kind == "stratified":
-        roles = fold_roles(stratified_fold(df, row_id, label, **options), row_id, k)
-    elif kind == "time":
-        roles = time_folds(df, row_id, **options)
+    if kind in ("cv", "stratified"):  # one copy of each row, with the fold that it tests in
+        k = options.get("k", 5)
+        assigned = k_fold(df, row_id, **options) if kind == "cv" else stratified_fold(df, row_id, label, **options)
+        rows, folds = df.join(assigned.withColumnRenamed("own", "fold"), row_id).persist(), range(k)
+        part = lambda fold, role: rows.where(F.col("fold") == fold if role == "test" else F.col("fold") != fold).withColumn("fold", F.lit(fold))
+    elif kind in ("holdout", "time"):
+        roles = (holdout if kind == "holdout" else time_folds)(df, row_id, **options)
+        rows, folds = df.join(roles, row_id).persist(), range(1 if kind == "holdout" else options.get("k", 5))
+        part = lambda fold, role: rows.where((F.col("fold") == fold) & (F.col("role") == role)).drop("role")
     else:
         raise ValueError(f"unknown resampling {kind!r}")
-    roles = roles.persist()
-    rows = df.join(roles, row_id)
     params = dict(params or {})
     found: dict[int, Model] = {}
     lists: dict[int, Model] = {}
     parts: list[DataFrame] = []
-    for fold in [r[0] for r in roles.select("fold").distinct().orderBy("fold").collect()]:
-        train, test = (rows.where((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "test"))
+    for fold in folds:
+        train, test = part(fold, "train"), part(fold, "test")
         if tuning is not None and not found:
             ranges, search = tuning
-            inner = train.drop("fold", "role")
+            inner = train.drop("fold")
             split = inner.join(holdout(inner, row_id, 0.7).drop("fold"), row_id).persist()
 
             def score(p, split=split):

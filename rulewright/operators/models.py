@@ -8,7 +8,9 @@ size costs more to compile than it saves.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -111,6 +113,10 @@ class Ensemble(Model):
         return F.array(*[t.column(single) for t in self.trees])
 
     def column(self, single: bool = False) -> Column:
+        if self.vote is None and not self.numeric:
+            counted = _counted_votes(self, single)
+            if counted is not None:
+                return counted
         votes = self.predictions(single)
         if self.vote is not None:
             return self.vote(votes)
@@ -129,6 +135,45 @@ class MixedModel(Model):
         return self.root.column(single)
 
 
+#: Bits that hold one label's votes in a packed count.
+VOTE_BITS = 6
+
+
+def _counted_votes(m: Ensemble, single: bool) -> Column | None:
+    """The vote from counts of the labels that the leaves have, all in compiled code.
+
+    Each tree yields one in its label's bits of a long, so that the sum of the trees holds all
+    counts; with weights each label has a sum of its own. None if the trees have other leaves than
+    constant ones, or too many labels or trees for that.
+    """
+    every = [n for t in m.trees for n in nodes(t.root)]
+    if not all(isinstance(n, (Branch, Leaf)) for n in every):
+        return None
+    labels = sorted({n.outcome for n in every if isinstance(n, Leaf) and n.outcome is not None})
+
+    def with_leaves(t: Model, value) -> Column:
+        if isinstance(t, Leaf):
+            return value(t.outcome)
+        return F.when(t.condition.column(single), with_leaves(t.positive, value)).otherwise(with_leaves(t.negative, value))
+
+    if not labels:
+        return None
+    if m.weights is None and len(labels) * VOTE_BITS < 63 and len(m.trees) < 1 << VOTE_BITS:
+        one = {k: F.lit(1 << (VOTE_BITS * i)).cast("long") for i, k in enumerate(labels)} | {None: F.lit(0).cast("long")}
+        packed = functools.reduce(operator.add, (with_leaves(t.root, one.__getitem__) for t in m.trees))
+        sums = [F.shiftright(packed, VOTE_BITS * i).bitwiseAND(F.lit((1 << VOTE_BITS) - 1)) for i in range(len(labels))]
+    elif m.weights is not None and len(labels) * len(every) <= 400:
+        own = lambda k, w: lambda x: F.lit(float(w) if x == k else 0.0)
+        sums = [functools.reduce(operator.add, (with_leaves(t.root, own(k, w)) for t, w in zip(m.trees, m.weights, strict=True))) for k in labels]
+    else:
+        return None
+    best = F.greatest(*sums) if len(sums) > 1 else sums[0]
+    out = F.when(best <= 0, F.lit(None).cast("string") if isinstance(labels[0], str) else F.lit(None))
+    for k, x in zip(labels, sums, strict=True):
+        out = out.when(x == best, F.lit(k))
+    return out
+
+
 def majority(votes: Column, weights: tuple[float, ...] | None = None) -> Column:
     """The label with the largest count or weight; of equal ones the smallest."""
     w = F.array(*[F.lit(float(x)) for x in weights]) if weights is not None else F.transform(votes, lambda _: F.lit(1.0))
@@ -257,53 +302,56 @@ def nodes(m: Model) -> Iterator[Model]:
 
 
 class _FlatTrees:
-    """Trees as arrays, stepped through for many rows at a time."""
+    """Trees as arrays of nodes, all stepped through together for many rows at a time."""
 
     def __init__(self, model: Ensemble, features: list[str], single: bool):
-        self.model, self.single = model, single
         self.labels = sorted({n.outcome for t in model.trees for n in nodes(t.root) if isinstance(n, Leaf)}, key=lambda x: (x is None, x))
         code = {k: i for i, k in enumerate(self.labels)}
-        self.trees = []
-        for t in model.trees:
-            rows: list[list] = []
-
-            def add(n: Model, rows=rows) -> int:
-                i = len(rows)
-                rows.append([0, 0.0, "", i, i, 0])
-                if isinstance(n, Leaf):
-                    rows[i][5] = code[n.outcome]
-                else:
-                    c = n.condition
-                    rows[i][:3] = features.index(c.feature), c.threshold, c.op
-                    rows[i][3], rows[i][4] = add(n.positive), add(n.negative)
-                return i
-
-            add(t.root)
-            self.trees.append(tuple(np.array(c) for c in zip(*rows, strict=True)))
+        rows: list[list] = []
+
+        def add(n: Model) -> int:
+            i = len(rows)
+            rows.append([0, 0.0, "<", i, i, 0])
+            if isinstance(n, Leaf):
+                rows[i][5] = code[n.outcome]
+            else:
+                rows[i][:3] = features.index(n.condition.feature), n.condition.threshold, n.condition.op
+                rows[i][3], rows[i][4] = add(n.positive), add(n.negative)
+            return i
+
+        self.roots = np.array([add(t.root) for t in model.trees], np.int32)
+        self.depth = max(height(t) for t in model.trees)
+        feature, threshold, op, pos, neg, leaf = zip(*rows, strict=True)
+        self.feature, self.leaf = np.array(feature, np.int32), np.array(leaf, np.int32)
+        self.threshold = np.array(threshold, np.float32 if single else np.float64)
+        self.next = np.stack([np.array(neg, np.int32), np.array(pos, np.int32)]).ravel()  # by 0 and 1
+        self.n, self.op = len(rows), np.array(op)
+        self.ops = sorted({o for o, i, j in zip(op, pos, range(len(rows)), strict=True) if i != j})
+        self.of_op = {o: self.op == o for o in self.ops}
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """Leaf codes, one column for each tree."""
+        """Leaf codes, one column for each tree; NaN passes no test."""
         from .conditions import OPERATORS
 
-        out = np.empty((len(x), len(self.trees)), np.int64)
-        for k, (feature, threshold, op, pos, neg, leaf) in enumerate(self.trees):
-            at = np.zeros(len(x), np.int64)
-            if self.single:
-                threshold = threshold.astype(np.float32)
-            while True:
-                live = np.flatnonzero(pos[at] != at)
-                if not len(live):
-                    break
-                here = at[live]
-                value = x[live, feature[here]]
-                holds = np.zeros(len(live), bool)
-                for sign in np.unique(op[here]):
-                    own = op[here] == sign
-                    with np.errstate(invalid="ignore"):
-                        holds[own] = OPERATORS[str(sign)](value[own], threshold[here[own]]) & ~np.isnan(value[own])
-                at[live] = np.where(holds, pos[here], neg[here])
-            out[:, k] = leaf[at]
-        return out
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x), dtype=np.int64)[:, None] * x.shape[1]
+        at = np.broadcast_to(self.roots, (len(x), len(self.roots)))
+        unknown = np.isnan(x).any()
+        for _ in range(self.depth):
+            value, threshold = flat[base + self.feature[at]], self.threshold[at]
+            if len(self.ops) == 1:
+                holds = OPERATORS[self.ops[0]](value, threshold)
+            else:
+                holds = np.zeros(at.shape, bool)
+                for o in self.ops:
+                    holds |= self.of_op[o][at] & OPERATORS[o](value, threshold)
+            if unknown:
+                holds &= ~np.isnan(value)
+            at = self.next[at + holds * np.int32(self.n)]
+        return self.leaf[at]
+
+
+#: Rows that are stepped through together.
+BLOCK_ROWS = 4_096
 
 
 def _apply_batched(df: DataFrame, model: Ensemble, name: str, single: bool) -> DataFrame:
@@ -312,17 +360,34 @@ def _apply_batched(df: DataFrame, model: Ensemble, name: str, single: bool) -> D
     weights = np.array(model.weights or (1.0,) * len(model.trees))
 
     @F.pandas_udf("double" if model.numeric else "string")
-    def predict(table: pd.DataFrame) -> pd.Series:
-        x = table.to_numpy(dtype=np.float32 if single else np.float64, na_value=np.nan)
-        codes = flat.codes(x)
-        if model.numeric:
-            return pd.Series(np.array(flat.labels, float)[codes] @ weights / weights.sum())
-        votes = np.zeros((len(x), len(flat.labels)))
-        for k, w in enumerate(weights):
-            votes[np.arange(len(x)), codes[:, k]] += w
-        return pd.Series(np.array(flat.labels, object)[votes.argmax(axis=1)])
-
-    return df.withColumn(name, predict(F.struct(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])))
+    def predict(*columns: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(np.float32 if single else np.float64, na_value=np.nan) for c in columns], axis=1)
+        out = np.empty(len(x), float if model.numeric else np.int64)
+        for lo in range(0, len(x), BLOCK_ROWS):
+            codes = flat.codes(x[lo : lo + BLOCK_ROWS])
+            if model.numeric:
+                out[lo : lo + BLOCK_ROWS] = np.array(flat.labels, float)[codes] @ weights / weights.sum()
+            else:
+                out[lo : lo + BLOCK_ROWS] = np.stack([(codes == k) @ weights for k in range(len(flat.labels))], axis=1).argmax(axis=1)
+        return pd.Series(out if model.numeric else np.array(flat.labels, object)[out])
+
+    return df.withColumn(name, predict(*[F.col(f"`{f}`").cast("double") for f in features]))
+
+
+def collect_predictions(df: DataFrame, model: Model, name: str = "predictions", mode: str = "append", leaves_only: bool = False) -> DataFrame:
+    """``df`` with an array of predictions to which the model's is added, or which it replaces.
+
+    With ``leaves_only`` an ensemble adds the outcomes of its trees' leaves instead of its vote. A table
+    without the column starts with an empty array; other modes than append and replace raise.
+    """
+    if mode not in ("append", "replace"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if leaves_only and isinstance(model, Ensemble):
+        new = F.transform(model.predictions(), lambda x: x.cast("string"))
+    else:
+        new = F.array(model.column().cast("string"))
+    old = F.coalesce(F.col(f"`{name}`"), F.array().cast("array<string>")) if mode == "append" and name in df.columns else F.array().cast("array<string>")
+    return df.withColumn(name, F.concat(old, new))
 
 
 def with_supports(df: DataFrame, tree: Tree, name: str = "path") -> DataFrame:

@@ -30,6 +30,37 @@ def select_by_index(df: DataFrame, places: list[int]) -> DataFrame:
     return df.select(*[df.columns[i] for i in places])
 
 
+def bind_columns(*tables: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Tables side by side, joined by their row id; rows that one lacks have nulls there. Other names must differ."""
+    names = [c for t in tables for c in t.columns if c != row_id]
+    if len(names) != len(set(names)):
+        raise ValueError("columns of the same name")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, row_id, "full")
+    return out
+
+
+def cell(df: DataFrame, row_id: str, row, column: str | int) -> DataFrame:
+    """The one value in a row and a column (by name, or place from 0), as a table ``value``."""
+    return df.where(F.col(row_id) == F.lit(row)).select(F.col(df.columns[column] if isinstance(column, int) else column).alias("value"))
+
+
+def matrix_product(a: DataFrame, b: DataFrame, boolean: bool = False) -> DataFrame:
+    """i, j, v of the product of two matrices given by their cells (i, j, v); absent cells are 0.
+
+    With ``boolean`` a cell is true where any pair of factors is.
+    """
+    pairs = a.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k")
+    value = F.bool_or(F.col("x").cast("boolean") & F.col("y").cast("boolean")) if boolean else F.sum(F.col("x") * F.col("y"))
+    return pairs.groupBy("i", "j").agg(value.alias("v"))
+
+
+def sort_by_length(df: DataFrame, series: str, longest_first: bool = True) -> DataFrame:
+    """Rows by the length of their series; null ones last."""
+    return df.orderBy(F.desc_nulls_last(F.size(series)) if longest_first else F.asc_nulls_last(F.size(series)))
+
+
 def cast_all(df: DataFrame, columns: list[str], kind: str = "float") -> DataFrame:
     return df.withColumns({c: F.col(c).cast(kind) for c in columns})
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import quantile_cuts
 from .conditions import And, Formula, ScalarCondition, Truth, conjunction
 from .models import DecisionList, Ensemble, Leaf, Model, Rule, list_rules, union_rules
 
@@ -163,20 +164,36 @@ def correlation_selection(df: DataFrame, rules: list[Rule], label: str, patience
     """Greedy forward selection of rule masks by merit = r_cf / sqrt(k + 2 r_ff).
 
     r_cf sums the symmetric uncertainties with the label, r_ff those of all pairs chosen;
-    stops after ``patience`` steps without a higher merit. All pairs come from one grouping of
-    the distinct mask patterns.
+    stops after ``patience`` steps without a higher merit. The pairs of a chosen rule are counted
+    when it is chosen, in one aggregate.
     """
-    masks = _mask_table(df, rules, label)
-    names = [f"m{i}" for i in range(len(rules))]
-    patterns = [(r["_label"], [int(r[n]) for n in names], r["count"]) for r in masks.groupBy("_label", *names).count().collect()]
+    masks = [_holds(r.antecedent) for r in rules]
+    y = F.col(label).cast("string")
+    rows = df.where(y.isNotNull())
+    classes = [r[0] for r in rows.select(y).distinct().orderBy(y).collect()]  # one row for each class
+    total = rows.groupBy(y.alias("y")).agg(*[F.count_if(m).alias(f"m{i}") for i, m in enumerate(masks)], F.count("*").alias("n")).collect()
+    by_class = {r["y"]: r for r in total}
+    n = sum(r["n"] for r in total)
+    held = [sum(r[f"m{i}"] for r in total) for i in range(len(rules))]
+
+    def table(both: int, a: int, b: int) -> dict[tuple, int]:
+        return {k: v for k, v in {(1, 1): both, (1, 0): a - both, (0, 1): b - both, (0, 0): n - a - b + both}.items() if v}
+
+    with_label = []
+    for i in range(len(rules)):
+        joint = {(v, c): by_class[c][f"m{i}"] if v else by_class[c]["n"] - by_class[c][f"m{i}"] for c in classes for v in (0, 1)}
+        with_label.append(symmetric_uncertainty({k: v for k, v in joint.items() if v}))
+    with_rule: dict[int, list[float]] = {}
+
+    def counted(j: int) -> None:
+        """The symmetric uncertainty of rule j with every rule, from one aggregate for each pass."""
+        both: list[int] = []
+        for lo in range(0, len(rules), RULES_PER_PASS):
+            both += list(rows.agg(*[F.count_if(masks[j] & m).alias(f"m{i}") for i, m in enumerate(masks[lo : lo + RULES_PER_PASS])]).first())
+        with_rule[j] = [symmetric_uncertainty(table(b, held[i], held[j])) for i, b in enumerate(both)]
 
-    @functools.cache
     def su(i: int, j: int) -> float:
-        joint: dict[tuple, int] = {}
-        for y, m, n in patterns:
-            key = (m[i], y if j < 0 else m[j])
-            joint[key] = joint.get(key, 0) + n
-        return symmetric_uncertainty(joint)
+        return with_label[i] if j < 0 else with_rule[j][i] if j in with_rule else with_rule[i][j]
 
     chosen: list[int] = []
     best, kept, stale = -math.inf, [], 0
@@ -190,6 +207,7 @@ def correlation_selection(df: DataFrame, rules: list[Rule], label: str, patience
         pick = max((i for i in range(len(rules)) if i not in chosen), key=lambda i: (merit(i), -i))
         value = merit(pick)
         chosen.append(pick)
+        counted(pick)
         if value > best:
             best, kept, stale = value, list(chosen), 0
         else:
@@ -267,7 +285,7 @@ class CoveringOptions:
 def learn_covering(df: DataFrame, features: list[str], label: str, options: CoveringOptions | None = None) -> DecisionList:
     """An ordered rule list by beam search over conjunctions of threshold atoms.
 
-    Thresholds are quantiles of the rows left (the discretised domain). Each level of the beam
+    Thresholds are approximate quantiles of all rows (the discretised domain). Each level of the beam
     is one aggregate that counts the labels under all candidates. A rule's quality is the
     Laplace accuracy (n_c + 1) / (n + K), or the negative entropy of its labels.
     """
@@ -286,12 +304,11 @@ def learn_covering(df: DataFrame, features: list[str], label: str, options: Cove
             return (max(n) + 1) / (total + len(classes))
         return sum(x / total * math.log2(x / total) for x in n if x) if total else -math.inf
 
+    cuts = quantile_cuts(df, features, o.thresholds + 1)
     for _ in range(o.max_rules):
         whole = counts(left, [Truth(True)])[0]
         if sum(whole) == 0 or max(whole) == sum(whole):
             break
-        probs = [k / (o.thresholds + 1) for k in range(1, o.thresholds + 1)]
-        cuts = left.agg(*[F.percentile(F.col(f).cast("double"), probs).alias(f) for f in features]).first()
         atoms = [ScalarCondition(f, op, t) for f in features for t in sorted(set(cuts[f] or [])) for op in ("<", ">=")]
         beam: list[tuple[float, Formula, list[int]]] = [(quality(whole), Truth(True), whole)]
         best = beam[0]

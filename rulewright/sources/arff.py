@@ -11,10 +11,14 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Data lines that travel together.
+BATCH_ROWS = 1_000
 SCHEMA = "line long, series array<array<double>>, class string, split string"
 
 
@@ -28,7 +32,7 @@ def parse_line(line: str) -> tuple[list[list[float]], str] | None:
 
 
 class ArffSource(DataSource):
-    """Option ``path``: files parted by commas, each as split=path or path; a zip member as zip!member."""
+    """Option ``path``: files or folders parted by commas, each as split=path or path; a zip member as zip!member."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,16 +55,44 @@ class ArffReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[ArffFile]:
-        return [ArffFile(*(p.split("=", 1) if "=" in p else ("all", p))) for p in self.paths]
-
-    def read(self, partition: ArffFile) -> Iterator[tuple]:
+        out = []
+        for p in self.paths:
+            split, path = p.split("=", 1) if "=" in p else ("all", p)
+            store, base = _store(path.partition("!")[0])
+            if "!" not in path and store.get_file_info(base).type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(base))
+                out += [ArffFile(split, f"{path.rstrip('/')}/{i.base_name}") for i in sorted(found, key=lambda i: i.path) if i.is_file and not i.base_name.startswith(("_", "."))]
+            else:
+                out.append(ArffFile(split, path))
+        return out
+
+    def read(self, partition: ArffFile) -> Iterator[pa.RecordBatch]:
         path, _, member = partition.path.partition("!")
-        raw = zipfile.ZipFile(path).open(member) if member else open(path, "rb")
-        with io.TextIOWrapper(raw, "utf-8") as lines:
-            for i, line in enumerate(lines):
-                found = parse_line(line)
-                if found:
-                    yield (i, *found, partition.split)
+        store, base = _store(path)
+        with store.open_input_file(base) as file:
+            raw = zipfile.ZipFile(file).open(member) if member else file
+            held: list[tuple] = []
+            with io.TextIOWrapper(io.BufferedReader(raw) if not member else raw, "utf-8") as lines:
+                for i, line in enumerate(lines):
+                    found = parse_line(line)
+                    if found:
+                        held.append((i, *found))
+                    if len(held) == BATCH_ROWS:
+                        yield _batch(held, partition.split)
+                        held = []
+            if held:
+                yield _batch(held, partition.split)
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI that driver and executors can see."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _batch(rows: list[tuple], split: str) -> pa.RecordBatch:
+    line, series, label = zip(*rows, strict=True)
+    columns = [pa.array(line, pa.int64()), pa.array(series, pa.list_(pa.list_(pa.float64()))), pa.array(label, pa.string()), pa.array([split] * len(rows), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["line", "series", "class", "split"])
 
 
 def read_arff(spark: SparkSession, paths: dict[str, str], names: list[str] | None = None, classes: dict[str, str] | None = None, split: str = "all") -> DataFrame:

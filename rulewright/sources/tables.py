@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,15 +65,38 @@ def rename_all(df: DataFrame, rename: Callable[[str], str]) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """``df`` with its place in an order, from 0, by counted ranges instead of one global window."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    """``df`` with its place in an order, from 0, by counted ranges instead of one global window.
 
-    every = Window.partitionBy(F.lit(0)).orderBy("_p")
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    counts = counts.select("_p", "_first", F.coalesce(F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(counts), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.col("_before")).drop("_p", "_i", "_first", "_before")
+    The first column of the order is a number or a time, by whose approximate quantiles the ranges
+    are cut; rows of one value are in one range.
+    """
+    from ..operators.evaluation import ranked_by_key
+
+    return ranked_by_key(df, order[0], *order[1:]).withColumnRenamed("rank", name).drop("size")
+
+
+@dataclass(frozen=True)
+class Source:
+    """A table in memory or anywhere else, of named columns, that knows its rows."""
+
+    table: DataFrame
+
+    @classmethod
+    def of_columns(cls, spark: SparkSession, columns: dict[str, list]) -> Source:
+        """Columns of equal length; a ValueError otherwise."""
+        if len({len(v) for v in columns.values()}) > 1:
+            raise ValueError("columns of different lengths")
+        return cls(spark.createDataFrame(pa.table(columns)) if columns else spark.createDataFrame([], "value int").drop("value"))
+
+    @classmethod
+    def of_vector(cls, spark: SparkSession, values: list, name: str = "value") -> Source:
+        return cls.of_columns(spark, {name: values})
+
+    def is_empty(self) -> bool:
+        return self.table.isEmpty()
+
+    def n_rows(self) -> int:
+        return self.table.count()
 
 
 def sample_iris(spark: SparkSession, n_per_class: int = 50) -> DataFrame:
@@ -87,6 +112,25 @@ def sample_iris(spark: SparkSession, n_per_class: int = 50) -> DataFrame:
     return spark.createDataFrame(rows, "row_id long, sepal_length double, sepal_width double, petal_length double, petal_width double, label string")
 
 
+def sample_houses(spark: SparkSession, n: int = 506) -> DataFrame:
+    """A made-up table of the shape of a well-known sample of house prices, the same on every run.
+
+    Twelve measurements of a district and the median price, which falls with crime and poverty and
+    rises with rooms, with noise; prices end at 50.
+    """
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        poor, rooms, crime = rng.uniform(2, 35), rng.gauss(6.3, 0.7), rng.lognormvariate(-0.8, 1.6)
+        rest = (rng.choice((0.0, 12.5, 25.0, 80.0)), rng.uniform(1, 25), float(rng.random() < 0.07), rng.uniform(0.38, 0.87), rng.uniform(5, 100), rng.uniform(1, 12), float(rng.randint(1, 24)), float(rng.randint(190, 710)), rng.uniform(12.6, 22.0))
+        price = 28 + 5.5 * (rooms - 6.3) - 0.55 * (poor - 12) - 0.12 * min(crime, 40) - 0.6 * (rest[8] - 18) + 2.5 * rest[2] + rng.gauss(0, 2.5)
+        rows.append((i, crime, *rest[:4], rooms, *rest[4:], poor, round(min(max(price, 5.0), 50.0), 1)))
+    names = ("crime", "zoned", "industry", "river", "oxides", "rooms", "age", "distance", "highways", "tax", "pupils", "poor", "price")
+    return spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{c} double" for c in names))
+
+
 def sample_linear(spark: SparkSession, n: int = 1000, weights: tuple[float, ...] = (2.0, 3.0, -1.0, 0.5, 1.0), noise: float = 0.1, seed: int = 42) -> DataFrame:
     """x1.., y = weights . x + noise, the same on every run."""
     import random
