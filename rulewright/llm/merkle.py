@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_or_shuffled, spread_join, staged
+from .common import discard, spread_join, staged
 
 FANOUT = 16
 FILE_RECORDS = 1_000
@@ -68,12 +68,17 @@ def archive_layout(records: DataFrame, key: str = "record_id", file_records: int
     shuffled, never the records. A null record counts as empty; an empty table gives an empty
     layout; other columns are not read.
     """
-    loose = loose or loose_files(records, key, file_records)
     record = F.coalesce(F.col("record"), F.lit(""))
     hashed = records.select(F.col(key).cast("long").alias("record_id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"))
     leaves = staged(hashed.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies")), "records")
-    crowded = leaves.groupBy(F.col("record_id").alias("of_id")).agg(F.count("*").alias("n")).where(F.col("of_id").isNotNull() & (F.col("n") > file_records))
-    leaves = spread_join(leaves, staged(crowded, "crowded"), F.col("record_id") == F.col("of_id"), "n", leaves.count())
+    by_id = leaves.groupBy(F.col("record_id").alias("of_id")).agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    total, most, nameless = by_id.agg(F.sum("n"), F.max(F.when(F.col("of_id").isNotNull(), F.col("n"))), F.max(F.when(F.col("of_id").isNull(), F.col("rows")))).first()
+    loose = loose or (nameless or 0) // file_records + 1
+    if (most or 0) > file_records:
+        crowded = staged(by_id.where(F.col("of_id").isNotNull() & (F.col("n") > file_records)), "crowded")
+        leaves = spread_join(leaves, crowded, F.col("record_id") == F.col("of_id"), "n", total)
+    else:
+        leaves = leaves.withColumn("n", F.lit(None).cast("long"))
     files = F.when(F.col("n").isNull(), loose).otherwise(F.floor(F.col("n") / file_records) + 1)
     by_digest = -1 - F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), files)
     file = F.when(F.col("record_id").isNull() | F.col("n").isNotNull(), by_digest).otherwise(F.floor(F.col("record_id") / file_records))
@@ -181,51 +186,57 @@ def height(fanout: int, file_records: int) -> int:
     return levels
 
 
-def tree(layout: DataFrame, fanout: int = FANOUT, levels: int | None = None, file_records: int = FILE_RECORDS) -> list[DataFrame]:
+def tree(layout: DataFrame, fanout: int = FANOUT, levels: int | None = None, file_records: int = FILE_RECORDS, keys: tuple[str, ...] = ("file",)) -> list[DataFrame]:
     """The levels of every file's tree, leaves first: file, node, first, last, names, hash.
 
     A node of the lowest level holds the records of one place, one of the next ``fanout`` places
     and so on. ``first`` and ``last`` bound the offsets that a node covers, ``names`` lists its children
     by offset. There are ``levels`` levels above the lowest one, or as many as it takes for
-    every file to have one node.
+    every file to have one node. ``keys`` tell files apart, and come first in each level.
     """
     leaf = F.sha2(F.concat_ws("|", F.lit("leaf"), F.coalesce(F.col("record_id").cast("string"), F.lit("")), "length", "copies", "digest"), 256)
     end = F.col("offset") + F.col("length") * F.col("copies")
     name = F.coalesce(F.col("record_id").cast("string"), F.lit(""))
-    rows = _placed(layout, file_records).select("file", F.col("place").alias("node"), F.col("offset").alias("first"), end.alias("last"), leaf.alias("hash"), name.alias("name"))
-    out = [staged(_grouped(rows), "leaves")]
+    rows = _placed(layout, file_records).select(*keys, F.col("place").alias("node"), F.col("offset").alias("first"), end.alias("last"), leaf.alias("hash"), name.alias("name"))
+    out = [staged(_grouped(rows, keys), "leaves")]
     while len(out) <= levels if levels is not None else out[-1].where("node > 0").limit(1).count():
-        rows = out[-1].select("file", F.floor(F.col("node") / fanout).alias("node"), "first", "last", "hash", F.col("node").cast("string").alias("name"))
-        out.append(staged(_grouped(rows), "nodes"))
+        rows = out[-1].select(*keys, F.floor(F.col("node") / fanout).alias("node"), "first", "last", "hash", F.col("node").cast("string").alias("name"))
+        out.append(staged(_grouped(rows, keys), "nodes"))
     return out
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """file, node, first, last, names, hash of the children of each node in the order of their offsets."""
+def _grouped(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, node, first, last, names, hash of the children of each node in the order of their offsets."""
     children = F.array_sort(F.collect_list(F.struct("first", "last", "name", "hash")))
-    out = rows.groupBy("file", "node").agg(F.min("first").alias("first"), F.max("last").alias("last"), children.alias("c"))
+    out = rows.groupBy(*keys, "node").agg(F.min("first").alias("first"), F.max("last").alias("last"), children.alias("c"))
     names = F.array_join(F.transform("c", lambda c: c["name"]), ",")
     lines = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["last"] - c["first"], c["hash"])), "|")
-    return out.select("file", "node", "first", "last", names.alias("names"), F.sha2(F.concat(F.lit("node|"), names, F.lit("|"), lines), 256).alias("hash"))
+    return out.select(*keys, "node", "first", "last", names.alias("names"), F.sha2(F.concat(F.lit("node|"), names, F.lit("|"), lines), 256).alias("hash"))
 
 
-def differing(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
-    """(file, node of the lowest nodes that differ or exist once; file of those with another order somewhere)."""
+def _sides(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Both tables, told apart by ``side``."""
+    return one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
+
+
+def _differing(levels: list[DataFrame], fanout: int) -> tuple[DataFrame, DataFrame]:
+    """(file, node of the lowest nodes that differ or exist once; file of those with another order somewhere), of levels of both sides."""
     suspects, reordered = None, None
-    for x, y in zip(reversed(one), reversed(two), strict=True):
-        sides = [t.select("file", "node", F.col("hash").alias(f"{n}_hash"), F.col("names").alias(f"{n}_names")) for t, n in ((x, "x"), (y, "y"))]
-        if suspects is not None:
-            hint = small_or_shuffled(suspects.select(F.col("file").alias("in_file"), F.col("node").alias("up")))
-            sides = [s.join(hint, (F.col("file") == F.col("in_file")) & (F.floor(F.col("node") / fanout) == F.col("up")), "left_semi") for s in sides]
-        suspects = staged(sides[0].join(sides[1], ["file", "node"], "full").where("not (x_hash <=> y_hash)"), "suspects")
-        other = suspects.where("x_names <> y_names").select("file")
+    for level in reversed(levels):
+        if suspects is not None:  # Spark broadcasts what it sees to be small
+            hint = suspects.select(F.col("file").alias("in_file"), F.col("node").alias("up"))
+            level = level.join(hint, (F.col("file") == F.col("in_file")) & (F.floor(F.col("node") / fanout) == F.col("up")), "left_semi")
+        of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+        pairs = level.groupBy("file", "node").agg(of(0, "hash").alias("x"), of(1, "hash").alias("y"), of(0, "names").alias("x_names"), of(1, "names").alias("y_names"))
+        suspects = staged(pairs.where("not (x <=> y)").select("file", "node", (F.col("x_names") != F.col("y_names")).alias("other_order")), "suspects")
+        other = suspects.where("other_order").select("file")
         reordered = other if reordered is None else reordered.unionByName(other)
     return suspects.select("file", "node"), reordered.distinct()
 
 
 def differing_leaves(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """file, node of the lowest nodes that differ or exist once, found from the roots down."""
-    return differing(one, two, fanout)[0]
+    """file, node of the lowest nodes that differ or exist once, found from the roots down; trees of one height."""
+    return _differing([_sides(x, y) for x, y in zip(one, two, strict=True)], fanout)[0]
 
 
 def out_of_place(order: list[int]) -> list[int]:
@@ -259,39 +270,36 @@ def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT, file_records: in
     their file, id and digest, and null leaf, offset and length. ``root`` is the hash of the file's tree
     in the first replica. Equal layouts, empty ones too, have no differing leaf.
     """
-    levels = height(fanout, file_records)
-    trees = [tree(x, fanout, levels, file_records) for x in (one, two)]
-    bad, reordered = differing(*trees, fanout)
-    bad = small_or_shuffled(staged(bad.select(F.col("file").alias("in_file"), F.col("node").alias("in_place")), "bad"))
-    match = (F.col("file") == F.col("in_file")) & (F.col("place") == F.col("in_place"))
-    x, y = (_placed(t, file_records).join(bad, match, "left_semi") for t in (one, two))
-    key = ["file", "record_id", "digest", "length"]
-
-    def alone(a: DataFrame, b: DataFrame) -> DataFrame:
-        same = [a[c].eqNullSafe(F.col(f"b_{c}")) for c in (*key, "copies")]
-        rest = a.join(b.select(*[F.col(c).alias(f"b_{c}") for c in (*key, "copies")]), same, "left_anti")
-        return rest.withColumn("nth", F.row_number().over(Window.partitionBy("file", "record_id").orderBy("digest", "length")))
-
-    gone = staged(alone(x, y).select("file", "leaf", "record_id", "nth"), "gone")
-    new = staged(alone(y, x).select(F.col("file").alias("n_file"), F.col("record_id").alias("n_id"), F.col("nth").alias("n_nth"), "digest", "copies"), "new")
-    paired = (F.col("file") == F.col("n_file")) & F.col("record_id").eqNullSafe(F.col("n_id")) & (F.col("nth") == F.col("n_nth"))
-    lost = gone.join(new.select("n_file", "n_id", "n_nth"), paired, "left").select(F.col("file").alias("l_file"), F.col("leaf").alias("l_leaf"), F.col("n_file").isNull().alias("missing"))
-    inserted = new.join(gone.select("file", "record_id", "nth"), paired, "left_anti")
-
-    files = small_or_shuffled(staged(reordered.withColumnRenamed("file", "in_file"), "reordered"))
-    a, b = (t.join(files, F.col("file") == F.col("in_file"), "left_semi") for t in (one, two))
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in key], F.col("leaf").alias("other"))
-    shared = a.join(b, [a[c].eqNullSafe(F.col(f"b_{c}")) for c in key]).select("file", "leaf", "other")
+    both = staged(_sides(one.select(*_LAYOUT), two.select(*_LAYOUT)), "replicas")
+    levels = tree(both, fanout, height(fanout, file_records), file_records, ("side", "file"))
+    bad, reordered = _differing(levels, fanout)
+    bad = bad.select(F.col("file").alias("in_file"), F.col("node").alias("in_place"))
+    suspects = _placed(both, file_records).join(bad, (F.col("file") == F.col("in_file")) & (F.col("place") == F.col("in_place")), "left_semi")
+    record = ["file", "record_id", "digest", "length", "copies"]
+    alone = suspects.groupBy(*record).agg(F.min("side").alias("side"), F.max("side").alias("last_side"), F.min("leaf").alias("leaf")).where("side = last_side")
+    nth = F.row_number().over(Window.partitionBy("side", "file", "record_id").orderBy("digest", "length", "copies"))
+    alone = staged(alone.withColumn("nth", nth).drop("last_side"), "alone")
+    # the nth record of an id that only one replica has stands against the nth that only the other has
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    pairs = alone.groupBy("file", "record_id", "nth").agg(of(0, "leaf").alias("leaf"), of(1, "digest").alias("digest"), of(1, "copies").alias("copies"))
+    lost = pairs.where("leaf is not null").select(F.col("file").alias("l_file"), F.col("leaf").alias("l_leaf"), F.col("digest").isNull().alias("missing"))
+    inserted = pairs.where("leaf is null")
+
+    reordered = staged(reordered.withColumnRenamed("file", "in_file"), "reordered")
+    shared = both.join(reordered, F.col("file") == F.col("in_file"), "left_semi").groupBy(*record[:4])
+    shared = shared.agg(of(0, "leaf").alias("leaf"), of(1, "leaf").alias("other")).where("leaf is not null and other is not null").select("file", "leaf", "other")
     moved = staged(shared.groupBy("file").applyInArrow(_moved, "moved_file long, moved_leaf long"), "moved")
 
-    roots = small_or_shuffled(trees[0][-1].select(F.col("file").alias("r_file"), F.col("hash").alias("root")))
-    out = one.join(roots, F.col("file") == F.col("r_file"), "left")
-    out = out.join(small_or_shuffled(staged(lost, "lost")), (F.col("file") == F.col("l_file")) & (F.col("leaf") == F.col("l_leaf")), "left")
-    out = out.join(small_or_shuffled(moved), (F.col("file") == F.col("moved_file")) & (F.col("leaf") == F.col("moved_leaf")), "left")
+    roots = levels[-1].where("side = 0").select(F.col("file").alias("r_file"), F.col("hash").alias("root"))
+    out = both.where("side = 0").join(roots, F.col("file") == F.col("r_file"), "left")
+    out = out.join(lost, (F.col("file") == F.col("l_file")) & (F.col("leaf") == F.col("l_leaf")), "left")
+    out = out.join(moved, (F.col("file") == F.col("moved_file")) & (F.col("leaf") == F.col("moved_leaf")), "left")
     status = F.when(F.col("missing"), "missing").when(F.col("l_file").isNotNull(), "damaged").when(F.col("moved_file").isNotNull(), "moved").otherwise("intact")
-    out = out.select("file", "leaf", "offset", "length", "record_id", "digest", "copies", (status == "intact").alias("intact"), status.alias("status"), "root")
+    out = out.select(*_LAYOUT, (status == "intact").alias("intact"), status.alias("status"), "root")
     none = F.lit(None).cast("long")
-    extra = inserted.select(F.col("n_file").alias("file"), none.alias("leaf"), none.alias("offset"), none.alias("length"), F.col("n_id").alias("record_id"), "digest", "copies", F.lit(False).alias("intact"), F.lit("inserted").alias("status"), F.lit(None).cast("string").alias("root"))
-    for t in trees:
-        discard(*t[:-1])
+    extra = inserted.select("file", none.alias("leaf"), none.alias("offset"), none.alias("length"), "digest", "copies", "record_id", F.lit(False).alias("intact"), F.lit("inserted").alias("status"), F.lit(None).cast("string").alias("root"))
+    discard(*levels[:-1])
     return out.unionByName(extra)
+
+
+_LAYOUT = ("file", "leaf", "offset", "length", "digest", "copies", "record_id")

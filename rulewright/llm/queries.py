@@ -26,8 +26,7 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.when(kind == 0, F.overlay("record", F.lit("0"), F.lit(8))).when(kind == 1, F.concat("record", F.lit("\n"))).when(kind == 2, F.substring("record", 1, F.length("record") - 1)).otherwise(F.col("record"))
     other = pages.where(F.coalesce(kind != 3, F.lit(True))).withColumn("record", damaged)
     loose = merkle.loose_files(pages)
-    one, two = (common.staged(merkle.archive_layout(x, loose=loose), "replica") for x in (pages, other))
-    return merkle.audit(one, two)
+    return merkle.audit(*(merkle.archive_layout(x, loose=loose) for x in (pages, other)))
 
 
 def _op1_level(below: str, node: str, name: str) -> str:
