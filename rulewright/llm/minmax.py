@@ -283,10 +283,13 @@ def near_duplicates(
     shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("bucket", "lead")
     member = staged(member.join(shared, "bucket").distinct(), "buckets")
 
-    wanted = member.select("node").distinct()
-    # one row for each set, found by id and text: an id or a null that repeats finds its own texts only
-    wanted = sig.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("w"))
-    wanted = staged(wanted.select("node", F.col("w.doc_id").alias("wanted_id"), F.col("w.row_key").alias("wanted_key")), "candidates")
+    # one row for each set; a set that very many rows have is summed up before it is shuffled
+    last = F.lit(2**63 - 1)
+    nodes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("row_key", F.coalesce("doc_id", last)).alias("first_key"), F.count("*").alias("copies"))
+    nodes = staged(nodes, "nodes")
+    # a set's text is found by id and text: an id or a null that repeats finds its own texts only
+    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi")
+    wanted = staged(wanted.select("node", F.col("first_id").alias("wanted_id"), F.col("first_key").alias("wanted_key")), "candidates")
     found = docs.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("node", "text")
     sets = staged(found.mapInArrow(partial(_set_batches, words=words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
@@ -306,7 +309,7 @@ def near_duplicates(
     links = links.union(more).union(_family_links(open_rows.where(F.col("n") > SMALL_BUCKET), sets, threshold))
     comp = staged(components(links), "components")
 
-    named = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).join(comp, "node", "left")
+    named = nodes.join(comp, "node", "left")
     named = staged(named.select("node", F.coalesce("comp", "node").alias("comp"), "first_id", "copies"), "names")
     # only sets that are linked or repeated need a name from elsewhere
     label = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
