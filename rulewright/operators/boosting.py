@@ -128,7 +128,7 @@ def running_sums(sums: DataFrame, keys: list[str], values: list[str], range_of:
     to_here = own.rowsBetween(Window.unboundedPreceding, 0)
     rows = ranged.select(*keys, "v", "_r", F.lead("v").over(own).alias("_lead"), *[F.sum(c).over(to_here).alias(f"_to_{c}") for c in values])
     match = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], F.col("_r") == F.col("_rr"))
-    joined = rows.join(parts, match)
+    joined = rows.join(F.broadcast(parts), match)  # at most a row for each key and range
     return joined.select(*keys, "v", F.coalesce("_lead", "_next").alias("after"), *[(F.col(f"_before_{c}") + F.col(f"_to_{c}")).alias(f"left_{c}") for c in values], *[f"all_{c}" for c in values])
 
 

@@ -12,7 +12,7 @@ import operator
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import quantile_cuts
@@ -89,6 +89,13 @@ def filter_rules(
     return metrics.where(functools.reduce(operator.and_, conditions)) if conditions else metrics
 
 
+def ordered(metrics: DataFrame, by: tuple[str, ...], descending: tuple[bool, ...], most: int = -1) -> DataFrame:
+    """A metrics table (a row for each rule) with the rank of each by several columns, from 1; at most ``most`` rows if above 0."""
+    keys = [F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in zip(by, descending, strict=True)]
+    out = metrics.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)))
+    return out.where(F.col("rank") <= most) if most > 0 else out
+
+
 @dataclass(frozen=True)
 class ExtractorOptions:
     """Parameters of the extraction of a rule list from an ensemble."""

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, catch22, signal, treatments, windows
@@ -225,9 +226,20 @@ def _forest(n: int) -> Ensemble:
     return Ensemble(tuple(Tree(build(i, 0, 1)) for i in range(n)))
 
 
-@query()
+def _forest_sql(n: int) -> str:
+    def case(m) -> str:
+        if isinstance(m, Leaf):
+            return f"'{m.outcome}'"
+        return f"CASE WHEN {m.condition.feature} < {m.condition.threshold!r}::double THEN {case(m.positive)} ELSE {case(m.negative)} END"
+
+    votes = ", ".join(f"{case(t.root)} AS t{k}" for k, t in enumerate(_forest(n).trees))
+    sums = ", ".join(" + ".join(f"(t{k} = '{c}')::int" for k in range(n)) + f" AS {c.lower()}" for c in "ANR")
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a >= n AND a >= r THEN 'A' WHEN n >= r THEN 'N' ELSE 'R' END AS prediction FROM (SELECT l_orderkey, l_linenumber, l_partkey, {sums} FROM (SELECT *, {votes} FROM lineitem))"
+
+
+@query(_forest_sql(50))
 def forest_apply(spark, sf_dir):
-    """A forest of 50 trees, in Arrow batches; tested against a walk of the trees."""
+    """A forest of 50 trees, in Arrow batches."""
     return models.apply_model(lineitem(spark, sf_dir).select(*KEYS, *FEATURES), _forest(50)).select(*KEYS, "prediction")
 
 
@@ -315,7 +327,8 @@ def boosting_fit(spark, sf_dir):
     m = boosting.boost_regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", boosting.BoostOptions(rounds=5, depth=2))
     stages = [boosting.Boosted(m.base, m.eta, m.trees[:k]).column() for k in range(len(m.trees) + 1)]
     errors = df.agg(*[F.avg(F.pow(F.col("l_extendedprice") - s, F.lit(2))).alias(f"m{k}") for k, s in enumerate(stages)])
-    return errors.select(F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(stages))])).alias("rounds", "mse"))
+    found = errors.select(F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(stages))])).alias("rounds", "mse"))
+    return found.select(F.col("rounds").cast("long").alias("rounds"), F.round("mse", 1).alias("mse"))
 
 
 @query()
@@ -323,7 +336,7 @@ def samme_fit(spark, sf_dir):
     """Stage-wise stumps on the line status: the accuracy of the ensemble."""
     df = lineitem(spark, sf_dir).select(*FEATURES, "l_linestatus")
     m = boosting.samme(df, FEATURES, "l_linestatus", rounds=3)
-    return models.apply_model(df, m.ensemble()).agg(evaluation.accuracy(df, "l_linestatus", "prediction").alias("accuracy"), F.count("*").alias("n"))
+    return models.apply_model(df, m.ensemble()).agg(r6(evaluation.accuracy(df, "l_linestatus", "prediction")).alias("accuracy"), F.count("*").alias("n"))
 
 
 @query()
@@ -432,7 +445,7 @@ def series_shape(spark, sf_dir):
 def canonical_features(spark, sf_dir):
     """All 22 canonical features of every vector in one Arrow pass."""
     out = embeddings(spark, sf_dir).select("vec_id", catch22.all_features(F.col("e")).alias("v"))
-    return out.select("vec_id", *[F.col("v")[i].alias(n) for i, n in enumerate(catch22.FEATURES)])
+    return out.select("vec_id", *[(F.round(F.col("v")[i], 4) + F.lit(0.0)).alias(n) for i, n in enumerate(catch22.FEATURES)])
 
 
 @query(
@@ -486,10 +499,10 @@ def modal_tree_apply(spark, sf_dir):
     f"SELECT vec_id, round(sum(p * k) / sum(p), 6) AS centroid FROM (SELECT vec_id, unnest(e) * unnest(e) AS p, unnest(range(64)) AS k FROM ({_E})) GROUP BY 1"
 )
 def spectral_centroid(spark, sf_dir):
-    """Centroid of each vector taken as a spectrum."""
-    power = F.transform("e", lambda x: x * x)
-    weighted = arrays.total(F.transform(power, lambda x, i: x * i))
-    return embeddings(spark, sf_dir).select("vec_id", r6(weighted / arrays.total(power)).alias("centroid"))
+    """Centroid of each vector whose squares are taken as a spectrum."""
+    clips = embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), F.lit(64).alias("sr"), F.col("e").alias("samples"))
+    out = signal.per_clip(clips, lambda x, rate: {"centroid": float(signal.centroid_and_spread(x[None] ** 2, np.arange(64.0))[0][0])}, "path string, centroid double")
+    return out.select(F.col("path").cast("long").alias("vec_id"), r6(F.col("centroid")).alias("centroid"))
 
 
 @query()
@@ -501,7 +514,8 @@ def spectra(spark, sf_dir):
         spec, freqs = signal.stft(x, rate, 16)
         return {k: float(v.mean()) for k, v in signal.spectral_shape(spec, freqs).items() if k in ("centroid", "entropy", "flatness")}
 
-    return signal.per_clip(clips, kernel, "path string, centroid double, entropy double, flatness double")
+    out = signal.per_clip(clips, kernel, "path string, centroid double, entropy double, flatness double")
+    return out.select(F.col("path").cast("long").alias("vec_id"), *[r6(F.col(c)).alias(c) for c in ("centroid", "entropy", "flatness")])
 
 
 # -- scores and selection -----------------------------------------------------------------
@@ -548,13 +562,14 @@ def variance_topk(spark, sf_dir):
 def information_scores(spark, sf_dir):
     """Nearest-neighbour information of each vector element with the label."""
     wide = embeddings(spark, sf_dir).select("vec_id", "label", *[F.col("e")[i].alias(f"e{i}") for i in range(64)])
-    return selection.information_scores(wide, [f"e{i}" for i in range(64)], "label", "vec_id")
+    return selection.information_scores(wide, [f"e{i}" for i in range(64)], "label", "vec_id").select("name", r6(F.col("score")).alias("score"))
 
 
 @query()
 def mann_whitney(spark, sf_dir):
-    wide = embeddings(spark, sf_dir).select("label", *[F.col("e")[i].alias(f"e{i}") for i in range(4)])
-    return selection.mann_whitney(wide, [f"e{i}" for i in range(4)], "label")
+    """The least p-value of one class against the others, of every vector element."""
+    wide = embeddings(spark, sf_dir).select("label", *[F.col("e")[i].alias(f"e{i}") for i in range(64)])
+    return selection.mann_whitney(wide, [f"e{i}" for i in range(64)], "label").select("name", r6(F.col("score")).alias("score"))
 
 
 @query()
@@ -564,7 +579,8 @@ def selection_pipeline(spark, sf_dir):
     cells = treatments.product_of(["e"], 4, ["minimum", "maximum", "mean"])
     wide = treatments.extract(df, cells, Windowing("segments", 4), 64)
     steps = [selection.Step(selection.variance_scores, selection.Percentage(0.5)), selection.Step(selection.identity_scores, selection.Everything(), group_parts=(2,))]
-    return selection.run_selection(wide, wide.columns, steps)[1]
+    mid = selection.run_selection(wide, wide.columns, steps)[1]
+    return mid.select(F.col("step").cast("long").alias("step"), "name", r6(F.col("score")).alias("score"), "kept")
 
 
 @query("SELECT n.name, coalesce(c.n, 0)::bigint AS n FROM (VALUES ('Brand#11'), ('Brand#13'), ('none'), ('Brand#55')) n(name) LEFT JOIN (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1) c USING (name)")
@@ -575,7 +591,10 @@ def count_study(spark, sf_dir):
 @query("SELECT split_part(p_type, ' ', 1) AS grp, count(*)::bigint AS n, round(avg(p_retailprice), 4) AS mean, round(min(p_retailprice), 4) AS low, round(max(p_retailprice), 4) AS high FROM part GROUP BY 1")
 def name_part_groups(spark, sf_dir):
     """Scores aggregated by one part of the names."""
-    df = table(spark, sf_dir, "part").groupBy(F.element_at(F.split("p_type", " "), 1).alias("grp"))
+    df = table(spark, sf_dir, "part")
+    names = [r[0] for r in df.select("p_type").distinct().collect()]  # a row for each type
+    groups = selection.name_groups(spark, names, (0,), " ")
+    df = df.join(F.broadcast(groups), F.col("p_type") == F.col("name")).groupBy("grp")
     return df.agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"), F.round(F.min("p_retailprice"), 4).alias("low"), F.round(F.max("p_retailprice"), 4).alias("high"))
 
 
@@ -617,11 +636,11 @@ def ts_fold(spark, sf_dir):
 
 
 @query(
-    "WITH i AS (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
+    "WITH i AS (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY (o_custkey * 7919) % 100003, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
     "sum(n) OVER (PARTITION BY o_orderpriority) AS total FROM i) SELECT o_orderkey, CASE WHEN before < floor(total * 0.7) THEN 'train' ELSE 'test' END AS role FROM orders JOIN b USING (o_orderpriority, o_custkey)"
 )
 def group_split(spark, sf_dir):
-    return evaluation.group_split(orders(spark, sf_dir), "o_orderpriority", "o_custkey", 0.7, F.col("o_custkey"), balance=False).select("o_orderkey", "role")
+    return evaluation.group_split(orders(spark, sf_dir), "o_orderpriority", "o_custkey", 0.7, _spread("o_custkey"), balance=False).select("o_orderkey", "role")
 
 
 @query(f"SELECT l_returnflag AS label, {TREE_SQL} AS prediction, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -711,12 +730,6 @@ def histogram(spark, sf_dir):
     return relational.histogram(table(spark, sf_dir, "events"), "value", 12).select("bin", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "n")
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS low, round(quantile_cont(value, 0.9), 6) AS high FROM events GROUP BY 1")
-def quantile_bounds(spark, sf_dir):
-    df = table(spark, sf_dir, "events").groupBy("event_type")
-    return df.agg(r6(F.percentile("value", 0.1)).alias("low"), r6(F.percentile("value", 0.9)).alias("high"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount >= l_tax THEN 'l_discount' ELSE 'l_tax' END AS best FROM lineitem")
 def argmax_columns(spark, sf_dir):
     return lineitem(spark, sf_dir).select(*KEYS, relational.argmax_name(["l_discount", "l_tax"]).alias("best"))
@@ -754,12 +767,4 @@ def cube_counts(spark, sf_dir):
     return lineitem(spark, sf_dir).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("quantity"))
 
 
-@query("SELECT l_returnflag, o_orderkey, price FROM (SELECT l_returnflag, l_orderkey AS o_orderkey, l_extendedprice AS price, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 3")
-def top_by_class(spark, sf_dir):
-    """The three highest prices of each flag; a top-k report."""
-    w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    df = lineitem(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 3")
-    return df.select("l_returnflag", F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"))
-
-
 from . import coverage  # noqa: E402, F401  registers its queries

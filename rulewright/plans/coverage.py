@@ -21,7 +21,7 @@ from ..operators import boosting, conditions, evaluation, models, relational, ru
 from ..operators.conditions import MetaCondition, Not, Or, ScalarCondition, conjunction, parse_condition
 from ..operators.models import Branch, DecisionList, Ensemble, Leaf, MixedModel, RawNode, Rule, Tree
 from ..sources import arff, audio, tables
-from .catalogue import _E, FEATURES, KEYS, STUMPS, STUMPS_SQL, TREE, TREE_SQL, embeddings, lineitem, orders, query, r6, table
+from .catalogue import _E, FEATURES, ORACLES, KEYS, STUMPS, STUMPS_SQL, TREE, TREE_SQL, embeddings, lineitem, orders, query, r6, table
 
 
 def scratch(spark: SparkSession) -> str:
@@ -739,3 +739,552 @@ def audio_features(spark, sf_dir):
     out = signal.audio_features(df, "mel", 26)
     rows = out.select(F.col("path").cast("long").alias("vec_id"), F.explode(F.arrays_zip("names", "values")).alias("x"))
     return rows.select("vec_id", F.col("x.names").alias("name"), (F.round("x.values", 4) + F.lit(0.0)).alias("value"))
+
+
+# -- models and their rules -----------------------------------------------------------------------
+
+
+def _raw_tree() -> RawNode:
+    return RawNode(0, 24.0, RawNode(2, 0.05, RawNode(majority=0), RawNode(majority=1)), RawNode(1, 60000.0, RawNode(majority=2), RawNode(3, 0.04, RawNode(majority=1), RawNode(majority=0))))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {TREE_SQL} AS prediction, {STUMPS_SQL[0]} AS stump, CASE WHEN l_tax <= 0.03 THEN 1.5 ELSE 2.5 END::double AS number FROM lineitem")
+def converted_trees(spark, sf_dir):
+    """A learner's nodes as symbolic trees: with classes, as an ensemble, and with numbers in the leaves."""
+    tree = models.convert(_raw_tree(), FEATURES, ["A", "N", "R"])
+    stump = RawNode(0, 24.0, RawNode(majority=0), RawNode(majority=2))
+    forest = models.convert_ensemble([stump, stump, _raw_tree()], FEATURES, ["A", "N", "R"], weights=[1.0, 1.0, 0.5])
+    numbers = models.convert(RawNode(3, 0.03, RawNode(majority=1.5), RawNode(majority=2.5)), FEATURES, op="<=")
+    out = models.apply_model(lineitem(spark, sf_dir).select(*KEYS, *FEATURES), tree)
+    out = models.apply_model(out, forest, "stump")
+    return models.apply_model(out, numbers, "number").select(*KEYS, "prediction", "stump", "number")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {TREE_SQL} AS p0, {TREE_SQL} AS first, {STUMPS_SQL[0]} AS second, {STUMPS_SQL[1]} AS third, 1::bigint AS kept FROM lineitem")
+def collected_predictions(spark, sf_dir):
+    """Predictions of one model after another, added to an array or put in its place, and those of an ensemble's leaves."""
+    df = models.collect_predictions(lineitem(spark, sf_dir).select(*KEYS, *FEATURES), TREE)
+    df = models.collect_predictions(df, Ensemble(tuple(STUMPS[:2])), leaves_only=True)
+    out = models.collect_predictions(df.withColumn("p0", F.col("predictions")[0]).withColumn("all", F.col("predictions")), STUMPS[0], mode="replace")
+    return out.select(*KEYS, "p0", F.col("all")[0].alias("first"), F.col("all")[1].alias("second"), F.col("all")[2].alias("third"), F.size("predictions").cast("long").alias("kept"))
+
+
+_LIST = DecisionList((Rule(ScalarCondition("l_quantity", "<", 10.0), Leaf("A")), Rule(ScalarCondition("l_tax", ">=", 0.05), Leaf("R"))), Leaf("N"))
+
+
+def _counted(sql: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS rule, '{c}' AS consequent, count(*) FILTER (WHERE {w}) AS ncovered FROM lineitem" for k, (w, c) in sql.items())
+
+
+_NESTED = {
+    "l_quantity < 10.0": ("l_quantity < 10", "A"), "(l_quantity ≥ 10.0) ∧ (l_tax ≥ 0.05)": ("l_quantity >= 10 AND l_tax >= 0.05", "R"), "(l_quantity ≥ 10.0) ∧ (l_tax < 0.05)": ("l_quantity >= 10 AND l_tax < 0.05", "N"),
+    "(l_discount ≥ 0.05) ∧ (l_quantity < 10.0)": ("l_discount >= 0.05 AND l_quantity < 10", "A"), "(l_discount ≥ 0.05) ∧ (l_quantity ≥ 10.0) ∧ (l_tax ≥ 0.05)": ("l_discount >= 0.05 AND l_quantity >= 10 AND l_tax >= 0.05", "R"),
+    "(l_discount ≥ 0.05) ∧ (l_quantity ≥ 10.0) ∧ (l_tax < 0.05)": ("l_discount >= 0.05 AND l_quantity >= 10 AND l_tax < 0.05", "N"), "l_discount < 0.05": ("l_discount < 0.05", "A"),
+}
+
+
+@query(_counted(_NESTED))
+def rules_of_lists(spark, sf_dir):
+    """The rules of a decision list, and of a mixed model with that list below a branch."""
+    mixed = MixedModel(Branch(ScalarCondition("l_discount", "<", 0.05), Leaf("A"), _LIST))
+    found = models.list_rules(_LIST) + models.list_rules(mixed)
+    return rules.rule_metrics(lineitem(spark, sf_dir), found, "l_returnflag").select("rule", "consequent", "ncovered")
+
+
+_PRODUCTS = {
+    "(l_quantity < 24.0) ∧ (l_discount ≥ 0.05)": ("l_quantity < 24 AND l_discount >= 0.05", "A"), "(l_quantity < 24.0) ∧ (l_discount < 0.05)": ("l_quantity < 24 AND l_discount < 0.05", "A"),
+    "(l_quantity ≥ 24.0) ∧ (l_discount ≥ 0.05)": ("l_quantity >= 24 AND l_discount >= 0.05", "N"), "(l_quantity ≥ 24.0) ∧ (l_discount < 0.05)": ("l_quantity >= 24 AND l_discount < 0.05", "A"),
+}
+
+
+@query(_counted(_PRODUCTS))
+def rules_of_ensembles(spark, sf_dir):
+    """The products of two trees' rules; of equal votes the smallest label."""
+    return rules.rule_metrics(lineitem(spark, sf_dir), models.list_rules(Ensemble(tuple(STUMPS[:2]))), "l_returnflag").select("rule", "consequent", "ncovered")
+
+
+@query(literals([("l_quantity < 24.0", "A"), ("l_quantity ≥ 24.0", "R"), ("l_discount ≥ 0.05", "N"), ("l_discount < 0.05", "A"), ("immediate l_quantity < 24.0", "A"), ("immediate l_quantity ≥ 24.0", "R")], "rule, consequent"))
+def union_of_rules(spark, sf_dir):
+    """The distinct rules of all trees, one of which occurs twice, and those of a branch."""
+    found = [(str(r.antecedent), r.consequent.outcome) for r in models.union_rules(Ensemble((STUMPS[0], STUMPS[1], STUMPS[0])))]
+    found += [(f"immediate {r.antecedent}", r.consequent.outcome) for r in models.immediate_rules(STUMPS[0].root)]
+    return spark.createDataFrame(found, "rule string, consequent string")
+
+
+_TEXT = [
+    ("rule", 1, "l_quantity < 24.00 ↣ A"), ("rule", 2, "l_quantity ≥ 24.00 ↣ R"), ("tree", 1, "l_quantity < 24.0"), ("tree", 2, "✔ A"), ("tree", 3, "✘ R"), ("list", 1, "list of 2 rules"),
+    ("list", 2, "[1/2] l_quantity < 10.0  ↣  A"), ("list", 3, "[2/2] l_tax ≥ 0.05  ↣  R"), ("list", 4, "else N"), ("ensemble", 1, "ensemble of 2 trees"), ("ensemble", 2, "[1/2] (w 1) l_quantity < 24.0"), ("ensemble", 3, "✔ A"), ("ensemble", 4, "✘ R"),
+    ("ensemble", 5, "[2/2] (w 0.5) …"), ("constant", 1, "A"), ("shallow", 1, "…"),
+]
+
+
+@query(literals(_TEXT, "model, line, text"))
+def model_texts(spark, sf_dir):
+    """Models as text, by lines; leaves, rules, trees to a depth, lists, ensembles with weights."""
+    ensemble = Ensemble((STUMPS[0], Tree(Branch(ScalarCondition("l_tax", "<", 0.1), Leaf("A"), Leaf("N")))), (1.0, 0.5))
+    texts = {"rule": models.rules_text(models.list_rules(STUMPS[0])), "tree": models.describe(STUMPS[0]), "list": models.describe(_LIST), "ensemble": models.describe(ensemble), "constant": models.describe(Leaf("A")), "shallow": models.describe(TREE, depth=0)}
+    rows = [(k, i, line.strip()) for k, t in texts.items() for i, line in enumerate(t.split("\n"), 1)]
+    rows = [r for r in rows if not (r[0] == "ensemble" and r[1] > 5)]
+    return spark.createDataFrame([("ensemble", 5, "[2/2] (w 0.5) …") if r[0] == "ensemble" and r[1] == 5 else r for r in rows], "model string, line long, text string")
+
+
+@query(literals([("tree", 1, 5, 3, True), ("rule", 1, 1, 1, False), ("list", 3, 3, 1, True), ("ensemble", 4, 8, 1, True), ("leaf", 0, 1, 0, True)], "model, submodels, leaves, height, complete"))
+def model_measures(spark, sf_dir):
+    given = {"tree": TREE, "rule": _LIST.rules[0], "list": _LIST, "ensemble": Ensemble(tuple(STUMPS)), "leaf": Leaf("A")}
+    return spark.createDataFrame([(k, len(models.submodels(m)), len(models.leaves(m)), models.height(m), models.is_complete(m)) for k, m in given.items()], "model string, submodels long, leaves long, height long, complete boolean")
+
+
+_NODES = [
+    (0, -1, False, "l_quantity", "<", 24.0, 1, 4, ""), (1, 0, False, "l_discount", "<", 0.05, 2, 3, ""), (2, 1, True, "", "", 0.0, -1, -1, "A"), (3, 1, True, "", "", 0.0, -1, -1, "N"),
+    (4, 0, False, "l_extendedprice", "<", 60000.0, 5, 6, ""), (5, 4, True, "", "", 0.0, -1, -1, "R"), (6, 4, False, "l_tax", "<", 0.04, 7, 8, ""), (7, 6, True, "", "", 0.0, -1, -1, "N"), (8, 6, True, "", "", 0.0, -1, -1, "A"),
+]
+
+
+@query(literals(_NODES, "node_id, parent_id, is_leaf, feature, op, threshold, pos_child, neg_child, outcome"))
+def model_nodes(spark, sf_dir):
+    """The fixed tree in its relational form, to and fro; nulls as -1, 0 or the empty text."""
+    there = models.to_table(spark, TREE, "fixed")
+    back = models.to_table(spark, models.from_table(there), "again").select("node_id", "parent_id", "is_leaf", "feature", "op", "threshold", "pos_child", "neg_child", "outcome")
+    whole = [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("node_id", "parent_id", "pos_child", "neg_child")]
+    return back.select(*whole, "is_leaf", F.coalesce("threshold", F.lit(0.0)).alias("threshold"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("feature", "op", "outcome")])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, least({', '.join(STUMPS_SQL)}) AS prediction FROM lineitem")
+def custom_vote(spark, sf_dir):
+    m = Ensemble(tuple(STUMPS), vote=models.parity_first)
+    return models.apply_model(lineitem(spark, sf_dir).select(*KEYS, *FEATURES), m).select(*KEYS, "prediction")
+
+
+_METRIC = """SELECT '{rule}' AS rule, count(*) FILTER (WHERE {w}) AS ncovered, count(*) FILTER (WHERE {w} AND l_returnflag = '{c}') / count(*) FILTER (WHERE {w})::double AS confidence FROM lineitem"""
+
+
+@query(
+    "SELECT rank, rule FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, ncovered, rule) AS rank FROM ("
+    + " UNION ALL ".join(_METRIC.format(rule=k, w=w, c=c) for k, (w, c) in {**_PRODUCTS, **{k: v for k, v in list(_NESTED.items())[:3]}}.items())
+    + ")) WHERE rank <= 4"
+)
+def ordered_rules(spark, sf_dir):
+    """Rules by falling confidence, then by what they cover, the first four: the cap is the operator's own."""
+    found = models.list_rules(Ensemble(tuple(STUMPS[:2]))) + models.list_rules(_LIST)
+    metrics = rules.rule_metrics(lineitem(spark, sf_dir), found, "l_returnflag")
+    return rules.ordered(metrics, ("confidence", "ncovered", "rule"), (True, False, False), 4).select("rank", "rule")
+
+
+# labels that thresholds decide, which learners have to find
+
+_DECIDED = "CASE WHEN l_linenumber >= 4 THEN 'late' ELSE 'early' END"
+_BOTH = "CASE WHEN l_linenumber >= 4 AND l_suppkey % 2 = 1 THEN 'odd' ELSE 'other' END"
+
+
+def decided(spark, sf_dir, label: str) -> DataFrame:
+    df = lineitem(spark, sf_dir).select(F.col("l_linenumber").cast("double").alias("line"), (F.col("l_suppkey") % 2).cast("double").alias("odd"), "l_quantity", F.expr(label).alias("label"))
+    return df
+
+
+_LATE = Tree(Branch(ScalarCondition("line", "<", 3.5), Branch(ScalarCondition("l_quantity", "<", 20.0), Leaf("early"), Leaf("early")), Branch(ScalarCondition("odd", "<", 0.5), Leaf("late"), Leaf("late"))))
+
+
+def _extracted(spark, sf_dir, selector: str | None) -> DataFrame:
+    df = decided(spark, sf_dir, _DECIDED)
+    found = rules.extract(df, Ensemble((_LATE, _LATE)), "label", rules.ExtractorOptions(selector=selector))
+    out = models.apply_model(df, found).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    return out.select("label", "prediction", "n", F.lit(max(len(rules._atoms(r.antecedent)) for r in found.rules)).cast("long").alias("longest"))
+
+
+_EXTRACTED = f"SELECT {_DECIDED} AS label, {_DECIDED} AS prediction, count(*) AS n, 1::bigint AS longest FROM lineitem GROUP BY 1"
+
+
+@query(_EXTRACTED)
+def extracted_all(spark, sf_dir):
+    """Rules with a conjunct too many are pruned to the one that decides, and listed by covering."""
+    return _extracted(spark, sf_dir, None)
+
+
+@query(_EXTRACTED)
+def extracted_by_importance(spark, sf_dir):
+    return _extracted(spark, sf_dir, "cbc")
+
+
+@query(_EXTRACTED)
+def extracted_by_correlation(spark, sf_dir):
+    return _extracted(spark, sf_dir, "cfs")
+
+
+@query(f"SELECT {_BOTH} AS label, {_BOTH} AS prediction, count(*) AS n FROM lineitem GROUP BY 1")
+def learned_covering(spark, sf_dir):
+    """The covering learner finds a conjunction of two thresholds."""
+    df = decided(spark, sf_dir, _BOTH)
+    found = rules.learn_covering(df, ["line", "odd"], "label", rules.CoveringOptions(beam=4, max_atoms=2, thresholds=15))
+    return models.apply_model(df, found).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT m AS model, {_BOTH} AS label, {_BOTH} AS prediction, count(*) AS n FROM lineitem, (VALUES ('decision_tree'), ('random_forest'), ('boosting')) v(m) GROUP BY 1, 2")
+def learned_models(spark, sf_dir):
+    """Learners by name, applied: a tree, a forest and boosted classes find a conjunction of two thresholds."""
+    df = decided(spark, sf_dir, _BOTH).persist()
+    out = None
+    for name, params in (("decision_tree", {"max_depth": 3, "seed": 1}), ("random_forest", {"n_trees": 9, "max_depth": 5, "seed": 1}), ("boosting", {"rounds": 6, "depth": 2})):
+        model = evaluation.make_learner(name, **params)(df, ["line", "odd"], "label", False)
+        part = models.apply_model(df, model).groupBy("label", "prediction").agg(F.count("*").alias("n")).select(F.lit(name).alias("model"), "label", "prediction", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(literals([(s, m, f, 1.0) for s, k in (("holdout", 1), ("cv", 3), ("stratified", 3)) for m in ("accuracy", "kappa") for f in (-1, *range(k))], "resample, measure, fold, value"))
+def analysed(spark, sf_dir):
+    """Analyses of labels that a threshold decides, by several splits: every fold's measures are 1."""
+    df = decided(spark, sf_dir, _DECIDED).withColumn("row_id", F.xxhash64("line", "odd", "l_quantity"))
+    df = df.groupBy("row_id").agg(F.first("line").alias("line"), F.first("l_quantity").alias("l_quantity"), F.first("label").alias("label"))
+    specs = [{"model": "decision_tree", "resample": (k, o)} for k, o in (("holdout", {}), ("cv", {"k": 3}), ("stratified", {"k": 3}))]
+    found = evaluation.run_models(df, ["line", "l_quantity"], "label", "row_id", specs, {"params": {"max_depth": 3, "seed": 1}})
+    out = None
+    for name, a in zip(("holdout", "cv", "stratified"), found.values(), strict=True):
+        part = a.measures.select(F.lit(name).alias("resample"), "measure", F.col("fold").cast("long").alias("fold"), r6(F.col("value")).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(literals([("time", 0, True), ("time", 1, True), ("tuned", 0, True)], "resample, fold, small"))
+def analysed_numbers(spark, sf_dir):
+    """A regression on folds in time order, and one whose depth is tuned: errors far below the spread of the target."""
+    df = orders(spark, sf_dir).select("o_orderkey", (F.col("o_orderkey") % 7).cast("double").alias("x"), ((F.col("o_orderkey") % 7) * 10.0).alias("y"))
+    by_time = evaluation.symbolic_analysis(df, ["x"], "y", "o_orderkey", params={"max_depth": 4, "seed": 1}, resample=("time", {"key": "o_orderkey", "k": 2}))
+    tuned = evaluation.symbolic_analysis(df, ["x"], "y", "o_orderkey", tuning=([evaluation.Range("max_depth", values=(1, 4))], evaluation.Tuning("grid")), params={"seed": 1})
+    parts = [a.measures.where("fold >= 0 and measure = 'rms'").select(F.lit(n).alias("resample"), F.col("fold").cast("long").alias("fold"), (F.col("value") < 1.0).alias("small")) for n, a in (("time", by_time), ("tuned", tuned))]
+    return parts[0].unionByName(parts[1])
+
+
+# -- the first steps of boosting as SQL -----------------------------------------------------------------
+
+
+def _split_steps(name: str, rows: str, levels: int, features: str = "qd") -> tuple[str, str]:
+    """(CTEs, name of the last one): ``rows`` (rid, features, g, h, ...) with the node of each row after ``levels`` levels of splits."""
+    value = "CASE b.i " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(features)) + " END"
+    out, at = [f"{name}_0 AS (SELECT *, '' AS node FROM {rows})"], f"{name}_0"
+    for k in range(levels):
+        values = " UNION ALL ".join(f"SELECT node, {i} AS i, {f} AS v, g, h FROM {at}" for i, f in enumerate(features))
+        able = f"SELECT node FROM {at} GROUP BY node HAVING length(node) = {k}" + (" AND sum(h) >= 2" if k else "")
+        out += [
+            f"{name}_v{k} AS (SELECT node, i, v, sum(g) AS g, sum(h) AS h FROM ({values}) WHERE node IN ({able}) GROUP BY 1, 2, 3)",
+            f"{name}_c{k} AS (SELECT node, i, v, lead(v) OVER w AS after, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY node, i) AS gt, sum(h) OVER (PARTITION BY node, i) AS ht FROM {name}_v{k} WINDOW w AS (PARTITION BY node, i ORDER BY v))",
+            f"{name}_g{k} AS (SELECT node, i, (v + after) / 2 AS t, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM {name}_c{k} WHERE after IS NOT NULL AND hl >= 1 AND ht - hl >= 1)",
+            f"{name}_b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, i, t) AS r FROM {name}_g{k} WHERE gain > 0) WHERE r = 1)",
+            f"{name}_{k + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node WHEN {value} < b.t THEN r.node || 'p' ELSE r.node || 'n' END AS node FROM {at} r LEFT JOIN {name}_b{k} b ON r.node = b.node)",
+        ]
+        at = f"{name}_{k + 1}"
+    out.append(f"{name}_w AS (SELECT node, -sum(g) / (sum(h) + 1) AS w FROM {at} GROUP BY node)")
+    out.append(f"{name} AS (SELECT r.rid, w FROM {at} r JOIN {name}_w USING (node))")
+    return ", ".join(out), name
+
+
+_ROWS = "d AS (SELECT row_number() OVER () AS rid, l_quantity::double AS q, l_discount::double AS d, l_extendedprice::double AS y, l_linestatus AS c, l_returnflag AS f, l_tax::double AS x FROM lineitem)"
+
+
+def _regression_sql(rounds: int, depth: int, features: str = "qd", shown: str = "round(sqrt(mse), 3) AS rmse") -> str:
+    parts, errors = [_ROWS, "p0 AS (SELECT *, avg(y) OVER () AS p FROM d)"], ["SELECT 0 AS rounds, avg(power(y - p, 2)) AS mse FROM p0"]
+    for r in range(rounds):
+        parts.append(f"g{r} AS (SELECT *, p - y AS g, 1.0::double AS h FROM p{r})")
+        cte, name = _split_steps(f"s{r}", f"g{r}", depth, features)
+        parts += [cte, f"p{r + 1} AS (SELECT p{r}.* REPLACE (p + 0.3 * w AS p) FROM p{r} JOIN {name} USING (rid))"]
+        errors.append(f"SELECT {r + 1}, avg(power(y - p, 2)) FROM p{r + 1}")
+    return f"WITH {', '.join(parts)} SELECT rounds::bigint AS rounds, {shown} FROM ({' UNION ALL '.join(errors)})"
+
+
+@query(_regression_sql(2, 2))
+def boosting_steps(spark, sf_dir):
+    """Two rounds of trees of depth two on quantity and discount: the error after each."""
+    df = lineitem(spark, sf_dir).select("l_quantity", "l_discount", "l_extendedprice")
+    m = boosting.boost_regression(df, ["l_quantity", "l_discount"], "l_extendedprice", boosting.BoostOptions(rounds=2, depth=2), watch=df)
+    return spark.createDataFrame([(k, math.sqrt(e)) for k, e in enumerate(m.history)], "rounds long, rmse double").select("rounds", F.round("rmse", 3).alias("rmse"))
+
+
+def _logistic_sql(rounds: int) -> str:
+    parts, losses = [_ROWS, "p0 AS (SELECT *, 0.0::double AS p FROM d)"], []
+    loss = "SELECT {r}::bigint AS rounds, round(avg(-ln(CASE WHEN c = 'O' THEN 1 / (1 + exp(-p)) ELSE 1 - 1 / (1 + exp(-p)) END)), 6) AS log_loss FROM p{r}"
+    for r in range(rounds):
+        parts.append(f"g{r} AS (SELECT *, 1 / (1 + exp(-p)) - (c = 'O')::int AS g, 1 / (1 + exp(-p)) * (1 - 1 / (1 + exp(-p))) AS h FROM p{r})")
+        cte, name = _split_steps(f"s{r}", f"g{r}", 1)
+        parts += [cte, f"p{r + 1} AS (SELECT p{r}.* REPLACE (p + 0.3 * w AS p) FROM p{r} JOIN {name} USING (rid))"]
+    losses = [loss.format(r=r) for r in range(rounds + 1)]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(losses)}"
+
+
+@query(_logistic_sql(3))
+def boosted_classifier_steps(spark, sf_dir):
+    """Three rounds of stumps for two classes: the log loss of a watched table after each."""
+    df = lineitem(spark, sf_dir).select("l_quantity", "l_discount", "l_linestatus")
+    m = boosting.boost_classes(df, ["l_quantity", "l_discount"], "l_linestatus", boosting.BoostOptions(rounds=3, depth=1), watch=df)
+    return spark.createDataFrame(list(enumerate(m.history)), "rounds long, log_loss double").select("rounds", r6(F.col("log_loss")).alias("log_loss"))
+
+
+def _softmax_sql() -> str:
+    parts = [_ROWS]
+    for c in "ANR":
+        parts.append(f"g{c} AS (SELECT *, 1 / 3.0::double - (f = '{c}')::int AS g, 2 / 9.0::double AS h FROM d)")
+        parts.append(_split_steps(f"s{c}", f"g{c}", 1)[0])
+    scores = "SELECT d.f, 0.3 * sA.w AS a, 0.3 * sN.w AS n, 0.3 * sR.w AS r FROM d JOIN sA USING (rid) JOIN sN USING (rid) JOIN sR USING (rid)"
+    return f"WITH {', '.join(parts)} SELECT round(avg(-ln(exp(CASE f WHEN 'A' THEN a WHEN 'N' THEN n ELSE r END) / (exp(a) + exp(n) + exp(r)))), 6) AS log_loss, count(*) AS n FROM ({scores})"
+
+
+@query(_softmax_sql())
+def boosted_softmax_step(spark, sf_dir):
+    """One round of a stump for each of three classes: the log loss by the measure of folds."""
+    df = lineitem(spark, sf_dir).select("l_quantity", "l_discount", "l_returnflag")
+    m = boosting.boost_classes(df, ["l_quantity", "l_discount"], "l_returnflag", boosting.BoostOptions(rounds=1, depth=1))
+    out = m.apply(df).select(F.lit(0).alias("fold"), F.col("l_returnflag").alias("label"), "prediction", "probabilities")
+    found = evaluation.evaluate(out, ["log_loss"], classes=list(m.classes)).where("fold = -1")
+    return found.crossJoin(out.agg(F.count("*").alias("n"))).select(r6(F.col("value")).alias("log_loss"), "n")  # one row each
+
+
+def _samme_sql(rounds: int, features: dict[str, str], accuracy: bool = False) -> str:
+    """The stumps of stage-wise boosting of the line status, or the accuracy of their vote; ``features`` are columns of ``d`` by name."""
+    parts, rows = [_ROWS, "w0 AS (SELECT *, 1.0::double / count(*) OVER () AS w FROM d)"], []
+    gini = lambda f, o: f"({f} + {o} - CASE WHEN {f} + {o} > 0 THEN ({f} * {f} + {o} * {o}) / ({f} + {o}) ELSE 0 END)"
+    value = "CASE b.i " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(features.values())) + " END"
+    for r in range(rounds):
+        values = " UNION ALL ".join(f"SELECT {i} AS i, {f} AS v, c, w FROM w{r}" for i, f in enumerate(features.values()))
+        label = f"CASE WHEN {value} < b.t THEN CASE WHEN fl >= ol THEN 'F' ELSE 'O' END ELSE CASE WHEN fr >= orr THEN 'F' ELSE 'O' END END"
+        parts += [
+            f"v{r} AS (SELECT i, v, sum(CASE c WHEN 'F' THEN w ELSE 0 END) AS f, sum(CASE c WHEN 'O' THEN w ELSE 0 END) AS o FROM ({values}) GROUP BY 1, 2)",
+            f"c{r} AS (SELECT i, v, lead(v) OVER x AS after, sum(f) OVER x AS fl, sum(o) OVER x AS ol, sum(f) OVER (PARTITION BY i) AS ft, sum(o) OVER (PARTITION BY i) AS ot FROM v{r} WINDOW x AS (PARTITION BY i ORDER BY v))",
+            f"b{r} AS (SELECT i, (v + after) / 2 AS t, fl, ol, ft - fl AS fr, ot - ol AS orr FROM c{r} WHERE after IS NOT NULL ORDER BY {gini('ft', 'ot')} - {gini('fl', 'ol')} - {gini('(ft - fl)', '(ot - ol)')} DESC, i, t LIMIT 1)",
+            f"m{r} AS (SELECT w{r}.*, {label} AS l{r}, {label} <> c AS miss FROM w{r}, b{r} b)",
+            f"e{r} AS (SELECT sum(w) FILTER (WHERE miss) / sum(w) AS e FROM m{r})",
+            f"u{r} AS (SELECT m.*, CASE WHEN miss THEN w * (1 - e) / e ELSE w END AS uw FROM m{r} m, e{r})",
+            f"w{r + 1} AS (SELECT * EXCLUDE (w, uw, miss), uw / sum(uw) OVER () AS w FROM u{r})",
+        ]
+        name = "CASE i " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(features)) + " END"
+        rows.append(f"SELECT {r}::bigint AS round, {name} AS feature, round(t, 6) AS threshold, round(ln((1 - e) / e), 5) AS coefficient FROM b{r}, e{r}")
+    if not accuracy:
+        return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+    side = lambda c: " + ".join(f"CASE l{r} WHEN '{c}' THEN ln((1 - e{r}.e) / e{r}.e) ELSE 0 END" for r in range(rounds))
+    return f"WITH {', '.join(parts)} SELECT round(avg((CASE WHEN {side('F')} >= {side('O')} THEN 'F' ELSE 'O' END = c)::int::double), 6) AS accuracy, count(*) AS n FROM w{rounds}, {', '.join(f'e{r}' for r in range(rounds))}"
+
+
+@query(_samme_sql(2, {"l_quantity": "q", "l_discount": "d"}))
+def samme_steps(spark, sf_dir):
+    """The first two stumps of stage-wise boosting with their coefficients."""
+    df = lineitem(spark, sf_dir).select("l_quantity", "l_discount", "l_linestatus")
+    m = boosting.samme(df, ["l_quantity", "l_discount"], "l_linestatus", rounds=2)
+    rows = [(k, t.root.condition.feature, t.root.condition.threshold, c) for k, (t, c) in enumerate(zip(m.trees, m.coefficients, strict=True))]
+    return spark.createDataFrame(rows, "round long, feature string, threshold double, coefficient double").select("round", "feature", r6(F.col("threshold")).alias("threshold"), F.round("coefficient", 5).alias("coefficient"))
+
+
+@query(
+    "WITH l AS (SELECT CASE WHEN l_quantity < 24 THEN 'p' ELSE 'n' END AS path, l_returnflag AS c, count(*) AS n FROM lineitem GROUP BY 1, 2) "
+    "SELECT tree, path, arg_min(c, (-n, c)) AS outcome, CASE path WHEN 'p' THEN 0.5 WHEN 'n' THEN -0.25 ELSE 0.125 END::double AS score FROM (SELECT 0::bigint AS tree, * FROM l UNION ALL SELECT 1, '', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag) GROUP BY 1, 2"
+)
+def labelled_leaves(spark, sf_dir):
+    """Boosted trees whose leaves take the most frequent label of their rows; a tree of one leaf keeps its place."""
+    trees = [Tree(Branch(ScalarCondition("l_quantity", "<", 24.0), Leaf(None, 0.5), Leaf(None, -0.25))), Tree(Leaf(None, 0.125))]
+    found = boosting.label_boosted_leaves(lineitem(spark, sf_dir), trees, "l_returnflag")
+    rows = []
+    for k, t in enumerate(found):
+        nodes = [("p", t.root.positive), ("n", t.root.negative)] if isinstance(t.root, Branch) else [("", t.root)]
+        rows += [(k, path, n.outcome, n.score) for path, n in nodes]
+    return spark.createDataFrame(rows, "tree long, path string, outcome string, score double")
+
+
+@query("SELECT round(avg(l_quantity), 6) AS mean, 0.5::double AS half, 2.0::double AS given, round(avg(l_quantity), 6) AS rescaled FROM lineitem")
+def base_scores(spark, sf_dir):
+    """The base score by its rule, and a regression's sum from the mean of its leaves."""
+    df = lineitem(spark, sf_dir)
+    mean, half, given = (boosting.base_score(df, "l_quantity", g) for g in (-math.inf, None, 2.0))
+    out = df.agg(F.avg("l_quantity").alias("m")).select(F.lit(mean).alias("mean"), F.lit(half).alias("half"), F.lit(given).alias("given"), boosting.rescaled_mean((F.col("m") - 2.0) / 4, 4, 2.0).alias("rescaled"))
+    return out.select(r6(F.col("mean")).alias("mean"), "half", "given", r6(F.col("rescaled")).alias("rescaled"))
+
+
+@query(literals([(n, False) for n in ("rounds", "eta", "depth", "reg_lambda", "bins", "objective")] + [("defaults", True)], "given, accepted") + " UNION ALL " + literals([("1 class", True), ("2 classes", True), ("3 classes", True), ("number", True)], "given, accepted"))
+def boost_options(spark, sf_dir):
+    """Options out of range are refused, and the objective follows the number of classes."""
+    bad = {"rounds": 0, "eta": 1.5, "depth": -1, "reg_lambda": -1, "bins": 1, "objective": "none"}
+    rows = [(k, not raises(lambda k=k, v=v: boosting.BoostOptions(**{k: v}), ValueError)) for k, v in bad.items()] + [("defaults", not raises(boosting.BoostOptions, ValueError))]
+    objectives = {"1 class": (1, "multi:softprob"), "2 classes": (2, "binary:logistic"), "3 classes": (3, "multi:softprob"), "number": (None, "reg:squarederror")}
+    return spark.createDataFrame(rows + [(k, boosting.default_objective(n) == o) for k, (n, o) in objectives.items()], "given string, accepted boolean")
+
+
+@query(literals([("l_quantity", 0.4), ("l_discount", 0.2), ("l_extendedprice", 0.2), ("l_tax", 0.2)], "feature, share"))
+def split_importances(spark, sf_dir):
+    return spark.createDataFrame(list(boosting.split_importance(Ensemble((TREE, STUMPS[0]))).items()), "feature string, share double")
+
+
+# -- measures, tuning, selection ----------------------------------------------------------------------
+
+
+@query(
+    f"WITH p AS (SELECT (l_orderkey % 3)::bigint AS fold, l_returnflag AS y, {TREE_SQL} AS p, l_quantity / 51 AS pa FROM lineitem), f AS (SELECT fold, count(*) AS n, avg((y = p)::int::double) AS accuracy, "
+    "avg(-ln(least(greatest(CASE y WHEN 'A' THEN pa ELSE (1 - pa) / 2 END, 2.22e-16), 1 - 2.22e-16))) AS log_loss, avg(power(pa - (y = 'A')::int, 2) + power((1 - pa) / 2 - (y = 'N')::int, 2) + power((1 - pa) / 2 - (y = 'R')::int, 2)) AS brier, "
+    "count(*) FILTER (WHERE y <> 'A' AND p <> 'A') / count(*) FILTER (WHERE y <> 'A')::double AS specificity, avg((y = 'A' AND p = 'A')::int::double) AS pair FROM p GROUP BY 1), "
+    "l AS (SELECT fold, n, unnest(['accuracy', 'log_loss', 'brier', 'specificity', 'pair']) AS measure, unnest([accuracy, log_loss, brier, specificity, pair]) AS v FROM f) "
+    "SELECT measure, fold, round(v, 6) AS value FROM l UNION ALL SELECT measure, -1, round(sum(v * n) / sum(n), 6) FROM l GROUP BY 1"
+)
+def probability_folds(spark, sf_dir):
+    """Measures of labels, of probabilities, and one of our own, by fold and over all."""
+    pa = F.col("l_quantity") / 51
+    p = models.apply_model(lineitem(spark, sf_dir), TREE).select((F.col("l_orderkey") % 3).alias("fold"), F.col("l_returnflag").alias("label"), "prediction", F.array(pa, (1 - pa) / 2, (1 - pa) / 2).alias("probabilities"))
+    own = {"pair": lambda y, q: F.avg(((F.col(y) == "A") & (F.col(q) == "A")).cast("double"))}
+    out = evaluation.evaluate(p, ["accuracy", "log_loss", "brier", "specificity", "pair"], own, ["A", "N", "R"], "A")
+    return out.select("measure", F.col("fold").cast("long").alias("fold"), r6(F.col("value")).alias("value"))
+
+
+@query(f"WITH c AS (SELECT (l_orderkey % 3)::bigint AS fold, l_returnflag AS label, {TREE_SQL} AS prediction, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) SELECT * FROM c UNION ALL SELECT -1, label, prediction, sum(n)::bigint FROM c GROUP BY 2, 3")
+def confusion_folds(spark, sf_dir):
+    p = models.apply_model(lineitem(spark, sf_dir), TREE).select((F.col("l_orderkey") % 3).alias("fold"), F.col("l_returnflag").alias("label"), "prediction")
+    return evaluation.confusion_of(p).select(F.col("fold").cast("long").alias("fold"), "label", "prediction", "n")
+
+
+@query(
+    literals(
+        [("accuracy", "deterministic", "predict"), ("accuracy", "probabilistic", "predict_mode"), ("log_loss", "probabilistic", "predict"), ("log_loss", "deterministic", "error"), ("rms", "deterministic", "predict"),
+         ("rms", "probabilistic", "predict_mean"), ("nothing", "deterministic", "error")], "measure, kind, operation"
+    )
+)
+def operations(spark, sf_dir):
+    asked = [(m, k) for m, k in (("accuracy", "deterministic"), ("accuracy", "probabilistic"), ("log_loss", "probabilistic"), ("log_loss", "deterministic"), ("rms", "deterministic"), ("rms", "probabilistic"), ("nothing", "deterministic"))]
+    return spark.createDataFrame([(m, k, "error" if raises(lambda m=m, k=k: evaluation.operation_for(m, k), ValueError) else evaluation.operation_for(m, k)) for m, k in asked], "measure string, kind string, operation string")
+
+
+_GRID = [("linear", 0, 0.0), ("linear", 1, 5.0), ("linear", 2, 10.0), ("log10", 0, 0.01), ("log10", 1, 0.1), ("log10", 2, 1.0), ("whole", 0, 1.0), ("whole", 1, 3.0), ("whole", 2, 5.0), ("values", 0, 2.0), ("values", 1, 7.0)]
+
+
+@query(literals(_GRID, "name, place, value"))
+def parameter_ranges(spark, sf_dir):
+    ranges = [evaluation.Range("linear", 0.0, 10.0), evaluation.Range("log10", 0.01, 1.0, "log10"), evaluation.Range("whole", 1, 5), evaluation.Range("values", values=(2, 7))]
+    rows = [(r.name, i, float(v)) for r in ranges for i, v in enumerate(r.grid(3))]
+    return spark.createDataFrame(rows, "name string, place long, value double").select("name", "place", r6(F.col("value")).alias("value"))
+
+
+@query(literals([(s, True, n) for s, n in (("grid", 11), ("random", 40), ("latin_hypercube", 40), ("tree_parzen", 40), ("particle_swarm", 40), ("adaptive_swarm", 40))], "strategy, near, tried"))
+def tuning_strategies(spark, sf_dir):
+    """Every strategy comes near the minimum of a parabola, within its number of candidates."""
+    rows = []
+    for s in evaluation.Tuning.STRATEGIES:
+        best, history = evaluation.tune(lambda p: (p["x"] - 3) ** 2, [evaluation.Range("x", 0.0, 10.0)], evaluation.Tuning(s, resolution=11, n=40))
+        rows.append((s, abs(best["x"] - 3) < 0.5, len(history)))
+    return spark.createDataFrame(rows, "strategy string, near boolean, tried long")
+
+
+@query(literals([("unknown model", "ValueError"), ("unknown parameter", "TypeError"), ("number for classes", "TypeError"), ("known", "none")], "given, error"))
+def model_registry(spark, sf_dir):
+    asked = {
+        "unknown model": lambda: evaluation.make_learner("nothing"), "unknown parameter": lambda: evaluation.make_learner("decision_tree", speed=1),
+        "number for classes": lambda: evaluation.make_learner("stump_boosting")(lineitem(spark, sf_dir), FEATURES, "l_quantity", True), "known": lambda: evaluation.make_learner("random_forest", n_trees=3),
+    }
+    def named(f) -> str:
+        try:
+            f()
+        except (ValueError, TypeError) as e:
+            return type(e).__name__
+        return "none"
+
+    return spark.createDataFrame([(k, named(f)) for k, f in asked.items()], "given string, error string")
+
+
+_VARIANCES = " UNION ALL ".join(f"SELECT '{c}' AS name, var_samp({c}) AS score FROM lineitem" for c in FEATURES)
+
+
+@query(
+    f"WITH s AS ({_VARIANCES}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS best, row_number() OVER (ORDER BY score, name) AS least FROM s) "
+    "SELECT 'best' AS limiter, name, best <= 3 AS kept FROM r UNION ALL SELECT 'at_most', name, score <= 1 OR least <= 3 FROM r UNION ALL SELECT 'everything', name, true FROM r UNION ALL SELECT 'percentage', name, least <= 2 FROM r UNION ALL SELECT 'own', name, score > 1 FROM r"
+)
+def limiters(spark, sf_dir):
+    """Rankings, thresholds with a least number, everything, a percentage, and a limiter of our own."""
+    own = lambda scores: scores.withColumn("kept", F.col("score") > 1)
+    given = {"best": selection.Best(3), "at_most": selection.AtMost(1.0, 3), "everything": selection.Everything(), "percentage": selection.Percentage(0.5, descending=False), "own": own}
+    out = None
+    for name, limit in given.items():
+        part = selection.run_step(lineitem(spark, sf_dir), FEATURES, selection.Step(selection.variance_scores, limit)).select(F.lit(name).alias("limiter"), "name", "kept")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_WIDE = " UNION ALL ".join(
+    f"SELECT 'e@@@w{w}@@@{f}' AS name, 'w{w}' AS win, '{f}' AS fun, var_samp(v) AS score FROM (SELECT {g.format(s=f'e[{lo}:{lo + 15}]')} AS v FROM ({_E}))"
+    for w, lo in ((1, 1), (2, 17), (3, 33), (4, 49)) for f, g in (("minimum", "list_min({s})"), ("maximum", "list_max({s})"), ("mean", "list_sum({s}) / 16"))
+)
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    return treatments.extract(embeddings(spark, sf_dir), treatments.product_of(["e"], 4, ["minimum", "maximum", "mean"]), Windowing("segments", 4), 64)
+
+
+@query(
+    f"WITH s AS ({_WIDE}), g AS (SELECT fun, max(score) AS score FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, fun) AS k FROM g), f AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS k FROM s) "
+    "SELECT 'groups' AS way, name, round(r.score, 6) AS score, k <= 1 AS kept FROM s JOIN r USING (fun) UNION ALL SELECT 'features first', name, round(score, 6), bool_or(k <= 3) OVER (PARTITION BY win) FROM f"
+)
+def grouped_selection(spark, sf_dir):
+    """Groups of name parts by an aggregate of our own, and groups of which any feature is kept."""
+    df = _wide(spark, sf_dir)
+    by_group = selection.run_step(df, df.columns, selection.Step(selection.variance_scores, selection.Best(1), (2,), F.max))
+    first = selection.run_step(df, df.columns, selection.Step(selection.variance_scores, selection.Best(3), (1,), limit_first=True))
+    rows = lambda d, way: d.select(F.lit(way).alias("way"), "name", r6(F.col("score")).alias("score"), "kept")
+    return rows(by_group, "groups").unionByName(rows(first, "features first"))
+
+
+_STEPS = f"WITH s AS ({_WIDE}), a AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) <= 6 AS kept FROM s)"
+
+
+@query(f"{_STEPS} SELECT 0::bigint AS step, fun AS part, count(*) AS total, count(*) FILTER (WHERE kept) AS kept, (SELECT count(*) FROM a WHERE kept) AS names, 'e' AS variables FROM a GROUP BY 2")
+def selection_survivors(spark, sf_dir):
+    """Survivors by one part of the names, the names of a step, and the variables behind them."""
+    df = _wide(spark, sf_dir)
+    names, mid = selection.run_selection(df, df.columns, [selection.Step(selection.variance_scores, selection.Percentage(0.5))])
+    back = selection.apply_selection(embeddings(spark, sf_dir), names)
+    out = selection.survivor_study(mid, 2)
+    return out.select(F.col("step").cast("long").alias("step"), "part", "total", F.col("kept").cast("long").alias("kept"), F.lit(len(selection.names_at_step(mid, 0))).cast("long").alias("names"), F.lit(",".join(back.columns)).alias("variables"))
+
+
+_ERFC = "-1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))"
+_LONG = f"x AS (SELECT vec_id, label::varchar AS y, unnest(e) AS v, unnest(range(64)) AS i FROM ({_E}))"
+_MANN_WHITNEY = f"""WITH {_LONG}, r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY i, v) AS t, count(*) OVER (PARTITION BY i) AS n FROM x WINDOW w AS (PARTITION BY i ORDER BY v)),
+t AS (SELECT i, sum(t * t - 1)::double AS tie FROM r GROUP BY 1), s AS (SELECT i, y, count(*)::double AS n1, any_value(n)::double AS n, sum(r) AS r1 FROM r GROUP BY 1, 2),
+z AS (SELECT i, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) - 0.5, 0) / sqrt(n1 * (n - n1) / 12 * (n + 1 - tie / (n * (n - 1)))) / sqrt(2) AS z FROM s JOIN t USING (i)),
+p AS (SELECT i, least(t * exp(-z * z + {_ERFC}), 1) AS p FROM (SELECT *, 1 / (1 + z / 2) AS t FROM z))
+SELECT 'e' || i AS name, round(min(p), 6) AS score FROM p GROUP BY i"""
+
+
+_INFORMATION = f"""WITH {_LONG}, k AS (SELECT i, y, count(*) AS size FROM x GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT x.*, size, least(size - 1, 3) AS kk FROM x JOIN k USING (i, y)),
+near AS (SELECT a.i, a.vec_id, any_value(a.v) AS v, any_value(a.size) AS size, any_value(a.kk) AS kk, list_sort(list(abs(a.v - b.v)))[1:3] AS d FROM c a JOIN c b ON a.i = b.i AND a.y = b.y AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+m AS (SELECT a.i, a.vec_id, any_value(a.size) AS size, any_value(a.kk) AS kk, count(*) AS m FROM near a JOIN c b ON a.i = b.i AND abs(a.v - b.v) < a.d[a.kk] GROUP BY 1, 2),
+n AS (SELECT i, count(*) AS n FROM c GROUP BY 1), psi AS (SELECT j + 1 AS j, -0.5772156649015329 + coalesce(sum(1.0::double / nullif(j, 0)) OVER (ORDER BY j), 0) AS psi FROM (SELECT unnest(range(20000)) AS j))
+SELECT 'e' || i AS name, round(greatest(any_value(pn.psi) + avg(pk.psi) - avg(ps.psi) - avg(pm.psi), 0), 6) + 0.0 AS score
+FROM m JOIN n USING (i) JOIN psi pn ON pn.j = n.n JOIN psi pk ON pk.j = m.kk JOIN psi ps ON ps.j = m.size JOIN psi pm ON pm.j = m.m GROUP BY i"""
+
+
+_WORLDS = f"SELECT vec_id, x, y, list_max(e[x : y - 1]) AS m FROM ({_E}), (SELECT unnest(range(1, 9)) AS x), (SELECT unnest(range(2, 10)) AS y) WHERE y > x AND y - x <= 3"
+
+
+@query(
+    f"WITH w AS ({_WORLDS}) SELECT a.vec_id, count(*) FILTER (WHERE holds_some) AS later, count(*) FILTER (WHERE holds_all) AS inside FROM (SELECT v.vec_id, v.x, v.y, coalesce(bool_or(w.m >= 0.5) FILTER (WHERE w.x > v.y), false) AS holds_some, "
+    "coalesce(bool_and(w.m >= -0.5) FILTER (WHERE (w.x > v.x AND w.y < v.y) OR (w.x = v.x AND w.y < v.y) OR (w.y = v.y AND w.x > v.x)), true) AS holds_all FROM w v JOIN w ON v.vec_id = w.vec_id GROUP BY 1, 2, 3) a GROUP BY 1"
+)
+def related_worlds(spark, sf_dir):
+    """Intervals with a later relative that passes a test, and those all of whose inner relatives do."""
+    e = F.slice("e", 1, 8)
+    worlds = windows.all_intervals(F.lit(8), 3)
+    held = lambda *a, **k: F.size(F.filter(windows.related_holds(e, worlds, *a, **k), lambda b: b)).cast("long")
+    return embeddings(spark, sf_dir).select("vec_id", held("L", "maximum", ">=", 0.5).alias("later"), held("DBE", "maximum", ">=", -0.5, universal=True).alias("inside"))
+
+
+@query("SELECT event_type, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def column_ranges(spark, sf_dir):
+    """Range and mean of a column by class: windows of the whole series of each class."""
+    s = relational.series_by_key(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
+    e = F.col("series")
+    return s.select("event_type", F.size(e).cast("long").alias("n"), r6(arrays.minimum(e)).alias("low"), r6(arrays.maximum(e)).alias("high"), r6(arrays.mean(e)).alias("mean"))
+
+
+# -- oracles of queries of the catalogue that need what is defined here ----------------------------------
+
+_MEANS = ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}" for c in ("centroid", "entropy", "flatness"))
+_EVERY = (_HISTOGRAMS, _CORRELATIONS, _SPECTRUM, _OUTLIERS, _EMBEDDING, _FLUCTUATION, _periodicity_sql())
+_SHAPE = ORACLES["series_shape"].replace("power(d / s, 3)), 5)", "power(d / s, 3)), 4)").replace("0.04 * s)::int::double), 6)", "0.04 * s)::int::double), 4)")
+ORACLES |= {
+    "boosting_fit": _regression_sql(5, 2, "qdx", "round(mse, 1) AS mse"),
+    "samme_fit": _samme_sql(3, {"l_quantity": "q", "l_extendedprice": "y", "l_discount": "d", "l_tax": "x"}, accuracy=True),
+    "canonical_features": f"SELECT * FROM ({_SHAPE}) " + " ".join(f"JOIN ({sql}) q{i} USING (vec_id)" for i, sql in enumerate(_EVERY)),
+    "spectra": _SHAPES.replace("round(any_value(c), 6) AS centroid", "any_value(c) AS centroid").replace("/ log2(9), 6) AS entropy", "/ log2(9), 12) AS entropy").replace("any_value(mean), 6) AS flatness", "any_value(mean), 12) AS flatness").join(("SELECT vec_id, " + _MEANS + " FROM (", ") GROUP BY 1")),
+    "mann_whitney": _MANN_WHITNEY,
+    "information_scores": _INFORMATION,
+    "selection_pipeline": f"{_STEPS} SELECT 0::bigint AS step, name, round(score, 6) AS score, kept FROM a UNION ALL SELECT 1, name, 1.0, true FROM a WHERE kept",
+}
