@@ -376,8 +376,11 @@ def batch(names: list[str], series: list) -> np.ndarray:
     out = np.full((len(series), len(names)), NAN)
     lengths = np.array([0 if x is None else len(x) for x in series])
     for n, rows in _groups(lengths):
-        for lo in range(0, len(rows) if n else 0, max(1, BLOCK_VALUES // n)):
-            own = rows[lo : lo + max(1, BLOCK_VALUES // n)]
+        if not n:
+            continue
+        block = max(1, BLOCK_VALUES // n)
+        for lo in range(0, len(rows), block):
+            own = rows[lo : lo + block]
             x = np.stack([np.asarray(series[i], float) for i in own])
             finite = np.isfinite(x).all(axis=1)
             y = zscore(x[finite])

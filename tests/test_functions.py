@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import plain_series
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,30 @@ def test_canonical_features_never_fail(x):
         assert v is not None and (v != v or math.isfinite(v)), name
 
 
+def test_batches_equal_plain_features():
+    """Every feature of random, smooth, rounded, constant and short series against one series at a time."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (1, 2, 3, 5, 7, 12, 30, 64, 101, 200):
+        for k in range(8):
+            x = rng.normal(size=n) if k % 3 == 0 else np.cumsum(rng.normal(size=n)) if k % 3 == 1 else np.sin(np.arange(n) / (2 + k)) + 0.1 * rng.normal(size=n)
+            rows.append(np.round(x) if k == 5 else np.full(n, 3.0) if k == 6 else np.arange(n) % 4 * 1.0 if k == 7 else x)
+    got = catch22.batch(list(catch22.FEATURES), [*rows, None, [], [1.0, NAN, 2.0]])
+    assert np.isnan(got[-3:]).all()
+    for x, own in zip(rows, got, strict=False):
+        want = [plain_series.compute(name, x) for name in catch22.FEATURES]
+        assert np.allclose(own, want, rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
+def test_inverse_cosine_transform():
+    x = np.random.default_rng(2).normal(size=(3, 16))
+    c = x @ signal.dct_matrix(16, 16).T
+    assert np.allclose(signal.inverse_dct(c), x) and np.allclose(signal.inverse_dct(x, kind=3), c)
+    assert np.allclose(signal.inverse_dct(c[:, :4], 16), c[:, :4] @ signal.dct_matrix(16, 4))
+    with pytest.raises(ValueError):
+        signal.inverse_dct(c, kind=4)
+
+
 def test_canonical_features_of_a_wave():
     t = np.arange(400)
     x = np.sin(2 * np.pi * t / 20)

@@ -249,3 +249,42 @@ def test_class_information_takes_all_rows(spark, monkeypatch):
     got = {r["name"]: r["score"] for r in selection.information_scores(df, ["good", "poor"], "label", "id").collect()}
     for name, x in (("good", good), ("poor", poor)):
         assert np.isclose(got[name], selection.class_information(x / x.std(ddof=1), label), atol=1e-6)
+
+
+def test_boosted_classes(iris):
+    m = boosting.boost_classes(iris, IRIS, "label", BoostOptions(rounds=4, depth=2), watch=iris)
+    assert len(m.trees) == 12 and len(m.history) == 5 and all(b < a for a, b in zip(m.history, m.history[1:], strict=False))
+    out = m.apply(iris).collect()
+    assert np.mean([r["label"] == r["prediction"] for r in out]) > 0.9 and all(math.isclose(sum(r["probabilities"]), 1.0) for r in out)
+    assert math.isclose(m.history[0], math.log(3))
+    two = boosting.boost_classes(iris.where("label <> 'setosa'"), IRIS, "label", BoostOptions(rounds=2, depth=1))
+    assert two.objective == "binary:logistic" and len(two.trees) == 2
+    one = boosting.boost_classes(iris.where("label = 'setosa'"), IRIS, "label", BoostOptions(rounds=2))
+    assert {r["prediction"] for r in one.apply(iris).collect()} == {"setosa"}
+
+
+def test_splits_in_ranges_equal_whole_splits(iris):
+    rows = iris.select(*IRIS, F.col("label").alias("node"), (F.col("petal_width") - F.col("sepal_width")).alias("g"), F.lit(1.0).alias("h"))
+    ranges = boosting.quantile_cuts(iris, IRIS, 7)
+    whole, parts = ({r["node"]: r for r in boosting.best_splits(rows, IRIS, ranges=x).collect()} for x in (None, ranges))
+    assert whole.keys() == parts.keys()
+    for k, r in whole.items():
+        assert r["feature"] == parts[k]["feature"] and math.isclose(r["threshold"], parts[k]["threshold"]) and math.isclose(r["gain"], parts[k]["gain"]) and math.isclose(r["hl"], parts[k]["hl"])
+
+
+def test_group_split_balances_and_is_disjoint(iris):
+    rows = iris.withColumn("grp", F.col("row_id") % 20)
+    out = evaluation.group_split(rows, "label", "grp", 0.6).toPandas()
+    assert out.groupby(["role", "label"]).size().groupby("role").nunique().eq(1).all()
+    for _, part in out.groupby("label"):
+        assert not set(part[part.role == "train"].grp) & set(part[part.role == "test"].grp)
+    whole = evaluation.group_split(rows, "label", "grp", 0.6, balance=False)
+    assert whole.count() == 150 and whole.columns == [*sorted(set(rows.columns) - {"label", "grp"}, key=rows.columns.index), "role"] or set(whole.columns) == {*rows.columns, "role"}
+
+
+def test_whole_number_labels_are_classes(iris):
+    rows = iris.withColumn("y", (F.col("petal_length") > 3).cast("int"))
+    out = evaluation.symbolic_analysis(rows, IRIS, "y", "row_id", params={"max_depth": 2, "seed": 1})
+    assert {r["measure"] for r in out.measures.collect()} == {"accuracy", "kappa"}
+    with pytest.raises(ValueError):
+        evaluation.evaluate(out.predictions, ["log_loss"])

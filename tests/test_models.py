@@ -126,3 +126,41 @@ def test_symmetric_uncertainty():
     assert abs(r.symmetric_uncertainty({(0, 0): 5, (1, 1): 5}) - 1) < 1e-12
     assert r.symmetric_uncertainty({(0, 0): 5}) == 0.0
     assert And(()).render() == "⊤"
+
+
+def test_counted_votes_equal_votes_over_arrays(spark):
+    """Packed counts, sums by label and the array form agree, ties and rows without a vote included."""
+    from rulewright.operators import models
+
+    rows = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float(i % 11)) for i in range(200)], "i long, a double, b double")
+    leaves = [Leaf("x"), Leaf("y"), Leaf("z"), Leaf(None)]
+    trees = tuple(Tree(Branch(ScalarCondition("ab"[k % 2], "<", 1.0 + k % 6), leaves[k % 4], leaves[(k * k + 1) % 4])) for k in range(9))
+    for weights in (None, tuple(0.5 + k % 3 for k in range(9))):
+        m = Ensemble(trees, weights)
+        out = rows.select(models._counted_votes(m, False).alias("p"), models.majority(m.predictions(), weights).alias("q")).collect()
+        assert all(r["p"] == r["q"] for r in out) and len({r["p"] for r in out}) > 1
+    none = Ensemble((Tree(Leaf(None)), Tree(Leaf("x"))))
+    assert rows.select(none.column().alias("p")).first()["p"] == "x"
+
+
+def test_forests_with_several_operators_in_batches(spark):
+    from rulewright.operators import models
+
+    rows = spark.createDataFrame([(i, float(i % 7), None if i % 5 == 0 else float("nan") if i % 9 == 0 else float(i % 11)) for i in range(300)], "i long, a double, b double")
+    ops = ("<", "<=", ">", ">=", "==", "!=")
+    trees = tuple(Tree(Branch(ScalarCondition("ab"[k % 2], ops[k % 6], float(k % 8)), Leaf("xyz"[k % 3]), Branch(ScalarCondition("a", ops[(k + 1) % 6], 3.0), Leaf("x"), Leaf("y")))) for k in range(30))
+    m = Ensemble(trees)
+    out = models.apply_model(rows, m).withColumn("q", models.majority(m.predictions())).collect()
+    assert all(r["prediction"] == r["q"] for r in out)
+
+
+def test_predictions_are_added_or_replaced(spark):
+    from rulewright.operators import models
+
+    rows = spark.createDataFrame([(1.0,), (5.0,)], "a double")
+    m = Tree(Branch(ScalarCondition("a", "<", 3.0), Leaf("lo"), Leaf("hi")))
+    twice = models.collect_predictions(models.collect_predictions(rows, m), m)
+    assert [r["predictions"] for r in twice.collect()] == [["lo", "lo"], ["hi", "hi"]]
+    assert [r["predictions"] for r in models.collect_predictions(twice, m, mode="replace").collect()] == [["lo"], ["hi"]]
+    with pytest.raises(ValueError):
+        models.collect_predictions(rows, m, mode="both")

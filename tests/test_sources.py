@@ -80,3 +80,19 @@ def test_stream_equals_batch(spark, data, tmp_path):
     finally:
         query.stop()
     assert series.sessions(events).count() > 0
+
+
+def test_row_ids_follow_the_order(spark):
+    from rulewright.sources import tables
+
+    rows = spark.createDataFrame([(i * 37 % 101 // 3, i) for i in range(101)], "a long, b long")
+    out = sorted((r["row_id"], r["a"], r["b"]) for r in tables.with_row_id(rows, ["a", "b"]).collect())
+    assert [x[0] for x in out] == list(range(101)) and [x[1:] for x in out] == sorted(x[1:] for x in out)
+
+
+def test_bound_columns_of_one_name_raise(spark):
+    from rulewright.operators import relational
+
+    a = spark.createDataFrame([(1, 2)], "row_id long, x long")
+    with pytest.raises(ValueError):
+        relational.bind_columns(a, a)
