@@ -331,6 +331,14 @@ def decode(vocabulary: Vocabulary, ids) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _spelled_alike(vocabulary: Vocabulary, ids: np.ndarray, edits: list[tuple[int, int, list[int]]]) -> bool:
+    """Whether a path decodes like the best one: what its edits put in spells the bytes of what they replace."""
+    spell = lambda part: b"".join([vocabulary.spelled[i] for i in part])
+    if all(spell(new) == spell(ids[at : at + length]) for at, length, new in edits):
+        return True
+    return decode(vocabulary, applied(ids, edits)) == decode(vocabulary, ids)
+
+
 _ENCODER: list[Encoder] = []  # of this worker; it holds its vocabulary, so identity is safe to compare
 
 
@@ -350,7 +358,7 @@ def _encoded(shared, n: int):
             texts = common.column(batch, "text")
             first, held, rows = 0, 0, []
             for i, ids, scores, edits in encoder.encode(texts):
-                back = all(decode(encoder.v, applied(ids, e)) == (texts[i] or "") for e in edits)
+                back = decode(encoder.v, ids) == (texts[i] or "") and all(_spelled_alike(encoder.v, ids, e) for e in edits)
                 rows.append((ids, len(ids), scores, [[dict(zip(_EDIT, e, strict=True)) for e in path] for path in edits], back))
                 held += len(ids)
                 if held > 200_000 or i + 1 == len(texts):
