@@ -134,7 +134,15 @@ _ANSWERED = _ASKED.remove(3)
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "difference"))])
 
 
-def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int):
+def _own_counts(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """How often the key of each token stands in the token's own text."""
+    if not len(code):
+        return np.zeros(0)
+    _, place, counts = np.unique(row * np.int64(code.max() + 1) + code, return_inverse=True, return_counts=True)
+    return counts[place].astype(np.float64)
+
+
+def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int, own_counts: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """The rows of a block by the counts of its words and bigrams."""
         sizes, words, pairs = _tokens(docs)
@@ -143,15 +151,22 @@ def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int):
         first = (np.cumsum(sizes) - sizes)[has]
         order = sorted(range(answers.num_rows), key=answers.column("part").to_pylist().__getitem__)
         kinds = answers.column("kind").to_pylist()
+        of_target = np.repeat(np.asarray(docs.column("is_target"), bool), sizes)
+        if not own_counts:
+            row, length = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+            own_word, own_pair = _own_counts(row, word), _own_counts(row, pair)
         losses = []
         for side, name in enumerate(("target", "background")):
             packed = answers.column(name).to_pylist()
             uni, bi = (np.concatenate([np.empty(0, U64), *(_unpacked(packed[i]) for i in order if kinds[i] == kind)]).astype(np.float64) for kind in (0, 1))
-            own = uni[word]
-            p1 = (own + SMOOTH) / (totals[side] + SMOOTH * vocabulary)
-            context = np.concatenate((own[:0], [0.0], own[:-1]))[: len(own)]
-            context[first] = starts[side]
-            loss = -np.log2(BIGRAM * (bi[pair] + p1) / (context + 1) + (1 - BIGRAM) * p1)
+            count, both, total, begun = uni[word], bi[pair], float(totals[side]), np.full(len(first), float(starts[side]))
+            if not own_counts:  # a text is no evidence for itself
+                mine = (of_target if side == 0 else ~of_target).astype(np.float64)
+                count, both, total, begun = count - mine * own_word, both - mine * own_pair, total - mine * length, begun - mine[first]
+            p1 = (count + SMOOTH) / (total + SMOOTH * vocabulary)
+            context = np.concatenate((count[:0], [0.0], count[:-1]))[: len(count)]
+            context[first] = begun
+            loss = -np.log2(BIGRAM * (both + p1) / (context + 1) + (1 - BIGRAM) * p1)
             mean = np.zeros(len(sizes))
             if len(first):
                 mean[has] = np.add.reduceat(loss, first) / sizes[has]
@@ -162,13 +177,14 @@ def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_vocabulary: int = UNI) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_vocabulary: int = UNI, own_counts: bool = True) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference: one row for each row of ``docs``.
 
     ``targets`` holds the ids (doc_id) of the target set; null and repeated ids in it do not
     matter, and without any the target model is smoothing alone. Words are
     ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. V is the number of distinct words of ``docs``, or
-    ``least_vocabulary`` if that is more. A null or empty text has no token and null losses. Null
+    ``least_vocabulary`` if that is more. Without ``own_counts`` a text's own words and bigrams are
+    taken off the counts of its side before it is scored, so that no text is evidence for itself. A null or empty text has no token and null losses. Null
     ids count for the background and are scored. An empty table gives an empty result; other
     columns are not read.
     """
@@ -188,6 +204,6 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     asked = marked.groupBy("block").applyInArrow(_asked(parts), "kind int, part long, block long, keys binary, target binary, background binary")
     answers = asked.groupBy("kind", "part").applyInArrow(_answered, "kind int, part long, block long, target binary, background binary")
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
-    scored = marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(totals, starts, vocabulary), schema)
+    scored = marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(totals, starts, vocabulary, own_counts), schema)
     # one job, in which the blocks' exchange is made once; what is written is a few numbers a row
     return common.staged(scored, "scores")

@@ -256,7 +256,11 @@ def classify(
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns and no join."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns and no join.
+
+    Each row is judged by its own text, so repeated rows and rows without id stay or go alike; a null
+    text counts as empty. Without a labelled text none stays; an empty table gives an empty one.
+    """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(learn(named, graded(labels), fit_rows))
 

@@ -130,37 +130,40 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents scored for likeness to the ones labelled good and not toxic."""
+    """Documents scored for likeness to the ones labelled good and not toxic, each without its own counts."""
     clean = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    out = crossentropy.score(_table(spark, sf_dir, "documents"), clean, least_vocabulary=0)
+    out = crossentropy.score(_table(spark, sf_dir, "documents"), clean, least_vocabulary=0, own_counts=False)
     # six decimals: engines add in different orders
     return out.select("doc_id", "n_tokens", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "difference")])
 
 
 def _op8_loss(side: str) -> str:
-    p1 = f"(coalesce(u.{side}, 0) + {crossentropy.SMOOTH}) / (n.{side} + {crossentropy.SMOOTH} * n.v)"
-    context = f"CASE WHEN t.pos = 1 THEN n.{side}_texts ELSE coalesce(c.{side}, 0) END"
-    return f"-log2({crossentropy.BIGRAM} * (coalesce(b.{side}, 0) + {p1}) / ({context} + 1) + {1 - crossentropy.BIGRAM} * {p1})"
+    mine = f"CASE WHEN t.is_target THEN {1 if side == 'target' else 0} ELSE {0 if side == 'target' else 1} END"
+    p1 = f"(u.{side} - {mine} * t.own + {crossentropy.SMOOTH}) / (n.{side} - {mine} * t.size + {crossentropy.SMOOTH} * n.v)"
+    context = f"CASE WHEN t.pos = 1 THEN n.{side}_texts - {mine} ELSE c.{side} - {mine} * t.prev_own END"
+    return f"-log2({crossentropy.BIGRAM} * (b.{side} - {mine} * t.pair_own + {p1}) / ({context} + 1) + {1 - crossentropy.BIGRAM} * {p1})"
 
 
 OP8_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rn, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) AS is_target,
-    [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents
+    [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS words FROM documents
+), t0 AS (
+  SELECT rn, is_target, len(words) AS size, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM d
+), t1 AS (
+  SELECT *, lag(w) OVER (PARTITION BY rn ORDER BY pos) AS prev, count(*) OVER (PARTITION BY rn, w) AS own FROM t0
 ), t AS (
-  SELECT rn, is_target, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM d
-), t2 AS (
-  SELECT *, lag(w) OVER (PARTITION BY rn ORDER BY pos) AS prev FROM t
+  SELECT *, count(*) OVER (PARTITION BY rn, prev, w) AS pair_own, lag(own) OVER (PARTITION BY rn ORDER BY pos) AS prev_own FROM t1
 ), u AS (
   SELECT w, count(*) FILTER (WHERE is_target) AS target, count(*) FILTER (WHERE NOT is_target) AS background FROM t GROUP BY w
 ), b AS (
-  SELECT prev, w, count(*) FILTER (WHERE is_target) AS target, count(*) FILTER (WHERE NOT is_target) AS background FROM t2 GROUP BY prev, w
+  SELECT prev, w, count(*) FILTER (WHERE is_target) AS target, count(*) FILTER (WHERE NOT is_target) AS background FROM t GROUP BY prev, w
 ), n AS (
   SELECT sum(target) AS target, sum(background) AS background, count(*) AS v,
     (SELECT count(*) FROM d WHERE is_target AND len(words) > 0) AS target_texts, (SELECT count(*) FROM d WHERE NOT is_target AND len(words) > 0) AS background_texts FROM u
 ), s AS (
   SELECT t.rn, avg({_op8_loss("target")}) AS target_loss, avg({_op8_loss("background")}) AS background_loss
-  FROM t2 t JOIN u ON t.w = u.w JOIN b ON t.w = b.w AND t.prev IS NOT DISTINCT FROM b.prev LEFT JOIN u c ON t.prev = c.w, n GROUP BY t.rn
+  FROM t JOIN u ON t.w = u.w JOIN b ON t.w = b.w AND t.prev IS NOT DISTINCT FROM b.prev LEFT JOIN u c ON t.prev = c.w, n GROUP BY t.rn
 )
 SELECT doc_id, len(words)::bigint AS n_tokens, round(target_loss, 6) + 0.0 AS target_loss, round(background_loss, 6) + 0.0 AS background_loss,
   round(target_loss - background_loss, 6) + 0.0 AS difference
@@ -169,7 +172,7 @@ FROM d LEFT JOIN s USING (rn)
 
 
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(_table(spark, sf_dir, "documents"), threshold=(85, 100))
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"), threshold=(85, 100), perms=96)
 
 
 OP9_SQL = """

@@ -524,6 +524,29 @@ def test_every_word_and_bigram_has_counts_of_its_own(spark):
         assert np.isclose(got[i]["target_loss"], losses[0]) and np.isclose(got[i]["background_loss"], losses[1])
 
 
+def test_a_text_is_no_evidence_for_itself(spark):
+    """Scores without own counts are those of models that never saw the text."""
+    rng = random.Random(6)
+    texts = {i: " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 40))) for i in range(30)} | {30: "", 31: None}
+    rows = [(i, t) for i, t in texts.items()]
+    df, targets = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 32, 3)], "doc_id long")
+    got = {r["doc_id"]: r for r in crossentropy.score(df, targets, least_vocabulary=0, own_counts=False).collect()}
+    words = {w for t in texts.values() for w in (t or "").split()}
+    for i in range(30):
+        w, losses = texts[i].split(), []
+        for side in (0, 1):
+            seen = [texts[j].split() for j in range(30) if j != i and (j % 3 == 0) == (side == 0)]
+            uni, bi = Counter(x for t in seen for x in t), Counter(p for t in seen for p in zip([None, *t], t))
+            logs = []
+            for u, x in zip([None, *w], w):
+                p1 = (uni[x] + crossentropy.SMOOTH) / (sum(uni.values()) + crossentropy.SMOOTH * len(words))
+                context = uni[u] if u else len(seen)
+                logs.append(-np.log2(crossentropy.BIGRAM * (bi[u, x] + p1) / (context + 1) + (1 - crossentropy.BIGRAM) * p1))
+            losses.append(np.mean(logs))
+        assert np.isclose(got[i]["target_loss"], losses[0]) and np.isclose(got[i]["background_loss"], losses[1])
+    assert got[30]["difference"] is None and got[31]["n_tokens"] == 0
+
+
 # -- 9 ------------------------------------------------------------------------------------
 
 
@@ -532,7 +555,7 @@ def shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
 
 
-def brute_components(texts):
+def brute_components(texts, percent=80):
     sets = {i: shingles(t) for i, t in texts.items()}
     root = {i: i for i in sets}
 
@@ -543,15 +566,16 @@ def brute_components(texts):
 
     for a, b in combinations(sets, 2):
         n = len(sets[a] & sets[b])
-        if n and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
 def test_components_equal_all_pairs(docs, texts):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minmax.near_duplicates(docs).collect()}
-    assert got == brute_components(texts)
+    for percent, perms in ((80, 150), (85, 96)):
+        out = minmax.near_duplicates(docs, threshold=(percent, 100), perms=perms).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts, percent)
 
 
 def test_large_families_are_compared_in_tiles(spark, monkeypatch):
