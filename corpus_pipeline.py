@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rulewright.llm import common, exact, minmax, mixing, pieces, quality
 from rulewright.llm.queries import MODEL_PATH
 
-#: Near copies are linked at a similarity of 0.8. The 85 of the operator is what its query is held to.
+#: Near copies are linked at a similarity of 0.8. The operator's own query is held to 0.85.
 NEAR_THRESHOLD = (80, 100)
 #: 50 bands of 6: a pair at 0.8 shares no bucket with a probability of (1 - 0.8**6)**50 = 3e-7.
 NEAR_PERMS = 150
