@@ -36,6 +36,8 @@ from .common import U64, SpanHashes, chunks, lowered_ascii, mixed
 UNI = 1 << 17
 #: Characters of text in a block, about.
 BLOCK_CHARS = 1 << 23
+#: Tokens whose losses are worked out together, about.
+RUN_TOKENS = 1 << 17
 #: Stands before the first word of a text.
 START = 0
 SMOOTH = 0.1
@@ -134,6 +136,18 @@ _ANSWERED = _ASKED.remove(3)
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "difference"))])
 
 
+def _runs_of_texts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about RUN_TOKENS tokens each."""
+    lo = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > RUN_TOKENS:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def _own_counts(row: np.ndarray, code: np.ndarray) -> np.ndarray:
     """How often the key of each token stands in the token's own text."""
     if not len(code):
@@ -148,29 +162,30 @@ def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int, o
         sizes, words, pairs = _tokens(docs)
         (_, word), (_, pair) = (np.unique(x, return_inverse=True) for x in (words, pairs))
         has = sizes > 0
-        first = (np.cumsum(sizes) - sizes)[has]
         order = sorted(range(answers.num_rows), key=answers.column("part").to_pylist().__getitem__)
         kinds = answers.column("kind").to_pylist()
-        of_target = np.repeat(np.asarray(docs.column("is_target"), bool), sizes)
-        if not own_counts:
-            row, length = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
-            own_word, own_pair = _own_counts(row, word), _own_counts(row, pair)
-        losses = []
+        of_target = np.asarray(docs.column("is_target"), bool)
+        ends = np.cumsum(sizes)
+        losses = [np.zeros(len(sizes)), np.zeros(len(sizes))]
         for side, name in enumerate(("target", "background")):
             packed = answers.column(name).to_pylist()
             uni, bi = (np.concatenate([np.empty(0, U64), *(_unpacked(packed[i]) for i in order if kinds[i] == kind)]).astype(np.float64) for kind in (0, 1))
-            count, both, total, begun = uni[word], bi[pair], float(totals[side]), np.full(len(first), float(starts[side]))
-            if not own_counts:  # a text is no evidence for itself
-                mine = (of_target if side == 0 else ~of_target).astype(np.float64)
-                count, both, total, begun = count - mine * own_word, both - mine * own_pair, total - mine * length, begun - mine[first]
-            p1 = (count + SMOOTH) / (total + SMOOTH * vocabulary)
-            context = np.concatenate((count[:0], [0.0], count[:-1]))[: len(count)]
-            context[first] = begun
-            loss = -np.log2(BIGRAM * (both + p1) / (context + 1) + (1 - BIGRAM) * p1)
-            mean = np.zeros(len(sizes))
-            if len(first):
-                mean[has] = np.add.reduceat(loss, first) / sizes[has]
-            losses.append(mean)
+            for lo, hi in _runs_of_texts(sizes):
+                a, b = ends[lo] - sizes[lo], ends[hi - 1]
+                own, own_has = sizes[lo:hi], has[lo:hi]
+                first = (np.cumsum(own) - own)[own_has]
+                count, both, total, begun = uni[word[a:b]], bi[pair[a:b]], float(totals[side]), np.full(len(first), float(starts[side]))
+                if not own_counts:  # a text is no evidence for itself
+                    row = np.repeat(np.arange(hi - lo), own)
+                    mine = (of_target[lo:hi] == (side == 0))[row].astype(np.float64)
+                    count, both = count - mine * _own_counts(row, word[a:b]), both - mine * _own_counts(row, pair[a:b])
+                    total, begun = total - mine * own[row], begun - mine[first]
+                p1 = (count + SMOOTH) / (total + SMOOTH * vocabulary)
+                context = np.concatenate((count[:0], [0.0], count[:-1]))[: len(count)]
+                context[first] = begun
+                loss = -np.log2(BIGRAM * (both + p1) / (context + 1) + (1 - BIGRAM) * p1)
+                if len(first):
+                    losses[side][lo:hi][own_has] = np.add.reduceat(loss, first) / own[own_has]
         values = [pa.array(x, pa.float64(), mask=~has) for x in (*losses, losses[0] - losses[1])]
         return pa.table([docs.column("doc_id").combine_chunks(), pa.array(sizes), *values], schema=_SCORES)
 
