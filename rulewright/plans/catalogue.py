@@ -251,12 +251,6 @@ def node_supports(spark, sf_dir):
     return models.node_supports(lineitem(spark, sf_dir), TREE, "l_returnflag")
 
 
-@query()
-def model_table(spark, sf_dir):
-    """The fixed tree in its relational form; a model, not a scan."""
-    return models.to_table(spark, TREE, "fixed")
-
-
 BOOSTED = [
     Tree(Branch(ScalarCondition("l_quantity", "<", 24.1), Leaf(None, 0.14), Leaf(None, -0.07))),
     Tree(Branch(ScalarCondition("l_discount", "<", 0.05), Leaf(None, -0.07), Leaf(None, 0.11))),

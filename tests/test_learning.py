@@ -288,3 +288,132 @@ def test_whole_number_labels_are_classes(iris):
     assert {r["measure"] for r in out.measures.collect()} == {"accuracy", "kappa"}
     with pytest.raises(ValueError):
         evaluation.evaluate(out.predictions, ["log_loss"])
+
+
+# -- rule extraction against plain steps --------------------------------------------------------
+
+
+def small_forest():
+    c = lambda f, t, a, b: Branch(ScalarCondition(f, "<", t), a, b)
+    s, v, w = Leaf("setosa"), Leaf("versicolor"), Leaf("virginica")
+    return [
+        Tree(c("petal_length", 2.5, s, c("petal_width", 1.7, c("petal_length", 4.95, v, w), w))),
+        Tree(c("petal_width", 0.8, s, c("petal_length", 4.7, c("sepal_width", 2.5, v, v), c("sepal_length", 6.0, v, w)))),
+        Tree(c("sepal_length", 5.5, c("sepal_width", 2.8, v, s), c("petal_width", 1.6, v, w))),
+    ]
+
+
+def plain_holds(rule, row):
+    from rulewright.operators.conditions import OPERATORS
+
+    return all(OPERATORS[a.op](row[a.feature], a.threshold) for a in rule_atoms(rule))
+
+
+def rule_atoms(rule):
+    from rulewright.operators.conditions import And
+
+    return list(rule.antecedent.parts) if isinstance(rule.antecedent, And) else [rule.antecedent]
+
+
+def plain_error(rule, rows):
+    own = [r for r in rows if plain_holds(rule, r)]
+    return (sum(r["label"] != rule.consequent.outcome for r in own) / len(own) if own else None), len(own)
+
+
+def test_pruning_equals_plain_steps(iris):
+    from rulewright.operators import rules
+    from rulewright.operators.conditions import conjunction
+    from rulewright.operators.models import Rule
+
+    rows = [r.asDict() for r in iris.collect()]
+    given = [r for t in small_forest() for r in models.list_rules(t)]
+    want = {}
+    for rule in given:
+        at = len(rule_atoms(rule)) - 1
+        while at >= 0 and len(rule_atoms(rule)) > 1:
+            shorter = Rule(conjunction(a for j, a in enumerate(rule_atoms(rule)) if j != at), rule.consequent)
+            e, without = (1.0 if x is None else x for x in (plain_error(rule, rows)[0], plain_error(shorter, rows)[0]))
+            if (without - e) / max(e, 1e-6) < 0.05:
+                rule = shorter
+            at -= 1
+        want[str(rule.antecedent), rule.consequent.outcome] = rule
+    got = rules.prune(iris, given, "label")
+    assert [(str(r.antecedent), r.consequent.outcome) for r in got] == list(want) and len(want) < len(given)
+
+
+def test_sequential_lists_equal_plain_steps(iris):
+    from rulewright.operators import rules
+
+    rows = [r.asDict() for r in iris.collect()]
+    given = [r for t in small_forest() for r in models.list_rules(t)]
+    left, pool, want = rows, list(given), []
+    while True:
+        labels = sorted({r["label"] for r in left})
+        counts = {k: sum(r["label"] == k for r in left) for k in labels}
+        default = min(counts, key=lambda k: (-counts[k], k)) if counts else None
+        able = [(plain_error(r, left)[0], -plain_error(r, left)[1], len(rule_atoms(r)), i) for i, r in enumerate(pool) if plain_error(r, left)[1] >= max(1, 0.01 * len(rows))]
+        if not left or not able or min(able)[0] >= 1 - counts[default] / len(left):
+            break
+        best = pool.pop(min(able)[3])
+        want.append(str(best.antecedent))
+        left = [r for r in left if not plain_holds(best, r)]
+    got = rules.sequential_list(iris, given, "label")
+    assert [str(r.antecedent) for r in got.rules] == want and len(want) > 2
+    if left:
+        assert got.default.outcome == default
+
+
+def test_correlation_selection_equals_plain_counts(iris):
+    from rulewright.operators import rules
+
+    rows = [r.asDict() for r in iris.collect()]
+    given = [r for t in small_forest() for r in models.list_rules(t)]
+    masks = [[plain_holds(r, x) for x in rows] for r in given]
+    labels = [x["label"] for x in rows]
+
+    def entropy(values):
+        n = len(values)
+        return -sum(values.count(v) / n * math.log2(values.count(v) / n) for v in set(values))
+
+    def su(a, b):
+        ha, hb = entropy(a), entropy(b)
+        return 2 * (ha + hb - entropy(list(zip(a, b, strict=True)))) / (ha + hb) if ha + hb else 0.0
+
+    with_label = [su(m, labels) for m in masks]
+    pair = [[su(a, b) for b in masks] for a in masks]
+
+    def merit(s):
+        return sum(with_label[i] for i in s) / math.sqrt(len(s) + 2 * sum(pair[a][b] for k, a in enumerate(s) for b in s[:k]))
+
+    chosen, best, kept, stale = [], -math.inf, [], 0
+    while len(chosen) < len(given) and stale < 5:
+        pick = max((i for i in range(len(given)) if i not in chosen), key=lambda i: (round(merit([*chosen, i]), 12), -i))
+        chosen.append(pick)
+        if merit(chosen) > best + 1e-12:
+            best, kept, stale = merit(chosen), list(chosen), 0
+        else:
+            stale += 1
+    assert rules.correlation_selection(iris, given, "label") == kept
+
+
+def test_covering_equals_an_exhaustive_beam(iris):
+    """Each rule is the best of all conjunctions of two atoms where the beam holds them all."""
+    from rulewright.operators import rules
+
+    rows = [r.asDict() for r in iris.collect()]
+    options = rules.CoveringOptions(beam=10_000, max_atoms=2, thresholds=3, max_rules=2)
+    got = rules.learn_covering(iris, ["petal_length", "petal_width"], "label", options)
+    cuts = boosting.quantile_cuts(iris, ["petal_length", "petal_width"], 4)
+    atoms = [ScalarCondition(f, op, t) for f, ts in cuts.items() for t in ts for op in ("<", ">=")]
+    left = rows
+    for rule in got.rules:
+        quality = lambda own: (max([sum(r["label"] == k for r in own) for k in ("setosa", "versicolor", "virginica")]) + 1) / (len(own) + 3)
+        found = []
+        for i, a in enumerate(atoms):
+            for b in [None, *atoms[i + 1 :]]:
+                own = [r for r in left if plain_holds(models.Rule(a, Leaf("")), r) and (b is None or plain_holds(models.Rule(b, Leaf("")), r))]
+                if own:
+                    found.append(quality(own))
+        own = [r for r in left if plain_holds(rule, r)]
+        assert math.isclose(quality(own), max(found))
+        left = [r for r in left if not plain_holds(rule, r)]
