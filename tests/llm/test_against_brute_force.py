@@ -400,6 +400,17 @@ def test_media_columns(docs, texts):
         assert r["media_bytes"] == len(padded) + 44 and r["media_sha256"] == hashlib.sha256(media.to_wav(padded)).hexdigest()
 
 
+def test_media_features_equal_plain_sums(texts):
+    for t in [*list(texts.values())[:30], "", None, "a" * 500, "aé\n" * 70]:
+        x = [b - 128 for b in media.payload(t)[1]]
+        mean = sum(x) / len(x)
+        crossings = sum((a > mean) != (b > mean) for a, b in zip(x, x[1:], strict=False)) / max(len(x) - 1, 1)
+        energy = [sum(v * v for v in x[k : k + 192]) for k in range(0, len(x), 192)]
+        got = dict(p.split("=") for p in media.features(bytes(v + 128 for v in x)).split(";"))
+        assert int(got["frames"]) == len(energy) and abs(float(got["mean"]) - mean) < 1e-4 and abs(float(got["sd"]) - math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))) < 1e-3
+        assert float(got["peak"]) == max(map(abs, x)) and abs(float(got["crossings"]) - crossings) < 1e-6 and energy[int(got["loudest"])] >= max(energy) * (1 - 1e-6)
+
+
 def test_members_are_tried_again_by_offset(spark, docs, tmp_path):
     from pyarrow import fs
 
@@ -631,6 +642,31 @@ def test_gradient_fits_ordered_grades():
     assert model.thresholds[0] < model.thresholds[1] and np.corrcoef(expected, grades)[0, 1] > 0.9
 
 
+def test_features_of_a_text_are_those_of_its_words(texts):
+    """Whole texts, long ones too: the cells of words are the union of the cells of each word alone."""
+    given = [*list(texts.values())[:20], None, "", "Ünïcode wörds; and-more 12ab", " ".join(f"word{i % 977} other{i % 13}" for i in range(200_000))]
+    words = [sorted(set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))) for t in given]
+    every = sorted(set().union(*map(set, words)))
+    alone = {}
+    for (_, cells), w in zip(quality.text_features([w.decode("utf-8", "surrogateescape") if w.isascii() else w.decode() for w in every]), every, strict=True):
+        alone[w] = set(cells[cells >= 256].tolist())
+    for (_, cells), own in zip(quality.text_features(given), words, strict=True):
+        assert set(cells[cells >= 256].tolist()) == set().union(*(alone[w] for w in own))
+
+
+def test_classification_is_the_sum_of_weights(spark, docs, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.learn(docs.select("doc_id", "text"), quality.graded(labels))
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        ((_, cells),) = quality.text_features([r["text"]])
+        score = sum(float(model.weights[c]) for c in cells)
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        own = got[r["doc_id"]]
+        assert math.isclose(own["score"], score, abs_tol=1e-4) and np.allclose(own["tails"], tails, atol=1e-4) and math.isclose(own["expected_grade"], sum(tails), abs_tol=1e-4)
+        assert own["kept"] == (own["tails"][1] >= 0.5)
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(3)
     n, size = 40, 6
