@@ -1243,7 +1243,7 @@ p AS (SELECT i, least(t * exp(-z * z + {_ERFC}), 1) AS p FROM (SELECT *, 1 / (1
 SELECT 'e' || i AS name, round(min(p), 6) AS score FROM p GROUP BY i"""
 
 
-_INFORMATION = f"""WITH {_LONG}, k AS (SELECT i, y, count(*) AS size FROM x GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT x.*, size, least(size - 1, 3) AS kk FROM x JOIN k USING (i, y)),
+_INFORMATION = f"""WITH {_LONG.replace("unnest(e) AS v, unnest(range(64)) AS i", "unnest(list_transform(e, lambda a, i: a + (vec_id * 7919 % 1009) * 1e-6::double * i)) AS v, unnest(range(64)) AS i")}, k AS (SELECT i, y, count(*) AS size FROM x GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT x.*, size, least(size - 1, 3) AS kk FROM x JOIN k USING (i, y)),
 near AS (SELECT a.i, a.vec_id, any_value(a.v) AS v, any_value(a.size) AS size, any_value(a.kk) AS kk, list_sort(list(abs(a.v - b.v)))[1:3] AS d FROM c a JOIN c b ON a.i = b.i AND a.y = b.y AND a.vec_id <> b.vec_id GROUP BY 1, 2),
 m AS (SELECT a.i, a.vec_id, any_value(a.size) AS size, any_value(a.kk) AS kk, count(*) AS m FROM near a JOIN c b ON a.i = b.i AND abs(a.v - b.v) < a.d[a.kk] GROUP BY 1, 2),
 n AS (SELECT i, count(*) AS n FROM c GROUP BY 1), psi AS (SELECT j + 1 AS j, -0.5772156649015329 + coalesce(sum(1.0::double / nullif(j, 0)) OVER (ORDER BY j), 0) AS psi FROM (SELECT unnest(range(20000)) AS j))
