@@ -111,15 +111,16 @@ def one_of_each(docs: DataFrame, decided: DataFrame, group: str, id_col: str = "
     return left.join(again, match, "left_anti").unionByName(one)
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, match, size: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, keys: DataFrame, match, size: str, total: int | DataFrame) -> DataFrame:
     """``rows`` left-joined to ``keys`` (one row a key), without a task that gets a hot key's rows.
 
-    ``size`` is the column of ``keys`` that counts the rows of a key and ``total`` their sum. Few
-    keys are broadcast. Of many, those with at least total / BROADCAST_ROWS rows are: there are
+    ``size`` is the column of ``keys`` that counts the rows of a key and ``total`` their sum, or the
+    table to count if it is needed. Few keys are broadcast. Of many, those with at least total / BROADCAST_ROWS rows are: there are
     at most BROADCAST_ROWS of them. What is left has no hot key and is shuffled.
     """
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), match, "left")
+    total = total.count() if isinstance(total, DataFrame) else total
     hot = F.col(size) * BROADCAST_ROWS >= total
     few = F.broadcast(keys.where(hot))
     cold = rows.join(few, match, "left_anti").join(keys.where(~hot), match, "left")

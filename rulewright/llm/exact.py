@@ -185,7 +185,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = staged(tree_merge(digests), "groups")
     repeated = groups.where("group_size > 1").withColumnsRenamed({"digest": "of_digest", "n_bytes": "of_bytes"})
     match = (F.col("digest") == F.col("of_digest")) & (F.col("n_bytes") == F.col("of_bytes"))
-    out = spread_join(digests, repeated, match, "group_size", digests.count())
+    out = spread_join(digests, repeated, match, "group_size", digests)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",

@@ -42,6 +42,9 @@ THRESHOLD = (80, 100)
 
 #: An open bucket with at most this many members has its pairs across components listed.
 SMALL_BUCKET = 32
+#: Partitions of a table of edges: these, and one more for so many edges.
+LEAST_PARTS = 12
+PART_EDGES = 50_000
 #: Shingles that a tile of a family holds, about.
 TILE_SHINGLES = 150_000
 
@@ -218,13 +221,14 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     edges = staged(links.select("a", "b").where("a <> b").distinct(), name)
     n = edges.count()
     while n:
+        parts = LEAST_PARTS + n // PART_EDGES  # a few rows need no more files than this
         both = edges.union(edges.select("b", "a"))
         large = _with_least(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("low", F.col("a")).alias("b"))
-        large = staged(large.where("a <> b").distinct(), name)
+        large = staged(large.where("a <> b").distinct().coalesce(parts), name)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = _with_least(down, 2 * n).select(F.explode(F.array(F.struct(F.col("b").alias("x")), F.struct(F.col("a").alias("x")))).alias("p"), "low")
         small = small.select(F.col("p.x").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        after = staged(small, name)
+        after = staged(small.coalesce(parts), name)
         roles = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"))))
         nodes = after.select(roles.alias("r")).groupBy("r.x").agg(F.sum("r.out").alias("out"), F.max("r.into").alias("into"))
         unfinished, n = nodes.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)")), F.coalesce(F.sum("out"), F.lit(0))).first()
@@ -306,15 +310,16 @@ def near_duplicates(
     two = few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
     listed = one.join(two, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
     more = _verified(listed.join(first, ["a", "b"], "left_anti"), sets, threshold)
-    links = links.union(more).union(_family_links(open_rows.where(F.col("n") > SMALL_BUCKET), sets, threshold))
-    comp = staged(components(links), "components")
+    # the components so far, as stars, stand for the links they came from
+    stars = comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    comp = staged(components(stars.union(more).union(_family_links(open_rows.where(F.col("n") > SMALL_BUCKET), sets, threshold))), "components")
 
     named = nodes.join(comp, "node", "left")
     named = staged(named.select("node", F.coalesce("comp", "node").alias("comp"), "first_id", "copies"), "names")
     # only sets that are linked or repeated need a name from elsewhere
     label = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = staged(named.join(label, "comp").select(F.col("node").alias("of_node"), "comp", "component_id", "copies"), "named")
-    out = spread_join(sig.select("doc_id", "n_shingles", "node", "row_key"), named, F.col("node") == F.col("of_node"), "copies", sig.count())
+    out = spread_join(sig.select("doc_id", "n_shingles", "node", "row_key"), named, F.col("node") == F.col("of_node"), "copies", sig)
     found_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == found_id, found_id.isNull()).alias("kept")
     return out.select("doc_id", "n_shingles", found_id.alias("component_id"), kept, *([F.col("comp").alias("component"), "row_key"] if row_key else []))
