@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, crossentropy, exact, langid, licenses, media, merkle, minmax, mixing, pieces, quality
+from . import common, crossentropy, exact, interactions, langid, licenses, media, merkle, minmax, mixing, periodic, pieces, quality, wrappers
 
 #: Place of the vocabulary that texts are encoded with.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -199,6 +199,18 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -216,6 +228,9 @@ QUERIES = {
     "op8_cross_entropy": op8_cross_entropy,
     "op9_minmax_near_duplicates": op9_minmax_near_duplicates,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_wrapper_extraction": op13_wrapper_extraction,
     "pipeline": pipeline,
 }
 
@@ -225,4 +240,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_duplicates": exact.ORACLE,
     "op8_cross_entropy": OP8_SQL,
     "op9_minmax_near_duplicates": OP9_SQL,
+    "op11_filter_interactions": interactions.ORACLE,
 }
