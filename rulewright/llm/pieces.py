@@ -126,21 +126,25 @@ def lattice_nbest(v: Vocabulary, symbols: list[int], n: int) -> list[tuple[float
     """The ``n`` best (score, ids) of one segment: forward Viterbi, then A-star backwards."""
     text = "".join(chr(s) if s < 0x110000 else "\0" for s in symbols)
     size = len(symbols)
+    marks = LITERAL_MARK in symbols
     edges: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
     alpha = [0.0] + [-np.inf] * size
     for end in range(1, size + 1):
         for start in range(max(0, end - v.longest), end):
-            piece = v.ids.get(text[start:end]) if symbols[start] < 0x110000 else None
-            if piece is not None and LITERAL_MARK not in symbols[start:end]:
+            piece = v.ids.get(text[start:end])
+            if piece is not None and not (marks and LITERAL_MARK in symbols[start:end]):
                 edges[end].append((start, v.scores[piece], piece))
         if not any(start == end - 1 for start, _, _ in edges[end]):
             edges[end].append((end - 1, v.unknown, -symbols[end - 1] - 1))
         alpha[end] = max(alpha[start] + s for start, s, _ in edges[end])
     out: list[tuple[float, list[int]]] = []
     agenda: list[tuple] = [(-alpha[size], 0, size, 0.0, None)]
-    count = 0
+    count, popped = 0, [0] * (size + 1)
     while agenda and len(out) < n:
         _, _, at, suffix, link = heapq.heappop(agenda)
+        popped[at] += 1
+        if popped[at] > n:  # n suffixes as good as this one pass here: no path of the n best needs it
+            continue
         if at == 0:
             ids: list[int] = []
             while link:
@@ -148,8 +152,10 @@ def lattice_nbest(v: Vocabulary, symbols: list[int], n: int) -> list[tuple[float
                 ids += [piece] if piece >= 0 else v.unknown_ids(-piece - 1)
             out.append((suffix, ids))
             continue
-        for start, s, piece in reversed(edges[at]):
-            count += 1
+        for start, s, piece in edges[at]:
+            if popped[start] >= n:
+                continue
+            count -= 1  # of equal ones the newest is taken first, so that ties are not walked side by side
             heapq.heappush(agenda, (-(suffix + s + alpha[start]), count, start, suffix + s, (piece, link)))
     return out
 
