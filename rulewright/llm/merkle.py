@@ -68,36 +68,47 @@ def archive_layout(records: DataFrame, key: str = "record_id", file_records: int
     shuffled, never the records. A null record counts as empty; an empty table gives an empty
     layout; other columns are not read.
     """
+    leaves, file = _files(_hashed(records, key), file_records, loose)
+    order = Window.partitionBy("file").orderBy("record_id", "digest", "length")
+    offset = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return leaves.withColumn("file", file).select(
+        "file", (F.row_number().over(order) - 1).cast("long").alias("leaf"), F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "length", "digest", "copies", "record_id"
+    )
+
+
+def _hashed(records: DataFrame, key: str, *more: Column) -> DataFrame:
     record = F.coalesce(F.col("record"), F.lit(""))
-    hashed = records.select(F.col(key).cast("long").alias("record_id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"))
+    return records.select(F.col(key).cast("long").alias("record_id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"), *more)
+
+
+def _files(hashed: DataFrame, file_records: int, loose: int | None, rows: DataFrame | None = None) -> tuple[DataFrame, Column]:
+    """Distinct records (or ``rows``, which have their columns) with the file that each is in."""
     leaves = staged(hashed.groupBy("record_id", "digest", "length").agg(F.count("*").alias("copies")), "records")
     by_id = leaves.groupBy(F.col("record_id").alias("of_id")).agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
     total, most, nameless = by_id.agg(F.sum("n"), F.max(F.when(F.col("of_id").isNotNull(), F.col("n"))), F.max(F.when(F.col("of_id").isNull(), F.col("rows")))).first()
     loose = loose or (nameless or 0) // file_records + 1
+    leaves = leaves if rows is None else rows
     if (most or 0) > file_records:
         crowded = staged(by_id.where(F.col("of_id").isNotNull() & (F.col("n") > file_records)), "crowded")
-        leaves = spread_join(leaves, crowded, F.col("record_id") == F.col("of_id"), "n", total)
+        leaves = spread_join(leaves, crowded, F.col("record_id") == F.col("of_id"), "n" if rows is None else "rows", total if rows is None else rows)
     else:
         leaves = leaves.withColumn("n", F.lit(None).cast("long"))
     files = F.when(F.col("n").isNull(), loose).otherwise(F.floor(F.col("n") / file_records) + 1)
     by_digest = -1 - F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), files)
     file = F.when(F.col("record_id").isNull() | F.col("n").isNotNull(), by_digest).otherwise(F.floor(F.col("record_id") / file_records))
-    order = Window.partitionBy("file").orderBy("record_id", "digest", "length")
-    offset = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return leaves.withColumn("file", file.cast("long")).select(
-        "file", (F.row_number().over(order) - 1).cast("long").alias("leaf"), F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "length", "digest", "copies", "record_id"
-    )
+    return leaves, file.cast("long")
 
 
-def write_archives(records: DataFrame, directory: str, key: str = "record_id", file_records: int = FILE_RECORDS) -> None:
+def write_archives(records: DataFrame, directory: str, key: str = "record_id", file_records: int = FILE_RECORDS, loose: int | None = None) -> None:
     """Writes (record_id, record) rows as files of records one after another, ``file-<n>.warc``.
 
-    Rows without id go to the file -1. A file is written by one task, to a name of its own, and
+    Files and the order in them are those of ``archive_layout``, repeated records one after another.
+    A file is written by one task, to a name of its own, and
     is then renamed, so that an attempt that fails leaves no file that counts.
     """
     fs.FileSystem.from_uri(directory)[0].create_dir(fs.FileSystem.from_uri(directory)[1], recursive=True)
-    file = F.coalesce(F.floor(F.col(key) / file_records), F.lit(-1)).cast("long")
-    rows = records.select(file.alias("file"), F.col(key).cast("long").alias("record_id"), F.encode(F.coalesce("record", F.lit("")), "utf-8").alias("record"))
+    rows, file = _files(_hashed(records, key), file_records, loose, _hashed(records, key, F.encode(F.coalesce("record", F.lit("")), "utf-8").alias("record")))
+    rows = rows.select(file.alias("file"), "record_id", "record", "digest", "length")
 
     def run(batches: Iterator[pa.RecordBatch]):
         store, base = fs.FileSystem.from_uri(directory)
@@ -116,7 +127,7 @@ def write_archives(records: DataFrame, directory: str, key: str = "record_id", f
             store.move(name, f"{base}/file-{held}.warc")
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["n"])
 
-    rows.repartition("file").sortWithinPartitions("file", "record_id").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    rows.repartition("file").sortWithinPartitions("file", "record_id", "digest", "length").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_archives(spark: SparkSession, directory: str) -> DataFrame:
