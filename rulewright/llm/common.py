@@ -93,22 +93,39 @@ def one_of_each(docs: DataFrame, decided: DataFrame, group: str, id_col: str = "
     dropped is joined by id and key; columns of ``docs`` cannot clash with it.
     """
     decided = staged(decided.select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), "kept", F.col(group).alias("of_group")), "decided")
+    total = decided.count()
     many = decided.where("kept and of_group is not null").groupBy("of_group").agg(F.min("of_key").alias("least"), F.count("*").alias("n")).where("n > 1")
-    many = staged(many.select(F.col("of_group").alias("g"), "least"), "ties")
-    ties = decided.where("kept").join(small_or_shuffled(many), F.col("of_group") == F.col("g"))
-    dropped = decided.where("not kept").select("of_id", "of_key").unionByName(ties.where("of_key <> least").select("of_id", "of_key"))
-    dropped = small_or_shuffled(staged(dropped.distinct(), "dropped"))
+    many = staged(many.withColumnRenamed("of_group", "g"), "ties")
+    ties = spread_join(decided.where("kept"), many, F.col("of_group") == F.col("g"), "n", total).where("g is not null")
+    loses = decided.where("not kept").select("of_id", "of_key", F.lit(True).alias("goes")).unionByName(ties.select("of_id", "of_key", (F.col("of_key") != F.col("least")).alias("goes")))
+    # one row for every key that goes or is repeated, with the number of its rows
+    keys = loses.groupBy("of_id", "of_key").agg(F.count("*").alias("n"), F.max("goes").alias("goes")).where("goes or n > 1")
+    keys = staged(keys, "keys")
     match = docs[id_col].cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(docs[text_col]) == F.col("of_key"))
-    left = docs.join(dropped, match, "left_anti")
-    again = staged(ties.where("of_key = least").groupBy("of_id", "of_key").count().where("count > 1").select("of_id", "of_key"), "repeated")
+    left = spread_out(docs, keys, match, total)
+    again = keys.where("not goes")
     if again.isEmpty():
         return left
-    again = small_or_shuffled(again)
     ordered = [c.name for c in docs.schema if not isinstance(c.dataType, (MapType, VariantType))]
     whole, order = F.struct(*[docs[c] for c in docs.columns]), F.struct(*[docs[c] for c in ordered])
-    copies = left.join(again, match).select("of_id", "of_key", whole.alias("row_of"), order.alias("order_of"))
+    hot = F.col("n") * BROADCAST_ROWS >= total
+    copies = None
+    for part, few in ((again.where(hot), True), (again.where(~hot), False)):
+        some = docs.join(F.broadcast(part) if few else small_or_shuffled(part), match).select("of_id", "of_key", whole.alias("row_of"), order.alias("order_of"))
+        copies = some if copies is None else copies.unionByName(some)
     one = copies.groupBy("of_id", "of_key").agg(F.min_by("row_of", "order_of").alias("row_of")).select("row_of.*")
-    return left.join(again, match, "left_anti").unionByName(one)
+    return left.unionByName(one)
+
+
+def spread_out(rows: DataFrame, keys: DataFrame, match, total: int) -> DataFrame:
+    """``rows`` without those of ``keys`` (one row a key, ``n`` its rows), without a task that gets a hot key's rows.
+
+    As in ``spread_join``: few keys are broadcast, and of many those with at least total / BROADCAST_ROWS rows.
+    """
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), match, "left_anti")
+    hot = F.col("n") * BROADCAST_ROWS >= total
+    return rows.join(F.broadcast(keys.where(hot)), match, "left_anti").join(keys.where(~hot), match, "left_anti")
 
 
 def spread_join(rows: DataFrame, keys: DataFrame, match, size: str, total: int | DataFrame) -> DataFrame:
@@ -127,6 +144,25 @@ def spread_join(rows: DataFrame, keys: DataFrame, match, size: str, total: int |
     return rows.join(few, match).unionByName(cold)
 
 
+def marked(rows: DataFrame, ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``rows`` with a flag ``name``: whether ``id_col`` is in the one column of ``ids`` (distinct, no nulls).
+
+    Few ids are broadcast. Of many, the ids with at least 1 / BROADCAST_ROWS of the rows, null among them,
+    are broadcast with their flags, whether they are in ``ids`` or not; the rest has no hot id and is shuffled.
+    """
+    ids = ids.toDF("of_id")
+    match = F.col(id_col) == F.col("of_id")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), match, "left").withColumn(name, F.col("of_id").isNotNull()).drop("of_id")
+    total = rows.count()
+    hot = rows.groupBy(F.col(id_col).alias("hot_id")).agg(F.count("*").alias("n")).where(F.col("n") * BROADCAST_ROWS >= total)
+    hot = staged(hot.join(ids, F.col("hot_id") == F.col("of_id"), "left").select("hot_id", F.col("of_id").isNotNull().alias(name)), "hot")
+    same = F.col(id_col).eqNullSafe(F.col("hot_id"))
+    few = rows.join(F.broadcast(hot), same).drop("hot_id")
+    rest = rows.join(F.broadcast(hot), same, "left_anti").join(ids, match, "left").withColumn(name, F.col("of_id").isNotNull()).drop("of_id")
+    return few.unionByName(rest)
+
+
 def lowered_ascii(text: str) -> bytes:
     """UTF-8 with only A-Z lower-cased and ASCII white space made blanks."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER)

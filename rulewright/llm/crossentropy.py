@@ -10,7 +10,8 @@ A document's score is the mean over its tokens of the target loss less the backg
 below zero means closer to the target.
 
 Counting covers every token of every text, and every word and bigram has counts of its own.
-Rows are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash of the row. A block
+Rows are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash of the row; a row that is repeated
+often goes there once, with its number. A block
 sends its distinct words and bigrams with their counts, sorted and packed, to parts of the range
 of keys; a part adds up what all blocks sent and answers each with the totals of its own keys in
 the same order, which is all that a block needs to score its texts. So what is gathered grows
@@ -91,14 +92,19 @@ def _sums(keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple
     return found, code, *(np.bincount(code, x, len(found)).astype(np.int64) for x in (target, background))
 
 
+def _sides(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of the target and of the background each row of a table stands for."""
+    target, n = np.asarray(texts.column("is_target"), bool), np.asarray(texts.column("n"), np.int64)
+    return np.where(target, n, 0), np.where(target, 0, n)
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]):
     """word, target, background; the row without word counts the texts that have one."""
     for batch in batches:
         sizes, words, _ = _tokens(pa.Table.from_batches([batch]))
-        target = np.asarray(batch.column(batch.schema.get_field_index("is_target")), bool)
-        of_target = np.repeat(target, sizes)
-        found, _, t, b = _sums(words, of_target, ~of_target)
-        starts = [int(((sizes > 0) & side).sum()) for side in (target, ~target)]
+        sides = _sides(pa.Table.from_batches([batch]))
+        found, _, t, b = _sums(words, *(np.repeat(n, sizes) for n in sides))
+        starts = [int(n[sizes > 0].sum()) for n in sides]
         yield pa.RecordBatch.from_arrays([pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array([*t.tolist(), starts[0]]), pa.array([*b.tolist(), starts[1]])], names=["word", "target", "background"])
 
 
@@ -107,10 +113,10 @@ def _asked(parts: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes, words, pairs = _tokens(table)
-        of_target = np.repeat(np.asarray(table.column("is_target"), bool), sizes)
+        weights = [np.repeat(n, sizes) for n in _sides(table)]
         rows = []
         for kind, values in enumerate((words, pairs)):
-            found, _, *sides = _sums(values, of_target, ~of_target)
+            found, _, *sides = _sums(values, *weights)
             part = ((found >> U64(32)) * U64(parts)) >> U64(32)
             first = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
             for lo, hi in zip(first, [*first[1:], len(part)], strict=True):
@@ -133,7 +139,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 _ASKED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
 _ANSWERED = _ASKED.remove(3)
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "difference"))])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "difference")), ("row", pa.int64())])
 
 
 def _runs_of_texts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -187,7 +193,7 @@ def _scored(totals: tuple[int, int], starts: tuple[int, int], vocabulary: int, o
                 if len(first):
                     losses[side][lo:hi][own_has] = np.add.reduceat(loss, first) / own[own_has]
         values = [pa.array(x, pa.float64(), mask=~has) for x in (*losses, losses[0] - losses[1])]
-        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(sizes), *values], schema=_SCORES)
+        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(sizes), *values, docs.column("row").combine_chunks()], schema=_SCORES)
 
     return run
 
@@ -207,18 +213,39 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     ids = targets.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = chars // BLOCK_CHARS + 1
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    marked = docs.join(common.small_or_shuffled(ids), F.col("doc_id") == F.col("target_id"), "left")
-    marked = marked.select("block", "doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
+    hot = _repeated(docs, chars)
+    flagged = common.marked(docs, ids, "doc_id", "is_target")
+    one, none = F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("row")
+    once = flagged.select("*", one, none) if hot is None else _collapsed(flagged, hot, one, none)
+    marked = once.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("block"), "doc_id", "text", "is_target", "n", "row")
     sums = [F.sum(c).alias(c) for c in ("target", "background")]
-    words = marked.select("text", "is_target").mapInArrow(_vocabulary, "word long, target long, background long").groupBy("word").agg(*sums)
+    words = marked.select("text", "is_target", "n").mapInArrow(_vocabulary, "word long, target long, background long").groupBy("word").agg(*sums)
     whole = {r["is_word"]: r for r in words.groupBy(F.col("word").isNotNull().alias("is_word")).agg(F.count("*").alias("v"), *sums).collect()}
     totals, starts = ((whole[k]["target"], whole[k]["background"]) if k in whole else (0, 0) for k in (True, False))
     vocabulary = max(whole[True]["v"] if True in whole else 0, least_vocabulary)
 
     asked = marked.groupBy("block").applyInArrow(_asked(parts), "kind int, part long, block long, keys binary, target binary, background binary")
     answers = asked.groupBy("kind", "part").applyInArrow(_answered, "kind int, part long, block long, target binary, background binary")
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double, row long"
     scored = marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(totals, starts, vocabulary, own_counts), schema)
     # one job, in which the blocks' exchange is made once; what is written is a few numbers a row
-    return common.staged(scored, "scores")
+    scored = common.staged(scored, "scores")
+    if hot is None:
+        return scored.drop("row")
+    found = F.broadcast(scored.where("row is not null").withColumnRenamed("doc_id", "of_id"))
+    many = docs.join(found, (F.xxhash64("doc_id", "text") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    return scored.where("row is null").drop("row").unionByName(many.select("doc_id", *[f.name for f in _SCORES][1:-1]))
+
+
+def _repeated(docs: DataFrame, chars: int) -> DataFrame | None:
+    """Keys of rows that are repeated to such a length that a block should not get them one by one: BROADCAST_ROWS at most."""
+    rows = docs.groupBy(F.xxhash64("doc_id", "text").alias("hot")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    found = common.staged(rows.where((F.col("n") > 1) & (F.col("chars") >= max(chars // common.BROADCAST_ROWS, BLOCK_CHARS // 8))).select("hot"), "repeated")
+    return None if found.isEmpty() else found
+
+
+def _collapsed(flagged: DataFrame, hot: DataFrame, one, none) -> DataFrame:
+    """Rows with their number ``n``: those of ``hot`` once for each id and text, with their key, the others as they are."""
+    match = F.xxhash64("doc_id", "text") == F.col("hot")
+    few = flagged.join(F.broadcast(hot), match, "left_semi").groupBy("doc_id", "text", "is_target").agg(F.count("*").alias("n")).withColumn("row", F.xxhash64("doc_id", "text"))
+    return few.unionByName(flagged.join(F.broadcast(hot), match, "left_anti").select("*", one, none))

@@ -12,7 +12,7 @@ import pytest
 from conftest import canonical
 from pyspark.sql import functions as F
 
-from rulewright.llm import interactions, periodic, queries, wrappers
+from rulewright.llm import interactions, merkle, periodic, pieces, queries, wrappers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -268,3 +268,73 @@ def test_wrappers_in_rounds_and_by_shuffle_are_the_same(spark, data, monkeypatch
     monkeypatch.setattr(wrappers, "RADIX", 2)
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 5_000)
     assert sorted((r["page_id"], r["text"]) for r in wrappers.main_texts(pages).collect()) == want
+
+
+# -- hot rows, long runs of one character, archives of repeated and null ids
+
+
+def test_rows_repeated_often_are_scored_once(spark, monkeypatch):
+    from rulewright.llm import common, crossentropy
+
+    rows = [(i, f"alpha beta w{i % 7} w{i % 5}") for i in range(60)] + [(None, "hot hot alpha")] * 50 + [(3, "gamma hot")] * 40 + [(None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    targets = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    want = [canonical(crossentropy.score(docs, targets, own_counts=own).toPandas()) for own in (True, False)]
+    monkeypatch.setattr(crossentropy, "BLOCK_CHARS", 800)
+    assert crossentropy._repeated(docs, 2_000).count() == 2
+    assert [canonical(crossentropy.score(docs, targets, own_counts=own).toPandas()) for own in (True, False)] == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert [canonical(crossentropy.score(docs, targets, own_counts=own).toPandas()) for own in (True, False)] == want
+    flagged = common.marked(docs, targets.distinct(), "doc_id", "good")
+    assert flagged.where("good").count() == 60 and flagged.count() == len(rows)  # 20 ids once, and the 40 repeats of id 3
+
+
+def test_one_of_each_with_hot_keys(spark, monkeypatch):
+    import corpus_pipeline
+    from rulewright.llm import common
+
+    rows = [(None, "same text here")] * 60 + [(7, "other text")] * 40 + [(7, "third")] * 3 + [(i, f"t{i % 40}") for i in range(100, 180)] + [(None, f"n{i}") for i in range(20)]
+    docs = spark.createDataFrame([(*r, "en", "a", i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    want = sorted(map(tuple, corpus_pipeline.exact_stage(spark, docs, "").collect()), key=repr)
+    assert len(want) == 1 + 1 + 1 + 40 + 20
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 15)
+    assert sorted(map(tuple, corpus_pipeline.exact_stage(spark, docs, "").collect()), key=repr) == want
+
+
+def plain_nbest(v, text, n):
+    """Scores of the n best paths, by keeping the n best of every place."""
+    symbols = [chr(s) if s < 0x110000 else "\0" for s in pieces.symbols_of(text).tolist()]
+    best = [[0.0]] + [[] for _ in symbols]
+    for end in range(1, len(symbols) + 1):
+        found = []
+        for start in range(max(0, end - v.longest), end):
+            piece = v.ids.get("".join(symbols[start:end]))
+            s = v.scores[piece] if piece is not None else v.unknown if start == end - 1 else None
+            if s is not None:
+                found += [x + s for x in best[start]]
+        best[end] = sorted(found, reverse=True)[:n]
+    return best[-1]
+
+
+@pytest.mark.parametrize("text", ["-" * 700, "a" * 1_500, "ab" * 600, "-=" * 500, "\U0001f642" * 300, " " * 900, "aaaa----" * 100, "x" + "-" * 520 + "y"])
+def test_tied_paths_are_as_good_as_any(text):
+    import time
+
+    v = pieces.load_vocabulary(queries.MODEL_PATH)
+    found = pieces.nbest(v, text)
+    assert [round(s, 6) for s, _ in found] == [round(s, 6) for s in plain_nbest(v, text, pieces.NBEST)]
+    assert len({tuple(ids) for _, ids in found}) == len(found) and all(pieces.decode(v, ids) == text for _, ids in found)
+    began = time.perf_counter()
+    assert all(pieces.decode(v, ids) == text * 20 for _, ids in pieces.nbest(v, text * 20))
+    assert time.perf_counter() - began < 20
+
+
+def test_archives_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, f"u{i % 4}", "x" * i) for i in range(6)] + [(None, f"n{i % 9}", "y") for i in range(30)] + [(2, "a", "b")] * 3 + [(5, f"c{i}", "crowd") for i in range(45)]
+    records = spark.createDataFrame(rows, "record_id long, url string, html string").select("record_id", merkle.warc_record(F.col("url"), F.col("html"), F.col("record_id")).alias("record")).repartition(3)
+    merkle.write_archives(records, f"file://{tmp_path}/w", file_records=10)
+    got = merkle.read_archives(spark, f"file://{tmp_path}/w").select("file", "offset", "length", "digest").collect()
+    layout = merkle.archive_layout(records, file_records=10)
+    want = [(r["file"], r["offset"] + k * r["length"], r["length"], r["digest"]) for r in layout.collect() for k in range(r["copies"])]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == len(rows)
+    assert len({f for f, *_ in want if f < 0}) > 3
