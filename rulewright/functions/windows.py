@@ -222,3 +222,35 @@ def all_intervals_hold(a: Column, intervals: Column, fun: str, op: str, threshol
     from ..operators.conditions import OPERATORS
 
     return F.forall(on_intervals(a, intervals, fun), lambda x: ~F.isnan(x) & OPERATORS[op](x, F.lit(float(threshold))))
+
+
+def some_interval(a: Column, fun: str, op: str, threshold: float, shortest: int = 1) -> Column:
+    """Whether some interval of ``shortest`` values or more has a minimum or maximum that passes an inequality.
+
+    The intervals are not listed. A minimum that is high, or a maximum that is low, is a stretch of
+    values that pass, long enough; a minimum that is low, or a maximum that is high, is one value that passes,
+    in a stretch that is long enough. Either is one pass over the series. Intervals with NaN pass nothing.
+    """
+    from ..operators.conditions import OPERATORS
+
+    if fun not in ("minimum", "maximum") or op not in ("<", "<=", ">", ">="):
+        raise ValueError(f"no inequality of extremes: {fun} {op}")
+    every = (fun == "minimum") == (op in (">", ">="))
+    passes = lambda x: ~F.isnan(x) & OPERATORS[op](x, F.lit(float(threshold)))
+    state = lambda n, hit, found: F.struct(n.alias("n"), hit.alias("hit"), found.alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        x = F.coalesce(x, F.lit(arrays.NAN))
+        hit = passes(x) if every else s["hit"] | passes(x)
+        long = (s["n"] + 1 >= shortest) & hit
+        return F.when(passes(x) if every else ~F.isnan(x), state(s["n"] + 1, hit, s["found"] | long)).otherwise(state(F.lit(0), F.lit(False), s["found"]))
+
+    return F.aggregate(arrays.doubles(a), state(F.lit(0), F.lit(False), F.lit(False)), step, lambda s: s["found"])
+
+
+def every_interval(a: Column, fun: str, op: str, threshold: float, shortest: int = 1) -> Column:
+    """Whether all intervals of ``shortest`` values or more pass; one with NaN does not."""
+    from ..operators.conditions import DUALS
+
+    spoilt = F.exists(arrays.doubles(a), lambda x: F.isnan(F.coalesce(x, F.lit(arrays.NAN))))
+    return (F.size(a) < shortest) | (~spoilt & ~some_interval(a, fun, DUALS[op], threshold, shortest))

@@ -43,13 +43,20 @@ class ModalCondition(Formula):
         return ModalCondition(self.variable, self.fun, DUALS[self.op], self.threshold, self.shortest, self.longest, not self.universal, self.relation)
 
     def worlds(self) -> Column:
-        size = F.size(f"`{self.variable}`")
-        found = windows.filter_intervals(windows.all_intervals(size, self.longest), lambda w: windows.interval_length(w) >= self.shortest)
+        size, longest = F.size(f"`{self.variable}`"), self.longest
+        if self.relation is None and self.fun == "mean" and self.op in ("<", "<=", ">", ">="):
+            # a longer interval is cut into two, of which one has a mean as high, and one as low
+            longest = min(longest or 2**30, 2 * self.shortest - 1)
+        found = windows.filter_intervals(windows.all_intervals(size, longest), lambda w: windows.interval_length(w) >= self.shortest)
         whole = F.struct(F.lit(1).alias("x"), (size + 1).alias("y"))
         return windows.related(found, whole, self.relation) if self.relation else found
 
     def column(self, single: bool = False) -> Column:
         series = F.col(f"`{self.variable}`")
+        if self.relation is None and self.fun in ("minimum", "maximum") and self.op in ("<", "<=", ">", ">="):
+            # the shortest intervals decide, whatever the longest are
+            make = windows.every_interval if self.universal else windows.some_interval
+            return F.coalesce(F.when(series.isNotNull(), make(series, self.fun, self.op, self.threshold, self.shortest)), F.lit(False))
         make = windows.all_intervals_hold if self.universal else windows.exists_interval
         return F.coalesce(F.when(series.isNotNull(), make(series, self.worlds(), self.fun, self.op, self.threshold)), F.lit(False))
 

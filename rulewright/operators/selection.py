@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import neighbours
+
 SCORES = "name string, score double"
-#: Rows that a nearest-neighbour estimate with a numeric label takes of each feature, as it compares all pairs.
-NEIGHBOUR_ROWS = 2_000
 #: Values of a feature that are sorted together, about.
 RANGE_ROWS = 100_000
 
@@ -107,8 +107,7 @@ def _class_scores(df: DataFrame, columns: list[str], label: str, row_id: str, k:
     long = long.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
     stats = long.groupBy("name").agg(F.stddev_samp("value").alias("s"), F.avg(F.abs("value")).alias("mean"))
     s = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    uniform = lambda part: (F.pmod(F.xxhash64("id", "name", F.lit(seed), F.lit(part)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    normal = F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    normal = _normal(seed, "id", "name")
     sizes = long.groupBy("name", "y").agg(F.count("*").alias("size")).where("size > 1")
     # features and classes are few
     value = (F.col("value") / s + noise * F.greatest(F.lit(1.0), F.col("mean") / s) * normal).alias("x")
@@ -155,50 +154,50 @@ def _class_scores(df: DataFrame, columns: list[str], label: str, row_id: str, k:
     events = events.withColumn("so_far", so_far).join(F.broadcast(before(counts, ["name"])), ["name", "range"])
     within = events.where("sign <> 0").groupBy("name", "y", "place").agg(F.sum(F.col("sign") * (F.col("so_far") + F.col("start"))).alias("m"))
 
-    @F.pandas_udf("double")
-    def psi(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: digamma(float(v)))
-
-    spread = within.groupBy("name", "m").agg(F.count("*").alias("c")).groupBy("name").agg(F.sum(F.col("c") * psi("m")).alias("around"))
+    spread = within.groupBy("name", "m").agg(F.count("*").alias("c")).groupBy("name").agg(F.sum(F.col("c") * neighbours.digamma(F.col("m"))).alias("around"))
     classes = sizes.withColumn("kk", F.least(F.lit(k), F.col("size") - 1))
-    classes = classes.withColumn("term", F.col("size") * (psi("kk") - psi("size"))).groupBy("name").agg(F.sum("size").alias("n"), F.sum("term").alias("inside"))
-    classes = classes.join(spread, "name").withColumn("score", F.greatest(psi("n") + (F.col("inside") - F.col("around")) / F.col("n"), F.lit(0.0)))
+    classes = classes.withColumn("term", F.col("size") * (neighbours.digamma(F.col("kk")) - neighbours.digamma(F.col("size")))).groupBy("name").agg(F.sum("size").alias("n"), F.sum("term").alias("inside"))
+    classes = classes.join(spread, "name").withColumn("score", F.greatest(neighbours.digamma(F.col("n")) + (F.col("inside") - F.col("around")) / F.col("n"), F.lit(0.0)))
     return stats.select("name").join(classes.select("name", "score"), "name", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def information_scores(df: DataFrame, columns: list[str], label: str, row_id: str, discrete: tuple[str, ...] = (), numeric_label: bool = False, k: int = 3, rows: int = NEIGHBOUR_ROWS, seed: int = 1, noise: float = 1e-10) -> DataFrame:
-    """name, score: mutual information of each column with the label.
+def _normal(seed: int, *of: str) -> Column:
+    """A normal deviate by a hash of columns."""
+    uniform = lambda part: (F.pmod(F.xxhash64(*of, F.lit(seed), F.lit(part)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+
+
+def numeric_points(df: DataFrame, columns: list[str], label: str, row_id: str, seed: int, noise: float) -> DataFrame:
+    """name, id, x, y: a column's values and the label, both scaled by their deviation and given noise.
+
+    Rows with a null, NaN or infinite value of a column or the label are left out for that column.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    long = unpivot(df, columns, [F.col(label).cast("double").alias("y"), F.xxhash64(row_id).alias("id")]).where(finite("value") & finite("y"))
+    stats = long.groupBy("name").agg(*[f.alias(f"{c}_{n}") for c in ("value", "y") for n, f in (("s", F.stddev_samp(c)), ("mean", F.avg(F.abs(c))))])
+
+    def scaled(c: str, *of: str) -> Column:
+        s = F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_s")).otherwise(1.0)
+        return F.col(c) / s + noise * F.greatest(F.lit(1.0), F.col(f"{c}_mean") / s) * _normal(seed, "id", *of)
+
+    return long.join(F.broadcast(stats), "name").select("name", "id", scaled("value", "name").alias("x"), scaled("y").alias("y"))  # a row for each feature
+
+
+def information_scores(df: DataFrame, columns: list[str], label: str, row_id: str, discrete: tuple[str, ...] = (), numeric_label: bool = False, k: int = 3, seed: int = 1, noise: float = 1e-10) -> DataFrame:
+    """name, score: mutual information of each column with the label, over all rows.
 
-    Columns named in ``discrete`` are counted exactly over all rows. Others are scaled by their
-    deviation and given noise to break ties. With a label of classes all rows count, by the order
-    of a feature's values; with a numeric label, pairs of rows are compared, on a hash-chosen
-    sample of about ``rows`` rows.
+    Columns named in ``discrete`` are counted. Others are scaled by their deviation and given noise
+    to break ties, and nearest neighbours count: with a label of classes by the order of a
+    feature's values, with a numeric label in the plane of feature and label. Ids tell rows apart.
     """
-    spark = df.sparkSession
-    out = spark.createDataFrame([], SCORES)
+    out = df.sparkSession.createDataFrame([], SCORES)
     for c in discrete:
         out = out.unionByName(discrete_information(df, c, label).select(F.lit(c).alias("name"), F.col("mi").alias("score")))
     others = [c for c in columns if c not in discrete]
     if others and not numeric_label:
         out = out.unionByName(_class_scores(df, others, label, row_id, k, seed, noise))
     elif others:
-        n = df.count()
-        drawn = df.where(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1))) + 1)
-        long = unpivot(drawn.where(F.col(label).isNotNull()), others, [F.col(label).cast("double").alias("y")])
-
-        def score(part: pd.DataFrame) -> pd.DataFrame:
-            part = part[np.isfinite(part["value"])]
-            x = part["value"].to_numpy(float)
-            s = x.std(ddof=1) if len(x) > 1 else 0.0
-            x = x / s if s > 0 else x
-            rng = np.random.default_rng(seed)
-            x = x + noise * max(1.0, float(np.abs(x).mean()) if len(x) else 1.0) * rng.standard_normal(len(x))
-            y = part["y"].to_numpy(float)
-            t = y.std(ddof=1) if len(y) > 1 else 0.0
-            value = neighbour_information(x, (y / t if t > 0 else y) + noise * rng.standard_normal(len(y)), k)
-            return pd.DataFrame({"name": [part["name"].iloc[0] if len(part) else ""], "score": [value]})
-
-        out = out.unionByName(long.groupBy("name").applyInPandas(score, SCORES).where("name <> ''"))
+        out = out.unionByName(neighbours.continuous_information(numeric_points(df, others, label, row_id, seed, noise), k))
     return out
 
 

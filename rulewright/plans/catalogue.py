@@ -763,4 +763,4 @@ def cube_counts(spark, sf_dir):
     return lineitem(spark, sf_dir).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("quantity"))
 
 
-from . import coverage  # noqa: E402, F401  registers its queries
+from . import coverage, learning  # noqa: E402, F401  register their queries

@@ -239,7 +239,7 @@ def test_relational_helpers(spark, iris):
 
 
 def test_class_information_takes_all_rows(spark, monkeypatch):
-    """More rows than NEIGHBOUR_ROWS and several ranges, against all pairs of all rows."""
+    """Several ranges, against all pairs of all rows."""
     monkeypatch.setattr(selection, "RANGE_ROWS", 700)
     rng = np.random.default_rng(2)
     label = rng.choice(["a", "b", "c", "d"], 3_000, p=[0.6, 0.39, 0.009, 0.001])
