@@ -380,6 +380,25 @@ def natural_key(name: str) -> tuple:
     return tuple((0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", name) if p)
 
 
+def natural_order(name: Column) -> Column:
+    """The same as a column that can be ordered by."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda p: F.struct(F.lit(0).alias("kind"), p.cast("decimal(38,0)").alias("number"), F.lit("").alias("text"))
+    word = lambda p: F.struct(F.lit(1).alias("kind"), F.lit(0).cast("decimal(38,0)").alias("number"), p.alias("text"))
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(word(p)))
+
+
+def natural_ranks(names: DataFrame, name: str) -> DataFrame:
+    """``names`` (distinct) with ``place``, from 1, in natural order: names that start alike are ordered together, and starts are counted."""
+    start = F.regexp_extract(name, r"^(\D*)", 1)
+    rows = names.withColumn("_start", start)
+    own = F.row_number().over(Window.partitionBy("_start").orderBy(natural_order(F.col(name))))
+    sizes = rows.groupBy("_start").agg(F.count("*").alias("_n"))
+    # a row for each start
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(natural_order(F.col("_start"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("place", own).join(sizes.select("_start", before.alias("_before")), "_start").withColumn("place", (F.col("place") + F.col("_before")).cast("long")).drop("_start", "_before")
+
+
 def selected_variables(names: list[str], separator: str = "@@@") -> list[str]:
     """The original variables behind selected names, in natural order."""
     return sorted({n.split(separator)[0] for n in names}, key=natural_key)

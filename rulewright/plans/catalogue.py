@@ -673,8 +673,8 @@ def probability_measures(spark, sf_dir):
 @query()
 def analysis(spark, sf_dir):
     """Holdout analysis of the vectors with a decision tree: accuracy and kappa."""
-    wide = embeddings(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("e")[i].alias(f"e{i}") for i in range(8)])
-    return evaluation.symbolic_analysis(wide, [f"e{i}" for i in range(8)], "label", "vec_id", params={"max_depth": 4, "seed": 1}).measures
+    wide = embeddings(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("e")[i].alias(f"e{i}") for i in range(64)])
+    return evaluation.symbolic_analysis(wide, [f"e{i}" for i in range(64)], "label", "vec_id", params={"max_depth": 4, "seed": 1}).measures
 
 
 # -- relational -----------------------------------------------------------------------------
@@ -763,4 +763,4 @@ def cube_counts(spark, sf_dir):
     return lineitem(spark, sf_dir).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("quantity"))
 
 
-from . import coverage, learning  # noqa: E402, F401  register their queries
+from . import coverage, derived, learning  # noqa: E402, F401  register their queries

@@ -8,6 +8,7 @@ written as SQL, or run on labels that a threshold decides, which they have to fi
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a temporary one in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="rulewright-")
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
@@ -69,12 +70,12 @@ def store_by_values(spark, sf_dir):
     return tables.cached(spark, folder, "parts", {"brands": 2}, lambda: parts.limit(0)).select("p_partkey", "p_brand", "p_size")
 
 
-_ARFF = f"SELECT vec_id::varchar AS class, k, round(e[k], 6) AS a, round(e[k + 3], 6) AS b FROM ({_E}), (SELECT unnest(range(1, 4)) AS k)"
+_ARFF = f"SELECT vec_id::varchar AS class, k, round(e[k], 6) AS a, round(e[k + 32], 6) AS b FROM ({_E}), (SELECT unnest(range(1, 33)) AS k)"
 
 
 def _arff_lines(spark, sf_dir) -> DataFrame:
-    text = lambda lo: F.array_join(F.transform(F.slice("e", lo, 3), lambda x: x.cast("string")), ",")
-    return embeddings(spark, sf_dir).select(F.concat(F.lit("'"), text(1), F.lit("\\n"), text(4), F.lit("',"), F.col("vec_id").cast("string")).alias("value"))
+    text = lambda lo: F.array_join(F.transform(F.slice("e", lo, 32), lambda x: x.cast("string")), ",")
+    return embeddings(spark, sf_dir).select(F.concat(F.lit("'"), text(1), F.lit("\\n"), text(33), F.lit("',"), F.col("vec_id").cast("string")).alias("value"))
 
 
 @query(_ARFF)
@@ -108,19 +109,6 @@ def audio_files(spark, sf_dir):
     return out.select("vec_id", F.size("s").cast("long").alias("n"), F.col("read_sr").cast("long").alias("sr"), (F.array_max(F.transform("s", F.abs)) > 0).alias("sounds"), wrong.cast("long").alias("far"))
 
 
-@query(literals([("iris", 150, 6, 3), ("houses", 506, 14, 0), ("columns", 3, 2, 0), ("vector", 2, 1, 0), ("none", 0, 1, 0)], "source, n, width, classes"))
-def sample_sources(spark, sf_dir):
-    made = {
-        "iris": tables.Source(tables.sample_iris(spark)), "houses": tables.Source(tables.sample_houses(spark)), "columns": tables.Source.of_columns(spark, {"a": [1, 2, 3], "b": ["x", "y", "z"]}),
-        "vector": tables.Source.of_vector(spark, [1.5, 2.5]), "none": tables.Source(tables.Source.of_vector(spark, [1]).table.limit(0)),
-    }
-    rows = []
-    for name, s in made.items():
-        classes = s.table.select("label").distinct().count() if "label" in s.table.columns else 0
-        rows.append((name, 0 if s.is_empty() else s.n_rows(), len(s.table.columns), classes))
-    return spark.createDataFrame(rows, "source string, n long, width long, classes long")
-
-
 # -- columns and names -----------------------------------------------------------------------
 
 
@@ -144,19 +132,6 @@ def bound_columns(spark, sf_dir):
     return relational.bind_columns(df.select("c_custkey", "c_name"), df.select("c_custkey", "c_acctbal", "c_mktsegment"), row_id="c_custkey").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
-@query(literals([(1, "mel[100Hz]"), (2, "mel[251Hz]"), (3, "centroid")], "place, name"))
-def variable_names(spark, sf_dir):
-    names = treatments.variable_names(["mel", "centroid"], {"mel": [100.2, 250.6]})
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "place long, name string")
-
-
-@query(literals([(1, "e"), (2, "e1"), (3, "e2"), (4, "e10"), (5, "f2"), (6, "f11")], "place, name"))
-def natural_names(spark, sf_dir):
-    """Names in the order of their numbers."""
-    names = sorted(["e10", "f11", "e2", "e", "f2", "e1"], key=selection.natural_key)
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "place long, name string")
-
-
 @query("SELECT i, j, sum(v)::bigint AS v FROM (SELECT a.l_linenumber::bigint AS i, b.l_linenumber::bigint AS j, a.q * b.q AS v FROM (SELECT l_linenumber, l_suppkey % 5 AS k, sum(l_quantity)::bigint AS q FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_suppkey % 5 AS k, l_linenumber, sum(l_quantity)::bigint AS q FROM lineitem GROUP BY 1, 2) b USING (k)) GROUP BY 1, 2")
 def matrix_product(spark, sf_dir):
     cells = lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").cast("long").alias("i"), (F.col("l_suppkey") % 5).alias("j")).agg(F.sum("l_quantity").cast("long").alias("v"))
@@ -181,12 +156,6 @@ def sampled_rows(spark, sf_dir):
 # -- conditions and features --------------------------------------------------------------------
 
 
-@query(literals([("l_quantity", "l_quantity < ⍰, l_quantity ≥ ⍰"), ("l_tax", "l_tax > ⍰"), ("l_discount", "")], "feature, conditions"))
-def grouped_metaconditions(spark, sf_dir):
-    found = conditions.group_by_feature([MetaCondition("l_quantity", "<"), MetaCondition("l_tax", ">"), MetaCondition("l_quantity", ">=")], ["l_quantity", "l_tax", "l_discount"])
-    return spark.createDataFrame([(f, ", ".join(map(str, ms))) for f, ms in found], "feature string, conditions string")
-
-
 @query("SELECT count(*) AS n, 'l_tax ≥ 0.02, l_quantity < 30.0, l_discount ≤ 0.04' AS atoms FROM lineitem WHERE l_tax >= 0.02 AND (l_quantity < 30 OR l_discount <= 0.04)")
 def normal_form(spark, sf_dir):
     """A negated formula in negation normal form, applied."""
@@ -240,19 +209,6 @@ def parsed_features(spark, sf_dir):
     return out.select("vec_id", "name_a", "op_c", "op_d", *[r6(F.col(n)).alias(n) for n in ("a", "b", "c", "d", "span")])
 
 
-@query(
-    literals(
-        [("minmax", "maximum", True), ("minmax", "minimum", True), ("custom", "mean", False), ("custom", "maximum", True), *(("catch9", n, n in ("maximum", "minimum")) for n in ("maximum", "minimum", "mean", "median", "std", "stretch_high", "stretch_decreasing", "entropy_pairs", "transition_variance")), ("unknown", "error", False)],
-        "feature_set, name, collapses",
-    )
-)
-def feature_sets(spark, sf_dir):
-    rows = [(s, arrays.ALIASES.get(n, n), arrays.is_collapsing(arrays.VariableFeature("e", n))) for s, given in (("minmax", "minmax"), ("custom", ["avg", "max"]), ("catch9", "catch9")) for n in arrays.feature_set(given)]
-    if raises(lambda: arrays.feature_set("no such set"), KeyError) and raises(lambda: arrays.parse_feature("nothing[e]"), KeyError):
-        rows.append(("unknown", "error", False))
-    return spark.createDataFrame(rows, "feature_set string, name string, collapses boolean")
-
-
 @query(f"SELECT vec_id, round(list_aggregate(e, 'quantile_cont', 0.1), 6) AS low, round(list_aggregate(e, 'quantile_cont', 0.9), 6) AS high FROM ({_E})")
 def soft_extremes(spark, sf_dir):
     e = F.col("e")
@@ -268,12 +224,6 @@ def patched_features(spark, sf_dir):
     return df.select("vec_id", (clean | (F.col("h") == F.col("m"))).alias("same"), (F.col("h") == float("-inf")).alias("patched_high"), (F.col("l") == float("inf")).alias("patched_low"), r6(F.col("m")).alias("high"))
 
 
-@query(literals([(0, "(l_quantity < 24.00) ∧ (l_discount < 0.05)"), (1, "x ≥ 0.13 and 7")], "id, text"))
-def rounded_texts(spark, sf_dir):
-    texts = ["(l_quantity < 24.0) ∧ (l_discount < 0.0512)", "x ≥ 0.1299 and 7"]
-    return spark.createDataFrame([(i, arrays.round_numbers(t)) for i, t in enumerate(texts)], "id long, text string")
-
-
 # -- windows and treatments --------------------------------------------------------------------
 
 
@@ -509,16 +459,6 @@ def clips(spark, sf_dir) -> DataFrame:
     return embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), F.lit(64).alias("sr"), F.col("e").alias("samples"))
 
 
-def tones(spark, names: dict[str, tuple[int, int, F.Column]]) -> DataFrame:
-    """A clip for each name: rate, samples, and a column of the sample number ``i``."""
-    i = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k.cast("double"))
-    rows = spark.createDataFrame([(k, sr, n) for k, (sr, n, _) in names.items()], "path string, sr int, n int")
-    samples = F.when(F.lit(False), F.array().cast("array<double>"))
-    for k, (_, _, f) in names.items():
-        samples = samples.when(F.col("path") == k, F.transform(i, f))
-    return rows.select("path", "sr", samples.alias("samples"))
-
-
 _SPEC = f"""s AS (SELECT vec_id, f, k, power(sum(v * cos(2 * pi() * k * t / 16)), 2) + power(sum(v * sin(2 * pi() * k * t / 16)), 2) AS p FROM (
   SELECT vec_id, f, t, e[f * 8 + t + 1] * (0.5 - 0.5 * cos(2 * pi() * t / 16)) AS v FROM ({_E}), (SELECT unnest(range(7)) AS f), (SELECT unnest(range(16)) AS t)), (SELECT unnest(range(9)) AS k) GROUP BY 1, 2, 3)"""
 
@@ -618,101 +558,6 @@ def peak_candidates(spark, sf_dir):
     return out.select(F.col("path").cast("long").alias("vec_id"), "first", "second")
 
 
-_HZ = [50.0, 440.0, 999.0, 1000.0, 4000.0]
-
-
-@query(
-    f"""WITH f AS (SELECT unnest({_HZ}) AS hz), s AS (SELECT 'mel_htk' AS scale, hz, 2595 * log10(1 + hz / 700) AS value FROM f UNION ALL SELECT 'mel_slaney', hz, CASE WHEN hz < 1000 THEN hz * 3 / 200 ELSE 15 + ln(hz / 1000) * 27 / ln(6.4) END FROM f
-UNION ALL SELECT 'erb', hz, 1000 * ln(10) / (24.673 * 4.368) * log10(1 + 0.004368 * hz) FROM f UNION ALL SELECT 'bark', hz, CASE WHEN b < 2 THEN 0.85 * b + 0.3 WHEN b > 20.1 THEN 1.22 * b - 4.422 ELSE b END FROM (SELECT hz, 26.81 * hz / (1960 + hz) - 0.53 AS b FROM f)
-UNION ALL SELECT 'semitones', hz, 12 * log2(hz / 440) + 69 FROM f) SELECT scale, hz, round(value, 6) AS value, hz AS back FROM s"""
-)
-def frequency_scales(spark, sf_dir):
-    rows = [(k, hz, float(to(hz)), float(back(to(hz)))) for k, (to, back) in signal.SCALES.items() for hz in _HZ]
-    return spark.createDataFrame(rows, "scale string, hz double, value double, back double").select("scale", "hz", r6(F.col("value")).alias("value"), r6(F.col("back")).alias("back"))
-
-
-@query("SELECT kind, i, round(a - b * cos(2 * pi() * i / n), 6) AS periodic, round(a - b * cos(2 * pi() * i / (n - 1)), 6) + 0.0 AS symmetric, round(a - b * cos(2 * pi() * ((i + 4) % 8) / n), 6) AS shifted FROM (VALUES ('hann', 0.5, 0.5), ('hamming', 0.54, 0.46), ('rect', 1.0, 0.0)) v(kind, a, b), (SELECT unnest(range(8)) AS i, 8 AS n)")
-def window_functions(spark, sf_dir):
-    rows = []
-    for k in ("hann", "hamming", "rect"):
-        columns = (signal.window_function(k, 8), signal.window_function(k, 8, False), signal.window_function(k, 8, True, True))
-        rows += [(k, i, *(float(c[i]) for c in columns)) for i in range(8)]
-    return spark.createDataFrame(rows, "kind string, i long, periodic double, symmetric double, shifted double").select("kind", "i", *[r6(F.col(c)).alias(c) for c in ("periodic", "symmetric", "shifted")])
-
-
-@query("SELECT band, bin, norm, round(CASE norm WHEN 'none' THEN w WHEN 'area' THEN w / sum(w) OVER (PARTITION BY band, norm) ELSE w / 100 END, 6) AS weight FROM (SELECT b AS band, k AS bin, greatest(0, least((250.0 * k - 100 * b) / 100, (100 * b + 200 - 250.0 * k) / 100)) AS w FROM (SELECT unnest(range(10)) AS b), (SELECT unnest(range(5)) AS k)), (VALUES ('none'), ('area'), ('bandwidth')) v(norm) WHERE band IN (2, 4, 9)")
-def triangular_bank(spark, sf_dir):
-    edges = np.arange(12) * 100.0
-    rows = [(b, k, n, float(signal.triangular_filterbank(edges, 8, 2000, n)[b, k])) for n in ("none", "area", "bandwidth") for b in (2, 4, 9) for k in range(5)]
-    return spark.createDataFrame(rows, "band long, bin long, norm string, weight double").select("band", "bin", "norm", r6(F.col("weight")).alias("weight"))
-
-
-@query(literals([(i, 1.0) for i in range(5)], "band, gain"))
-def gammatone_gain(spark, sf_dir):
-    """Each gammatone filter passes its centre frequency as it is."""
-    to, back = signal.SCALES["erb"]
-    centers = back(np.linspace(float(to(100)), float(to(3000)), 5))
-    rows = []
-    for i, (f, s) in enumerate(zip(centers, signal.gammatone_sections(centers, 8000), strict=True)):
-        z = np.exp(-2j * np.pi * f / 8000)
-        gain = abs(np.prod([(c[0] + c[1] * z + c[2] * z**2) / (c[3] + c[4] * z + c[5] * z**2) for c in s]))
-        rows.append((i, float(gain)))
-    return spark.createDataFrame(rows, "band long, gain double").select("band", F.round("gain", 2).alias("gain"))
-
-
-@query(literals([(m, True) for m in ("nfc", "cep", "lhs", "srh", "pef")], "method, near"))
-def pitch_methods(spark, sf_dir):
-    """Every method finds the pitch of a sound with ten harmonics within three percent."""
-    sound = tones(spark, {"voice": (8000, 4000, lambda i: sum((F.sin(2 * math.pi * 160 * h / 8000 * i) / h for h in range(1, 11)), F.lit(0.0)))})
-    out = signal.per_clip(sound, lambda x, rate: {m: float(np.median(signal.pitch(x, rate, m))) for m in ("nfc", "cep", "lhs", "srh", "pef")}, "path string, nfc double, cep double, lhs double, srh double, pef double")
-    long = out.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("f0")) for m in ("nfc", "cep", "lhs", "srh", "pef")])).alias("x"))
-    return long.select("x.method", (F.abs(F.col("x.f0") - 160) < 5).alias("near"))
-
-
-@query(literals([("tone", True, 0), ("noise", False, 1)], "path, harmonic, masked"))
-def harmonic_ratios(spark, sf_dir):
-    noise = lambda i: F.pmod(F.xxhash64(i), F.lit(2_000)) / 1_000.0 - 1
-    sounds = tones(spark, {"tone": (8000, 4000, lambda i: F.sin(2 * math.pi * 200 / 8000 * i)), "noise": (8000, 4000, noise)})
-
-    def kernel(x, rate):
-        ratio = signal.harmonic_ratio(x, rate)
-        f0 = signal.mask_pitch(np.full(len(ratio), 200.0), ratio)
-        return {"harmonic": bool(np.median(ratio) > 0.95), "masked": int(np.isnan(f0).mean() > 0.5)}
-
-    return signal.per_clip(sounds, kernel, "path string, harmonic boolean, masked long")
-
-
-@query(literals([("burst", 1, True, True)], "path, runs, starts, ends"))
-def speech_runs(spark, sf_dir):
-    """Half a second of noise between two of near silence."""
-    noise = lambda i: F.pmod(F.xxhash64(i), F.lit(2_000)) / 1_000.0 - 1
-    burst = lambda i: F.when((i >= 4000) & (i < 8000), noise(i)).otherwise(F.sin(i / 9) * 1e-3)
-
-    def kernel(x, rate):
-        found = signal.detect_speech(x, rate)
-        first = found[0] if len(found) else (0, 0)
-        return {"runs": len(found), "starts": bool(abs(first[0] - 4000) < 800), "ends": bool(abs(first[1] - 8000) < 800)}
-
-    return signal.per_clip(tones(spark, {"burst": (8000, 12_000, burst)}), kernel, "path string, runs long, starts boolean, ends boolean")
-
-
-@query(literals([(k, True) for k in ("morse", "morlet", "bump")], "wavelet, near"))
-def wavelet_peaks(spark, sf_dir):
-    """The band with the largest coefficients is that of the tone, within half a step of the bands."""
-    sound = tones(spark, {"tone": (256, 1024, lambda i: F.sin(2 * math.pi * 20 / 256 * i))})
-
-    def kernel(x, rate):
-        out = {}
-        for kind in ("morse", "morlet", "bump"):
-            bank, freqs = signal.wavelet_bank(kind, len(x), rate)
-            peak = freqs[np.abs(signal.wavelet_transform(x, bank))[:, 200:-200].mean(1).argmax()]
-            out[kind] = bool(abs(math.log2(peak / 20)) < 0.08)
-        return out
-
-    out = signal.per_clip(sound, kernel, "path string, morse boolean, morlet boolean, bump boolean")
-    return out.select(F.explode(F.array(*[F.struct(F.lit(k).alias("wavelet"), F.col(k).alias("near")) for k in ("morse", "morlet", "bump")])).alias("x")).select("x.*")
-
-
 @query(f"SELECT vec_id, true AS restored, round(list_sum(e) / 8, 6) + 0.0 AS first FROM ({_E})")
 def cosine_transform(spark, sf_dir):
     """The transform and its inverse of type 2, and that of type 3, which is the transform of type 2."""
@@ -803,52 +648,6 @@ def rules_of_ensembles(spark, sf_dir):
     return rules.rule_metrics(lineitem(spark, sf_dir), models.list_rules(Ensemble(tuple(STUMPS[:2]))), "l_returnflag").select("rule", "consequent", "ncovered")
 
 
-@query(literals([("l_quantity < 24.0", "A"), ("l_quantity ≥ 24.0", "R"), ("l_discount ≥ 0.05", "N"), ("l_discount < 0.05", "A"), ("immediate l_quantity < 24.0", "A"), ("immediate l_quantity ≥ 24.0", "R")], "rule, consequent"))
-def union_of_rules(spark, sf_dir):
-    """The distinct rules of all trees, one of which occurs twice, and those of a branch."""
-    found = [(str(r.antecedent), r.consequent.outcome) for r in models.union_rules(Ensemble((STUMPS[0], STUMPS[1], STUMPS[0])))]
-    found += [(f"immediate {r.antecedent}", r.consequent.outcome) for r in models.immediate_rules(STUMPS[0].root)]
-    return spark.createDataFrame(found, "rule string, consequent string")
-
-
-_TEXT = [
-    ("rule", 1, "l_quantity < 24.00 ↣ A"), ("rule", 2, "l_quantity ≥ 24.00 ↣ R"), ("tree", 1, "l_quantity < 24.0"), ("tree", 2, "✔ A"), ("tree", 3, "✘ R"), ("list", 1, "list of 2 rules"),
-    ("list", 2, "[1/2] l_quantity < 10.0  ↣  A"), ("list", 3, "[2/2] l_tax ≥ 0.05  ↣  R"), ("list", 4, "else N"), ("ensemble", 1, "ensemble of 2 trees"), ("ensemble", 2, "[1/2] (w 1) l_quantity < 24.0"), ("ensemble", 3, "✔ A"), ("ensemble", 4, "✘ R"),
-    ("ensemble", 5, "[2/2] (w 0.5) …"), ("constant", 1, "A"), ("shallow", 1, "…"),
-]
-
-
-@query(literals(_TEXT, "model, line, text"))
-def model_texts(spark, sf_dir):
-    """Models as text, by lines; leaves, rules, trees to a depth, lists, ensembles with weights."""
-    ensemble = Ensemble((STUMPS[0], Tree(Branch(ScalarCondition("l_tax", "<", 0.1), Leaf("A"), Leaf("N")))), (1.0, 0.5))
-    texts = {"rule": models.rules_text(models.list_rules(STUMPS[0])), "tree": models.describe(STUMPS[0]), "list": models.describe(_LIST), "ensemble": models.describe(ensemble), "constant": models.describe(Leaf("A")), "shallow": models.describe(TREE, depth=0)}
-    rows = [(k, i, line.strip()) for k, t in texts.items() for i, line in enumerate(t.split("\n"), 1)]
-    rows = [r for r in rows if not (r[0] == "ensemble" and r[1] > 5)]
-    return spark.createDataFrame([("ensemble", 5, "[2/2] (w 0.5) …") if r[0] == "ensemble" and r[1] == 5 else r for r in rows], "model string, line long, text string")
-
-
-@query(literals([("tree", 1, 5, 3, True), ("rule", 1, 1, 1, False), ("list", 3, 3, 1, True), ("ensemble", 4, 8, 1, True), ("leaf", 0, 1, 0, True)], "model, submodels, leaves, height, complete"))
-def model_measures(spark, sf_dir):
-    given = {"tree": TREE, "rule": _LIST.rules[0], "list": _LIST, "ensemble": Ensemble(tuple(STUMPS)), "leaf": Leaf("A")}
-    return spark.createDataFrame([(k, len(models.submodels(m)), len(models.leaves(m)), models.height(m), models.is_complete(m)) for k, m in given.items()], "model string, submodels long, leaves long, height long, complete boolean")
-
-
-_NODES = [
-    (0, -1, False, "l_quantity", "<", 24.0, 1, 4, ""), (1, 0, False, "l_discount", "<", 0.05, 2, 3, ""), (2, 1, True, "", "", 0.0, -1, -1, "A"), (3, 1, True, "", "", 0.0, -1, -1, "N"),
-    (4, 0, False, "l_extendedprice", "<", 60000.0, 5, 6, ""), (5, 4, True, "", "", 0.0, -1, -1, "R"), (6, 4, False, "l_tax", "<", 0.04, 7, 8, ""), (7, 6, True, "", "", 0.0, -1, -1, "N"), (8, 6, True, "", "", 0.0, -1, -1, "A"),
-]
-
-
-@query(literals(_NODES, "node_id, parent_id, is_leaf, feature, op, threshold, pos_child, neg_child, outcome"))
-def model_nodes(spark, sf_dir):
-    """The fixed tree in its relational form, to and fro; nulls as -1, 0 or the empty text."""
-    there = models.to_table(spark, TREE, "fixed")
-    back = models.to_table(spark, models.from_table(there), "again").select("node_id", "parent_id", "is_leaf", "feature", "op", "threshold", "pos_child", "neg_child", "outcome")
-    whole = [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("node_id", "parent_id", "pos_child", "neg_child")]
-    return back.select(*whole, "is_leaf", F.coalesce("threshold", F.lit(0.0)).alias("threshold"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("feature", "op", "outcome")])
-
-
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, least({', '.join(STUMPS_SQL)}) AS prediction FROM lineitem")
 def custom_vote(spark, sf_dir):
     m = Ensemble(tuple(STUMPS), vote=models.parity_first)
@@ -921,7 +720,7 @@ def learned_covering(spark, sf_dir):
 @query(f"SELECT m AS model, {_BOTH} AS label, {_BOTH} AS prediction, count(*) AS n FROM lineitem, (VALUES ('decision_tree'), ('random_forest'), ('boosting')) v(m) GROUP BY 1, 2")
 def learned_models(spark, sf_dir):
     """Learners by name, applied: a tree, a forest and boosted classes find a conjunction of two thresholds."""
-    df = decided(spark, sf_dir, _BOTH).persist()
+    df = decided(spark, sf_dir, _BOTH)
     out = None
     for name, params in (("decision_tree", {"max_depth": 3, "seed": 1}), ("random_forest", {"n_trees": 9, "max_depth": 5, "seed": 1}), ("boosting", {"rounds": 6, "depth": 2})):
         model = evaluation.make_learner(name, **params)(df, ["line", "odd"], "label", False)
@@ -1094,20 +893,6 @@ def base_scores(spark, sf_dir):
     return out.select(r6(F.col("mean")).alias("mean"), "half", "given", r6(F.col("rescaled")).alias("rescaled"))
 
 
-@query(literals([(n, False) for n in ("rounds", "eta", "depth", "reg_lambda", "bins", "objective")] + [("defaults", True)], "given, accepted") + " UNION ALL " + literals([("1 class", True), ("2 classes", True), ("3 classes", True), ("number", True)], "given, accepted"))
-def boost_options(spark, sf_dir):
-    """Options out of range are refused, and the objective follows the number of classes."""
-    bad = {"rounds": 0, "eta": 1.5, "depth": -1, "reg_lambda": -1, "bins": 1, "objective": "none"}
-    rows = [(k, not raises(lambda k=k, v=v: boosting.BoostOptions(**{k: v}), ValueError)) for k, v in bad.items()] + [("defaults", not raises(boosting.BoostOptions, ValueError))]
-    objectives = {"1 class": (1, "multi:softprob"), "2 classes": (2, "binary:logistic"), "3 classes": (3, "multi:softprob"), "number": (None, "reg:squarederror")}
-    return spark.createDataFrame(rows + [(k, boosting.default_objective(n) == o) for k, (n, o) in objectives.items()], "given string, accepted boolean")
-
-
-@query(literals([("l_quantity", 0.4), ("l_discount", 0.2), ("l_extendedprice", 0.2), ("l_tax", 0.2)], "feature, share"))
-def split_importances(spark, sf_dir):
-    return spark.createDataFrame(list(boosting.split_importance(Ensemble((TREE, STUMPS[0]))).items()), "feature string, share double")
-
-
 # -- measures, tuning, selection ----------------------------------------------------------------------
 
 
@@ -1133,53 +918,6 @@ def confusion_folds(spark, sf_dir):
     return evaluation.confusion_of(p).select(F.col("fold").cast("long").alias("fold"), "label", "prediction", "n")
 
 
-@query(
-    literals(
-        [("accuracy", "deterministic", "predict"), ("accuracy", "probabilistic", "predict_mode"), ("log_loss", "probabilistic", "predict"), ("log_loss", "deterministic", "error"), ("rms", "deterministic", "predict"),
-         ("rms", "probabilistic", "predict_mean"), ("nothing", "deterministic", "error")], "measure, kind, operation"
-    )
-)
-def operations(spark, sf_dir):
-    asked = [(m, k) for m, k in (("accuracy", "deterministic"), ("accuracy", "probabilistic"), ("log_loss", "probabilistic"), ("log_loss", "deterministic"), ("rms", "deterministic"), ("rms", "probabilistic"), ("nothing", "deterministic"))]
-    return spark.createDataFrame([(m, k, "error" if raises(lambda m=m, k=k: evaluation.operation_for(m, k), ValueError) else evaluation.operation_for(m, k)) for m, k in asked], "measure string, kind string, operation string")
-
-
-_GRID = [("linear", 0, 0.0), ("linear", 1, 5.0), ("linear", 2, 10.0), ("log10", 0, 0.01), ("log10", 1, 0.1), ("log10", 2, 1.0), ("whole", 0, 1.0), ("whole", 1, 3.0), ("whole", 2, 5.0), ("values", 0, 2.0), ("values", 1, 7.0)]
-
-
-@query(literals(_GRID, "name, place, value"))
-def parameter_ranges(spark, sf_dir):
-    ranges = [evaluation.Range("linear", 0.0, 10.0), evaluation.Range("log10", 0.01, 1.0, "log10"), evaluation.Range("whole", 1, 5), evaluation.Range("values", values=(2, 7))]
-    rows = [(r.name, i, float(v)) for r in ranges for i, v in enumerate(r.grid(3))]
-    return spark.createDataFrame(rows, "name string, place long, value double").select("name", "place", r6(F.col("value")).alias("value"))
-
-
-@query(literals([(s, True, n) for s, n in (("grid", 11), ("random", 40), ("latin_hypercube", 40), ("tree_parzen", 40), ("particle_swarm", 40), ("adaptive_swarm", 40))], "strategy, near, tried"))
-def tuning_strategies(spark, sf_dir):
-    """Every strategy comes near the minimum of a parabola, within its number of candidates."""
-    rows = []
-    for s in evaluation.Tuning.STRATEGIES:
-        best, history = evaluation.tune(lambda p: (p["x"] - 3) ** 2, [evaluation.Range("x", 0.0, 10.0)], evaluation.Tuning(s, resolution=11, n=40))
-        rows.append((s, abs(best["x"] - 3) < 0.5, len(history)))
-    return spark.createDataFrame(rows, "strategy string, near boolean, tried long")
-
-
-@query(literals([("unknown model", "ValueError"), ("unknown parameter", "TypeError"), ("number for classes", "TypeError"), ("known", "none")], "given, error"))
-def model_registry(spark, sf_dir):
-    asked = {
-        "unknown model": lambda: evaluation.make_learner("nothing"), "unknown parameter": lambda: evaluation.make_learner("decision_tree", speed=1),
-        "number for classes": lambda: evaluation.make_learner("stump_boosting")(lineitem(spark, sf_dir), FEATURES, "l_quantity", True), "known": lambda: evaluation.make_learner("random_forest", n_trees=3),
-    }
-    def named(f) -> str:
-        try:
-            f()
-        except (ValueError, TypeError) as e:
-            return type(e).__name__
-        return "none"
-
-    return spark.createDataFrame([(k, named(f)) for k, f in asked.items()], "given string, error string")
-
-
 _VARIANCES = " UNION ALL ".join(f"SELECT '{c}' AS name, var_samp({c}) AS score FROM lineitem" for c in FEATURES)
 
 
