@@ -106,20 +106,22 @@ def normalise_bank(bank: np.ndarray, widths: np.ndarray, norm: str) -> np.ndarra
 
 # Bandwidth 1.019 * 24.7 * (4.37 f / 1000 + 1) and the roots 3 +- 2 ** 1.5 of the published gammatone filter.
 def gammatone_sections(centers: np.ndarray, rate: int) -> np.ndarray:
-    """Four second-order sections (band x 4 x 6: b0 b1 b2 a0 a1 a2) of gammatone filters."""
-    t = 1 / rate
-    out = np.empty((len(centers), 4, 6))
-    for i, f in enumerate(np.asarray(centers, float)):
-        b = 1.019 * 2 * np.pi * 24.7 * (4.37 * f / 1000 + 1)
-        w = 2 * np.pi * f * t
-        decay = np.exp(-b * t)
-        roots = [s * math.sqrt(3 + q * 2**1.5) for q in (1, -1) for s in (1, -1)]
-        z = np.exp(2j * w)
-        for k, r in enumerate(roots):
-            out[i, k] = (t, -t * decay * (math.cos(w) + r * math.sin(w)), 0, 1, -2 * math.cos(w) * decay, decay**2)
-        gain = np.prod([(-2 * z * t + 2 * np.exp(-b * t + 1j * w) * t * (math.cos(w) + r * math.sin(w))) for r in roots])
-        gain = abs(gain / (-2 / np.exp(2 * b * t) - 2 * z + 2 * (1 + z) / np.exp(b * t)) ** 4)
-        out[i, 0, :3] /= gain
+    """Four second-order sections (band x 4 x 6: b0 b1 b2 a0 a1 a2) of gammatone filters, of gain 1 at their centres.
+
+    All sections have one pair of poles and differ in their zeros. The gain is that of the sections
+    themselves: their response at the centre is worked out, and the first one is divided by it.
+    """
+    f = np.asarray(centers, float)
+    angle = 2 * np.pi * f / rate
+    radius = np.exp(-1.019 * 2 * np.pi * 24.7 * (4.37 * f / 1000 + 1) / rate)
+    out = np.zeros((len(f), 4, 6))
+    for k, root in enumerate(s * math.sqrt(3 + q * 2**1.5) for q in (1, -1) for s in (1, -1)):
+        out[:, k, 0] = 1 / rate
+        out[:, k, 1] = -radius * (np.cos(angle) + root * np.sin(angle)) / rate
+    out[..., 3], out[..., 4], out[..., 5] = 1, (-2 * radius * np.cos(angle))[:, None], (radius**2)[:, None]
+    delays = np.exp(-1j * angle[:, None] * np.arange(3))[:, None]
+    at_center = np.abs(np.prod((out[..., :3] * delays).sum(2) / (out[..., 3:] * delays).sum(2), axis=1))
+    out[:, 0, :3] /= at_center[:, None]
     return out
 
 

@@ -22,8 +22,9 @@ from .models import Branch, Ensemble, Leaf, Model, Tree, leaves, nodes
 class BoostOptions:
     """Hyperparameters with their ranges.
 
-    With ``bins`` thresholds are approximate quantiles, so that the running sums of a feature
-    have that many rows however large the table is; 0 tries every distinct value.
+    A feature of up to ``bins`` distinct values is split between any two of them; one of more has
+    approximate quantiles as thresholds. Either way a row is reduced to small codes once, and a level is one
+    aggregate of at most ``bins`` rows for each node and feature. 0 tries every distinct value.
     """
 
     rounds: int = 10
@@ -33,7 +34,7 @@ class BoostOptions:
     min_child_weight: float = 1.0
     objective: str = "reg:squarederror"
     base_score: float | None = None
-    bins: int = 0
+    bins: int = 64
 
     def __post_init__(self):
         for name, ok in (("rounds", self.rounds >= 1), ("eta", 0 < self.eta <= 1), ("depth", self.depth >= 0), ("reg_lambda", self.reg_lambda >= 0), ("bins", self.bins == 0 or self.bins >= 2), ("min_child_weight", self.min_child_weight >= 0)):
@@ -187,6 +188,123 @@ def grow_tree(rows: DataFrame, features: list[str], options: BoostOptions, cuts:
     return Tree(build(""))
 
 
+@dataclass(frozen=True)
+class Codes:
+    """Rows with ``_c``, the place of each feature's value (-1: none) among ``values`` or between ``cuts``."""
+
+    rows: DataFrame
+    features: list[str]
+    places: list[tuple[str, list[float]]]
+
+    def threshold(self, i: int, code: int, after: int) -> float:
+        """What is below it has at most ``code``, given that ``after`` is the next code that there is."""
+        kind, known = self.places[i]
+        return (known[code] + known[after]) / 2 if kind == "values" else known[after - 1]
+
+
+#: Rows of a level's histogram up to which its best splits are looked for on the driver.
+HISTOGRAM_ROWS = 1_000_000
+
+
+def coded(rows: DataFrame, features: list[str], bins: int) -> Codes:
+    """``rows`` reduced to codes: by value where a feature has few, else by quantiles. Nulls and NaN have no code."""
+    known = lambda f: F.when(~F.isnan(f), F.col(f))
+    few = rows.agg(*[F.approx_count_distinct(known(f)).alias(f"d{i}") for i, f in enumerate(features)]).first()
+    maybe = [f for i, f in enumerate(features) if few[i] <= 2 * bins]
+    sets = rows.agg(*[F.sort_array(F.collect_set(known(f))).alias(f) for f in maybe]).first() if maybe else {}
+    values = {f: list(sets[f]) for f in maybe if len(sets[f]) <= bins}
+    cuts = quantile_cuts(rows, [f for f in features if f not in values], bins) if len(values) < len(features) else {}
+    places = [("values", values[f]) if f in values else ("cuts", cuts[f]) for f in features]
+    literal = lambda a: F.array(*[F.lit(float(x)) for x in a]).cast("array<double>")
+    code = lambda f, kind, a: F.array_position(literal(a), F.col(f)).cast("int") - 1 if kind == "values" else F.size(F.filter(literal(a), lambda c: c <= F.col(f)))
+    columns = [F.coalesce(F.when(~F.isnan(f), code(f, *place)), F.lit(-1)) for f, place in zip(features, places, strict=True)]
+    return Codes(rows.withColumn("_c", F.array(*columns)), features, places)
+
+
+def _coded_splits(cells: list, codes: Codes, o: BoostOptions) -> dict[str, tuple]:
+    """node: (feature number, code, threshold, gl, hl, gt, ht) of its best split with a gain above 0."""
+    by: dict[tuple, list] = {}
+    for r in cells:
+        by.setdefault((r["node"], r["i"]), []).append((r["code"], r["g"], r["h"]))
+    best: dict[str, tuple] = {}
+    for (node, i), rows in by.items():
+        rows.sort()
+        gt, ht = (math.fsum(r[k] for r in rows) for k in (1, 2))
+        gl = hl = 0.0
+        for (code, g, h), (after, _, _) in zip(rows, rows[1:], strict=False):
+            gl, hl = gl + g, hl + h
+            if hl < o.min_child_weight or ht - hl < o.min_child_weight:
+                continue
+            score = lambda a, b: a * a / (b + o.reg_lambda) if b + o.reg_lambda else 0.0
+            gain = 0.5 * (score(gl, hl) + score(gt - gl, ht - hl) - score(gt, ht))
+            found = (-gain, i, codes.threshold(i, code, after), code, gl, hl, gt, ht)
+            if gain > 0 and (node not in best or found < best[node]):
+                best[node] = found
+    return {n: (b[1], b[3], b[2], *b[4:]) for n, b in best.items()}
+
+
+def grow_coded(rows: DataFrame, codes: Codes, options: BoostOptions) -> Tree:
+    """A tree over rows (_c, g, h); a level is one aggregate of codes by node."""
+    split: dict[str, tuple[int, int, float]] = {}
+    total = rows.agg(F.sum("g"), F.sum("h")).first()
+    sums = {"": (total[0] or 0.0, total[1] or 0.0)}
+    open_nodes = [""]
+    for _ in range(options.depth):
+        if not open_nodes:
+            break
+
+        def at(path: str) -> Column:
+            if path not in split:
+                return F.lit(path) if path in open_nodes else F.lit(None).cast("string")
+            i, code, _ = split[path]
+            own = F.get("_c", F.lit(i))
+            return F.when((own >= 0) & (own <= code), at(path + "p")).otherwise(at(path + "n"))
+
+        cells = rows.select(at("").alias("node"), "g", "h", F.posexplode("_c").alias("i", "code")).where("node is not null and code >= 0")
+        sums_by = cells.groupBy("node", "i", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        found = _coded_splits(sums_by.collect(), codes, options)  # bounded by nodes, features and bins
+        open_nodes = []
+        for p, (i, code, threshold, gl, hl, gt, ht) in sorted(found.items()):
+            split[p] = (i, code, threshold)
+            sums[p + "p"], sums[p + "n"] = (gl, hl), (gt - gl, ht - hl)
+            open_nodes += [q for q in (p + "p", p + "n") if sums[q][1] >= 2 * options.min_child_weight]
+
+    def build(p: str) -> Model:
+        if p in split:
+            i, _, threshold = split[p]
+            return Branch(ScalarCondition(codes.features[i], "<", threshold), build(p + "p"), build(p + "n"))
+        g, h = sums[p]
+        value = -g / (h + options.reg_lambda) if h + options.reg_lambda else 0.0
+        return Leaf(value, value)
+
+    return Tree(build(""))
+
+
+class _Grower:
+    """Grows the trees of one table: by codes where their histograms are bounded, else by sums over values."""
+
+    def __init__(self, rows: DataFrame, features: list[str], o: BoostOptions):
+        self.features, self.options = features, o
+        self.cuts = self.ranges = self.codes = None
+        if o.bins and len(features) * o.bins * 2 ** max(o.depth - 1, 0) <= HISTOGRAM_ROWS:
+            self.codes = coded(rows, features, o.bins)
+            rows = self.codes.rows.persist()
+        elif o.bins:
+            self.cuts = quantile_cuts(rows, features, o.bins)
+        else:
+            self.ranges = quantile_cuts(rows, features, VALUE_RANGES)
+        self.rows = rows
+
+    def grow(self, rows: DataFrame) -> Tree:
+        if self.codes is not None:
+            return grow_coded(rows, self.codes, self.options)
+        return grow_tree(rows, self.features, self.options, self.cuts, self.ranges)
+
+    def done(self) -> None:
+        if self.codes is not None:
+            self.rows.unpersist()
+
+
 def _on_path(path: str, split: dict) -> Column:
     out = F.lit(True)
     for k, step in enumerate(path):
@@ -222,13 +340,13 @@ def boost_regression(df: DataFrame, features: list[str], target: str, options: B
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).where("_y is not null").persist()
     try:
         base = float(rows.agg(F.avg("_y")).first()[0] or 0.0) if o.base_score is None else base_score(rows, "_y", o.base_score)
-        cuts = quantile_cuts(rows, features, o.bins) if o.bins else None
-        ranges = None if cuts else quantile_cuts(rows, features, VALUE_RANGES)
+        grower = _Grower(rows, features, o)
         trees: tuple[Tree, ...] = ()
         for _ in range(o.rounds):
-            now = rows.withColumn("_p", Boosted(base, o.eta, trees).column())
+            now = grower.rows.withColumn("_p", Boosted(base, o.eta, trees).column())
             g, h = gradient("_p", "_y")
-            trees += (grow_tree(now.withColumn("g", g).withColumn("h", h), features, o, cuts, ranges),)
+            trees += (grower.grow(now.withColumn("g", g).withColumn("h", h)),)
+        grower.done()
         out = Boosted(base, o.eta, trees)
         if watch is None:
             return out
@@ -286,17 +404,17 @@ def boost_classes(df: DataFrame, features: list[str], label: str, options: Boost
         classes = tuple(sorted(r[0] for r in rows.select("_y").distinct().collect()))  # one row for each class
         objective = default_objective(len(classes))
         model = BoostedClasses(classes, objective, o.eta, ())
-        cuts = quantile_cuts(rows, features, o.bins) if o.bins else None
-        ranges = None if cuts else quantile_cuts(rows, features, VALUE_RANGES)
+        grower = _Grower(rows, features, o)
         shown = classes[1:] if objective == "binary:logistic" else classes
         for _ in range(o.rounds if len(classes) > 1 else 0):
             p = model.probabilities()[-len(shown) :]
             grown = ()
             for c, q in zip(shown, p, strict=True):
-                now = rows.withColumn("_q", q)
+                now = grower.rows.withColumn("_q", q)
                 now = now.withColumn("g", F.col("_q") - (F.col("_y") == c).cast("double")).withColumn("h", F.col("_q") * (1 - F.col("_q")))
-                grown += (grow_tree(now, features, o, cuts, ranges),)
+                grown += (grower.grow(now),)
             model = replace(model, trees=model.trees + grown)
+        grower.done()
         if watch is None:
             return model
         losses = []

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import modal_learning, neighbours, relational, selection
+from ..operators import modal_learning, neighbours, relational, rule_table, selection
 from ..operators.modal import ModalCondition
 from ..operators.modal_learning import ModalTest
-from .catalogue import _E, embeddings, query, r6, table
+from .catalogue import _E, embeddings, lineitem, query, r6, table
 
 # -- information of two numbers ------------------------------------------------------------------
 
@@ -144,3 +144,29 @@ def modal_stagewise_learned(spark, sf_dir):
         test = next(i for i, x in enumerate(_TESTS) if (x.fun, x.op, x.shortest, x.relation) == (q.fun, q.op, q.shortest, q.relation))
         rows.append((k, test, q.threshold if q.op == ">=" else -q.threshold, c))
     return spark.createDataFrame(rows, "round long, test long, cut double, coefficient double").select("round", "test", r6(F.col("cut")).alias("cut"), r6(F.col("coefficient")).alias("coefficient"))
+
+
+# -- rules as a table ----------------------------------------------------------------------------------
+
+_RULES = 5_000
+
+
+@query(
+    f"""WITH r AS (SELECT k AS rule_id, k % 40 AS lo, k % 40 + 5 + k % 7 AS hi, (k % 9) / 100.0::double AS d, 30000.0 + k * 11 AS p, ['A', 'N', 'R'][k % 3 + 1] AS consequent FROM (SELECT unnest(range({_RULES})) AS k)),
+c AS (SELECT rule_id, consequent, count(l.l_quantity) AS ncovered, count(*) FILTER (WHERE l_returnflag = consequent) AS hits FROM r LEFT JOIN lineitem l ON l_quantity >= lo AND l_quantity < hi AND (rule_id % 2 = 0 OR l_discount > d) AND (rule_id % 3 > 0 OR l_extendedprice <= p) GROUP BY 1, 2)
+SELECT rule_id::bigint AS rule_id, consequent, ncovered, round(hits / nullif(ncovered, 0)::double, 6) AS confidence FROM c"""
+)
+def measured_rule_table(spark, sf_dir):
+    """Five thousand rules of up to three intervals, held in a table, over all rows."""
+    k = F.col("id")
+    inf = F.lit(float("inf"))
+    low, closed = k % 40, F.lit(True)
+    quantity = F.struct(F.lit("l_quantity").alias("feature"), low.cast("double").alias("low"), (low + 5 + k % 7).cast("double").alias("high"), closed.alias("low_closed"), ~closed)
+    discount = F.when(k % 2 == 1, F.struct(F.lit("l_discount"), (k % 9).cast("double") / 100, inf, ~closed, closed))
+    price = F.when(k % 3 == 0, F.struct(F.lit("l_extendedprice"), -inf, (30000.0 + k * 11).cast("double"), closed, closed))
+    kind = "struct<feature:string,low:double,high:double,low_closed:boolean,high_closed:boolean>"
+    atoms = F.array(*[x.cast(kind) for x in (quantity, discount, price)])
+    consequent = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (k % 3 + 1).cast("int"))
+    table_of_rules = spark.range(_RULES).select(k.alias("rule_id"), consequent.alias("consequent"), F.explode(atoms).alias("a")).where("a is not null").select("rule_id", "a.*", "consequent")
+    out = rule_table.rule_table_metrics(lineitem(spark, sf_dir), table_of_rules, "l_returnflag")
+    return out.select("rule_id", "consequent", "ncovered", r6(F.col("confidence")).alias("confidence"))

@@ -23,6 +23,7 @@ def iris(spark):
 # -- boosting ---------------------------------------------------------------------------------
 
 
+# Thresholds and leaves of a boosted model, as 32-bit numbers.
 def fixed_trees():
     a, b = ScalarCondition("petal_length", "<", 3.0), ScalarCondition("petal_length", "<", 4.9000001)
     leaf = lambda v: Leaf(None, v)

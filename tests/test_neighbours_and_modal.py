@@ -158,3 +158,56 @@ def test_tables_without_rows_or_with_one_class(spark):
     assert models.height(modal_learning.learn_tree(df.limit(0), TESTS, "y", "id")) == 0
     with pytest.raises(ValueError):
         ModalTest("e", "median")
+
+
+# -- rules as a table, boosting by codes
+
+
+def test_rule_table_equals_rules_one_by_one(spark, monkeypatch):
+    from rulewright.operators import rule_table, rules
+    from rulewright.operators.conditions import And, RangeCondition, ScalarCondition, Truth
+    from rulewright.operators.models import Leaf, Rule
+
+    rng = random.Random(6)
+    value = lambda: rng.choice([None, float("nan"), float("inf"), -float("inf"), *map(float, range(-3, 4)), 0.5])
+    df = spark.createDataFrame([(value(), value(), value(), rng.choice(["p", "q", None])) for _ in range(300)], "a double, b double, c double, y string").repartition(3)
+
+    def atom():
+        f, t = rng.choice("abc"), rng.choice([-2.0, 0.0, 0.5, 1.0, 3.0])
+        if rng.random() < 0.3:
+            return RangeCondition(f, t, t + rng.choice([0.0, 1.0, 2.0]), rng.random() < 0.5, rng.random() < 0.5)
+        return ScalarCondition(f, rng.choice(["<", "<=", ">", ">=", "=="]), t)
+
+    given = [Rule(Truth() if k == 0 else And(tuple(atom() for _ in range(n))) if (n := rng.randint(1, 4)) > 1 else atom(), Leaf(rng.choice("pq"))) for k in range(60)]
+    monkeypatch.setattr(rule_table, "BLOCK_RULES", 13)
+    monkeypatch.setattr(rule_table, "BATCH_ROWS", 50)
+    want = rules.measure(df, given, "y")
+    table = rule_table.rule_table(spark, given)
+    for bounds in (1_000_000, 40):
+        monkeypatch.setattr(rule_table, "PASS_BOUNDS", bounds)
+        got = {r["rule_id"]: r for r in rule_table.rule_table_metrics(df, table, "y").collect()}
+        for w in want:
+            g = got[w["rule_id"]]
+            assert (g["ncovered"], g["ninstances"]) == (w["ncovered"], w["ninstances"]), w
+            for c in ("coverage", "confidence", "lift", "error"):
+                assert g[c] == w[c] or g[c] == pytest.approx(w[c]), (c, w)
+    empty = rule_table.rule_table_metrics(df.limit(0), table, "y").collect()
+    assert len(empty) == 60 and all(r["ncovered"] == 0 and r["confidence"] is None for r in empty)
+    assert rule_table.rule_table_metrics(df, table.limit(0), "y").count() == 0
+    with pytest.raises(ValueError):
+        rule_table.rule_table(spark, [Rule(ScalarCondition("a", "!=", 1.0), Leaf("p"))])
+
+
+def test_trees_by_codes_equal_trees_by_values(spark):
+    from rulewright.operators.boosting import BoostOptions, boost_classes, boost_regression
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, float("nan"), 0.0, 1.0, 2.5, 4.0]), float(rng.randint(0, 30)), float(rng.randint(0, 3)), rng.random(), rng.choice("uvw")) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, k string").withColumn("y", F.col("y") + F.col("b") / 10 + F.coalesce(F.nanvl("a", F.lit(0.0)), F.lit(9.0)))
+    one, two = (boost_regression(df, ["a", "b", "c"], "y", BoostOptions(rounds=3, depth=3, bins=b), watch=df) for b in (64, 0))
+    assert one.trees == two.trees or one.history == pytest.approx(two.history, rel=1e-9)
+    three, four = (boost_classes(df, ["a", "b", "c"], "k", BoostOptions(rounds=2, depth=2, bins=b), watch=df) for b in (64, 0))
+    assert three.history == pytest.approx(four.history, rel=1e-9)
+    wide = df.withColumn("b", F.col("b") + F.col("y"))  # more values than bins
+    five = boost_regression(wide, ["a", "b", "c"], "y", BoostOptions(rounds=3, depth=3, bins=8), watch=wide)
+    assert all(b <= a for a, b in zip(five.history, five.history[1:], strict=False))
