@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
+from .quantiles import exact_quantiles
 from .windows import Windowing, in_window, reduce_windows
 
 
@@ -116,12 +117,16 @@ def normalise_groups(long: DataFrame, low: float | None = None, high: float | No
     """Values of each (window, feature) group scaled to [0, 1] together.
 
     Bounds are the minimum and maximum of the finite values, or the quantiles ``low`` and
-    ``high``, approximate ones with an error below a ten-thousandth of the rows unless ``exact``, for
-    which one task holds the distinct values of a group. What is still NaN or infinite, or in a group of one value, becomes 0.5.
+    ``high``, approximate ones with an error below a ten-thousandth of the rows unless ``exact``, which
+    takes a few counting passes. What is still NaN or infinite, or in a group of one value, becomes 0.5.
     """
     finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    quantile = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000)
-    bounds = long.groupBy(*by).agg((F.min(finite) if low is None else quantile(finite, low)).alias("_lo"), (F.max(finite) if high is None else quantile(finite, high)).alias("_hi"))
+    if exact and (low is not None or high is not None):
+        found = exact_quantiles(long.withColumn("value", finite), list(by), "value", [0.0 if low is None else low, 1.0 if high is None else high])
+        bounds = long.select(*by).distinct().join(found, list(by), "left").select(*by, F.get("q", F.lit(0)).alias("_lo"), F.get("q", F.lit(1)).alias("_hi"))
+    else:
+        quantile = lambda p: F.percentile_approx(finite, p, 10_000)
+        bounds = long.groupBy(*by).agg((F.min(finite) if low is None else quantile(low)).alias("_lo"), (F.max(finite) if high is None else quantile(high)).alias("_hi"))
     scaled = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bad = scaled.isNull() | F.isnan(scaled) | (F.abs(scaled) == float("inf"))
     return long.join(bounds, list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import quantiles
 from ..operators import modal_learning, neighbours, relational, rule_table, selection
 from ..operators.modal import ModalCondition
 from ..operators.modal_learning import ModalTest
@@ -170,3 +171,14 @@ def measured_rule_table(spark, sf_dir):
     table_of_rules = spark.range(_RULES).select(k.alias("rule_id"), consequent.alias("consequent"), F.explode(atoms).alias("a")).where("a is not null").select("rule_id", "a.*", "consequent")
     out = rule_table.rule_table_metrics(lineitem(spark, sf_dir), table_of_rules, "l_returnflag")
     return out.select("rule_id", "consequent", "ncovered", r6(F.col("confidence")).alias("confidence"))
+
+
+# -- exact quantiles ------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, l_linestatus, unnest([1, 2, 3])::bigint AS i, unnest(quantile_disc(l_extendedprice, [0.125, 0.5, 0.9375]))::double AS price FROM lineitem GROUP BY 1, 2")
+def exact_quantiles(spark, sf_dir):
+    """Quantiles of the prices in each group, exact, by ranges that get narrower."""
+    found = quantiles.exact_quantiles(lineitem(spark, sf_dir), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.125, 0.5, 0.9375], between=False)
+    out = found.select("l_returnflag", "l_linestatus", F.posexplode("q").alias("i", "price"))
+    return out.withColumn("i", (F.col("i") + 1).cast("long"))

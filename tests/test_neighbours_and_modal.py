@@ -211,3 +211,27 @@ def test_trees_by_codes_equal_trees_by_values(spark):
     wide = df.withColumn("b", F.col("b") + F.col("y"))  # more values than bins
     five = boost_regression(wide, ["a", "b", "c"], "y", BoostOptions(rounds=3, depth=3, bins=8), watch=wide)
     assert all(b <= a for a, b in zip(five.history, five.history[1:], strict=False))
+
+
+# -- exact quantiles
+
+
+@pytest.mark.parametrize("few", [100_000, 60])
+def test_exact_quantiles_of_groups(spark, monkeypatch, few):
+    from rulewright.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW_ROWS", few)
+    monkeypatch.setattr(quantiles, "CUTS", 32)
+    rng = random.Random(12)
+    groups = {"wide": [math.exp(8 * rng.random()) for _ in range(700)], "hot": [1.0] * 300 + [rng.random() * 2 for _ in range(150)], "one": [5.0], "two": [1.0, 2.0], "signed": [float(rng.randint(-9, 9)) for _ in range(500)], None: [-0.0, 0.0, 3.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("nan", float("nan")), ("hot", None), ("wide", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    p = [0.0, 0.25, 0.5, 0.99]
+    got = {r["g"]: r["q"] for r in quantiles.exact_quantiles(df, ["g"], "v", p).collect()}
+    disc = {r["g"]: r["q"] for r in quantiles.exact_quantiles(df, ["g"], "v", p, between=False).collect()}
+    assert set(got) == set(groups) == set(disc)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        assert got[g] == pytest.approx([float(np.quantile(vs, x)) for x in p], abs=1e-9), g
+        assert disc[g] == [vs[max(math.ceil(round(x * len(vs), 9)) - 1, 0)] for x in p], g
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", p).count() == 0
