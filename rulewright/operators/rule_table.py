@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conditions import RangeCondition, ScalarCondition
-from .models import Rule
+from .models import Branch, Ensemble, Rule, apply_model
 from .rules import _atoms
 
 #: Rules whose bitmaps are made together; a feature then has up to twice as many intervals of so many bits.
@@ -42,9 +42,11 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         for a in _atoms(rule.antecedent):
             if isinstance(a, RangeCondition):
                 own = (a.low, a.high, a.low_closed, a.high_closed)
-            elif isinstance(a, ScalarCondition) and a.op in ("<", "<=", ">", ">=", "=="):
-                inf, t = float("inf"), float(a.threshold)
-                own = (-inf if a.op[0] == "<" else t, inf if a.op[0] == ">" else t, a.op != ">", a.op != "<")
+            elif isinstance(a, ScalarCondition) and a.op == "==":
+                own = (float(a.threshold), float(a.threshold), True, True)
+            elif isinstance(a, ScalarCondition) and a.op != "!=":
+                own = _interval(a)
+                own = (*own[:2], not own[2], own[3])
             else:
                 raise ValueError(f"no interval: {a}")
             low, high, lc, hc = found.get(a.feature, (-float("inf"), float("inf"), True, True))
@@ -179,3 +181,52 @@ def rule_table_metrics(df: DataFrame, rules: DataFrame, label: str) -> DataFrame
     )
 
 
+
+
+def _leaf_column(m, leaf_ids: Iterator[int]):
+    """The number of the leaf whose rule a row satisfies; null where it satisfies none, as with NaN."""
+    if isinstance(m, Branch):
+        yes, no = _leaf_column(m.positive, leaf_ids), _leaf_column(m.negative, leaf_ids)
+        return F.when(m.condition.column(), yes).when(m.condition.dual.column(), no)
+    return F.lit(next(leaf_ids))
+
+
+def _leaf_atoms(m, held: list, leaf_ids: Iterator[int]) -> Iterator[tuple[int, list]]:
+    if isinstance(m, Branch):
+        yield from _leaf_atoms(m.positive, [*held, m.condition], leaf_ids)
+        yield from _leaf_atoms(m.negative, [*held, m.condition.dual], leaf_ids)
+    else:
+        yield next(leaf_ids), held
+
+
+def rules_of_rows(df: DataFrame, ensemble: Ensemble) -> tuple[DataFrame, DataFrame]:
+    """The rules of an ensemble that hold for some row, as (rule_id, leaves, consequent, ncovered) and as a rule table (``SCHEMA``).
+
+    A rule of an ensemble is one leaf of each tree. Their products are not listed: each row has its
+    leaves, and the distinct ones, with the vote, are the rules; so there are no more of them than rows,
+    and contradictions do not come up. A row that is NaN in a tested feature satisfies no rule.
+    ``rule_id`` is a 64-bit hash of the leaves. Trees have branches on inequalities of one feature.
+    """
+    leaves = [_leaf_column(t.root, iter(range(1 << 30))) for t in ensemble.trees]
+    voted = apply_model(df, ensemble, "_vote")
+    rows = voted.select(F.array(*leaves).alias("leaves"), F.col("_vote").cast("string").alias("consequent")).where(~F.exists("leaves", lambda x: x.isNull()))
+    rules = rows.groupBy("leaves").agg(F.first("consequent").alias("consequent"), F.count("*").alias("ncovered"))
+    rules = rules.select(F.xxhash64("leaves").alias("rule_id"), "leaves", "consequent", "ncovered")
+    bounds = []
+    for t, tree in enumerate(ensemble.trees):
+        for leaf, atoms in _leaf_atoms(tree.root, [], iter(range(1 << 30))):
+            for a in atoms:
+                bounds.append((t, leaf, a.feature, *_interval(a)))
+    bounds = df.sparkSession.createDataFrame(bounds, "tree int, leaf int, feature string, low double, high double, low_open boolean, high_closed boolean")
+    parts = rules.select("rule_id", "consequent", F.posexplode("leaves").alias("tree", "leaf")).join(F.broadcast(bounds), ["tree", "leaf"])  # a row for each atom of each tree
+    low, high = F.max(F.struct("low", "low_open")), F.min(F.struct("high", "high_closed"))
+    whole = parts.groupBy("rule_id", "feature").agg(low.alias("l"), high.alias("h"), F.first("consequent").alias("consequent"))
+    return rules, whole.select("rule_id", "feature", F.col("l.low").alias("low"), F.col("h.high").alias("high"), (~F.col("l.low_open")).alias("low_closed"), F.col("h.high_closed").alias("high_closed"), "consequent")
+
+
+def _interval(a: ScalarCondition) -> tuple[float, float, bool, bool]:
+    """low, high, whether the low end is open, whether the high one is closed."""
+    inf, t = float("inf"), float(a.threshold)
+    if a.op not in ("<", "<=", ">", ">="):
+        raise ValueError(f"no inequality: {a}")
+    return -inf if a.op[0] == "<" else t, inf if a.op[0] == ">" else t, a.op == ">", a.op != "<"

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import quantiles
 from ..operators import modal_learning, neighbours, relational, rule_table, selection
+from ..operators.conditions import ScalarCondition
 from ..operators.modal import ModalCondition
 from ..operators.modal_learning import ModalTest
+from ..operators.models import Branch, Ensemble, Leaf, Tree
 from .catalogue import _E, embeddings, lineitem, query, r6, table
 
 # -- information of two numbers ------------------------------------------------------------------
@@ -150,6 +152,27 @@ def modal_stagewise_learned(spark, sf_dir):
 # -- rules as a table ----------------------------------------------------------------------------------
 
 _RULES = 5_000
+_SPLITS = (("l_quantity", 50.0), ("l_discount", 0.1), ("l_tax", 0.08), ("l_extendedprice", 90_000.0))
+
+
+def _grown(t: int, node: int = 1):
+    """Tree number t of depth 3, with thresholds by a rule."""
+    if node >= 8:
+        return Leaf("ANR"[(t + node) % 3])
+    feature, top = _SPLITS[(t + node) % 4]
+    return Branch(ScalarCondition(feature, "<", round(top * ((t * 7 + node * 5) % 11 + 1) / 12, 4)), _grown(t, 2 * node), _grown(t, 2 * node + 1))
+
+
+def _leaf_sql(m, numbers, shown) -> str:
+    if isinstance(m, Branch):
+        yes = _leaf_sql(m.positive, numbers, shown)
+        return f"CASE WHEN {m.condition.feature} < {m.condition.threshold!r} THEN {yes} ELSE {_leaf_sql(m.negative, numbers, shown)} END"
+    return shown(next(numbers), m)
+
+
+_TEN = [_grown(t) for t in range(10)]
+_LEAVES = ", ".join(_leaf_sql(m, iter(range(8)), lambda k, m: str(k)) for m in _TEN)
+_VOTES = ", ".join(_leaf_sql(m, iter(range(8)), lambda k, m: f"'{m.outcome}'") for m in _TEN)
 
 
 @query(
@@ -173,6 +196,19 @@ def measured_rule_table(spark, sf_dir):
     return out.select("rule_id", "consequent", "ncovered", r6(F.col("confidence")).alias("confidence"))
 
 
+@query(
+    f"""WITH r AS (SELECT [{_LEAVES}] AS leaves, [{_VOTES}] AS votes FROM lineitem), n AS (SELECT leaves, count(*) AS ncovered, any_value(votes) AS votes FROM r GROUP BY leaves),
+v AS (SELECT leaves, ncovered, unnest(['A', 'N', 'R']) AS y, unnest([len(list_filter(votes, lambda x: x = 'A')), len(list_filter(votes, lambda x: x = 'N')), len(list_filter(votes, lambda x: x = 'R'))]) AS k FROM n)
+SELECT array_to_string(leaves, ',') AS leaves, any_value(ncovered) AS ncovered, any_value(ncovered) AS measured, arg_max(y, (k, -ascii(y))) AS consequent FROM v GROUP BY 1"""
+)
+def rules_of_ten_trees(spark, sf_dir):
+    """The rules of ten trees of depth 3 that hold for some row, with their votes, and what they cover when measured as a table of intervals."""
+    df = lineitem(spark, sf_dir)
+    found, intervals = rule_table.rules_of_rows(df, Ensemble(tuple(Tree(m) for m in _TEN)))
+    counts = rule_table.covered_counts(df, intervals, "l_returnflag").groupBy("rule_id").agg(F.sum("n").alias("measured"))
+    return found.join(counts, "rule_id").select(F.array_join("leaves", ",").alias("leaves"), "ncovered", "measured", "consequent")
+
+
 # -- exact quantiles ------------------------------------------------------------------------------------
 
 
