@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def window_function(kind: str, n: int, periodic: bool = True, zero_phase: bool = False) -> np.ndarray:
@@ -525,3 +526,52 @@ def audio_features(df: DataFrame, kind: str = "mel", bands: int = 26, coefficien
         return {"names": list(values), "values": list(values.values())}
 
     return per_clip(df, kernel, "path string, names array<string>, values array<double>")
+
+
+# -- signals longer than a row ------------------------------------------------------------
+
+#: Samples of a tile of a long signal, about.
+TILE = 1 << 16
+
+
+def tiles(chunks: DataFrame, size: int, overlap: int, tile: int = TILE) -> DataFrame:
+    """path, sr, tile, first, samples of signals that come in chunks (path, sr, start, samples).
+
+    A tile holds the samples from ``tile`` times its length on, a multiple of the hop, and the
+    size - 1 samples behind it, so the frames that begin in it are whole; ``first`` is the number of its
+    first frame in the signal. Chunks of any lengths are cut where tiles meet, so a signal is
+    spread over its tiles and no task holds it. Chunks without samples do not matter; chunks of a
+    signal that overlap or leave a gap are an error.
+    """
+    hop = size - overlap
+    if hop < 1:
+        raise ValueError("the overlap is smaller than the frame")
+    tile = max(tile // hop, 1) * hop
+    n, start = F.size("samples"), F.col("start").cast("long")
+    rows = chunks.where(n > 0).select("path", "sr", start.alias("start"), F.col("samples").cast("array<double>").alias("samples"))
+    first = F.greatest(F.floor((F.col("start") - (size - 1)) / tile), F.lit(0))
+    rows = rows.withColumn("tile", F.explode(F.sequence(first, F.floor((F.col("start") + n - 1) / tile))))
+    low = F.greatest(F.col("start"), F.col("tile") * tile)
+    high = F.least(F.col("start") + n, (F.col("tile") + 1) * tile + size - 1)
+    piece = F.struct(low.alias("at"), F.slice("samples", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("x"))
+    held = rows.where(high > low).groupBy("path", "sr", "tile").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    ends = F.transform("p", lambda q: q["at"] + F.size(q["x"]))
+    begins = F.transform("p", lambda q: q["at"])
+    whole = F.forall(F.arrays_zip(F.slice(begins, 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("b"), F.slice(ends, 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("e")), lambda z: z["b"] == z["e"])
+    whole = whole & (F.get(begins, F.lit(0)) == F.col("tile") * tile)
+    samples = F.when(whole, F.flatten(F.transform("p", lambda q: q["x"]))).otherwise(F.raise_error(F.concat(F.lit("chunks of a signal overlap or leave a gap: "), F.col("path"))).cast("array<double>"))
+    return held.select("path", "sr", "tile", (F.col("tile") * tile / hop).cast("long").alias("first"), samples.alias("samples"))
+
+
+def per_frame(chunks: DataFrame, kernel: Callable[[np.ndarray, int], dict], names: list[str], size: int, overlap: int, tile: int = TILE) -> DataFrame:
+    """path, frame, names: what a kernel gives for each frame of signals in chunks (path, sr, start, samples).
+
+    ``kernel(samples, rate)`` gives a number for each frame under each name, in arrays; frames are numbered
+    over the whole signal.
+    """
+    cut = tiles(chunks, size, overlap, tile).withColumn("key", F.concat_ws(" ", F.col("first").cast("string"), "path"))
+    found = per_clip(cut, kernel, "key string, " + ", ".join(f"{n} array<double>" for n in names), key="key")
+    rows = found.select("key", F.posexplode(F.arrays_zip(*names)).alias("k", "x"))
+    first = F.substring_index("key", " ", 1).cast("long")
+    path = F.expr("substring(key, length(substring_index(key, ' ', 1)) + 2)")
+    return rows.select(path.alias("path"), (first + F.col("k")).alias("frame"), *[F.col(f"x.{n}").alias(n) for n in names])

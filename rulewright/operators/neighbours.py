@@ -13,10 +13,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 #: Points of a cell, and points of a range of one axis, about.
 CELL_ROWS = 1_024
@@ -124,8 +124,9 @@ def below(d: Column) -> Column:
     """The largest double that is smaller than ``d``; 0 for 0 (and infinity for infinity)."""
 
     @F.pandas_udf("double")
-    def run(values):
-        return values.map(lambda v: v if math.isinf(v) else 0.0 if v == 0 else math.nextafter(v, 0.0))
+    def run(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(float)
+        return pd.Series(np.where(np.isinf(v) | (v == 0), v, np.nextafter(v, 0.0)))
 
     return run(d)
 
@@ -168,14 +169,20 @@ def counts_within(queries: DataFrame, axis: str) -> DataFrame:
 def continuous_information(points: DataFrame, k: int = 3) -> DataFrame:
     """name, score: mutual information of x and y by ``k`` nearest neighbours, over all points (name, id, x, y).
 
-    0 for a name with ``k`` points or fewer. Ids tell the points of a name apart.
+    0 for a name with ``k`` points or fewer. Ids tell the points of a name apart. Works at once.
     """
-    names = points.groupBy("name").agg(F.count("*").alias("n"))
+    points = points.persist()
     found = radii(points, k).where("r < double('infinity')").persist()
-    terms = None
-    for axis in ("x", "y"):
-        part = counts_within(found, axis).groupBy("name", "m").agg(F.count("*").alias("c")).select("name", (F.col("c") * digamma(F.col("m"))).alias("term"))
-        terms = part if terms is None else terms.unionByName(part)
-    around = terms.groupBy("name").agg(F.sum("term").alias("around"))
-    score = digamma(F.col("n")) + digamma(F.lit(k)) - F.col("around") / F.col("n")
-    return names.join(around, "name", "left").select("name", F.coalesce(F.greatest(score, F.lit(0.0)), F.lit(0.0)).alias("score"))
+    try:
+        names = points.groupBy("name").agg(F.count("*").alias("n"))
+        terms = None
+        for axis in ("x", "y"):
+            part = counts_within(found, axis).groupBy("name", "m").agg(F.count("*").alias("c")).select("name", (F.col("c") * digamma(F.col("m"))).alias("term"))
+            terms = part if terms is None else terms.unionByName(part)
+        around = terms.groupBy("name").agg(F.sum("term").alias("around"))
+        score = digamma(F.col("n")) + digamma(F.lit(k)) - F.col("around") / F.col("n")
+        out = names.join(around, "name", "left").select("name", F.coalesce(F.greatest(score, F.lit(0.0)), F.lit(0.0)).alias("score"))
+        return points.sparkSession.createDataFrame(out.collect(), "name string, score double")  # a row for each name
+    finally:
+        found.unpersist()
+        points.unpersist()

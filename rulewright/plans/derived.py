@@ -15,8 +15,9 @@ from ..operators import boosting, conditions, evaluation, models, rules, selecti
 from ..operators.conditions import MetaCondition, ScalarCondition
 from ..operators.models import Branch, Ensemble, Leaf, Tree
 from ..sources import tables
+from . import coverage
 from .catalogue import _E, STUMPS, STUMPS_SQL, TREE, TREE_SQL, embeddings, lineitem, orders, query, r6, table
-from .coverage import _LIST, raises
+
 
 # -- sources and names ----------------------------------------------------------------------------
 
@@ -89,7 +90,7 @@ _SETS = {
 def feature_sets(spark, sf_dir):
     """The features of each set over all vectors, as far as SQL has them; unknown names are refused."""
     out, df = None, embeddings(spark, sf_dir)
-    if not (raises(lambda: arrays.feature_set("no such set"), KeyError) and raises(lambda: arrays.parse_feature("nothing[e]"), KeyError)):
+    if not (coverage.raises(lambda: arrays.feature_set("no such set"), KeyError) and coverage.raises(lambda: arrays.parse_feature("nothing[e]"), KeyError)):
         raise AssertionError("unknown names are accepted")
     for s, given in (("minmax", "minmax"), ("custom", ["avg", "max"]), ("catch9", "catch9")):
         names = [arrays.ALIASES.get(n, n) for n in arrays.feature_set(given)]
@@ -296,7 +297,7 @@ def model_texts(spark, sf_dir):
     stump, n = Tree(Branch(ScalarCondition("l_quantity", "<", _cut(df)), Leaf("A"), Leaf("R"))), df.count()
     ensemble = Ensemble((stump, Tree(Branch(ScalarCondition("l_tax", "<", 0.1), Leaf("A"), Leaf("N")))), (1.0, 0.5))
     texts = {
-        "rule": models.rules_text(models.list_rules(stump)), "tree": models.describe(stump, metrics=lambda m: f"{n} rows"), "list": models.describe(_LIST), "ensemble": models.describe(ensemble),
+        "rule": models.rules_text(models.list_rules(stump)), "tree": models.describe(stump, metrics=lambda m: f"{n} rows"), "list": models.describe(coverage._LIST), "ensemble": models.describe(ensemble),
         "constant": models.describe(Leaf("A")), "shallow": models.describe(TREE, depth=0),
     }
     return spark.createDataFrame([(k, i, line.strip()) for k, t in texts.items() for i, line in enumerate(t.split("\n"), 1)], "model string, line long, text string")
@@ -309,7 +310,7 @@ def model_texts(spark, sf_dir):
 )
 def model_measures(spark, sf_dir):
     """Sizes of models, and how many rows each of them gives the first class."""
-    given = {"tree": TREE, "rule": _LIST.rules[0], "list": _LIST, "ensemble": Ensemble((STUMPS[0],)), "leaf": Leaf("A")}
+    given = {"tree": TREE, "rule": coverage._LIST.rules[0], "list": coverage._LIST, "ensemble": Ensemble((STUMPS[0],)), "leaf": Leaf("A")}
     df, out = lineitem(spark, sf_dir), None
     for k, m in given.items():
         sizes = [F.lit(v).cast("long").alias(n) for n, v in (("submodels", len(models.submodels(m))), ("leaves", len(models.leaves(m))), ("height", models.height(m)))]
@@ -347,7 +348,7 @@ _TARGETS = {"l_returnflag": "lineitem", "l_linestatus": "lineitem", "o_orderprio
 def boost_options(spark, sf_dir):
     """The objective follows the number of classes of each target; options out of range are refused."""
     bad = {"rounds": 0, "eta": 1.5, "depth": -1, "reg_lambda": -1, "bins": 1, "objective": "none"}
-    if not all(raises(lambda k=k, v=v: boosting.BoostOptions(**{k: v}), ValueError) for k, v in bad.items()):
+    if not all(coverage.raises(lambda k=k, v=v: boosting.BoostOptions(**{k: v}), ValueError) for k, v in bad.items()):
         raise AssertionError("an option out of range is accepted")
     rows = []
     for c, t in _TARGETS.items():
@@ -389,7 +390,7 @@ def operations(spark, sf_dir):
     }
     rows = []
     for measure, kind in (("accuracy", "deterministic"), ("accuracy", "probabilistic"), ("log_loss", "probabilistic"), ("log_loss", "deterministic"), ("rms", "probabilistic")):
-        if raises(lambda m=measure, k=kind: evaluation.operation_for(m, k), ValueError):
+        if coverage.raises(lambda m=measure, k=kind: evaluation.operation_for(m, k), ValueError):
             rows.append((measure, kind, "error", None))
             continue
         how = evaluation.operation_for(measure, kind)

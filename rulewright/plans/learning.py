@@ -1,10 +1,10 @@
-"""Queries of neighbour information, of conditions over all intervals of long series, and of modal learners."""
+"""Queries of neighbour information, conditions over all intervals, modal learners, rule tables, exact quantiles and long signals."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import quantiles
+from ..functions import quantiles, signal
 from ..operators import modal_learning, neighbours, relational, rule_table, selection
 from ..operators.conditions import ScalarCondition
 from ..operators.modal import ModalCondition
@@ -218,3 +218,28 @@ def exact_quantiles(spark, sf_dir):
     found = quantiles.exact_quantiles(lineitem(spark, sf_dir), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.125, 0.5, 0.9375], between=False)
     out = found.select("l_returnflag", "l_linestatus", F.posexplode("q").alias("i", "price"))
     return out.withColumn("i", (F.col("i") + 1).cast("long"))
+
+
+# -- signals longer than a row --------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+f AS (SELECT s.event_type, i // 8 - k AS frame, i - (i // 8 - k) * 8 AS t, v, n FROM s, (SELECT unnest([0, 1]) AS k) WHERE i // 8 >= k AND i - (i // 8 - k) * 8 < 16 AND (i // 8 - k) * 8 + 16 <= n),
+p AS (SELECT event_type, frame, k, power(sum(w * cos(2 * pi() * k * t / 16)), 2) + power(sum(w * sin(2 * pi() * k * t / 16)), 2) AS p FROM (SELECT *, v * (0.5 - 0.5 * cos(2 * pi() * t / 16)) AS w FROM f), (SELECT unnest([0, 3, 8]) AS k) GROUP BY 1, 2, 3)
+SELECT event_type, frame, """
+    + ", ".join(f"round(sum(p) FILTER (WHERE k = {k}), 4) + 0.0 AS b{k}" for k in (0, 3, 8))
+    + " FROM p GROUP BY 1, 2"
+)
+def long_signal_spectra(spark, sf_dir):
+    """Spectra of the events of each type as one signal, which comes in chunks of 333 and is cut into tiles: frames are whole across both."""
+    s = relational.series_by_key(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
+    starts = F.sequence(F.lit(0), F.size("series") - 1, F.lit(333))
+    chunks = s.select(F.col("event_type").alias("path"), F.lit(8).alias("sr"), "series", F.explode(starts).alias("start")).select("path", "sr", "start", F.slice("series", F.col("start") + 1, F.lit(333)).alias("samples"))
+
+    def kernel(x, rate):
+        power = signal.stft(x, rate, 16)[0]
+        return {f"b{k}": power[:, k] for k in (0, 3, 8)}
+
+    out = signal.per_frame(chunks, kernel, ["b0", "b3", "b8"], 16, 8, 1_000)
+    return out.select(F.col("path").alias("event_type"), "frame", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("b0", "b3", "b8")])

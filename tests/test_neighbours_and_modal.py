@@ -235,3 +235,48 @@ def test_exact_quantiles_of_groups(spark, monkeypatch, few):
         assert got[g] == pytest.approx([float(np.quantile(vs, x)) for x in p], abs=1e-9), g
         assert disc[g] == [vs[max(math.ceil(round(x * len(vs), 9)) - 1, 0)] for x in p], g
     assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", p).count() == 0
+
+
+# -- signals longer than a row, rules of rows
+
+
+def test_frames_across_chunks_equal_whole_signals(spark):
+    from rulewright.functions import signal
+
+    rng = np.random.default_rng(2)
+    whole = {"a b": rng.normal(size=517), "c": rng.normal(size=40), "short": rng.normal(size=9), "one": rng.normal(size=16)}
+    rows = []
+    for path, x in whole.items():
+        at = 0
+        while at < len(x):
+            n = int(rng.choice([1, 3, 16, 50, 130]))
+            rows.append((path, 8, at, x[at : at + n].tolist()))
+            at += n
+    rows += [("c", 8, 40, []), ("none", 8, 0, [])]
+    chunks = spark.createDataFrame(rows, "path string, sr int, start long, samples array<double>").repartition(4)
+    kernel = lambda x, rate: {"s": signal.frames(x, 16, 6).sum(1), "first": signal.frames(x, 16, 6)[:, 0]}
+    for tile in (1, 64, 1 << 16):
+        got = {(r["path"], r["frame"]): (r["s"], r["first"]) for r in signal.per_frame(chunks, kernel, ["s", "first"], 16, 6, tile).collect()}
+        want = {(p, k): f for p, x in whole.items() for k, f in enumerate(signal.frames(x, 16, 6))}
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx((f.sum(), f[0])) for k, f in want.items())
+    broken = chunks.where("not (path = 'a b' and start > 20 and start < 300)")
+    with pytest.raises(Exception, match="leave a gap"):
+        signal.tiles(broken, 16, 6, 1 << 16).collect()
+
+
+def test_rules_of_rows_agree_with_products_and_votes(spark):
+    from rulewright.operators import rule_table, rules
+    from rulewright.operators.conditions import ScalarCondition
+    from rulewright.operators.models import Branch, Ensemble, Leaf, Tree
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice([float("nan"), None, *(x / 4 for x in range(12))]), rng.random() * 3, "p") for _ in range(400)], "a double, b double, y string")
+    branch = lambda f, o, t, p, n: Branch(ScalarCondition(f, o, t), p, n)
+    trees = [Tree(branch("a", "<", 1.0, Leaf("x"), branch("b", ">=", 2.0, Leaf("y"), Leaf("x")))), Tree(branch("b", "<=", 1.0, Leaf("y"), Leaf("x"))), Tree(branch("a", ">", 2.0, branch("a", "<", 2.5, Leaf("z"), Leaf("y")), Leaf("y")))]
+    ensemble = Ensemble(tuple(trees))
+    found, table = rule_table.rules_of_rows(df, ensemble)
+    listed = {(w["consequent"], w["ncovered"]) for w in rules.measure(df, models.list_rules(ensemble), "y") if w["ncovered"]}
+    assert {(r["consequent"], r["ncovered"]) for r in found.collect()} == listed
+    counts = {r["rule_id"]: r["n"] for r in rule_table.covered_counts(df, table, "y").groupBy("rule_id").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {r["rule_id"]: r["ncovered"] for r in found.collect()}
