@@ -211,6 +211,40 @@ def op13_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op5_license_scan`` finds of the base phrases, which SQL can find too; no place is -1."""
+    place = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
+
+
+LICENSE_BASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT rn, i - 1 AS place, label FROM (SELECT rn, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])) v(label, phrase)
+  WHERE w[i] = phrase[1] AND w[i : i + len(phrase) - 1] = phrase
+), f AS (
+  SELECT rn, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY rn
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, coalesce(first_word, -1)::bigint AS first_word, coalesce(last_word, -1)::bigint AS last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN f USING (rn)
+"""
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads that ``op6_media_columns`` reads back, which SQL can work out from the texts."""
+    return op6_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+MEDIA_PAYLOADS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::bigint AS n FROM documents
+), p AS (
+  SELECT doc_id, text, n, greatest((n + 191) // 192, 1) * 192 AS m FROM d
+)
+SELECT doc_id, n AS n_bytes, m::bigint AS payload_bytes, sha256(text || repeat(' ', m - n)) AS payload_sha256 FROM p
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -231,6 +265,8 @@ QUERIES = {
     "op11_filter_interactions": op11_filter_interactions,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_wrapper_extraction": op13_wrapper_extraction,
+    "license_base_places": license_base_places,
+    "media_payloads": media_payloads,
     "pipeline": pipeline,
 }
 
@@ -241,4 +277,6 @@ ORACLES: dict[str, str] = {
     "op8_cross_entropy": OP8_SQL,
     "op9_minmax_near_duplicates": OP9_SQL,
     "op11_filter_interactions": interactions.ORACLE,
+    "license_base_places": LICENSE_BASE_SQL,
+    "media_payloads": MEDIA_PAYLOADS_SQL,
 }

@@ -338,3 +338,8 @@ def test_archives_of_repeated_and_null_ids(spark, tmp_path):
     want = [(r["file"], r["offset"] + k * r["length"], r["length"], r["digest"]) for r in layout.collect() for k in range(r["copies"])]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == len(rows)
     assert len({f for f, *_ in want if f < 0}) > 3
+
+
+@pytest.mark.parametrize("name", ["license_base_places", "media_payloads"])
+def test_base_columns_equal_sql(spark, data, oracle, name):
+    assert canonical(queries.QUERIES[name](spark, data).toPandas()) == canonical(oracle.sql(queries.ORACLES[name]).df())
