@@ -149,7 +149,7 @@ def _impurity(weights: list[Column], total: Column, criterion: str) -> Column:
     return -sum((F.when(p > 0, p * F.ln(p)).otherwise(0.0) for p in shares), F.lit(0.0))
 
 
-def best_splits(cells: DataFrame, classes: int, criterion: str, least: float) -> DataFrame:
+def best_splits(cells: DataFrame, classes: int, criterion: str, least: float | Column) -> DataFrame:
     """tree, node, test, place, gain, passed, whole: the best split of each node, of cells (tree, node, test, place, w0, w1, ...).
 
     A row passes a split at or above its place. Equal gains (to twelve decimals) go to the first
@@ -184,19 +184,24 @@ def _walk(lookup: Column, most: int):
     return step
 
 
-def grow(data: Coded, trees: int = 1, depth: int = 3, weight: Column | None = None, tests_per_node: int | None = None, criterion: str = "gini", least: float = 1.0, seed: int = 1) -> tuple[list[Tree], dict]:
+def grow(
+    data: Coded, trees: int = 1, depth: int | list[int] = 3, weight: Column | None = None, tests_per_node: int | None = None, criterion: str = "gini", least: float | list[float] = 1.0, seed: int = 1
+) -> tuple[list[Tree], dict]:
     """``trees`` trees at once, level by level, and their splits by (tree, node); node 1 is a root, 2n and 2n + 1 the children of n.
 
     ``weight`` is an array with a weight of the row for each tree; 1 without it. A node looks at
-    ``tests_per_node`` tests, drawn for it by ``seed``, or at all.
+    ``tests_per_node`` tests, drawn for it by ``seed``, or at all. ``depth`` and ``least`` may differ by tree.
     """
+    depths = [depth] * trees if isinstance(depth, int) else depth
+    floor = least if isinstance(least, (int, float)) else F.element_at(F.array(*[F.lit(float(x)) for x in least]), F.col("tree") + 1)
+    depth = max(depths)
     k, most = len(data.classes), 2 ** (depth + 1)
     if not k:  # no row has a label
         return [Tree(Leaf("")) for _ in range(trees)], {}
     weight = F.array_repeat(F.lit(1.0), trees) if weight is None else weight
     splits: dict[tuple[int, int], tuple | None] = {}
     active = [(t, 1) for t in range(trees)]
-    for level in range(depth):
+    for level in range(max(depth, 1)):  # a tree of depth 0 needs the weights of its root
         if not active:
             break
         chosen = {}
@@ -210,12 +215,12 @@ def grow(data: Coded, trees: int = 1, depth: int = 3, weight: Column | None = No
         node = F.aggregate(F.array_repeat(F.lit(0), level), F.lit(1), _walk(lookup, most))
         rows = rows.withColumn("node", node).select("tree", "node", "y", "w", "code", F.explode(F.try_element_at(looks, (F.col("tree") * most + F.col("node")).cast("string"))).alias("test"))
         cells = rows.groupBy("tree", "node", "test", F.get("code", "test").alias("place")).agg(*[F.sum(F.when(F.col("y") == j, F.col("w")).otherwise(0.0)).alias(f"w{j}") for j in range(k)])
-        found = {(r["tree"], r["node"]): r for r in best_splits(cells, k, criterion, least).collect()}  # a row for each node
+        found = {(r["tree"], r["node"]): r for r in best_splits(cells, k, criterion, floor).collect()}  # a row for each node
         active = []
         for at, r in found.items():
-            use = r["place"] is not None and r["gain"] > 0
+            use = r["place"] is not None and r["gain"] > 0 and level < depths[at[0]]
             splits[at] = (r["test"], r["place"] if use else None, r["gain"], r["passed"], r["whole"])
-            if use and level + 1 < depth:
+            if use and level + 1 < depths[at[0]]:
                 for child, side in ((0, r["passed"]), (1, [a - b for a, b in zip(r["whole"], r["passed"], strict=True)])):
                     if sum(x > 1e-12 for x in side) > 1:
                         active.append((at[0], 2 * at[1] + child))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quantiles, signal
-from ..operators import modal_learning, neighbours, relational, rule_table, selection
+from ..operators import modal_learning, neighbours, relational, rule_table, selection, tuning
 from ..operators.conditions import ScalarCondition
 from ..operators.modal import ModalCondition
 from ..operators.modal_learning import ModalTest
@@ -243,3 +243,23 @@ def long_signal_spectra(spark, sf_dir):
 
     out = signal.per_frame(chunks, kernel, ["b0", "b3", "b8"], 16, 8, 1_000)
     return out.select(F.col("path").alias("event_type"), "frame", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("b0", "b3", "b8")])
+
+
+# -- tuning in shared passes ------------------------------------------------------------------------------
+
+_FOLDED = f"""x AS (SELECT o_orderkey AS vec_id, o_orderstatus AS y, unnest([0, 1]) AS test, unnest([(o_custkey % 10)::double, (o_orderkey % 8)::double]) AS u FROM orders),
+c AS (SELECT test, unnest(list_distinct(quantile_disc(u, [{", ".join(f"{i / 32}" for i in range(1, 32))}]))) AS cut FROM x GROUP BY test),
+h AS (SELECT o_orderkey AS vec_id, o_orderstatus AS y, ('0x' || md5(o_orderkey::varchar)[1:12])::bigint % 3 AS fold FROM orders),
+r1 AS (SELECT t AS tree, 1 AS node, x.*, 1.0::double AS w FROM x JOIN h USING (vec_id), (SELECT unnest(range(3)) AS t) WHERE fold <> t),
+{_best("b1", "r1")}, m AS (SELECT t AS tree, arg_max(y, (n, -ascii(y))) AS y FROM (SELECT t, y, count(*) AS n FROM h, (SELECT unnest(range(3)) AS t) WHERE fold <> t GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    f"WITH {_FOLDED} SELECT 0::bigint AS depth, round(avg((h.y = m.y)::int::double), 6) AS score FROM h JOIN m ON fold = tree UNION ALL "
+    "SELECT 1, round(avg((h.y = CASE WHEN x.u >= cut THEN yes_y ELSE no_y END)::int::double), 6) FROM h JOIN b1 ON fold = tree JOIN x ON x.vec_id = h.vec_id AND x.test = b1.test"
+)
+def tuned_in_shared_passes(spark, sf_dir):
+    """Held-out accuracies of two depths of tree, of all folds grown together."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 10).cast("double").alias("a"), (F.col("o_orderkey") % 8).cast("double").alias("b"))
+    found = tuning.tune_trees(df, ["a", "b"], "o_orderstatus", "o_orderkey", [{"depth": 0}, {"depth": 1}])
+    return spark.createDataFrame(list(enumerate(found.scores)), "depth long, score double").select("depth", r6(F.col("score")).alias("score"))

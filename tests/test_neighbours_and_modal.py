@@ -280,3 +280,53 @@ def test_rules_of_rows_agree_with_products_and_votes(spark):
     assert {(r["consequent"], r["ncovered"]) for r in found.collect()} == listed
     counts = {r["rule_id"]: r["n"] for r in rule_table.covered_counts(df, table, "y").groupBy("rule_id").agg(F.sum("n").alias("n")).collect()}
     assert counts == {r["rule_id"]: r["ncovered"] for r in found.collect()}
+
+
+# -- tuning in shared passes
+
+
+def test_tuned_candidates_share_passes_and_agree_with_one_by_one(spark):
+    from rulewright.operators import tuning
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        a, b, c = rng.random(), rng.random(), rng.choice([None, float("nan"), 1.0, 2.0])
+        rows.append((i, a, b, c, "p" if (a > 0.5) != (b > 0.5) and rng.random() < 0.9 else "q"))
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y string").repartition(3)
+    given = [{"depth": 0}, {"depth": 1}, {"depth": 2, "least": 5}, {"depth": 4, "least": 5}, {"depth": 3, "least": 200}]
+    names = ["a", "b", "c"]
+    together = tuning.tune_trees(df, names, "y", "id", given)
+    alone = [tuning.tune_trees(df, names, "y", "id", [g]).scores[0] for g in given[:4]]
+    assert together.scores[:4] == alone and together.best == max(given, key=lambda g: together.scores[given.index(g)])
+    # held-out accuracy, worked out by applying trees fitted without the fold
+    data = tuning.coded_scalars(df, names, "y", "id")
+    right = 0
+    for f in range(3):
+        tree = modal_learning.grow(data, 1, 2, F.array((tuning.fold_of(3) != f).cast("double")), least=5.0)[0][0]
+        test = df.withColumn("n", F.col("id")).withColumn("id", F.col("id").cast("string")).where(tuning.fold_of(3) == f)
+        right += models.apply_model(test, tree).where("y = prediction").count()
+    data.rows.unpersist()
+    assert together.scores[2] == pytest.approx(right / 500)
+    assert accuracy(df, together.tree) > 0.85
+    most = df.groupBy("y").count().agg(F.max("count")).first()[0]
+    assert together.scores[0] == pytest.approx(most / 500, abs=0.02)
+    halved = tuning.tune_trees(df, names, "y", "id", given, halving=True)
+    assert halved.best["depth"] >= 2
+    assert tuning.tune_trees(df.limit(0), names, "y", "id", given[:2]).scores == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        tuning.tune_trees(df, names, "y", "id", [])
+
+
+def test_passes_do_not_grow_with_candidates(spark):
+    from rulewright.operators import tuning
+
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("string").alias("y"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n, group in ((1, "one"), (12, "many")):
+        spark.sparkContext.setJobGroup(group, group)
+        tuning.tune_trees(df, ["x"], "y", "id", [{"depth": 2, "least": k + 1} for k in range(n)])
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
