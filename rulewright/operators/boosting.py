@@ -7,6 +7,7 @@ sum give the best split of every node of a level, so a tree costs as many jobs a
 from __future__ import annotations
 
 import functools
+import json
 import math
 import operator
 from dataclasses import dataclass, field, replace
@@ -22,9 +23,9 @@ from .models import Branch, Ensemble, Leaf, Model, Tree, leaves, nodes
 class BoostOptions:
     """Hyperparameters with their ranges.
 
-    A feature of up to ``bins`` distinct values is split between any two of them; one of more has
-    approximate quantiles as thresholds. Either way a row is reduced to small codes once, and a level is one
-    aggregate of at most ``bins`` rows for each node and feature. 0 tries every distinct value.
+    A feature of up to EXACT_VALUES distinct values is split between any two of them; one of more has
+    ``bins`` approximate quantiles as thresholds. Either way a row is reduced to small codes once, and a level is one
+    aggregate of a row for each node, feature and code. 0 tries every distinct value.
     """
 
     rounds: int = 10
@@ -202,20 +203,22 @@ class Codes:
         return (known[code] + known[after]) / 2 if kind == "values" else known[after - 1]
 
 
+#: Distinct values up to which a feature is split between any two of them.
+EXACT_VALUES = 1_024
 #: Rows of a level's histogram up to which its best splits are looked for on the driver.
 HISTOGRAM_ROWS = 1_000_000
 
 
-def coded(rows: DataFrame, features: list[str], bins: int) -> Codes:
-    """``rows`` reduced to codes: by value where a feature has few, else by quantiles. Nulls and NaN have no code."""
+def coded(rows: DataFrame, features: list[str], bins: int, most_values: int) -> Codes:
+    """``rows`` reduced to codes: by value where a feature has ``most_values`` at most, else by quantiles. Nulls and NaN have no code."""
     known = lambda f: F.when(~F.isnan(f), F.col(f))
     few = rows.agg(*[F.approx_count_distinct(known(f)).alias(f"d{i}") for i, f in enumerate(features)]).first()
-    maybe = [f for i, f in enumerate(features) if few[i] <= 2 * bins]
+    maybe = [f for i, f in enumerate(features) if few[i] <= 2 * most_values]
     sets = rows.agg(*[F.sort_array(F.collect_set(known(f))).alias(f) for f in maybe]).first() if maybe else {}
-    values = {f: list(sets[f]) for f in maybe if len(sets[f]) <= bins}
+    values = {f: list(sets[f]) for f in maybe if len(sets[f]) <= most_values}
     cuts = quantile_cuts(rows, [f for f in features if f not in values], bins) if len(values) < len(features) else {}
     places = [("values", values[f]) if f in values else ("cuts", cuts[f]) for f in features]
-    literal = lambda a: F.array(*[F.lit(float(x)) for x in a]).cast("array<double>")
+    literal = lambda a: F.from_json(F.lit(json.dumps(a)), "array<double>")
     code = lambda f, kind, a: F.array_position(literal(a), F.col(f)).cast("int") - 1 if kind == "values" else F.size(F.filter(literal(a), lambda c: c <= F.col(f)))
     columns = [F.coalesce(F.when(~F.isnan(f), code(f, *place)), F.lit(-1)) for f, place in zip(features, places, strict=True)]
     return Codes(rows.withColumn("_c", F.array(*columns)), features, places)
@@ -287,7 +290,8 @@ class _Grower:
         self.features, self.options = features, o
         self.cuts = self.ranges = self.codes = None
         if o.bins and len(features) * o.bins * 2 ** max(o.depth - 1, 0) <= HISTOGRAM_ROWS:
-            self.codes = coded(rows, features, o.bins)
+            exact = len(features) * EXACT_VALUES * 2 ** max(o.depth - 1, 0) <= HISTOGRAM_ROWS
+            self.codes = coded(rows, features, o.bins, max(o.bins, EXACT_VALUES if exact else 0))
             rows = self.codes.rows.persist()
         elif o.bins:
             self.cuts = quantile_cuts(rows, features, o.bins)
