@@ -249,8 +249,7 @@ def _coded_splits(cells: list, codes: Codes, o: BoostOptions) -> dict[str, tuple
 def grow_coded(rows: DataFrame, codes: Codes, options: BoostOptions) -> Tree:
     """A tree over rows (_c, g, h); a level is one aggregate of codes by node."""
     split: dict[str, tuple[int, int, float]] = {}
-    total = rows.agg(F.sum("g"), F.sum("h")).first()
-    sums = {"": (total[0] or 0.0, total[1] or 0.0)}
+    sums: dict[str, tuple[float, float]] = {}
     open_nodes = [""]
     for _ in range(options.depth):
         if not open_nodes:
@@ -276,6 +275,9 @@ def grow_coded(rows: DataFrame, codes: Codes, options: BoostOptions) -> Tree:
         if p in split:
             i, _, threshold = split[p]
             return Branch(ScalarCondition(codes.features[i], "<", threshold), build(p + "p"), build(p + "n"))
+        if p not in sums:  # the root, without a split
+            total = rows.agg(F.sum("g"), F.sum("h")).first()
+            sums[p] = (total[0] or 0.0, total[1] or 0.0)
         g, h = sums[p]
         value = -g / (h + options.reg_lambda) if h + options.reg_lambda else 0.0
         return Leaf(value, value)
