@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts that a range is cut into, and rows of a range from which it is cut further.
-CUTS = 256
-FEW_ROWS = 100_000
+CUTS = 32
+FEW_ROWS = 200_000
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: DataFrame) -> DataFrame:
