@@ -131,28 +131,36 @@ def below(d: Column) -> Column:
     return run(d)
 
 
-def counts_within(queries: DataFrame, axis: str) -> DataFrame:
-    """name, id, m of rows (name, id, ``axis``, r): how many rows of the name are within r of it along the axis, itself too."""
+def counts_within(queries: DataFrame, axis: str, rounded: bool = False) -> DataFrame:
+    """name, id, m of rows (name, id, ``axis``, r): how many rows of the name are within r of it along the axis, itself too.
+
+    A row is within r if the difference of the two values is at most r; with ``rounded``, if it lies between
+    the doubles v - r and v + r, as in the RANGE of a window. The two differ where a value is r away but for rounding.
+    """
     most = queries.groupBy("name").count().agg(F.max("count")).first()[0] or 0
     ranges = max(1, math.ceil(most / RANGE_ROWS))
     rows = queries.select("name", "id", F.col(axis).alias("v"), "r")
     bounds = F.broadcast(rows.groupBy("name").agg(_quantiles("v", ranges).alias("bounds")))  # a row for each name
     placed = rows.join(bounds, "name")
     held = placed.select(F.col("name").alias("of_name"), _place(F.col("bounds"), F.col("v")).alias("of_range"), F.col("v").alias("value"))
-    ends = F.explode(F.array(*[F.struct(F.lit(sign).alias("sign"), _place(F.col("bounds"), F.col("v") + sign * F.col("r")).alias("range")) for sign in (1, -1)]))
+    v, r = F.col("v"), F.col("r")
+    # the range of an end follows from the bounds that come before it, by the same comparison as the values
+    lower = (lambda b: b < v - r) if rounded else (lambda b: v - b > r)
+    upper = (lambda b: b <= v + r) if rounded else (lambda b: b - v <= r)
+    ends = F.explode(F.array(*[F.struct(F.lit(sign).alias("sign"), F.size(F.filter("bounds", before)).alias("range")) for sign, before in ((1, upper), (-1, lower))]))
     asked = placed.select("name", "id", "v", "r", ends.alias("end")).select("name", "id", "v", "r", "end.*")
 
     def ranked(key: tuple, ask: pa.Table, have: pa.Table) -> pa.Table:
         values, counts = np.unique(np.asarray(have.column("value"), float), return_counts=True)
         v, r, sign = (np.asarray(ask.column(c), float) for c in ("v", "r", "sign"))
         upper = sign > 0
-        # v + r is rounded, and what counts is the difference of two values: the place may be off by a value
         at = np.where(upper, np.searchsorted(values, v + r, "right"), np.searchsorted(values, v - r, "left"))
-        padded = np.concatenate(([-np.inf], values, [np.inf]))
-        inside = lambda w: np.where(upper, w - v <= r, v - w > r)  # noqa: E731  whether a value comes before the end
-        for _ in range(2):
-            at = at + ((at < len(values)) & inside(padded[np.minimum(at + 1, len(values) + 1)]))
-            at = at - ((at > 0) & ~inside(padded[at]))
+        if not rounded:  # what counts is the difference of two values: the place may be off by a value
+            padded = np.concatenate(([-np.inf], values, [np.inf]))
+            inside = lambda w: np.where(upper, w - v <= r, v - w > r)  # noqa: E731  whether a value comes before the end
+            for _ in range(2):
+                at = at + ((at < len(values)) & inside(padded[np.minimum(at + 1, len(values) + 1)]))
+                at = at - ((at > 0) & ~inside(padded[at]))
         at = np.concatenate(([0], np.cumsum(counts)))[at]
         return pa.table([ask.column("name"), ask.column("id"), ask.column("sign"), ask.column("range"), pa.array(at.astype(np.int64))], names=["name", "id", "sign", "range", "c"])
 

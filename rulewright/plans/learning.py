@@ -44,8 +44,8 @@ def counts_in_radius(spark, sf_dir):
     """How many orders have a price, and how many a quantity, within a radius of each order's own."""
     quantity = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum("l_quantity") + F.col("l_orderkey") * F.lit(1e-7)).alias("y"))
     p = table(spark, sf_dir, "orders").join(quantity, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lit("all").alias("name"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("x"), "y")
-    mx = neighbours.counts_within(p.withColumn("r", F.lit(1000.0)), "x").select(F.col("id").alias("o_orderkey"), F.col("m").alias("mx"))
-    my = neighbours.counts_within(p.withColumn("r", F.lit(2.5)), "y").select(F.col("id").alias("of"), F.col("m").alias("my"))
+    mx = neighbours.counts_within(p.withColumn("r", F.lit(1000.0)), "x", rounded=True).select(F.col("id").alias("o_orderkey"), F.col("m").alias("mx"))
+    my = neighbours.counts_within(p.withColumn("r", F.lit(2.5)), "y", rounded=True).select(F.col("id").alias("of"), F.col("m").alias("my"))
     return mx.join(my, F.col("o_orderkey") == F.col("of")).select("o_orderkey", "mx", "my")
 
 
