@@ -14,6 +14,7 @@ import math
 import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,15 +66,20 @@ def ranked_by_key(df: DataFrame, key: str, *then: str, ranges: int = KEY_RANGES)
     return out.withColumn("_own", own).join(F.broadcast(counts), "_r").withColumn("rank", F.col("_own") + F.col("_before")).drop("_r", "_own", "_before")
 
 
+def _share(n: Column, share: float) -> Column:
+    """floor(n * share), of the share as it is written: as a double, 0.7 of 90 is a little less than 63."""
+    return F.floor(n.cast("decimal(19,0)") * F.lit(Decimal(str(share)))).cast("long")
+
+
 def holdout(df: DataFrame, row_id: str, ratio: float = 0.7, valid_ratio: float | None = None, seed: int = 1, order: Column | None = None) -> DataFrame:
     """row_id, fold, role: the first floor(n * ratio) rows train; of the others valid_ratio, then test."""
     if not 0 < ratio < 1:
         raise ValueError("ratio lies between 0 and 1")
     r = ranked(df.select(row_id), order if order is not None else hash_order(row_id, seed), row_id)
-    n_train = F.floor(F.col("size") * ratio)
+    n_train = _share(F.col("size"), ratio)
     role = F.when(F.col("rank") < n_train, "train")
     if valid_ratio is not None:
-        role = role.when(F.col("rank") < n_train + F.floor((F.col("size") - n_train) * valid_ratio), "valid")
+        role = role.when(F.col("rank") < n_train + _share(F.col("size") - n_train, valid_ratio), "valid")
     return r.select(row_id, F.lit(0).alias("fold"), role.otherwise("test").alias("role"))
 
 
@@ -126,7 +132,7 @@ def group_split(df: DataFrame, label: str, group_id: str, train_share: float = 0
     counts = ids.groupBy(F.col(label).alias("_l"), F.col("_r").alias("_rr")).agg(F.sum("_n").alias("_c"))
     counts = counts.select("_l", "_rr", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_c").over(whole).alias("_total"))
     placed = ids.withColumn("_own", F.coalesce(own, F.lit(0))).join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_rr")))
-    role = F.when(F.col("_own") + F.col("_ahead") < F.floor(F.col("_total") * train_share), "train").otherwise("test").alias("role")
+    role = F.when(F.col("_own") + F.col("_ahead") < _share(F.col("_total"), train_share), "train").otherwise("test").alias("role")
     out = df.join(placed.select(label, group_id, role), [label, group_id])
     if not balance:
         return out

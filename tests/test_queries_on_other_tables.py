@@ -23,3 +23,10 @@ def test_prices_a_radius_apart_but_for_rounding(spark, tmp_path):
     keys = np.arange(len(prices))
     items = pd.DataFrame({"l_orderkey": keys, "l_quantity": keys * 2.5})
     assert agrees(spark, tmp_path, "counts_in_radius", orders=pd.DataFrame({"o_orderkey": keys, "o_totalprice": prices}), lineitem=items)
+
+
+def test_shares_of_row_counts_are_decimal(spark, tmp_path):
+    keys = np.arange(90)  # 0.7 of 90 is 63, and 62.99999999999999 as a product of doubles
+    rows = pd.DataFrame({"o_orderkey": keys, "o_custkey": keys, "o_orderpriority": "1-URGENT"})
+    assert agrees(spark, tmp_path, "group_split", orders=rows)
+    assert agrees(spark, tmp_path, "holdout_assign", orders=rows)
