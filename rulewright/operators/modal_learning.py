@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .boosting import StageWise
 from .modal import ModalCondition
 from .models import Branch, Ensemble, Leaf, Tree
@@ -126,13 +127,13 @@ class Coded:
 
 
 def coded(df: DataFrame, tests: list[ModalTest], label: str, row_id: str, bins: int = 16) -> Coded:
-    """Reduces a table to small codes, once; thresholds are quantiles of what rows attain. The caller unpersists ``rows``."""
+    """Reduces a table to small codes, once; thresholds are exact quantiles of what rows attain. The caller unpersists ``rows``."""
     found = attained(df, tests, label, row_id).persist()
     places = [i / bins for i in range(1, bins)]
-    asked = found.select(F.posexplode("u").alias("test", "u")).where("u is not null").groupBy("test").agg(F.percentile_approx("u", places, 10_000).alias("cuts"))
+    asked = exact_quantiles(found.select(F.posexplode("u").alias("test", "u")), ["test"], "u", places, between=False)
     cuts: list[list[float]] = [[] for _ in tests]
     for r in asked.collect():  # a row for each test
-        cuts[r["test"]] = sorted(set(r["cuts"]))
+        cuts[r["test"]] = sorted(set(r["q"]))
     classes = sorted(r[0] for r in found.select("y").distinct().collect())
     literal = F.from_json(F.lit(json.dumps(cuts)), "array<array<double>>")
     code = F.zip_with("u", literal, lambda u, c: F.coalesce(F.size(F.filter(c, lambda x: x <= u)), F.lit(0)).cast("short"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .conditions import ScalarCondition
 from .modal_learning import Coded, _walk, grow
 from .models import Branch, Tree
@@ -31,16 +32,16 @@ class ScalarTest:
 
 
 def coded_scalars(df: DataFrame, features: list[str], label: str, row_id: str, bins: int = 32) -> Coded:
-    """Rows reduced to the places of their values among up to ``bins`` quantiles; the caller unpersists ``rows``.
+    """Rows reduced to the places of their values among up to ``bins`` exact quantiles; the caller unpersists ``rows``.
 
     Nulls and NaN pass no test. Rows without label are left out.
     """
     values = F.array(*[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")) for f in features])
     rows = df.where(F.col(label).isNotNull()).select(F.col(row_id).cast("string").alias("id"), F.col(label).cast("string").alias("y"), values.alias("u"))
-    asked = rows.select(F.posexplode("u").alias("test", "u")).where("u is not null").groupBy("test").agg(F.percentile_approx("u", [i / bins for i in range(1, bins)], 10_000).alias("cuts"))
+    asked = exact_quantiles(rows.select(F.posexplode("u").alias("test", "u")), ["test"], "u", [i / bins for i in range(1, bins)], between=False)
     cuts: list[list[float]] = [[] for _ in features]
     for r in asked.collect():  # a row for each feature
-        cuts[r["test"]] = sorted(set(r["cuts"]))
+        cuts[r["test"]] = sorted(set(r["q"]))
     classes = sorted(r[0] for r in rows.select("y").distinct().collect())
     code = F.zip_with("u", F.from_json(F.lit(json.dumps(cuts)), "array<array<double>>"), lambda u, c: F.coalesce(F.size(F.filter(c, lambda x: x <= u)), F.lit(0)).cast("short"))
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1 if classes else F.lit(0)

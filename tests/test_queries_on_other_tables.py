@@ -30,3 +30,10 @@ def test_shares_of_row_counts_are_decimal(spark, tmp_path):
     rows = pd.DataFrame({"o_orderkey": keys, "o_custkey": keys, "o_orderpriority": "1-URGENT"})
     assert agrees(spark, tmp_path, "group_split", orders=rows)
     assert agrees(spark, tmp_path, "holdout_assign", orders=rows)
+
+
+def test_cuts_of_many_rows_are_exact(spark, tmp_path):
+    # more rows than an approximate quantile keeps apart
+    x = np.random.default_rng(2).normal(size=(24_000, 64)).astype(np.float32)
+    rows = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "label": (x[:, 0] > 0).astype(np.int32)})
+    assert agrees(spark, tmp_path, "modal_forest_learned", embeddings=rows)
