@@ -169,9 +169,14 @@ def triangular_bank(spark, sf_dir):
 
 
 def sounds(spark, sf_dir, rate: int, n: int, shape) -> DataFrame:
-    """A clip for each supplier: ``shape`` of the sample number and the supplier's key."""
+    """A clip for each supplier: ``shape`` of the sample number and the supplier's key.
+
+    Suppliers are few bytes in one file and their clips are many, so keys are dealt to tasks before clips are made.
+    """
+    tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(tasks, "s_suppkey")
     i = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: shape(k.cast("double"), F.col("s_suppkey")))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(rate).alias("sr"), i.alias("samples"))
+    return keys.select(F.col("s_suppkey").cast("string").alias("path"), F.lit(rate).alias("sr"), i.alias("samples"))
 
 
 @query("SELECT s_suppkey, 1.0::double AS gain FROM supplier")
@@ -249,7 +254,7 @@ def wavelet_peaks(spark, sf_dir):
     def kernel(x, rate):
         out = {}
         for kind in _WAVELETS:
-            bank, freqs = signal.wavelet_bank(kind, len(x), rate)
+            bank, freqs = signal.kept_wavelet_bank(kind, len(x), rate)
             out[kind] = float(freqs[np.abs(signal.wavelet_transform(x, bank))[:, 100:-100].mean(1).argmax()])
         return out
 

@@ -6,6 +6,8 @@ import pandas as pd
 from conftest import canonical
 
 import __spark_entry__
+from rulewright.functions import signal
+from rulewright.plans import derived
 
 
 def agrees(spark, folder, name, **tables):
@@ -37,3 +39,16 @@ def test_cuts_of_many_rows_are_exact(spark, tmp_path):
     x = np.random.default_rng(2).normal(size=(24_000, 64)).astype(np.float32)
     rows = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "label": (x[:, 0] > 0).astype(np.int32)})
     assert agrees(spark, tmp_path, "modal_forest_learned", embeddings=rows)
+
+
+def test_clips_of_one_small_file_are_spread(spark, tmp_path):
+    pd.DataFrame({"s_suppkey": np.arange(400)}).to_parquet(f"{tmp_path}/supplier.parquet")
+    clips = derived.sounds(spark, tmp_path, 8, 4, lambda i, key: i + key)
+    sizes = [len(part) for part in clips.rdd.map(lambda r: r["path"]).glom().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 60
+
+
+def test_wavelet_banks_are_made_once():
+    bank, freqs = signal.kept_wavelet_bank("morlet", 64, 16)
+    assert signal.kept_wavelet_bank("morlet", 64, 16)[0] is bank
+    assert np.array_equal(bank, signal.wavelet_bank("morlet", 64, 16)[0]) and np.array_equal(freqs, signal.wavelet_bank("morlet", 64, 16)[1])
