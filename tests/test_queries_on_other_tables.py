@@ -52,3 +52,11 @@ def test_wavelet_banks_are_made_once():
     bank, freqs = signal.kept_wavelet_bank("morlet", 64, 16)
     assert signal.kept_wavelet_bank("morlet", 64, 16)[0] is bank
     assert np.array_equal(bank, signal.wavelet_bank("morlet", 64, 16)[0]) and np.array_equal(freqs, signal.wavelet_bank("morlet", 64, 16)[1])
+
+
+def test_medians_at_once_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 4, 5, 6, 40):
+        for width in (1, 2, 3, 5, 8):
+            x, p = rng.normal(size=n), width // 2
+            assert np.array_equal(signal.moving_median(x, width), [np.median(x[max(i - p, 0) : i + p + 1]) for i in range(n)])
