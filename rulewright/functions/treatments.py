@@ -119,6 +119,7 @@ def normalise_groups(long: DataFrame, low: float | None = None, high: float | No
     Bounds are the minimum and maximum of the finite values, or the quantiles ``low`` and
     ``high``, approximate ones with an error below a ten-thousandth of the rows unless ``exact``, which
     takes a few counting passes. What is still NaN or infinite, or in a group of one value, becomes 0.5.
+    Groups are few and may hold any share of the rows, so their bounds go to the rows.
     """
     finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
     if exact and (low is not None or high is not None):
@@ -129,7 +130,7 @@ def normalise_groups(long: DataFrame, low: float | None = None, high: float | No
         bounds = long.groupBy(*by).agg((F.min(finite) if low is None else quantile(low)).alias("_lo"), (F.max(finite) if high is None else quantile(high)).alias("_hi"))
     scaled = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bad = scaled.isNull() | F.isnan(scaled) | (F.abs(scaled) == float("inf"))
-    return long.join(bounds, list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")
+    return long.join(F.broadcast(bounds), list(by)).withColumn("value", F.when(bad, F.lit(0.5)).otherwise(scaled)).drop("_lo", "_hi")
 
 
 def standardise(df: DataFrame, columns: list[str], center: bool = True, scale: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import canonical
 
 import __spark_entry__
-from rulewright.functions import signal
+from rulewright.functions import signal, treatments
 from rulewright.plans import derived
 
 
@@ -60,3 +60,14 @@ def test_medians_at_once_equal_one_by_one():
         for width in (1, 2, 3, 5, 8):
             x, p = rng.normal(size=n), width // 2
             assert np.array_equal(signal.moving_median(x, width), [np.median(x[max(i - p, 0) : i + p + 1]) for i in range(n)])
+
+
+def test_groups_are_scaled_where_their_rows_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = treatments.normalise_groups(spark.range(9).selectExpr("id % 2 as g", "double(id) as value"), by=("g",))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+        assert sorted(r["value"] for r in out.collect()) == sorted([0.0, 0.25, 0.5, 0.75, 1.0, 0.0, 1 / 3, 2 / 3, 1.0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
