@@ -1,31 +1,35 @@
 """Rules as a table: any number of conjunctions of intervals, measured in one pass over the rows.
 
-A rule is a row for each feature that it bounds. The bounds of a block of rules cut a feature into
-elementary intervals, and each of these has a bitmap of the block's rules that accept it; a row's
-rules are the conjunction of the bitmaps of its features' intervals. So a row costs a lookup and a
-bitwise and for each feature and block, whatever the number of rules in the block, no pair of row and
-rule is ever made, and what leaves a task is a count for each rule and label.
+A rule is a row for each feature that it bounds. The bounds cut a feature into elementary intervals,
+and rows are first counted by cells: the combinations of intervals that occur. A block of rules has
+a bitmap for each interval, of its rules that accept it; a cell's rules are the conjunction of the bitmaps
+of its features' intervals. So a row costs a lookup for each feature and a cell a bitwise and for each
+feature and block, whatever the number of rules in the block, no pair of row and rule is ever made, and
+what leaves a task is a count for each rule and label.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conditions import RangeCondition, ScalarCondition
-from .models import Branch, Ensemble, Rule, apply_model
+from .models import Branch, Ensemble, Rule, _scalar, apply_model, nodes
 from .rules import _atoms
 
 #: Rules whose bitmaps are made together; a feature then has up to twice as many intervals of so many bits.
 BLOCK_RULES = 2_048
 #: Bounds that one pass over the rows takes to its tasks, about; more rules take more passes.
 PASS_BOUNDS = 1_000_000
-#: Rows whose bitmaps are held at a time.
+#: Cells whose bitmaps are held at a time.
 BATCH_ROWS = 4_096
 
 SCHEMA = "rule_id long, feature string, low double, high double, low_closed boolean, high_closed boolean, consequent string"
@@ -57,6 +61,31 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def cells(df: DataFrame, thresholds: dict[str, set[float]], label: Column) -> DataFrame:
+    """How many rows (``_n``) share a label (``_label``) and the elementary intervals of all features.
+
+    The finite thresholds of a feature cut it into the intervals between them and the thresholds themselves.
+    A cell's features have the least value of its rows, so a condition with these thresholds, or infinite ones,
+    holds for a cell as it does for each of its rows; NaN stands for NaN and null. There are no more cells than
+    rows, and of few thresholds far fewer.
+    """
+    values, places = [f"x{i}" for i in range(len(thresholds))], [f"p{i}" for i in range(len(thresholds))]
+    placed = df.select(label.cast("string").alias("_label"), *[(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(math.nan)) + 0.0).alias(x) for f, x in zip(thresholds, values, strict=True)])  # no negative zero
+    if thresholds:
+        splits = [_splits(t) for t in thresholds.values()]
+        placed = Bucketizer(splitsArray=splits, inputCols=values, outputCols=places, handleInvalid="keep").transform(placed)
+    keys = [F.when(F.col(x) == math.inf, -1).when(F.col(x) == -math.inf, -2).otherwise(F.col(p).cast("int")).alias(p) for x, p in zip(values, places, strict=True)]
+    # as aggregates, the values keep conditions on cells from being pushed down to the rows
+    found = placed.groupBy("_label", *keys).agg(F.count("*").alias("_n"), *[F.min(x).alias(x) for x in values])
+    return found.select("_label", "_n", *[F.col(x).alias(f) for f, x in zip(thresholds, values, strict=True)])
+
+
+def _splits(thresholds: set[float]) -> list[float]:
+    """Ends of half-open buckets, of which a finite threshold has one of its own."""
+    finite = {t + 0.0 for t in thresholds if math.isfinite(t)} or {0.0}
+    return sorted({-math.inf, math.inf, *finite, *(math.nextafter(t, math.inf) for t in finite)})
+
+
 @dataclass
 class _Block:
     """Elementary intervals of each feature and the rules that accept each of them, for rules ``first`` and on of a pass."""
@@ -120,6 +149,8 @@ def covered_counts(df: DataFrame, rules: DataFrame, label: str) -> DataFrame:
     pass scans the rows once. A rule that bounds a feature twice needs its rows merged first.
     """
     spark = df.sparkSession
+    kept = rules.storageLevel != StorageLevel.NONE
+    rules = rules if kept else rules.persist()  # counted, and read once a pass
     n = rules.count()
     passes = max(1, -(-n // PASS_BOUNDS))
     out = None
@@ -127,16 +158,21 @@ def covered_counts(df: DataFrame, rules: DataFrame, label: str) -> DataFrame:
         part = rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == k).select("rule_id", "feature", "low", "high", "low_closed", "high_closed").collect()  # about PASS_BOUNDS rows
         ids = sorted({r["rule_id"] for r in part})
         places = {i: p for p, i in enumerate(ids)}
-        features = sorted({r["feature"] for r in part if r["feature"] is not None})
+        bounds: dict[str, set] = {}
+        for r in part:
+            if r["feature"] is not None:
+                bounds.setdefault(r["feature"], set()).update((r["low"], r["high"]))
         shared = spark.sparkContext.broadcast([(places[r["rule_id"]], *r[1:]) for r in part])
-        counted = _counted(df, features, label, shared)
+        counted = _counted(cells(df, bounds, F.col(label)), list(bounds), shared)
         names = spark.createDataFrame(pa.table({"place": np.arange(len(ids)), "rule_id": np.array(ids, np.int64)}))
         counted = counted.groupBy("place", "label").agg(F.sum("n").alias("n")).join(F.broadcast(names), "place").select("rule_id", "label", "n")  # no more rows than bounds
         out = counted if out is None else out.unionByName(counted)
+    if not kept:
+        rules.unpersist()
     return out
 
 
-def _counted(df: DataFrame, features: list[str], label: str, shared) -> DataFrame:
+def _counted(found: DataFrame, features: list[str], shared) -> DataFrame:
     columns = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -146,18 +182,20 @@ def _counted(df: DataFrame, features: list[str], label: str, shared) -> DataFram
                 rows = batch.slice(lo, BATCH_ROWS)
                 labels = rows.column(0).to_numpy(zero_copy_only=False)
                 kinds, code = np.unique(np.array(["" if x is None else f"={x}" for x in labels]), return_inverse=True)
-                values = {f: np.asarray(rows.column(1 + i).to_numpy(zero_copy_only=False), float) for i, f in enumerate(features)}
+                weights = rows.column(1).to_numpy().astype(float)  # counts are exact up to 2 ** 53
+                values = {f: np.asarray(rows.column(2 + i).to_numpy(zero_copy_only=False), float) for i, f in enumerate(features)}
                 for b, block in enumerate(blocks):
                     held = block.holds(values, rows.num_rows)
                     for j, kind in enumerate(kinds.tolist()):
-                        some = np.unpackbits(held[code == j], axis=1, count=block.size).sum(0, dtype=np.int64)
+                        own = code == j
+                        some = (weights[own] @ np.unpackbits(held[own], axis=1, count=block.size)).astype(np.int64)
                         key = (b, kind)
                         totals[key] = totals[key] + some if key in totals else some
         for (b, kind), some in totals.items():
             at = np.flatnonzero(some)
             yield pa.RecordBatch.from_arrays([pa.array(at + blocks[b].first, pa.int64()), pa.array([kind[1:] if kind else None] * len(at), pa.string()), pa.array(some[at], pa.int64())], names=["place", "label", "n"])
 
-    return df.select(F.col(label).cast("string").alias("label"), *columns).mapInArrow(run, "place long, label string, n long")
+    return found.select("_label", "_n", *columns).mapInArrow(run, "place long, label string, n long")
 
 
 def rule_table_metrics(df: DataFrame, rules: DataFrame, label: str) -> DataFrame:
@@ -204,13 +242,21 @@ def rules_of_rows(df: DataFrame, ensemble: Ensemble) -> tuple[DataFrame, DataFra
 
     A rule of an ensemble is one leaf of each tree. Their products are not listed: each row has its
     leaves, and the distinct ones, with the vote, are the rules; so there are no more of them than rows,
-    and contradictions do not come up. A row that is NaN in a tested feature satisfies no rule.
+    and contradictions do not come up. A row that is NaN in a tested feature satisfies no rule. Rows are
+    counted by ``cells`` first, unless a leaf is computed from the row; leaves and votes are of cells.
     ``rule_id`` is a 64-bit hash of the leaves. Trees have branches on inequalities of one feature.
     """
     leaves = [_leaf_column(t.root, iter(range(1 << 30))) for t in ensemble.trees]
-    voted = apply_model(df, ensemble, "_vote")
-    rows = voted.select(F.array(*leaves).alias("leaves"), F.col("_vote").cast("string").alias("consequent")).where(~F.exists("leaves", lambda x: x.isNull()))
-    rules = rows.groupBy("leaves").agg(F.first("consequent").alias("consequent"), F.count("*").alias("ncovered"))
+    if _scalar(ensemble):
+        thresholds: dict[str, set] = {}
+        for c in (n.condition for t in ensemble.trees for n in nodes(t.root) if isinstance(n, Branch)):
+            thresholds.setdefault(c.feature, set()).add(float(c.threshold))
+        counted = cells(df, thresholds, F.lit(None))
+    else:
+        counted = df.withColumn("_n", F.lit(1))
+    voted = apply_model(counted, ensemble, "_vote")
+    rows = voted.select("_n", F.array(*leaves).alias("leaves"), F.col("_vote").cast("string").alias("consequent")).where(~F.exists("leaves", lambda x: x.isNull()))
+    rules = rows.groupBy("leaves").agg(F.first("consequent").alias("consequent"), F.sum("_n").alias("ncovered"))
     rules = rules.select(F.xxhash64("leaves").alias("rule_id"), "leaves", "consequent", "ncovered")
     bounds = []
     for t, tree in enumerate(ensemble.trees):

@@ -1,12 +1,20 @@
 """Queries against their SQL on small tables in which rounding, ties or row counts decide."""
 
+import math
+import sys
+
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import canonical
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from rulewright.functions import signal, treatments
+from rulewright.operators import rule_table
+from rulewright.operators.conditions import OPERATORS, ScalarCondition
+from rulewright.operators.models import Branch, Ensemble, FunctionLeaf, Leaf, Tree
 from rulewright.plans import derived
 
 
@@ -71,3 +79,59 @@ def test_groups_are_scaled_where_their_rows_are(spark):
         assert sorted(r["value"] for r in out.collect()) == sorted([0.0, 0.25, 0.5, 0.75, 1.0, 0.0, 1 / 3, 2 / 3, 1.0])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _items(n):
+    rng = np.random.default_rng(7)
+    return pd.DataFrame({"l_quantity": rng.integers(1, 51, n) * 1.0, "l_discount": rng.integers(0, 11, n) / 100, "l_tax": rng.integers(0, 9, n) / 100, "l_extendedprice": rng.random(n) * 90_000, "l_returnflag": rng.choice([*"ANR"], n)})
+
+
+@pytest.mark.parametrize("name", ["rules_of_ten_trees", "measured_rule_table"])
+def test_rows_are_counted_by_cells_before_trees_and_rules_see_them(spark, tmp_path, monkeypatch, name):
+    seen = []
+
+    def watched(f):
+        return lambda df, *rest: (seen.append(df), f(df, *rest))[1]
+
+    monkeypatch.setattr(rule_table, "apply_model", watched(rule_table.apply_model))
+    monkeypatch.setattr(rule_table, "_counted", watched(rule_table._counted))
+    items = _items(500)
+    assert agrees(spark, tmp_path, name, lineitem=items)
+    once = [df.count() for df in seen]
+    seen.clear()
+    assert agrees(spark, tmp_path, name, lineitem=pd.concat([items] * 8))
+    assert [df.count() for df in seen] == once and max(once) <= 500
+
+
+def test_cells_keep_what_conditions_tell_apart(spark):
+    inf, most = math.inf, sys.float_info.max
+    odd = [None, math.nan, -inf, -most, -1.0, math.nextafter(0.0, -inf), -0.0, 0.0, 5e-324, 1.0, math.nextafter(1.0, 2.0), 2.0, most, inf]
+    cuts = [-inf, -most, 0.0, 1.0, math.nextafter(1.0, 2.0), most, inf]
+    df = spark.createDataFrame([(x, y) for x in odd for y in (None, "p", "q")], "`a.b` double, y string").repartition(3)
+    found = rule_table.cells(df, {"a.b": set(cuts)}, F.col("y")).collect()
+    for op in ("<", "<=", ">", ">="):
+        for cut in cuts:
+            for y in (None, "p", "q"):
+                want = sum(x is not None and OPERATORS[op](x, cut) for x in odd)
+                assert sum(r["_n"] for r in found if r["_label"] == y and OPERATORS[op](r["a.b"], cut)) == want, (op, cut)
+    assert sum(r["_n"] for r in found if math.isnan(r["a.b"])) == 6 and sum(r["_n"] for r in found) == df.count()
+    # and through trees
+    for op, cut in (("<", 0.0), ("<=", most), (">", -inf), ("<", inf)):
+        found, _ = rule_table.rules_of_rows(df, Ensemble((Tree(Branch(ScalarCondition("a.b", op, cut), Leaf("yes"), Leaf("no"))),)))
+        yes = 3 * sum(x is not None and OPERATORS[op](x, cut) for x in odd)
+        assert {r["consequent"]: r["ncovered"] for r in found.collect()} == {k: n for k, n in (("yes", yes), ("no", 36 - yes)) if n}, (op, cut)
+
+
+def test_rules_without_thresholds_and_of_empty_tables(spark):
+    df = spark.createDataFrame([(1.0, "p"), (2.0, "q"), (None, "q")], "a double, y string")
+    one = Ensemble((Tree(Leaf("x")),))
+    assert [(r["leaves"], r["consequent"], r["ncovered"]) for r in rule_table.rules_of_rows(df, one)[0].collect()] == [([0], "x", 3)]
+    assert rule_table.rules_of_rows(df.limit(0), one)[0].count() == 0
+    split = Ensemble((Tree(Branch(ScalarCondition("a", "<", 2.0), Leaf("x"), FunctionLeaf("own", lambda: F.col("y")))),))
+    assert {(r["consequent"], r["ncovered"]) for r in rule_table.rules_of_rows(df, split)[0].collect()} == {("x", 1), ("q", 1)}
+    whole = spark.createDataFrame([(5, "a", -math.inf, math.inf, False, False, "q"), (6, None, None, None, None, None, "q")], rule_table.SCHEMA)
+    assert {(r["rule_id"], r["label"], r["n"]) for r in rule_table.covered_counts(df, whole, "y").collect()} == {(5, "p", 1), (5, "q", 1), (6, "p", 1), (6, "q", 2)}
+    whole.persist()
+    rule_table.covered_counts(df, whole, "y")
+    assert whole.storageLevel.useMemory  # what the caller keeps stays kept
+    whole.unpersist()
